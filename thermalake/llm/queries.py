@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from thermalake.llm import pii
+from thermalake.llm import linededup, packing, pii, simhash
 from thermalake.llm.common import documents
 
 
@@ -12,9 +13,48 @@ def op1_pii_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(documents(spark, sf_dir)))
 
 
+def op2_line_dedup_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.drop_repeated_lines(documents(spark, sf_dir), min_chars=40, min_docs=5)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, i, l,
+         translate(trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, unnest(s) AS l, generate_subscripts(s, 1) AS i
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))),
+common AS (
+  SELECT k, max(doc_id) AS keeper FROM lines WHERE length(k) >= 40
+  GROUP BY k HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines,
+       count(*) FILTER (WHERE keeper IS NOT NULL AND keeper <> doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE keeper IS NULL OR keeper = doc_id), ''))
+         AS kept_sha256
+FROM lines LEFT JOIN common USING (k) GROUP BY doc_id
+"""
+
+
+def op3_packing_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack_documents(documents(spark, sf_dir), size=2048, end_id=1))
+
+
+def op4_simhash_pivot_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(documents(spark, sf_dir), shingle=3, max_bits=2))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii_anchor_expansion,)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_pii_anchor_expansion,
+            op2_line_dedup_bitmaps,
+            op3_packing_sum_of_squares,
+            op4_simhash_pivot_tables,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup_bitmaps": OP2_SQL}
