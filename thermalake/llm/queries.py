@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermalake.llm import linededup, packing, pii, simhash
-from thermalake.llm.common import documents
+from thermalake.llm import ann, embdedup, langid, linededup, mixing, packing, pii, simhash
+from thermalake.llm.common import documents, embeddings, fold_of
 
 
 def op1_pii_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,58 @@ def op4_simhash_pivot_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(documents(spark, sf_dir), shingle=3, max_bits=2))
 
 
+def op5_mixing_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix_sources(documents(spark, sf_dir), weights=(5.0, 2.0, 1.0), share=1.5, most=2.0)
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op6_embedding_dedup_int8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_duplicates(embeddings(spark, sf_dir), threshold=0.93)
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.93),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings
+  UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+low AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+n AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings e JOIN low ON e.vec_id = low.x LEFT JOIN n ON e.vec_id = n.x
+"""
+
+
+def op7_ann_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(embeddings(spark, sf_dir), F.col("vec_id") % 20 == 0, k=20)
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+def op8_langid_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = fold_of("doc_id", 4) == 2
+    model = langid.learn(docs.filter(~held_out).select("doc_id", "text", "lang"))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -52,9 +104,17 @@ def queries() -> dict:
             op2_line_dedup_bitmaps,
             op3_packing_sum_of_squares,
             op4_simhash_pivot_tables,
+            op5_mixing_cube,
+            op6_embedding_dedup_int8,
+            op7_ann_block_join,
+            op8_langid_word_backoff,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup_bitmaps": OP2_SQL}
+    return {
+        "op2_line_dedup_bitmaps": OP2_SQL,
+        "op6_embedding_dedup_int8": OP6_SQL,
+        "op7_ann_block_join": OP7_SQL,
+    }
