@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, the only separators of words and margins of lines.
@@ -43,3 +43,16 @@ def word_count(text: str):
 def fold_of(doc_id: str, folds: int):
     """crc32 of the id written as text, modulo `folds`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def least_count_within(counts: DataFrame, n: str, most: int) -> int:
+    """The lowest value of `n` such that at most `most` rows reach it; one more than the highest if none does.
+
+    Only the number of rows per value is gathered, which grows with the logarithm of the rows at most.
+    """
+    steps = counts.groupBy(F.col(n).alias("n")).agg(F.count("*").alias("held"))
+    so_far = F.sum("held").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))
+    row = steps.withColumn("so_far", so_far).agg(
+        F.min(F.when(F.col("so_far") <= most, F.col("n"))).alias("least"), F.max("n").alias("top")
+    ).first()
+    return row.least if row.least is not None else (row.top or 0) + 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermalake.llm import ann, embdedup, langid, linededup, mixing, packing, pii, simhash
+from thermalake.llm import ann, brownlm, embdedup, langid, linededup, mixing, nbsvm, packing, pii, simhash
 from thermalake.llm.common import documents, embeddings, fold_of
 
 
@@ -96,6 +96,17 @@ def op8_langid_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_lm_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brownlm.held_out_scores(documents(spark, sf_dir), folds=5, held_out=1)
+
+
+def op10_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = fold_of("doc_id", 3) == 1
+    model = nbsvm.learn(docs, labels.filter(~held_out))
+    return nbsvm.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -108,6 +119,8 @@ def queries() -> dict:
             op6_embedding_dedup_int8,
             op7_ann_block_join,
             op8_langid_word_backoff,
+            op9_lm_brown_classes,
+            op10_quality_nbsvm,
         )
     }
 
