@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -180,3 +181,15 @@ def predict(docs: DataFrame, model: Lexicon) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, lang_pred string, score double")
+
+
+def accept(docs: DataFrame, model: Lexicon, least: float = 0.3) -> DataFrame:
+    """The input rows and columns whose text has a language, with a score of at least `least`."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def has_language(texts: pd.Series) -> pd.Series:
+        found = (shared.value.text(t or "") for t in texts)
+        return pd.Series([lang != UNKNOWN and score >= least for lang, score in found], dtype=bool)
+
+    return docs.filter(has_language("text"))

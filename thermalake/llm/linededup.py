@@ -174,8 +174,11 @@ def _kept(texts: pd.Series, bitmaps: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """The input rows and columns with `text` cut to its kept lines, plus n_lines and n_dropped.
+def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, counts: bool = True) -> DataFrame:
+    """The input rows and columns with `text` cut to its kept lines, and n_chars, if there, to their length.
+
+    With `counts` the columns n_lines and n_dropped come in addition, in place
+    of columns of these names.
 
     Null text stays null and counts as one empty line. A text that loses all
     its lines becomes empty. Of the texts, only those that lose a line go
@@ -193,10 +196,11 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5)
     hit = F.col("_keep").isNotNull()
     kept = F.pandas_udf(_kept, "string")
     n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)) + 1
-    return met.withColumns(
-        {
-            "text": F.when(hit, kept(F.when(hit, F.col("text")), F.col("_keep"))).otherwise(F.col("text")),
-            "n_lines": n_lines.cast("long"),
-            "n_dropped": F.coalesce("_n", F.lit(0)).cast("long"),
-        }
-    ).drop("_id", "_hash", "_n", "_keep", "_text_hash")
+    if counts:
+        met = met.withColumns({"n_lines": n_lines.cast("long"), "n_dropped": F.coalesce("_n", F.lit(0)).cast("long")})
+    met = met.withColumn(
+        "text", F.when(hit, kept(F.when(hit, F.col("text")), F.col("_keep"))).otherwise(F.col("text"))
+    )
+    if "n_chars" in docs.columns:
+        met = met.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return met.drop("_id", "_hash", "_n", "_keep", "_text_hash")

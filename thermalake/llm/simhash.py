@@ -49,15 +49,17 @@ def text_fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long) per input row; null and empty texts have fingerprint zero."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """(doc_id, text_hash, fp long) per input row; null and empty texts have fingerprint zero."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([text_fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], schema=schema)
+            found = np.array([text_fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found.view(np.int64))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        sign, "doc_id long, text_hash long, fp long"
+    )
 
 
 def references(count: int = 16) -> np.ndarray:
@@ -153,7 +155,7 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fp, component_id) per input row.
+    """(doc_id, text_hash, fp, component_id) per input row; text_hash is xxhash64 of the text.
 
     component_id is the smallest doc_id reachable by links of at most `max_bits`
     differing bits, own copies included. Rows with equal fingerprints, empty
@@ -167,7 +169,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS)
     by_fp = distinct.join(parts, "node", "left").select(
         F.col("fp").alias("_fp"), F.coalesce("component", "node").alias("component_id")
     )
-    return signed.join(by_fp, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    return signed.join(by_fp, F.col("fp") == F.col("_fp")).select("doc_id", "text_hash", "fp", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
+    """The input rows and columns without near-duplicates: of each component its smallest doc_id stays.
+
+    Of rows that repeat this id, one stays. Rows without an id cannot stand for
+    a group and are no document to compare: all of them stay.
+    """
+    named = docs.filter("doc_id IS NOT NULL")
+    keepers = (
+        near_duplicates(named, shingle, max_bits)
+        .filter("doc_id = component_id")
+        .groupBy(F.col("component_id").alias("_id"))
+        .agg(F.min("text_hash").alias("_hash"))
+    )
+    met = named.withColumn("_text_hash", F.xxhash64("text")).join(
+        keepers.hint("shuffle_hash"),
+        (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_text_hash") == F.col("_hash")),
+    )
+    kept = met.dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    return kept.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def digest(found: DataFrame) -> DataFrame:
