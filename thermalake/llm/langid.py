@@ -83,10 +83,13 @@ class Lexicon:
         return total / len(places)
 
 
-def labelled_sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """At most about `per_language` rows (text, lang) of each language, chosen by a hash of the id."""
+def labelled_sample(docs: DataFrame, per_language: int, languages: int = 500) -> DataFrame:
+    """At most about `per_language` rows (text, lang) of each of the most frequent `languages`, by a hash of the id."""
     named = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
-    share = named.groupBy(F.col("lang").alias("_lang")).agg((F.lit(float(per_language)) / F.count("*")).alias("_share"))
+    share = named.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n"))
+    # at most `languages` rows, whatever the input, so that no text is shuffled to meet them
+    share = F.broadcast(share.orderBy(F.desc("_n"), "_lang").limit(languages))
+    share = share.withColumn("_share", F.lit(float(per_language)) / F.col("_n"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 40)) / float(1 << 40)
     return named.join(share, F.col("lang") == F.col("_lang")).filter(draw < F.col("_share")).select("text", "lang")
 
