@@ -10,11 +10,13 @@ windows whose sizes are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import os
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,24 +37,52 @@ PIECES = pa.schema(
 )
 
 
+class _Known(dict):
+    """Values by key, found on first use; forgets all when it holds too many."""
+
+    def __init__(self, find: Callable, most: int):
+        super().__init__()
+        self.find, self.most = find, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.find(key)
+        return value
+
+
+@functools.cache
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it prints, else the next from U+0100 on."""
+    letters, spare = {}, 256
+    for byte in range(256):
+        if 33 <= byte <= 126 or 161 <= byte <= 172 or byte >= 174:
+            letters[byte] = chr(byte)
+        else:
+            letters[byte], spare = chr(spare), spare + 1
+    return letters
+
+
 class WordCachedTokenizer:
     """Ids of texts by a `tokenizers` file, as bytes of little-endian 32-bit ids.
 
     A byte-level pre-tokenizer never joins what stands on the two sides of a
     single space between non-blank characters, so the ids of " word" are the
-    same in every text and are encoded once. Other tokenizers see whole texts.
+    same in every text and are kept. A word not met before is put together
+    from its letters and its punctuation, which are encoded once each. Other
+    tokenizers see whole texts.
     """
 
     _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
-    _ODD_SPACE = re.compile(r"\s[\s]|\s$")
+    _ODD_SPACE = re.compile(r"\s\s|\s$|^\s")
+    _INNER_BLANK = re.compile(r"[^\S\n]")
+    _TAILED = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)?")
 
-    def __init__(self, path: str, max_words: int = 600_000):
+    def __init__(self, path: str, max_words: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.max_words = max_words
-        self.known: dict[str, bytes] = {}
         own = json.loads(self.inner.to_str())
         pre = own.get("pre_tokenizer") or {}
         self.by_word = (
@@ -61,31 +91,44 @@ class WordCachedTokenizer:
             and not pre.get("add_prefix_space")
             and not own.get("normalizer")
         )
+        self.parts = _Known(self._merge, max_words)
+        self.first = _Known(self._join, 10_000)
+        self.later = _Known(lambda word: self._join(" " + word), max_words * 3 // 2)
+
+    def _encode(self, text: str) -> bytes:
+        ids = self.inner.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _merge(self, part: str) -> bytes:
+        """Ids of what the pre-tokenizer leaves in one piece, by the tokenizer's merges alone."""
+        ids = [t.id for t in self.inner.model.tokenize(part.encode().decode("latin-1").translate(_byte_letters()))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _join(self, word: str) -> bytes:
+        """Ids from pieces that the pre-tokenizer never joins: letters, the punctuation after them, single line ends."""
+        lines = word.split("\n")
+        if self._INNER_BLANK.search(word, 1) or "" in lines:
+            return self._encode(word)
+        found = []
+        for line in lines:
+            if tailed := self._TAILED.fullmatch(line):
+                letters, tail = tailed.groups()
+                found.append(self.parts[letters] + (self.parts[tail] if tail else b""))
+            else:
+                found.append(self._encode(line))
+        return self.parts["\n"].join(found)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.inner.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def encode(self, text: str) -> bytes:
+        if not self.by_word:
+            return self._encode(text)
+        words = iter(self._INNER_SPACE.split(text) if self._ODD_SPACE.search(text) else text.split(" "))
+        return self.first[next(words)] + b"".join(map(self.later.__getitem__, words))
 
-    def _words(self, text: str) -> list[str]:
-        if self._ODD_SPACE.search(text) or text[:1].isspace():
-            first, *rest = self._INNER_SPACE.split(text)
-        else:
-            first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
-            return self._encode(texts)
-        split = [self._words(t) for t in texts]
-        words = set(itertools.chain.from_iterable(split))
-        missing = words - self.known.keys()
-        if len(self.known) + len(missing) > self.max_words:
-            self.known.clear()
-            missing = words
-        missing = list(missing)
-        self.known.update(zip(missing, self._encode(missing), strict=True))
-        known = self.known.__getitem__
-        return [b"".join(map(known, s)) for s in split]
+@functools.lru_cache(maxsize=1)
+def _coder(path: str) -> WordCachedTokenizer:
+    """The tokenizer of a worker process; the words it knows serve all tasks that the process runs."""
+    return WordCachedTokenizer(path)
 
 
 class SumOfSquares:
@@ -189,21 +232,18 @@ def pack_documents(
     end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        coder, bins = WordCachedTokenizer(tokenizer), SumOfSquares(size, max_open)
+        coder, bins = _coder(tokenizer), SumOfSquares(size, max_open)
         first_id = TaskContext.get().partitionId() << 40
 
         def closed() -> Iterator[list[tuple]]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    texts = [t or "" for t in part.column(1).to_pylist()]
-                    for doc_id, raw in zip(part.column(0).to_pylist(), coder.encode(texts), strict=True):
-                        ids = np.frombuffer(raw + end, "<u4")
-                        whole = len(ids) // size * size
-                        for start in range(0, whole, size):
-                            yield [(doc_id, start, ids[start : start + size], len(ids))]
-                        if whole < len(ids):
-                            yield from bins.place((doc_id, whole, ids[whole:], len(ids)))
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    ids = np.frombuffer(coder.encode(text or "") + end, "<u4")
+                    whole = len(ids) // size * size
+                    for start in range(0, whole, size):
+                        yield [(doc_id, start, ids[start : start + size], len(ids))]
+                    if whole < len(ids):
+                        yield from bins.place((doc_id, whole, ids[whole:], len(ids)))
             yield from bins.close()
 
         for number, window in enumerate(closed()):
