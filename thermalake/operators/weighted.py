@@ -61,6 +61,7 @@ def error_classes(df: DataFrame, file: str, error: Column, weight: Column) -> Da
         F.avg(error * error).alias("s"),
         F.max(weight).alias("w"),
     )
+    files = files.filter("r > 0")
     w = F.col("w")
     sums = files.agg(
         F.sum(w).alias("w1"),
@@ -68,8 +69,8 @@ def error_classes(df: DataFrame, file: str, error: Column, weight: Column) -> Da
         F.sum(w * F.col("m") * F.col("m")).alias("wmm"),
         F.sum(w * F.col("v")).alias("wv"),
         F.sum(w * F.col("s")).alias("ws"),
-        F.sum(w * F.col("v") / F.col("r")).alias("wvr"),
-        F.sum(w * w * F.col("v") / F.col("r")).alias("wwvr"),
+        F.sum(w * F.try_divide("v", F.col("r").cast("double"))).alias("wvr"),
+        F.sum(w * w * F.try_divide("v", F.col("r").cast("double"))).alias("wwvr"),
     )
     bias = F.col("wm") / F.col("w1")
     scene = F.col("wmm") / F.col("w1") - bias * bias - (F.col("wvr") / F.col("w1") - F.col("wwvr") / (F.col("w1") * F.col("w1")))
