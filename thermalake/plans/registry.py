@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thermalake.plans import products, statistics
+from thermalake.plans import models, products, statistics, streams
 
 FLAGSHIP = "gridded_flux_budget"
-_MODULES = (products, statistics)
+_MODULES = (products, statistics, models, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
