@@ -178,3 +178,26 @@ def test_tolerance_and_interpolation(spark):
     series = spark.createDataFrame([(1.0, 10.0), (3.0, 30.0)], "k double, v double")
     points = spark.createDataFrame([(0.0,), (1.0,), (2.0,), (3.0,), (4.0,)], "k double")
     assert {r.k: r.v for r in joins.interpolate(points, series, "k", "v").collect()} == {0.0: 0, 1.0: 10, 2.0: 20, 3.0: 30, 4.0: 0}
+
+
+def test_cross_validation_against_numpy(spark):
+    rng = np.random.default_rng(6)
+    x, fold = rng.normal(size=(300, 2)), rng.integers(0, 3, 300)
+    y = x @ [1.5, -2] + 0.3 + rng.normal(size=300) * 0.1
+    df = spark.createDataFrame([(i, float(a), float(b), float(c), int(f)) for i, ((a, b), c, f) in enumerate(zip(x, y, fold, strict=True))], "i int, a double, b double, y double, f int")
+    got = fits.cross_validated(df, [F.col("a"), F.col("b")], F.col("y"), F.lit(1.0), F.col("f"), 3).orderBy("i").collect()
+    full = np.c_[np.ones(300), x]
+    for k in range(3):
+        c = np.linalg.lstsq(full[fold != k], y[fold != k], rcond=None)[0]
+        assert [got[i].prediction for i in np.flatnonzero(fold == k)] == pytest.approx(full[fold == k] @ c)
+
+
+def test_pooled_shape_of_two_parameters(spark):
+    angles = np.arange(0, 75, 5.0)
+    basis = lambda a: np.stack([np.log(np.cos(np.radians(a)) + 2) / np.log(np.cos(np.radians(55)) + 2) - 1, np.cos(np.radians(a)) ** 2 - np.cos(np.radians(55)) ** 2], 1)
+    rows = [(f, float(a), float((f + 1) * (1 + r))) for f in range(4) for a, r in zip(angles, basis(angles) @ [-0.3, 0.1], strict=True)]
+    df = spark.createDataFrame(rows, "f int, angle double, l double")
+    fit = lambda d: fits.pooled_shape(d, [], "f", physics.angular_basis(F.col("angle"), True), F.col("l"), basis(np.linspace(0, 90, 901)))
+    assert fit(df)[0]["parameters"] == pytest.approx([-0.3, 0.1], abs=1e-6)
+    with pytest.raises(ValueError):
+        fit(df.filter("f <> 1 OR angle <> 10"))

@@ -229,3 +229,82 @@ def stability(cells: DataFrame) -> dict:
     jaccard = np.divide(n, union, out=np.zeros_like(n), where=union > 0)
     match = best_matching(jaccard)
     return {label: float(jaccard[i, match[i]]) for i, label in enumerate(a)}
+
+
+def cross_validated(df: DataFrame, terms: Sequence[Column], target: Column, weight: Column, fold: Column, folds: int) -> DataFrame:
+    """The rows with `prediction`, each by the regression of all other folds.
+
+    One pass gathers the normal equations of every fold; those of a training
+    set are the sum of all but one. Raises if a fold leaves too few rows.
+    """
+    size = len(terms) + 1
+
+    def grams(block: np.ndarray) -> np.ndarray:
+        x = np.concatenate([np.ones((len(block), 1)), block[:, :-2]], 1)
+        out = np.zeros((folds, size + 1, size + 1))
+        for k in range(folds):
+            own = block[:, -1] == k
+            out[k] = (x[own] * block[own, -2:-1]).T @ x[own]
+        return out
+
+    got = summed(df, [*terms, target, weight, fold], grams)
+    if not got.size:
+        raise ValueError("no complete rows to fit")
+    each = got.reshape(folds, size + 1, size + 1)
+    prediction = F.lit(None).cast("double")
+    for k in range(folds):
+        train = each.sum(0) - each[k]
+        if train[0, 0] <= 0:
+            raise ValueError("a fold leaves nothing to train on")
+        c = np.linalg.lstsq(train[:size, :size], train[:size, size], rcond=None)[0]
+        value = sum((F.lit(float(b)) * t for b, t in zip(c[1:], terms, strict=True)), F.lit(float(c[0])))
+        prediction = F.when(fold == k, value).otherwise(prediction)
+    return df.withColumn("prediction", prediction)
+
+
+def pooled_shape(df: DataFrame, keys: Sequence[str], file: str, basis: Sequence[Column], radiance: Column, grid: np.ndarray) -> list[dict]:
+    """One radiance shape per key for all its files, each file with an amplitude of its own and equal influence.
+
+    With v = (1, parameters), what a file's views leave unexplained is a ratio
+    of two quadratic forms in v, and files seen at the same angles share the
+    denominator. So sums over files are all that is needed, and the best v is
+    the leading generalised eigenvector. `grid` holds the basis over the
+    hemisphere: one parameter is held where the shape stays positive on it, two
+    that aren't raise. Files with other angles raise as well.
+    """
+    parts = [F.lit(1.0), *basis]
+    p = len(parts)
+    own = df.withColumns({f"_f{i}": b.cast("double") for i, b in enumerate(parts)}).withColumn("_l", radiance)
+    cells = [(i, j) for i in range(p) for j in range(i, p)]
+    files = own.groupBy(*keys, file).agg(
+        *[(F.sum(F.col("_l") * F.col(f"_f{i}")) / F.avg("_l")).alias(f"_t{i}") for i in range(p)],
+        *[F.sum(F.col(f"_f{i}") * F.col(f"_f{j}")).alias(f"_s{i}{j}") for i, j in cells],
+    )
+    rows = files.groupBy(*keys).agg(
+        F.count("*").alias("files"),
+        *[F.sum(F.col(f"_t{i}") * F.col(f"_t{j}")).alias(f"m{i}{j}") for i, j in cells],
+        *[F.avg(f"_s{i}{j}").alias(f"s{i}{j}") for i, j in cells],
+        F.greatest(*[F.max(f"_s{i}{j}") - F.min(f"_s{i}{j}") for i, j in cells], F.lit(0.0)).alias("spread"),
+    ).collect()
+    out = []
+    for row in rows:
+        if row["spread"] > 1e-9 * row["s00"]:
+            raise ValueError("files of one key differ in their angles")
+        m, s = np.empty((p, p)), np.empty((p, p))
+        for i, j in cells:
+            m[i, j] = m[j, i] = row[f"m{i}{j}"]
+            s[i, j] = s[j, i] = row[f"s{i}{j}"]
+        values, vectors = np.linalg.eigh(s)
+        if values[0] <= 1e-12 * values[-1]:
+            raise ValueError("the angles do not identify the shape")
+        half = vectors / np.sqrt(values)
+        lead = half @ np.linalg.eigh(half.T @ m @ half)[1][:, -1]
+        b = lead[1:] / lead[0]
+        if p == 2:
+            low = max(((1e-6 - 1) / g for g in grid[:, 0] if g > 0), default=-np.inf)
+            high = min(((1e-6 - 1) / g for g in grid[:, 0] if g < 0), default=np.inf)
+            b = np.clip(b, low, high)
+        elif (1 + grid @ b <= 0).any():
+            raise ValueError("the fitted shape is not positive everywhere")
+        out.append({**{k: row[k] for k in keys}, "files": row["files"], "parameters": b.tolist()})
+    return out

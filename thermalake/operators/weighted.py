@@ -163,3 +163,38 @@ def budget(components: DataFrame, requirement: str, averaging: str | None = None
         F.sqrt(variance).alias("uncertainty"),
         F.sum(F.when(F.col("kind") == "bias", F.col("value"))).alias("bias"),
     )
+
+
+def component_budget(df: DataFrame, components: Sequence[str], weight: Column) -> DataFrame:
+    """(component, bias, variance, rmse) of paired error sources and their sum, with all covariances in the total's variance.
+
+    `closure` is what the total's variance misses of the sum of all variances
+    and covariances; it is rounding alone unless a source is missing in places.
+    """
+    total = sum((F.col(c) for c in components[1:]), F.col(components[0]))
+    own = df.select(*[F.col(c).cast("double").alias(c) for c in components], weight.alias("_w")).withColumn("total", total.cast("double")).na.drop()
+    names = [*components, "total"]
+    w = F.col("_w")
+    pairs = [(a, b) for i, a in enumerate(components) for b in components[i:]]
+    sums = own.agg(
+        F.sum(w).alias("w1"),
+        *[F.sum(w * F.col(c)).alias(f"m_{c}") for c in names],
+        *[F.sum(w * F.col(c) * F.col(c)).alias(f"q_{c}") for c in names],
+        *[F.sum(w * F.col(a) * F.col(b)).alias(f"x_{a}_{b}") for a, b in pairs],
+    )
+    mean = lambda c: F.col(f"m_{c}") / F.col("w1")
+    spread = lambda c: F.col(f"q_{c}") / F.col("w1") - mean(c) * mean(c)
+    whole = F.lit(0.0)
+    for a, b in pairs:
+        cov = F.col(f"x_{a}_{b}") / F.col("w1") - mean(a) * mean(b)
+        whole = whole + (cov if a == b else 2.0 * cov)
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("component"), mean(c).alias("bias"), spread(c).alias("variance"), F.sqrt(F.col(f"q_{c}") / F.col("w1")).alias("rmse"),
+                (spread(c) - whole if c == "total" else F.lit(0.0)).alias("closure"),
+            )
+            for c in names
+        ]
+    )
+    return sums.select(F.inline(rows))

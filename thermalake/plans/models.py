@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermalake.functions import physics
 from thermalake.functions.rng import normal, transition, uniform
-from thermalake.operators import fits, moments, sampling, scenes
+from thermalake.operators import fits, grid, moments, sampling, scenes, weighted
 from thermalake.sources.tables import table
 
 
@@ -109,6 +112,62 @@ def noise_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(*[F.round(f(c), 3).alias(f"{n}_{c}") for c in ("z", "u") for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
 
 
+def cross_validated_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out errors per fold of a quadratic regression of the price on three measures."""
+    df = table(spark, sf_dir, "lineitem").withColumn("fold", F.pmod("l_orderkey", F.lit(5)).cast("int"))
+    terms = physics.polynomial_terms([F.col("l_quantity") / 50.0, F.col("l_discount") * 10.0, F.col("l_tax") * 10.0], 2)
+    out = fits.cross_validated(df, terms, F.col("l_extendedprice"), F.lit(1.0), F.col("fold"), 5)
+    e = F.col("prediction") - F.col("l_extendedprice")
+    return out.groupBy("fold").agg(F.count(e).alias("n"), F.round(F.avg(e), 3).alias("bias"), F.round(F.sqrt(F.avg(e * e)), 3).alias("rmse"))
+
+
+def pooled_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shape shared by simulated files of known shape and free brightness, per region."""
+    views = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", F.explode(F.sequence(F.lit(0), F.lit(70), F.lit(5))).alias("angle"))
+    basis = physics.limb(F.col("angle")) - 1.0
+    true = -0.1 - 0.1 * F.col("n_regionkey")
+    views = views.withColumn("radiance", (F.col("n_nationkey") + 10.0) * (1.0 + true * basis))
+    hemisphere = np.array([[math.log(math.cos(math.radians(a / 10)) + 2) / math.log(math.cos(math.radians(55)) + 2) - 1] for a in range(901)])
+    got = fits.pooled_shape(views, ["n_regionkey"], "n_nationkey", [basis], F.col("radiance"), hemisphere)
+    return spark.createDataFrame([(g["n_regionkey"], g["files"], round(g["parameters"][0], 6)) for g in got], "n_regionkey int, files long, b double")
+
+
+POOLED = "SELECT n_regionkey, count(*) AS files, round(-0.1 - 0.1 * n_regionkey, 6)::DOUBLE AS b FROM nation GROUP BY 1"
+
+
+def scene_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 22 classification features over a small grid made of keys."""
+    lines = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 30).alias("y"), (F.col("l_suppkey") % 30).alias("x"))
+    grids = lines.agg(*[(F.avg("l_extendedprice") / 400.0 + 180.0 + i).alias(f"c{i}") for i in range(6)])
+    grids = grids.withColumn("c2", F.when((F.col("x") + 2 * F.col("y")) % 17 != 0, F.col("c2")))
+    out = grid.scene_features(grids, [], "y", "x", [f"c{i}" for i in range(6)])
+    return out.select("y", "x", *[F.round(c, 3).alias(c) for c in out.columns if c not in ("y", "x")])
+
+
+_FEATURE_GRID = """WITH g AS (SELECT l_partkey % 30 AS y, l_suppkey % 30 AS x, avg(l_extendedprice) / 400.0 + 180.0 AS c0 FROM lineitem GROUP BY 1, 2), v AS (SELECT * FROM g WHERE (x + 2 * y) % 17 <> 0),
+s5 AS (SELECT a.y, a.x, stddev_pop(b.c0) AS s FROM v a JOIN v b ON abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY 1, 2), s9 AS (SELECT a.y, a.x, stddev_pop(b.c0) AS s FROM v a JOIN v b ON abs(a.y - b.y) <= 4 AND abs(a.x - b.x) <= 4 GROUP BY 1, 2)
+SELECT v.y, v.x, """ + ", ".join(
+    [f"round(c0 + {i}, 3) AS c{i}" for i in range(6)]
+    + [f"{d}.0::DOUBLE AS btd_{n}" for n, d in (("14_11", 2), ("14_15", -1), ("14_08", 3), ("14_16", -2))]
+    + [f"round({s}.s, 3) AS c{i}_std{n}" for s, n in (("s5", "5x5"), ("s9", "9x9")) for i in range(6)]
+) + " FROM v JOIN s5 ON s5.y = v.y AND s5.x = v.x JOIN s9 ON s9.y = v.y AND s9.x = v.x"
+
+
+def component_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three paired error sources, their sum, and its closure."""
+    o = table(spark, sf_dir, "orders").select(
+        (F.col("o_totalprice") / 100000.0 - 1.5).alias("spectral"), (F.col("o_orderkey") % 13 / 13.0).alias("angular"), (F.col("o_custkey") % 7 / 7.0 - 0.4).alias("noise"), (F.col("o_orderkey") % 5 + 1.0).alias("w")
+    )
+    out = weighted.component_budget(o, ["spectral", "angular", "noise"], F.col("w"))
+    return out.select("component", *[F.round(c, 5).alias(c) for c in ("bias", "variance", "rmse")], (F.abs("closure") < 1e-9).alias("closed"))
+
+
+COMPONENT_BUDGET = """WITH o AS (SELECT o_totalprice / 100000.0 - 1.5 AS spectral, o_orderkey % 13 / 13.0 AS angular, o_custkey % 7 / 7.0 - 0.4 AS noise, o_orderkey % 5 + 1.0 AS w FROM orders),
+l AS (SELECT *, spectral + angular + noise AS total FROM o) """ + " UNION ALL ".join(
+    f"SELECT '{c}' AS component, round(sum(w * {c}) / sum(w), 5) AS bias, round(sum(w * {c} * {c}) / sum(w) - pow(sum(w * {c}) / sum(w), 2), 5) AS variance, round(sqrt(sum(w * {c} * {c}) / sum(w)), 5) AS rmse, true AS closed FROM l"
+    for c in ("spectral", "angular", "noise", "total")
+)
+
 QUERIES = {
     "mixture_fit": (mixture_fit, None),
     "principal_scores": (principal_scores, None),
@@ -120,4 +179,8 @@ QUERIES = {
     "monte_carlo_transitions": (monte_carlo_transitions, None),
     "bootstrap_stability": (bootstrap_stability, None),
     "noise_draws": (noise_draws, None),
+    "cross_validated_regression": (cross_validated_regression, None),
+    "pooled_shapes": (pooled_shapes, POOLED),
+    "scene_features": (scene_features, _FEATURE_GRID),
+    "component_budget": (component_budget, COMPONENT_BUDGET),
 }
