@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermalake.llm.common import cut
+from thermalake.llm.common import cut, shuffle_partitions
 from thermalake.llm.tiles import Quantised, dot_pairs, floats, one_row_per_id, tile_product, usable, vectors
 
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
+QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 4096
 _PAIRS = 1 << 17
 MERGED = 64  # short lists that one heap merges
 _SCHEMA = pa.schema([("query_id", pa.int64()), ("j", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -86,7 +86,9 @@ def nearest(vecs: DataFrame, queries, k: int = 20) -> DataFrame:
         F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("i"),
         F.pmod("h", "c_blocks").cast("int").alias("j"),
     )
-    short = asking.unionByName(offered).groupBy("dim", "i", "j").applyInArrow(
+    # a tile's work is far above its bytes, so the tiles are dealt by number, not put together by size
+    tiles = asking.unionByName(offered).repartition(shuffle_partitions(vecs.sparkSession), "dim", "i", "j")
+    short = tiles.groupBy("dim", "i", "j").applyInArrow(
         lambda tile: tile_nearest(tile, k), "query_id long, j int, vec_id long, score double"
     )
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermalake.llm.common import cut
+from thermalake.llm.common import cut, shuffle_partitions
 from thermalake.llm.components import connected_components
 from thermalake.llm.tiles import Quantised, dot_pairs, floats, one_row_per_id, tile_product, usable, vectors
 
@@ -98,6 +98,8 @@ def near_duplicates(vecs: DataFrame, threshold: float = 0.93, block: int = BLOCK
         F.greatest("own", "other").alias("j"),
         F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"),
     )
+    # a tile's work is far above its bytes, so the tiles are dealt by number, not put together by size
+    tiles = tiles.repartition(shuffle_partitions(vecs.sparkSession), "label", "dim", "i", "j")
     found = cut(
         tiles.groupBy("label", "dim", "i", "j").applyInArrow(
             lambda tile: tile_links(tile, threshold), "vec_id long, links long, low long"

@@ -27,7 +27,7 @@ from thermalake.llm.common import cut
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _FLUSH = 200_000
-_MEMO = 300_000
+_MEMO, _MEMO_CELLS = 250_000, 16_000_000
 
 
 @dataclass
@@ -38,8 +38,8 @@ class Lexicon:
     longest: int
     grams: dict[int, dict[str, np.ndarray]]
     floor: np.ndarray
-    memo: dict[str, int] = field(default_factory=dict)
-    rows: list[np.ndarray] = field(default_factory=list)
+    memo: dict[str, int] = field(default_factory=dict)  # rows of the table of words met before
+    table: np.ndarray | None = None
 
     def word(self, word: str) -> np.ndarray:
         """Log10 relative frequencies of a known word, or the mean of its longest known n-grams."""
@@ -59,29 +59,27 @@ class Lexicon:
         words = _WORD.findall(text.lower())
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        if len(self.memo) + len(words) > _MEMO:
-            self.memo.clear()
-            self.rows.clear()
+        if self.table is None:
+            self.table = np.empty((min(_MEMO, _MEMO_CELLS // len(self.langs)), len(self.langs)), np.float32)
         places = []
+        total = np.zeros(len(self.langs))
         for word in words:
             at = self.memo.get(word)
             if at is None:
-                at = self.memo[word] = len(self.rows)
-                self.rows.append(self.word(word))
+                if len(self.memo) == len(self.table):
+                    total += self.table[places].sum(0, dtype=np.float64)
+                    places.clear()
+                    self.memo.clear()
+                at = self.memo[word] = len(self.memo)
+                self.table[at] = self.word(word)
             places.append(at)
-        mean = self._mean(places)
+        mean = (total + self.table[places].sum(0, dtype=np.float64)) / len(words)
         odds = (mean - mean.max()) * math.log(10) * min(len(words), 30)
         share = np.exp(odds)
         share /= share.sum()
         best = int(share.argmax())
         return self.langs[best], float(share[best])
 
-    def _mean(self, places: list[int]) -> np.ndarray:
-        total = np.zeros(len(self.langs))
-        for place, n in Counter(places).items():
-            total += n * self.rows[place]
-        return total / len(places)
-
 
 def labelled_sample(docs: DataFrame, per_language: int, languages: int = 500) -> DataFrame:
     """At most about `per_language` rows (text, lang) of each of the most frequent `languages`, by a hash of the id."""

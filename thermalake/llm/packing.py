@@ -78,7 +78,7 @@ class WordCachedTokenizer:
     _INNER_BLANK = re.compile(r"[^\S\n]")
     _TAILED = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)?")
 
-    def __init__(self, path: str, max_words: int = 800_000):
+    def __init__(self, path: str, max_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
