@@ -22,6 +22,12 @@ def test_special_token_text():
     assert np.frombuffer(CODER.encode(text), "<u4").tolist() == INNER.encode(text, add_special_tokens=False).ids
 
 
+def test_long_words_are_not_held():
+    text = "日本語" * 3000 + " " + "x" * 5000
+    assert np.frombuffer(CODER.encode(text), "<u4").tolist() == INNER.encode(text, add_special_tokens=False).ids
+    assert all(len(key) <= 48 for known in (CODER.parts, CODER.first, CODER.later) for key in known)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=120), st.integers(1, 20))
 def test_bins_hold_everything_without_gaps(lengths, max_open):

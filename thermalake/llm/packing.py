@@ -38,16 +38,20 @@ PIECES = pa.schema(
 
 
 class _Known(dict):
-    """Values by key, found on first use; forgets all when it holds too many."""
+    """Values by text, found on first use; long texts are never held, and all are forgotten when there are too many."""
+
+    LONGEST = 48
 
     def __init__(self, find: Callable, most: int):
         super().__init__()
         self.find, self.most = find, most
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.find(key)
+        value = self.find(key)
+        if len(key) <= self.LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -78,7 +82,7 @@ class WordCachedTokenizer:
     _INNER_BLANK = re.compile(r"[^\S\n]")
     _TAILED = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)?")
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -126,9 +130,9 @@ class WordCachedTokenizer:
 
 
 @functools.lru_cache(maxsize=1)
-def _coder(path: str) -> WordCachedTokenizer:
+def _coder(path: str, max_words: int) -> WordCachedTokenizer:
     """The tokenizer of a worker process; the words it knows serve all tasks that the process runs."""
-    return WordCachedTokenizer(path)
+    return WordCachedTokenizer(path, max_words)
 
 
 class SumOfSquares:
@@ -214,7 +218,7 @@ class SumOfSquares:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str | None = None, size: int = 2048, end_id: int = 1, max_open: int = 512
+    docs: DataFrame, tokenizer: str | None = None, size: int = 2048, end_id: int = 1, max_open: int = 512, known_words: int = 800_000
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset.
 
@@ -223,7 +227,8 @@ def pack_documents(
     their own. The rows of a sequence_id, by offset, have no gaps; sequences of
     other lengths than `size` have a power of two of tokens. Null ids are
     carried along; extra columns are not read. `max_open` bounds the windows a
-    task holds in memory.
+    task holds in memory, `known_words` the words whose ids a worker keeps
+    (about 0.4 GB at the default).
     """
     if tokenizer is None:
         import public_tokenizers
@@ -232,7 +237,7 @@ def pack_documents(
     end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        coder, bins = _coder(tokenizer), SumOfSquares(size, max_open)
+        coder, bins = _coder(tokenizer, known_words), SumOfSquares(size, max_open)
         first_id = TaskContext.get().partitionId() << 40
 
         def closed() -> Iterator[list[tuple]]:
