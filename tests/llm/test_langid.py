@@ -12,6 +12,7 @@ def test_backoff_uses_words_then_longest_grams():
     assert model.word("az").tolist() == [-1, -2]
     assert model.word("日").tolist() == [0, 0]
     assert model.text("Zug zug!")[0] == "a" and model.text(" 12 ?") == ("und", 0.0)
+    assert model.text("x" * 500)[0] == "b" and len(model.memo) == 1
 
 
 def test_odd_rows(spark):

@@ -28,6 +28,7 @@ UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _FLUSH = 200_000
 _MEMO, _MEMO_CELLS = 250_000, 16_000_000
+_MEMO_CHARS = 48  # longer words are not remembered
 
 
 @dataclass
@@ -66,6 +67,9 @@ class Lexicon:
         for word in words:
             at = self.memo.get(word)
             if at is None:
+                if len(word) > _MEMO_CHARS:
+                    total += self.word(word)
+                    continue
                 if len(self.memo) == len(self.table):
                     total += self.table[places].sum(0, dtype=np.float64)
                     places.clear()
