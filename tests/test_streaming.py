@@ -1,5 +1,8 @@
+import os
+
 from pyspark.sql import functions as F
 
+from thermalake.plans import streams
 from thermalake.streaming import incremental
 
 
@@ -17,3 +20,31 @@ def test_repeated_runs_go_on_where_the_last_ended(spark, tmp_path):
     assert run() == {0: (5, 4.0), 1: (5, 5.0)}
     rows(10, 20).write.mode("append").parquet(source)
     assert run() == {0: (10, 9.0), 1: (10, 10.0)}
+
+
+def test_days_are_whole_whatever_the_order_of_the_files(spark, tmp_path):
+    folder = tmp_path / "events.parquet"
+    rows = spark.range(2000).select(
+        (F.col("id") % 3).cast("string").alias("event_type"),
+        F.timestamp_seconds(1_700_000_000 + F.col("id") * 700).alias("ts"),
+        F.when(F.col("id") % 7 > 0, F.col("id").cast("double")).alias("value"),
+    )
+    for i in range(10):  # the latest first
+        part = tmp_path / f"part{i}"
+        rows.filter(f"ts >= timestamp_seconds({1_700_000_000 + (9 - i) * 140_000}) AND ts < timestamp_seconds({1_700_000_000 + (10 - i) * 140_000})").coalesce(1).write.parquet(str(part))
+        folder.mkdir(exist_ok=True)
+        file = next(part.glob("*.parquet")).rename(folder / f"{i}.parquet")
+        os.utime(file, (1_600_000_000 + i, 1_600_000_000 + i))
+    days = rows.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*"), F.round(F.avg("value"), 5))
+    want = sorted(map(tuple, days.collect()))
+    last = max(w[0] for w in want)
+    assert sum(w[2] for w in want) == 2000
+    got = sorted(map(tuple, streams.daily_windows(spark, str(tmp_path)).collect()))
+    assert got == [w for w in want if w[0] < last]
+
+    state, log = str(tmp_path / "state"), str(tmp_path / "log")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    incremental.store_windows(stream, "ts", ["event_type"], "value", "1 day", state, log).awaitTermination()
+    merged = incremental.merged_windows(spark, state, ["event_type"])
+    got = merged.select(F.date_format("start", "yyyy-MM-dd"), "event_type", "n", F.round("mean", 5)).collect()
+    assert sorted(map(tuple, got)) == want

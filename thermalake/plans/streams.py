@@ -28,11 +28,12 @@ STREAMED_MOMENTS = "SELECT event_type, count(value) AS n, round(avg(value), 5) A
 
 
 def daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and means per day of event time, once the watermark has closed the day."""
+    """Counts and means per day of event time, of the days that ended an hour before the last event, as in the SQL."""
     folder = incremental.shared_folder(spark, "windows")
-    result = incremental.windowed(_stream(spark, sf_dir), "ts", ["event_type"], "value", "1 day", late="1 hour")
-    incremental.run_to_table(result, f"{folder}/table", f"{folder}/log")
-    out = spark.read.schema(result.schema).parquet(f"{folder}/table")
+    incremental.store_windows(_stream(spark, sf_dir), "ts", ["event_type"], "value", "1 day", f"{folder}/state", f"{folder}/log").awaitTermination()
+    out = incremental.merged_windows(spark, f"{folder}/state", ["event_type"])
+    last = out.agg((F.date_trunc("millisecond", F.max("last")) - F.expr("INTERVAL 1 HOUR")).alias("closed"))
+    out = out.join(F.broadcast(last), F.col("end") <= F.col("closed"))
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("mean", 5).alias("mean"))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +25,12 @@ def store_states(stream: DataFrame, keys: Sequence[str], value: Column, state_pa
     restarted query goes on after the last finished one.
     """
 
+    return _store(stream, lambda batch: moments.state(batch, keys, value), state_path, checkpoint_path)
+
+
+def _store(stream: DataFrame, state: Callable[[DataFrame], DataFrame], state_path: str, checkpoint_path: str):
     def put(batch: DataFrame, number: int) -> None:
-        moments.state(batch, keys, value).write.mode("overwrite").parquet(f"{state_path}/batch={number}")
+        state(batch).write.mode("overwrite").parquet(f"{state_path}/batch={number}")
 
     return (
         stream.writeStream.foreachBatch(put)
@@ -41,8 +45,35 @@ def merged_states(spark: SparkSession, state_path: str, keys: Sequence[str]) ->
     return moments.merge(spark.read.parquet(state_path).drop("batch"), keys)
 
 
+def store_windows(stream: DataFrame, time: str, keys: Sequence[str], value: str, width: str, state_path: str, checkpoint_path: str):
+    """Like `store_states` per event-time window: a batch may hold rows of any time, and none is too late."""
+
+    def state(batch: DataFrame) -> DataFrame:
+        return (
+            batch.groupBy(F.window(time, width).alias("w"), *keys)
+            .agg(F.count("*").alias("n"), F.count(value).alias("held"), F.sum(value).alias("total"), F.max(time).alias("last"))
+            .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n", "held", "total", "last")
+        )
+
+    return _store(stream, state, state_path, checkpoint_path)
+
+
+def merged_windows(spark: SparkSession, state_path: str, keys: Sequence[str]) -> DataFrame:
+    """Count, mean and last time of every window of all batches stored so far, the latest window too."""
+    states = spark.read.parquet(state_path)
+    return states.groupBy("start", "end", *keys).agg(
+        F.sum("n").alias("n"),
+        F.try_divide(F.sum("total"), F.sum("held").cast("double")).alias("mean"),
+        F.max("last").alias("last"),
+    )
+
+
 def windowed(stream: DataFrame, time: str, keys: Sequence[str], value: str, width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
-    """Count and mean per event-time window; rows later than the watermark are dropped by the stream."""
+    """Count and mean per event-time window, for unbounded streams in about the order of time.
+
+    Rows later than the watermark are dropped by the stream, and the last
+    window stays open. For tables whose files are in no order see `store_windows`.
+    """
     window = F.window(time, width, slide) if slide else F.window(time, width)
     return (
         stream.withWatermark(time, late)
