@@ -83,6 +83,47 @@ def test_exchange_finds_alternating_classes():
     assert classes[0] == 0 and 0 not in classes[1:]
 
 
+def test_words_beyond_the_first_units_are_exchanged(spark):
+    rng = np.random.default_rng(5)
+    left, right = [f"a{i:03d}x" for i in range(60)], [f"b{i:03d}x" for i in range(60)]  # of one shape
+    pick = lambda side: side[min(int(rng.zipf(1.3)), 10**6) % 60]
+    texts = [" ".join(pick(side) for _ in range(20) for side in (left, right)) for _ in range(400)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    model = brownlm.learn(docs, lexicon=1000, units=6, n_classes=6)
+    lookup = model.lookup.value
+    classes = lambda side: {int(model.place_class[lookup[w.encode()]]) for w in side if w.encode() in lookup}
+    assert len(lookup) > 100
+    assert not classes(left) & classes(right)
+
+
+def test_sweeps_choose_as_the_exchange_does():
+    rng = np.random.default_rng(2)
+    pairs = rng.poisson(0.7, (40, 40)).astype(float)
+    own = np.r_[0, rng.integers(1, 5, 39)]
+    member = np.eye(5)[own]
+    beside = np.concatenate([(member.T @ pairs).T, pairs @ member, np.diagonal(pairs)[:, None]], 1)[1:]
+    got = brownlm.best_classes(beside, own[1:], member.T @ pairs @ member)
+    for u in range(1, 40):
+        levels = []
+        for c in range(1, 5):
+            other = np.eye(5)[np.where(np.arange(40) == u, c, own)]
+            levels.append(brownlm.level(other.T @ pairs @ other))
+        assert levels[got[u - 1] - 1] == pytest.approx(max(levels), abs=1e-6)
+
+
+def test_encoded_rows_hold_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(brownlm, "_RUN", 4)
+    docs = spark.createDataFrame([("a b a b c a a",), ("",), (None,), ("b",), ("c c c c c c",)], "text string").coalesce(1)
+    lookup = spark.sparkContext.broadcast(brownlm.Lookup({b"a": 0, b"b": 1, b"c": 2}))
+    units = np.r_[1, 2, 3, np.full(brownlm.SHAPES, 4)]
+    got = brownlm.count_unit_pairs(brownlm.encode(docs, lookup), units, 5)
+    want = np.zeros((5, 5), int)
+    for text in ([1, 2, 1, 2, 3, 1, 1], [], [], [2], [3] * 6):
+        for a, b in zip([0, *text], [*text, 0], strict=True):
+            want[a, b] += 1
+    assert (got == want).all()
+
+
 def test_query_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]

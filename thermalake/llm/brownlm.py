@@ -1,11 +1,13 @@
 """A Brown class-based n-gram language model.
 
 P(text) is the product over its tokens, the words and one end, of
-P(class | class before) * P(word | class). Frequent words and the shapes of all
-other words are the units that the exchange algorithm assigns to classes, so
-that every word has a class that its spelling tells. All counts cover all
-training texts: word counts stay distributed, and only the table of unit
-bigrams, whose size is a parameter, is brought together for the clustering.
+P(class | class before) * P(word | class). The exchange algorithm assigns all
+words of the lexicon to classes: the most frequent ones one after the other on
+the table of their bigrams, which begins the classes, then every word in sweeps
+of parallel exchange by its counts of classes before and after. Words outside
+the lexicon share one unit for each shape of spelling, which takes part as well.
+All counts cover all training texts. Word counts and the counts of classes
+beside words stay distributed; only class tables come together.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ from pyspark.sql import functions as F
 
 from thermalake.llm.common import cut, fold_of, least_count_within
 
-#: Parameters: words known to every task, words that are units of their own, classes, rounds of exchange.
-LEXICON, UNITS, CLASSES, ROUNDS = 1 << 18, 768, 32, 8
+#: Parameters: words known to every task, words that begin the classes, classes, rounds of their exchange, sweeps over all words, parts of a sweep.
+LEXICON, UNITS, CLASSES, ROUNDS, SWEEPS, PARTS = 1 << 18, 768, 32, 8, 2, 4
 SHAPES = 20
+#: Places counted in a dense table, ids of a stored row, and codes held by a task at a time.
+_HEAD, _RUN, _CODES = 4096, 1 << 17, 1 << 21
 _FLUSH = 400_000
 
 
@@ -78,30 +82,184 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def count_unit_pairs(texts: DataFrame, lookup, units: np.ndarray, n_units: int) -> np.ndarray:
-    """How often unit b follows unit a, over all rows of (text); unit 0 is the end, and stands before every text."""
-    schema = pa.schema([("code", pa.int32()), ("n", pa.int64())])
+def encode(texts: DataFrame, lookup) -> DataFrame:
+    """(ids binary): the places of all words of (text) as int32, with -1 before each text and at the end.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, place = np.zeros(n_units * n_units, np.int64), lookup.value.__getitem__
+    A row continues the one before by repeating its last id, so that each pair of neighbours is in one row.
+    """
+    schema = pa.schema([("ids", pa.binary())])
+
+    def pack(parts: list[np.ndarray]) -> tuple[pa.RecordBatch, list[np.ndarray]]:
+        ids = np.concatenate(parts)
+        cuts = range(0, max(len(ids) - 1, 1), _RUN)
+        out = pa.RecordBatch.from_arrays([pa.array([ids[i : i + _RUN + 1].tobytes() for i in cuts], pa.binary())], schema=schema)
+        return out, [ids[-1:]]
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, end = lookup.value.__getitem__, np.array([-1], np.int32)
+        parts, held = [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words = tokens(text)
-                own = units[np.fromiter(map(place, words), np.int32, len(words))]
-                codes = np.r_[0, own] * n_units + np.r_[own, 0]
-                if len(codes) > 50_000:
-                    table += np.bincount(codes, minlength=len(table))
-                else:
-                    np.add.at(table, codes, 1)
+                parts += [end, np.fromiter(map(place, words), np.int32, len(words))]
+                held += len(words) + 1
+                if held > _RUN:
+                    out, parts = pack(parts)
+                    held = 0
+                    yield out
+        if parts:
+            yield pack([*parts, end])[0]
+
+    return texts.mapInArrow(places, "ids binary")
+
+
+def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All ids but the last and all but the first of each row of (ids)."""
+    for batch in batches:
+        for ids in batch.column(0):
+            ids = np.frombuffer(ids.as_buffer(), np.int32)
+            yield ids[:-1], ids[1:]
+
+
+def count_unit_pairs(encoded: DataFrame, units: np.ndarray, n_units: int) -> np.ndarray:
+    """How often unit b follows unit a, over all rows of (ids); unit 0 is the end, and stands before every text."""
+    schema = pa.schema([("code", pa.int32()), ("n", pa.int64())])
+    units = np.r_[units, 0].astype(np.int32)  # the end's id is -1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(n_units * n_units, np.int64)
+        for before, after in neighbours(batches):
+            codes = units[before] * n_units + units[after]
+            if len(codes) > 50_000:
+                table += np.bincount(codes, minlength=len(table))
+            else:
+                np.add.at(table, codes, 1)
         seen = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(table[seen])], schema=schema)
 
-    counted = texts.mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    counted = encoded.mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros(n_units * n_units, np.int64)
     table[counted["code"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
     return table.reshape(n_units, n_units)
 
 
+def count_beside(encoded: DataFrame, classes: np.ndarray, n_classes: int, part: int) -> DataFrame:
+    """(code, n): how often each place of one part of PARTS has each class before it, each class after it, and itself after it.
+
+    code is place * (2 * n_classes + 1) + the class, n_classes + the class, or 2 * n_classes.
+    """
+    schema = pa.schema([("code", pa.int64()), ("n", pa.int64())])
+    width, parts, flush = 2 * n_classes + 1, PARTS, _CODES
+    own = np.r_[np.arange(len(classes)) % parts == part, False]
+    classes = np.r_[classes, 0].astype(np.int16)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, rest, held = np.zeros(_HEAD * width, np.int64), [], 0
+
+        def emit() -> pa.RecordBatch:
+            seen, n = np.unique(np.concatenate(rest), return_counts=True)
+            rest.clear()
+            return pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n.astype(np.int64))], schema=schema)
+
+        for before, after in neighbours(batches):
+            first, second = np.flatnonzero(own[before]), np.flatnonzero(own[after])
+            twice = first[before[first] == after[first]]
+            codes = np.concatenate([
+                after[second].astype(np.int64) * width + classes[before[second]],
+                before[first].astype(np.int64) * width + n_classes + classes[after[first]],
+                before[twice].astype(np.int64) * width + 2 * n_classes,
+            ])
+            frequent = codes < len(head)
+            np.add.at(head, codes[frequent], 1)
+            rest.append(codes[~frequent])
+            held += len(rest[-1])
+            if held > flush:
+                held = 0
+                yield emit()
+        if rest:
+            yield emit()
+        seen = np.flatnonzero(head)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(head[seen])], schema=schema)
+
+    return encoded.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def best_classes(beside: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The best class of each unit while all others stay: rows of counts as of `count_beside`, the units' classes, the class bigrams."""
+    xlogx = lambda x: x * np.log(np.maximum(x, 1.0))
+    n_classes, at = len(table), np.arange(len(own))
+    column, row, self_ = beside[:, :n_classes].copy(), beside[:, n_classes : 2 * n_classes].copy(), beside[:, 2 * n_classes :]
+    row[at, own] -= self_[:, 0]
+    column[at, own] -= self_[:, 0]
+    rest = np.repeat(table[None], len(own), 0)
+    rest[at, own] -= row
+    rest[at, :, own] -= column
+    rest[at, own, own] -= self_[:, 0]
+    left, right, now = rest.sum(2) + column, rest.sum(1) + row, xlogx(rest)
+    diagonal = lambda x: np.diagonal(x, axis1=1, axis2=2)
+    gain_row = xlogx(rest + row[:, None, :]) - now
+    gain_column = xlogx(rest + column[:, :, None]) - now
+    gain = gain_row.sum(2) - diagonal(gain_row) + gain_column.sum(1) - diagonal(gain_column)
+    gain += xlogx(diagonal(rest) + row + column + self_) - diagonal(now)
+    gain -= xlogx(left + row.sum(1, keepdims=True) + self_) - xlogx(left)
+    gain -= xlogx(right + column.sum(1, keepdims=True) + self_) - xlogx(right)
+    gain[:, 0] = -np.inf
+    new = gain.argmax(1)
+    return np.where(gain[at, new] > gain[at, own] + 1e-9, new, own)
+
+
+def level(table: np.ndarray) -> float:
+    """The part of the log likelihood that depends on the classes, from the class bigrams."""
+    xlogx = lambda x: x * np.log(np.maximum(x, 1.0))
+    return float(xlogx(table).sum() - xlogx(table.sum(1)).sum() - xlogx(table.sum(0)).sum())
+
+
+def sweep(encoded: DataFrame, classes: np.ndarray, table: np.ndarray, sweeps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes by place and class bigrams after sweeps of exchange over all places.
+
+    A sweep has PARTS steps, in each of which the words of one part name their
+    best classes beside the present ones of all. These moves are made if they
+    raise the likelihood together, else every other one if that does. A sweep
+    without moves is the last.
+    """
+    n_classes = len(table)
+    width, n_blocks = 2 * n_classes + 1, -(-len(classes) // (512 * PARTS))
+    schema = pa.schema([("place", pa.int32()), ("class", pa.int32())])
+
+    def chooser(classes: np.ndarray, table: np.ndarray):
+        def choose(group: pa.Table) -> pa.Table:
+            code, n = group.column("code").to_numpy(), group.column("n").to_numpy()
+            places, at = np.unique(code // width, return_inverse=True)
+            beside = np.zeros((len(places), width))
+            beside[at, code % width] = n
+            own = classes[places]
+            new = np.concatenate([best_classes(beside[i : i + 64], own[i : i + 64], table) for i in range(0, len(places), 64)])
+            moved = new != own
+            return pa.Table.from_arrays([pa.array(places[moved], pa.int32()), pa.array(new[moved], pa.int32())], schema=schema)
+
+        return choose
+
+    for turn in range(sweeps):
+        any_moved = False
+        for part in range(PARTS):
+            counts = count_beside(encoded, classes, n_classes, part)
+            block = F.floor(F.col("code") / (width * PARTS)).cast("int") % n_blocks
+            moves = counts.groupBy(block.alias("block")).applyInArrow(chooser(classes, table), "place int, class int").toPandas()
+            place, new = moves["place"].to_numpy(np.int64), moves["class"].to_numpy(np.int64)
+            for chosen in (np.ones(len(place), bool), place // PARTS % 2 == turn % 2):
+                if not chosen.any():
+                    break
+                after = classes.copy()
+                after[place[chosen]] = new[chosen]
+                found = count_unit_pairs(encoded, after, n_classes).astype(np.float64)
+                if level(found) > level(table) + 1e-9:
+                    classes, table, any_moved = after, found, True
+                    break
+        if not any_moved:
+            break
+    return classes, table
+
+
 def exchange(pairs: np.ndarray, n_classes: int, rounds: int) -> np.ndarray:
     """The class of each unit by the exchange algorithm; unit 0 keeps class 0 for itself.
 
@@ -128,7 +286,7 @@ def exchange(pairs: np.ndarray, n_classes: int, rounds: int) -> np.ndarray:
                 table[old] -= row
                 table[:, old] -= column
                 table[old, old] -= self_
-            left, right = table.sum(1), table.sum(0)
+            left, right = table.sum(1) + column, table.sum(0) + row
             now = xlogx(table)
             gain_row = xlogx(table + row[None, :]) - now
             gain_column = xlogx(table + column[:, None]) - now
@@ -166,7 +324,7 @@ class Model:
     n_texts: int
 
 
-def learn(texts: DataFrame, lexicon: int = LEXICON, units: int = UNITS, n_classes: int = CLASSES, rounds: int = ROUNDS) -> Model:
+def learn(texts: DataFrame, lexicon: int = LEXICON, units: int = UNITS, n_classes: int = CLASSES, rounds: int = ROUNDS, sweeps: int = SWEEPS) -> Model:
     """The model of all rows of (text); null texts count as empty, and an empty table gives a uniform model."""
     spark = texts.sparkSession
     texts = texts.select("text")
@@ -182,11 +340,16 @@ def learn(texts: DataFrame, lexicon: int = LEXICON, units: int = UNITS, n_classe
     by_shape = np.array([shape(w) for _, w in known] + list(range(SHAPES)), np.int64)
     unit = 1 + own + by_shape  # by place in the lookup
     unit[:own] = 1 + np.arange(own)
-    pairs = count_unit_pairs(texts, lookup, unit.astype(np.int32), n_units)
+    encoded = cut(encode(texts, lookup))
+    pairs = count_unit_pairs(encoded, unit, n_units)
     classes = exchange(pairs, n_classes, rounds)
+    member = np.eye(n_classes)[classes]
+    table, place_class = member.T @ pairs @ member, classes[unit]
+    if own < len(known):
+        place_class, table = sweep(encoded, place_class, table, sweeps)
 
-    # distinct words of each unit: the lexicon's own, and those that stayed distributed by shape
-    types = np.bincount(unit[: len(known)], minlength=n_units).astype(np.float64)
+    # distinct words of each class: the lexicon's own, and those that stayed distributed by shape
+    types = np.bincount(place_class[: len(known)], minlength=n_classes).astype(np.float64)
     rest = vocabulary.filter(F.col("n") < least)
     schema = pa.schema([("shape", pa.int32())])
 
@@ -196,18 +359,16 @@ def learn(texts: DataFrame, lexicon: int = LEXICON, units: int = UNITS, n_classe
             yield pa.RecordBatch.from_arrays([found], schema=schema)
 
     for r in rest.select("word").mapInArrow(shapes, "shape int").groupBy("shape").count().collect():
-        types[1 + own + r["shape"]] += r["count"]
+        types[place_class[len(known) + r["shape"]]] += r["count"]
 
-    member = np.eye(n_classes)[classes]
-    table = member.T @ pairs @ member
     share = (table.sum(0) + 0.5) / (table.sum() + 0.5 * n_classes)
     transition = (table + n_classes * share[None, :]) / (table.sum(1) + n_classes)[:, None]
-    emission = np.log10(pairs.sum(0) @ member + 0.5 * (types @ member + 1))
+    emission = np.log10(table.sum(0) + 0.5 * (types + 1))
     emission[0] = 0.0  # the end is all of its class
     return Model(
         lookup,
         np.r_[np.log10(np.array([n for n, _ in known], np.float64) + 0.5), np.zeros(SHAPES)],
-        classes[unit],
+        place_class,
         np.log10(transition),
         emission,
         rest,
