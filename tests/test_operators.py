@@ -201,3 +201,24 @@ def test_pooled_shape_of_two_parameters(spark):
     assert fit(df)[0]["parameters"] == pytest.approx([-0.3, 0.1], abs=1e-6)
     with pytest.raises(ValueError):
         fit(df.filter("f <> 1 OR angle <> 10"))
+
+
+def test_quantiles_and_folds_from_ranges(spark):
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string")).alias("g"),
+        F.when(F.col("id") % 11 > 0, (F.col("id") * 7919 % 2003).cast("double")).alias("v"),
+    )
+    df = df.union(spark.createDataFrame([("empty", None), ("one", 4.0)], "g string, v double")).repartition(5)
+    shares = [0.0, 0.013, 0.5, 0.95, 1.0]
+    want = df.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q")).collect()
+    got = {x.g: list(x)[1:] for x in sampling.quantiles(df, ["g"], F.col("v"), shares).collect()}
+    assert len(got) == len(want) == 5
+    for w in want:
+        assert got[w.g] == (pytest.approx(w.q) if w.q else [None] * 5)
+    assert sampling.quantiles(df, [], F.col("v"), [0.5]).first()[0] == df.agg(F.median("v")).first()[0]
+    assert sampling.quantiles(df.limit(0), [], F.col("v"), [0.5]).first()[0] is None
+
+    folds = fits.group_folds(spark.range(1000).select((F.col("id") * 31 % 500).alias("u")), "u", 5)
+    assert {x.u: (x.size, x.fold) for x in folds.collect()} == {u: (2, (u + 3) % 5) for u in range(500)}
+    plan = folds._jdf.queryExecution().toString()
+    assert "Window" in plan and "_part" in plan  # one window per range, not one of all groups of a size

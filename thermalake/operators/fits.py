@@ -11,10 +11,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thermalake.functions.rng import uniform
+from thermalake.operators.sampling import quantiles, running
 
 _STATS = pa.schema([("at", pa.int32()), ("value", pa.float64())])
 
@@ -59,7 +60,7 @@ def huber(df: DataFrame, terms: Sequence[Column], target: Column, weight: Column
     """Robust regression by reweighting; the scale is 1.4826 times the median absolute residual of the first fit."""
     linear = lambda c: sum((F.lit(float(k)) * t for k, t in zip(c[1:], terms, strict=True)), F.lit(float(c[0])))
     now = least_squares(df, terms, target, weight)
-    scale = 1.4826 * (df.agg(F.percentile(F.abs(target - linear(now)), F.lit(0.5))).first()[0] or 0.0)
+    scale = 1.4826 * (quantiles(df, [], F.abs(target - linear(now)), [0.5]).first()[0] or 0.0)
     if scale <= 0:
         return now
     for _ in range(rounds):
@@ -193,8 +194,8 @@ def view_retrieval(df: DataFrame, keys: Sequence[str], basis: Column, radiance:
 def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
     """(group, size, fold): groups of equal size are dealt to the folds in turn, so that folds get equal shares of each."""
     sizes = df.groupBy(group).agg(F.count("*").alias("size"))
-    place = F.row_number().over(Window.partitionBy("size").orderBy(group))
-    return sizes.withColumn("fold", F.pmod(place + F.col("size"), F.lit(folds)).cast("int"))
+    dealt = running(sizes.withColumn("_one", F.lit(1)), ["size"], group, "_one")
+    return dealt.select(group, "size", F.pmod(F.col("so_far") + F.col("size"), F.lit(folds)).cast("int").alias("fold"))
 
 
 def best_matching(gain: np.ndarray) -> list[int]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,3 +58,46 @@ def bootstrap(df: DataFrame, seed: int, draws: int, keys: Sequence[str]) -> Data
         term /= k + 1
     copies = sum((F.when(F.col("_u") >= s, 1).otherwise(0) for s in steps), F.lit(0))
     return drawn.withColumn("_n", copies).filter("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_u", "_n", "_i")
+
+
+def running(df: DataFrame, keys: Sequence[str], order: str, n: str) -> DataFrame:
+    """The rows with `so_far`, the sum of `n` up to each in the order within its keys.
+
+    Rows are dealt by ranges of the order; only one total per range and key is added up in a window of its own.
+    """
+    dealt = df.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id())
+    context = df.sparkSession.sparkContext
+    if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    dealt = dealt.checkpoint(eager=True)
+    each = dealt.groupBy("_part", *keys).agg(F.sum(n).alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    each = each.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(before, F.lit(0)).alias("_before"))
+    on = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = F.sum(n).over(Window.partitionBy("_part", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    out = dealt.withColumn("_inside", inside).join(each, on)
+    return out.select(*df.columns, (F.col("_before") + F.col("_inside")).alias("so_far"))
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: Column, shares: Sequence[float]) -> DataFrame:
+    """(keys, q0, q1, ...): exact quantiles of the values that are not null, between neighbours by their distance.
+
+    Values are counted and their ranks found by `running`, so that no task holds a group.
+    """
+    counts = df.select(*keys, value.cast("double").alias("_v")).groupBy(*keys, "_v").agg(F.count("_v").alias("_n"))
+    ranked = running(counts, keys, "_v", "_n")
+    total = ranked.groupBy(*keys).agg(F.sum("_n").alias("_total")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_total")
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    place = [F.lit(float(p)) * (F.col("_total") - 1) for p in shares]
+    at = lambda rank: F.min(F.when(F.col("so_far") > rank, F.col("_v")))
+    found = ranked.join(total, on).groupBy(*keys).agg(
+        *[at(F.floor(x)).alias(f"_low{i}") for i, x in enumerate(place)],
+        *[at(F.ceil(x)).alias(f"_high{i}") for i, x in enumerate(place)],
+        *[F.max(x - F.floor(x)).alias(f"_far{i}") for i, x in enumerate(place)],
+    )
+    between = lambda i: F.when(F.col(f"_far{i}") == 0, F.col(f"_low{i}")).otherwise((1 - F.col(f"_far{i}")) * F.col(f"_low{i}") + F.col(f"_far{i}") * F.col(f"_high{i}"))
+    return found.select(*keys, *[between(i).alias(f"q{i}") for i in range(len(shares))])

@@ -217,8 +217,11 @@ SCATTER = " UNION ALL ".join(
 
 
 def exact_percentiles(spark, sf_dir):
-    q = lambda p: F.percentile("l_extendedprice", F.lit(p))
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*[r(q(p)).alias(n) for n, p in (("p01", 0.01), ("p50", 0.5), ("p95", 0.95))], r(F.median("l_quantity")).alias("median_quantity"))
+    df = table(spark, sf_dir, "lineitem")
+    price = sampling.quantiles(df, ["l_returnflag"], F.col("l_extendedprice"), [0.01, 0.5, 0.95])
+    quantity = sampling.quantiles(df, ["l_returnflag"], F.col("l_quantity"), [0.5]).select(F.col("l_returnflag").alias("_flag"), F.col("q0").alias("median"))
+    out = price.join(quantity, F.col("l_returnflag").eqNullSafe(F.col("_flag")))
+    return out.select("l_returnflag", r("q0").alias("p01"), r("q1").alias("p50"), r("q2").alias("p95"), r("median").alias("median_quantity"))
 
 
 PERCENTILES = """SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.01), 4) AS p01, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50,
