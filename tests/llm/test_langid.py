@@ -30,6 +30,11 @@ def test_odd_rows(spark):
     assert langid.predict(docs, langid.learn(empty)).first().lang_pred == "und"
 
 
+def test_texts_are_kept_if_nothing_could_be_learned(spark):
+    docs = spark.createDataFrame([(1, "the cat", None), (2, "12 !", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in langid.accept(docs, langid.learn(docs)).collect()] == [1]
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}

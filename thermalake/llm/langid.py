@@ -189,11 +189,16 @@ def predict(docs: DataFrame, model: Lexicon) -> DataFrame:
 
 
 def accept(docs: DataFrame, model: Lexicon, least: float = 0.3) -> DataFrame:
-    """The input rows and columns whose text has a language, with a score of at least `least`."""
+    """The input rows and columns whose text has a language, with a score of at least `least`.
+
+    If nothing could be learned, all texts with letters are kept.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def has_language(texts: pd.Series) -> pd.Series:
+        if not shared.value.langs:
+            return pd.Series([bool(_WORD.search((t or "").lower())) for t in texts], dtype=bool)
         found = (shared.value.text(t or "") for t in texts)
         return pd.Series([lang != UNKNOWN and score >= least for lang, score in found], dtype=bool)
 
