@@ -1,32 +1,60 @@
+import math
+import re
+import unicodedata
+from collections import Counter, defaultdict
+
 import numpy as np
 import pytest
 
 from thermalake.llm import langid, queries
 
+v = lambda *x: np.array(x, np.float32)
+
+
+def lexicon(langs, longest, grams):
+    return langid.Lexicon(langs, longest, {size: langid.Table.of(rows, len(langs)) for size, rows in grams.items()})
+
 
 def test_backoff_uses_words_then_longest_grams():
-    v = lambda *x: np.array(x, np.float32)
-    model = langid.Lexicon(["a", "b"], 2, {0: {"zug": v(-1, -3)}, 1: {"z": v(-1, -2), "x": v(-2, -1)}, 2: {"<x": v(-4, -1), "q>": v(-1, -4)}}, v(0, 0))
-    assert model.word("zug").tolist() == [-1, -3]
-    assert model.word("xq").tolist() == [-2.5, -2.5]
-    assert model.word("az").tolist() == [-1, -2]
-    assert model.word("日").tolist() == [0, 0]
+    model = lexicon(["a", "b"], 2, {0: {"zug": v(-1, -3)}, 1: {"z": v(-1, -2), "x": v(-2, -1)}, 2: {"<x": v(-4, -1), "q>": v(-1, -4)}})
+    assert model.words(["zug", "xq", "az", "日"]).tolist() == [[-1, -3], [-2.5, -2.5], [-1, -2], [0, 0]]
     assert model.text("Zug zug!")[0] == "a" and model.text(" 12 ?") == ("und", 0.0)
     assert model.text("x" * 500)[0] == "b" and len(model.memo) == 1
 
 
+def test_a_full_memo_and_long_texts_change_nothing(monkeypatch):
+    rows = {f"{a}{b}": v(-(ord(a) % 5), -(ord(b) % 7)) for a in "abcdefgh" for b in "abcdefgh"}
+    model = lexicon(["p", "q"], 1, {0: rows, 1: {}})
+    text = " ".join(rows) + " " + "z" * 99
+    want = (np.sum(list(rows.values()), 0)) / 65
+    assert model.mean(text) == pytest.approx(want)
+    monkeypatch.setattr(langid, "_MEMO", 64)
+    small = lexicon(["p", "q"], 1, {0: rows, 1: {}})
+    assert [small.mean(text).tolist() for _ in range(3)] == [pytest.approx(want)] * 3 and len(small.table) == 64
+
+
+def test_letters_are_those_of_unicode():
+    assert langid.letters("² ½ ① 12 _ ٣") == []
+    assert langid.letters("x² Straße١ Éa½b 日本_") == ["x", "straße", "éa", "b", "日本"]
+
+
 def test_odd_rows(spark):
     rows = [(i, f"the cat sat {i}", "en") for i in range(40)] + [(100 + i, f"die katze saß {i}", "de") for i in range(40)]
     rows += [(500, None, "en"), (501, "", None), (502, "12 !", "de"), (None, "the die", None), (3, "the cat", "en"), (3, "the cat", "en"), (700, "katze " * 50000, "de")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'x' AS lang_pred", "1 AS n", "2 AS size")
-    got = langid.predict(docs, langid.learn(docs)).collect()
+    rows += [(503, "²", None), (504, "½ ① 12", None)] + [(None, f"the cat {i}", "en") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs = docs.selectExpr("*", "'x' AS lang_pred", "1 AS n", "2 AS size", "3 AS _lang", "4 AS _share", "5 AS _draw", "true AS kept_out")
+    model = langid.learn(docs)
+    got = langid.predict(docs, model).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
     assert by[0].lang_pred == "en" and by[110].lang_pred == "de" and by[700].lang_pred == "de"
-    assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (500, 501, 502))
+    assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (500, 501, 502, 503, 504))
     assert all(0 <= r.score <= 1 for r in got)
+    kept = langid.accept(docs, model)
+    assert kept.columns == docs.columns and kept.count() == len(rows) - 5
     empty = docs.limit(0)
-    assert langid.predict(empty, langid.learn(empty)).count() == 0
+    assert langid.predict(empty, langid.learn(empty)).count() == 0 and langid.accept(empty, model).count() == 0
     assert langid.predict(docs, langid.learn(empty)).first().lang_pred == "und"
 
 
@@ -35,6 +63,89 @@ def test_texts_are_kept_if_nothing_could_be_learned(spark):
     assert [r.doc_id for r in langid.accept(docs, langid.learn(docs)).collect()] == [1]
 
 
+def test_many_languages_are_learned_and_predicted(spark):
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = [(1000 * i + k, f"{name(i)}o {name(i)}ka{k % 3} {name(i)}u", name(i)) for i in range(600) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert len(model.langs) == 600 and sum(len(t.above) for t in model.grams.values()) <= 1_500_000
+    got = langid.predict(docs, model).collect()
+    assert np.mean([r.lang_pred == name(r.doc_id // 1000) for r in got]) > 0.98
+    assert langid.accept(docs, model).count() == len(rows)
+
+
+def brute_letters(text):
+    clean = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower())
+    return clean.split()
+
+
+def brute_model(rows, entries, longest):
+    """Scores by language, size and entry of rows (text, lang)."""
+    counts = defaultdict(Counter)
+    for text, lang in rows:
+        for word in brute_letters(text):
+            counts[lang, 0][word] += 1
+            for size in range(1, longest + 1):
+                counts[lang, size].update(f"<{word}>"[i : i + size] for i in range(len(word) + 3 - size))
+    langs = sorted({lang for lang, _ in counts})
+    kept = {}
+    for key, c in counts.items():
+        least = min((n for n in c.values() if sum(m >= n for m in c.values()) <= entries), default=math.inf)
+        kept[key] = {g: n for g, n in c.items() if n >= least}
+    score = {}
+    for size in range(longest + 1):
+        known = {g for lang in langs for g in kept.get((lang, size), ())}
+        for g in known:
+            score[size, g] = [math.log10(kept.get((x, size), {}).get(g, 0.25) / sum(counts[x, size].values())) for x in langs]
+    return langs, score
+
+
+def brute_mean(text, langs, score, longest):
+    rows = []
+    for word in brute_letters(text):
+        if (0, word) in score:
+            rows.append(score[0, word])
+            continue
+        for size in range(longest, 0, -1):
+            padded = f"<{word}>"
+            hits = [score[size, padded[i : i + size]] for i in range(len(padded) - size + 1) if (size, padded[i : i + size]) in score]
+            if hits:
+                rows.append(np.mean(hits, axis=0))
+                break
+        else:
+            rows.append([0.0] * len(langs))
+    return np.mean(rows, axis=0) if rows else None
+
+
+@pytest.mark.parametrize("entries", [10_000, 60])
+def test_learning_and_prediction_against_brute_force(spark, entries):
+    rng = np.random.default_rng(4)
+    stems = {"en": ["the", "of", "ing", "cat", "run"], "de": ["der", "die", "ung", "katze", "läuf"], "fr": ["le", "la", "eux", "chat", "cour"]}
+    rows = []
+    for i in range(240):
+        lang = ["en", "de", "fr"][i % 3]
+        text = " ".join("".join(rng.choice(stems[lang], rng.integers(1, 3))) + ("" if rng.random() < 0.8 else "x²") for _ in range(rng.integers(1, 12)))
+        rows.append((i, text, lang if rng.random() < 0.9 else None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid.labelled_sample(docs, 1000).collect()
+    assert Counter((r.text, r.lang) for r in sample) == Counter((t, x) for _, t, x in rows if x)
+    assert 5 < sum(r.kept_out for r in sample) < 50
+    langs, score = brute_model([(r.text, r.lang) for r in sample if not r.kept_out], entries, 4)
+    model = langid.learn(docs, entries=entries)
+    level = {
+        s: sum(s * m[langs.index(r.lang)] - np.log(np.exp(s * (m - m.max())).sum()) - s * m.max() - 1e-4 * s for r in sample if r.kept_out and (m := brute_mean(r.text, langs, score, 4)) is not None)
+        for s in langid.SLOPES
+    }
+    assert model.langs == langs and model.slope == pytest.approx(max(level, key=level.get))
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for doc, text, _ in rows:
+        mean = brute_mean(text, langs, score, 4)
+        share = np.exp(model.slope * (mean - mean.max()))
+        share /= share.sum()
+        assert got[doc].score == pytest.approx(share.max(), abs=1e-4)
+        assert share[langs.index(got[doc].lang_pred)] == pytest.approx(share.max(), abs=1e-4)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
@@ -42,3 +153,4 @@ def test_held_out_accuracy(spark):
     right = [r.lang_pred == truth[r.doc_id] for r in got if r.held_out]
     assert len(got) == len(truth) and np.mean(right) > 0.97
     assert np.mean([r.score for r in got]) == pytest.approx(1, abs=0.05)
+    assert all(re.fullmatch(r"[a-z]+", r.lang_pred) for r in got)

@@ -3,17 +3,16 @@
 A word that any language's lexicon knows scores its log relative frequency per
 language. An unseen word falls back to the longest character n-grams of it that
 the model knows, then to shorter ones. A text's score is the mean over its
-words. The lexica are learned from labelled texts; the number of these and of
-the entries per language are parameters, so that the model has a fixed bound
-and can be broadcast.
+words, at a scale fitted to labelled texts that were kept out. The number of
+labelled texts per language and the size of the model are parameters; the
+number of languages is not limited.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,78 +21,166 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from thermalake.llm.common import cut
+from thermalake.llm.common import cut, discard, stored
 
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(r"[^\W\d_]+")
 _FLUSH = 200_000
-_MEMO, _MEMO_CELLS = 250_000, 16_000_000
+_MEMO, _MEMO_CELLS = 400_000, 16_000_000
 _MEMO_CHARS = 48  # longer words are not remembered
+_UNSEEN = 0.25  # less than one occurrence, for languages in which an entry was not seen
+#: Scales of the mean log score that are tried on kept-out texts.
+SLOPES = np.geomspace(0.25, 256.0, 41)
+
+
+def letters(text: str) -> list[str]:
+    """The runs of letters (Unicode category L) of a text, in lower case."""
+    runs = _RUN.findall(text.lower())
+    if "".join(runs).isalpha():
+        return runs
+    # digits of other scripts and number signs lie in these runs as well
+    return [w for run in runs for w in "".join(c if c.isalpha() else " " for c in run).split(" ") if w]
+
+
+@dataclass
+class Table:
+    """Sparse scores of entries: `base` per language, and per entry the languages that differ from it, by how much."""
+
+    at: dict[str, int]
+    start: np.ndarray
+    lang: np.ndarray
+    above: np.ndarray
+    base: np.ndarray
+
+    @classmethod
+    def of(cls, rows: dict[str, np.ndarray], n_langs: int) -> Table:
+        """From dense rows by entry."""
+        dense = np.array(list(rows.values()), np.float32).reshape(len(rows), n_langs)
+        entry, lang = np.nonzero(dense)
+        start = np.searchsorted(entry, np.arange(len(rows) + 1))
+        return cls({g: i for i, g in enumerate(rows)}, start, lang, dense[entry, lang], np.zeros(n_langs, np.float32))
+
+    def sums(self, entries: np.ndarray, owner: np.ndarray, n_owners: int) -> np.ndarray:
+        """Per owner and language the sum of what its entries have above the base."""
+        first, counts = self.start[entries], self.start[entries + 1] - self.start[entries]
+        places = np.repeat(first - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
+        cells = np.repeat(owner, counts) * len(self.base) + self.lang[places]
+        return np.bincount(cells, self.above[places], n_owners * len(self.base)).reshape(n_owners, -1)
+
+
+class _Places(dict):
+    """Words to rows of the table of scores; words met for the first time are listed in `fresh`, long ones are not held."""
+
+    def __init__(self):
+        super().__init__()
+        self.used, self.fresh = 0, []
+
+    def __missing__(self, word: str) -> int:
+        at = self.used
+        self.used += 1
+        self.fresh.append(word)
+        if len(word) <= _MEMO_CHARS:
+            self[word] = at
+        return at
 
 
 @dataclass
 class Lexicon:
-    """Scores per language of words (size 0) and of padded n-grams by size."""
+    """Scores per language of words (size 0) and of padded n-grams by size, and the scale of a text's mean score."""
 
     langs: list[str]
     longest: int
-    grams: dict[int, dict[str, np.ndarray]]
-    floor: np.ndarray
-    memo: dict[str, int] = field(default_factory=dict)  # rows of the table of words met before
+    grams: dict[int, Table]
+    slope: float = 30.0
+    memo: _Places = field(default_factory=_Places)
     table: np.ndarray | None = None
 
-    def word(self, word: str) -> np.ndarray:
-        """Log10 relative frequencies of a known word, or the mean of its longest known n-grams."""
-        known = self.grams[0].get(word)
-        if known is not None:
-            return known
-        padded = f"<{word}>"
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log10 relative frequencies of known words, and for others the mean of their longest known n-grams (words x languages)."""
+        out = np.zeros((len(words), len(self.langs)))
+        own = self.grams[0]
+        open_ = []
+        known, who = [], []
+        for i, word in enumerate(words):
+            at = own.at.get(word)
+            if at is None:
+                open_.append((i, f"<{word}>"))
+            else:
+                known.append(at)
+                who.append(i)
+        if known:
+            out += own.sums(np.array(known), np.array(who), len(words))
+            out[who] += own.base
         for size in range(self.longest, 0, -1):
-            table = self.grams[size]
-            hits = [g for i in range(len(padded) - size + 1) if (g := table.get(padded[i : i + size])) is not None]
-            if hits:
-                return np.mean(hits, axis=0)
-        return self.floor
+            table, missed, found, who = self.grams[size], [], [], []
+            get = table.at.get
+            for i, padded in open_:
+                hits = [at for k in range(len(padded) - size + 1) if (at := get(padded[k : k + size])) is not None]
+                if hits:
+                    found += hits
+                    who.append((i, len(hits)))
+                else:
+                    missed.append((i, padded))
+            if found:
+                owner, n = np.array(who).T
+                sums = table.sums(np.array(found), np.repeat(np.arange(len(n)), n), len(n))
+                out[owner] = table.base + sums / n[:, None]
+            open_ = missed
+            if not open_:
+                break
+        return out
+
+    def mean(self, text: str) -> np.ndarray | None:
+        """The mean score per language over the words of a text; None without letters, or if there are no languages."""
+        words = letters(text)
+        if not words or not self.langs:
+            return None
+        if self.table is None:
+            self.table = np.empty((max(64, min(_MEMO, _MEMO_CELLS // len(self.langs))), len(self.langs)), np.float32)
+        memo, total = self.memo, np.zeros(len(self.langs))
+        step, at_once = max(1, (1 << 20) // len(self.langs)), len(self.table) // 4
+        for at in range(0, len(words), at_once):
+            part = words[at : at + at_once]
+            if memo.used + len(part) > len(self.table):
+                memo.clear()
+                memo.used = 0
+            places = np.fromiter(map(memo.__getitem__, part), np.int64, len(part))
+            if memo.fresh:
+                first = memo.used - len(memo.fresh)
+                for k in range(0, len(memo.fresh), step):
+                    some = memo.fresh[k : k + step]
+                    self.table[first + k : first + k + len(some)] = self.words(some)
+                memo.fresh = []
+            for k in range(0, len(places), step):
+                total += self.table[places[k : k + step]].sum(0, dtype=np.float64)
+        return total / len(words)
 
     def text(self, text: str) -> tuple[str, float]:
         """The best language and its probability among all; ties go to the first by name."""
-        words = _WORD.findall(text.lower())
-        if not words or not self.langs:
+        mean = self.mean(text)
+        if mean is None:
             return UNKNOWN, 0.0
-        if self.table is None:
-            self.table = np.empty((min(_MEMO, _MEMO_CELLS // len(self.langs)), len(self.langs)), np.float32)
-        places = []
-        total = np.zeros(len(self.langs))
-        for word in words:
-            at = self.memo.get(word)
-            if at is None:
-                if len(word) > _MEMO_CHARS:
-                    total += self.word(word)
-                    continue
-                if len(self.memo) == len(self.table):
-                    total += self.table[places].sum(0, dtype=np.float64)
-                    places.clear()
-                    self.memo.clear()
-                at = self.memo[word] = len(self.memo)
-                self.table[at] = self.word(word)
-            places.append(at)
-        mean = (total + self.table[places].sum(0, dtype=np.float64)) / len(words)
-        odds = (mean - mean.max()) * math.log(10) * min(len(words), 30)
-        share = np.exp(odds)
+        share = np.exp((mean - mean.max()) * self.slope)
         share /= share.sum()
         best = int(share.argmax())
         return self.langs[best], float(share[best])
 
 
-def labelled_sample(docs: DataFrame, per_language: int, languages: int = 500) -> DataFrame:
-    """At most about `per_language` rows (text, lang) of each of the most frequent `languages`, by a hash of the id."""
-    named = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
-    share = named.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n"))
-    # at most `languages` rows, whatever the input, so that no text is shuffled to meet them
-    share = F.broadcast(share.orderBy(F.desc("_n"), "_lang").limit(languages))
-    share = share.withColumn("_share", F.lit(float(per_language)) / F.col("_n"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 40)) / float(1 << 40)
-    return named.join(share, F.col("lang") == F.col("_lang")).filter(draw < F.col("_share")).select("text", "lang")
+def labelled_sample(docs: DataFrame, per_language: int) -> DataFrame:
+    """(text, lang, kept_out): at most about `per_language` rows of each language, by a hash of the id and the text.
+
+    One of ten rows is kept out of the counts. All labelled rows of a language
+    with fewer are taken.
+    """
+    draw = lambda salt: F.pmod(F.xxhash64("doc_id", "text", F.lit(salt)), F.lit(1 << 40)) / float(1 << 40)
+    named = docs.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
+    share, path = stored(named.groupBy(F.col("lang").alias("_lang")).agg((F.lit(float(per_language)) / F.count("*")).alias("_share")))
+    drawn = named.select("text", "lang", draw(8).alias("_draw"), (draw(9) < 0.1).alias("kept_out"))
+    # one row per language; Spark knows the table's size and sends it to the texts if it is small
+    met = drawn.join(share, F.col("lang") == F.col("_lang")).filter(F.col("_draw") < F.col("_share"))
+    sample = cut(met.select("text", "lang", "kept_out"))
+    discard(docs.sparkSession, path)
+    return sample
 
 
 def _count(longest: int):
@@ -107,7 +194,7 @@ def _count(longest: int):
         counts: dict = defaultdict(Counter)
         for batch in batches:
             for text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for word, n in Counter(_WORD.findall(text.lower())).items():
+                for word, n in Counter(letters(text)).items():
                     counts[lang, 0][word] += n
                     padded = f"<{word}>"
                     for size in range(1, longest + 1):
@@ -122,21 +209,78 @@ def _count(longest: int):
     return count
 
 
-def learn(docs: DataFrame, per_language: int = 1000, entries: int = 20_000, longest: int = 4) -> Lexicon:
+def assemble(best: Iterable[pa.RecordBatch], longest: int) -> Lexicon:
+    """The lexicon of batches (lang, size, gram, n, total), which are folded one by one."""
+    at: dict[str, int] = {}
+    parts = {size: ({}, [], [], [], {}) for size in range(longest + 1)}
+    for batch in best:
+        langs = [at.setdefault(x, len(at)) for x in batch.column(0).to_pylist()]
+        rest = (batch.column(i).to_pylist() for i in (1, 2, 3, 4))
+        for lang, size, gram, n, total in zip(langs, *rest, strict=True):
+            grams, entry, owner, counts, totals = parts[size]
+            entry.append(grams.setdefault(gram, len(grams)))
+            owner.append(lang)
+            counts.append(n)
+            totals[lang] = total
+    names = sorted(at)
+    rank = np.empty(len(names), np.int64)
+    rank[[at[n] for n in names]] = np.arange(len(names))
+    tables = {}
+    for size, (grams, entry, owner, counts, totals) in parts.items():
+        total = np.ones(len(names))
+        total[rank[list(totals)]] = list(totals.values())
+        entry, lang = np.array(entry, np.int64), rank[np.array(owner, np.int64)]
+        order = np.lexsort((lang, entry))
+        start = np.searchsorted(entry[order], np.arange(len(grams) + 1))
+        above = np.log10(np.array(counts, np.float64)[order] / _UNSEEN).astype(np.float32)
+        tables[size] = Table(grams, start, lang[order].astype(np.int32), above, np.log10(_UNSEEN / total).astype(np.float32))
+    return Lexicon(names, longest, tables)
+
+
+def fit_slope(sample: DataFrame, model: Lexicon, smooth: float = 1e-4) -> float:
+    """The scale under which kept-out rows (text, lang) are likeliest, less a little for large ones; 30 without such rows."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([("at", pa.int32()), ("n", pa.int64()), ("level", pa.float64())])
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, level, n = shared.value, np.zeros(len(SLOPES)), 0
+        place = {lang: i for i, lang in enumerate(own.langs)}
+        for batch in batches:
+            for text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mean = own.mean(text)
+                if mean is not None and lang in place:
+                    odds = (mean - mean[place[lang]])[:, None] * SLOPES
+                    top = odds.max(0)
+                    level -= top + np.log(np.exp(odds - top).sum(0))
+                    n += 1
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(SLOPES)), pa.int32()), pa.array([n] * len(SLOPES)), pa.array(level)], schema=schema)
+
+    rows = sample.select("text", "lang").mapInArrow(rate, "at int, n long, level double").groupBy("at").agg(F.sum("n").alias("n"), F.sum("level").alias("level")).collect()
+    held = {r["at"]: r.level - smooth * r.n * SLOPES[r["at"]] for r in rows if r.n}
+    return float(SLOPES[max(held, key=lambda k: (held[k], -k))]) if held else 30.0
+
+
+def learn(docs: DataFrame, per_language: int = 1000, entries: int = 20_000, model_entries: int = 1_500_000, longest: int = 4) -> Lexicon:
     """A model from rows (doc_id, text, lang); rows without a text or a label are passed over.
 
     `per_language` bounds the labelled texts used of each language, in
-    expectation, and `entries` the words and the n-grams of each size kept per
-    language: all those above the lowest count that keeps within it.
+    expectation. `entries` bounds the words and the n-grams of each size kept
+    per language, and `model_entries` those of all languages together, so that
+    the model can be sent to every task however many languages there are: of
+    each table all those stay that are above the lowest count within the bound.
+    An empty table, or one without labels, gives a model without languages.
+    Other columns are not read.
     """
-    counted = (
-        labelled_sample(docs, per_language)
+    sample = labelled_sample(docs, per_language)
+    counted = cut(
+        sample.filter("NOT kept_out")
         .select("text", "lang")
         .mapInArrow(_count(longest), "lang string, size int, gram string, n long")
         .groupBy("lang", "size", "gram")
         .agg(F.sum("n").alias("n"))
     )
-    counted = cut(counted)
+    n_langs = counted.select("lang").distinct().count()
+    room = max(1, min(entries, model_entries // max(1, n_langs * (longest + 1))))
     # how many entries a table has by their count: small whatever the number of entries
     steps = counted.groupBy("lang", "size", "n").agg(F.count("*").alias("held"))
     table = Window.partitionBy("lang", "size")
@@ -144,27 +288,14 @@ def learn(docs: DataFrame, per_language: int = 1000, entries: int = 20_000, long
     limits = (
         steps.withColumn("total", F.sum(F.col("n") * F.col("held")).over(table))
         .withColumn("so_far", F.sum("held").over(down))
-        .filter(F.col("so_far") <= entries)
         .groupBy("lang", "size", "total")
-        .agg(F.min("n").alias("least"))
+        .agg(F.coalesce(F.min(F.when(F.col("so_far") <= room, F.col("n"))), F.max("n") + 1).alias("least"))
     )
-    best = counted.join(limits, ["lang", "size"]).filter("n >= least").select("lang", "size", "gram", "n", "total").collect()
-    langs = sorted({r.lang for r in best})
-    at = {lang: i for i, lang in enumerate(langs)}
-    totals: dict[int, np.ndarray] = defaultdict(lambda: np.ones(len(langs)))
-    for r in best:
-        totals[r["size"]][at[r.lang]] = r.total
-    grams: dict[int, dict[str, np.ndarray]] = {size: {} for size in range(longest + 1)}
-    for r in best:
-        own = grams[r["size"]]
-        if r.gram not in own:
-            own[r.gram] = np.full(len(langs), 0.25)  # less than one occurrence where it was not seen
-        own[r.gram][at[r.lang]] = r.n
-    for size, own in grams.items():
-        for gram, n in own.items():
-            own[gram] = np.log10(n / totals[size]).astype(np.float32)
-    floor = np.zeros(len(langs), np.float32)
-    return Lexicon(langs, longest, grams, floor)
+    best = counted.join(limits, ["lang", "size"]).filter("n >= least").select("lang", "size", "gram", "n", "total")
+    # at most model_entries rows, in columns
+    model = assemble(best.toArrow().to_batches(), longest)
+    model.slope = fit_slope(sample.filter("kept_out"), model)
+    return model
 
 
 def predict(docs: DataFrame, model: Lexicon) -> DataFrame:
@@ -172,8 +303,9 @@ def predict(docs: DataFrame, model: Lexicon) -> DataFrame:
 
     Null texts and texts without letters are `und` with score 0, as are all
     texts if nothing could be learned. score is the posterior probability of
-    the predicted language under equal priors, from up to 30 words' evidence.
-    Repeated rows and null ids are rows like others; extra columns are not read.
+    the predicted language under equal priors. A text of any length is scored
+    whole, in bounded memory. Repeated rows and null ids are rows like others;
+    extra columns are not read; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -191,15 +323,20 @@ def predict(docs: DataFrame, model: Lexicon) -> DataFrame:
 def accept(docs: DataFrame, model: Lexicon, least: float = 0.3) -> DataFrame:
     """The input rows and columns whose text has a language, with a score of at least `least`.
 
-    If nothing could be learned, all texts with letters are kept.
+    Where more languages tie than that leaves room for, a score of 0.9 divided
+    by their number is enough. If nothing could be learned, all texts with
+    letters are kept. Null and empty texts and those without letters go; of
+    repeated rows each is judged alike; ids and extra columns are carried along
+    and never read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    floor = min(least, 0.9 / max(1, len(model.langs)))
 
     @F.pandas_udf("boolean")
     def has_language(texts: pd.Series) -> pd.Series:
         if not shared.value.langs:
-            return pd.Series([bool(_WORD.search((t or "").lower())) for t in texts], dtype=bool)
+            return pd.Series([bool(letters(t or "")) for t in texts], dtype=bool)
         found = (shared.value.text(t or "") for t in texts)
-        return pd.Series([lang != UNKNOWN and score >= least for lang, score in found], dtype=bool)
+        return pd.Series([lang != UNKNOWN and score >= floor for lang, score in found], dtype=bool)
 
     return docs.filter(has_language("text"))
