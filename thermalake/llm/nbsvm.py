@@ -1,26 +1,70 @@
 """A quality classifier by naive Bayes support vectors.
 
-The features are indicators of n-grams of words and of word shapes. Each is
-scaled by its log-count ratio between the classes, then dual coordinate descent
-fits a linear hinge-loss model, whose margins are calibrated on rows kept out
-of the fit. The number of labelled rows used and the number of hashed features
-are parameters, so that the model has a fixed bound and can be broadcast.
+The features are indicators of word n-grams, n from 1 to 3, of words in lower
+case and of their forms (letter case, length, punctuation). Each is scaled by
+its log-count ratio between the classes, then dual coordinate descent fits a
+linear hinge-loss model, whose margins are calibrated on rows kept out of the
+fit. The number of labelled rows used and the number of hashed features are
+parameters, so that the model has a fixed bound and can be broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS = 18
-_SHAPES = 4096  # of the features are kept for shapes
-_MEMO = 400_000
+BITS = 20
+_MEMO, _MEMO_CHARS = 400_000, 48
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def word_form(word: str) -> str:
+    """The case of a word's letters, its length in steps of three, and up to three of the characters that follow them."""
+    core = word.rstrip(_PUNCTUATION)
+    tail = word[len(core) :][:3]
+    if not core:
+        case = "-"
+    elif core.isupper():
+        case = "A"
+    elif core[0].isupper():
+        case = "Aa"
+    elif core.islower():
+        case = "a"
+    else:
+        case = "?"
+    return f"{case}{min(len(core), 9) // 3}{tail}"
+
+
+class _Hashes(dict):
+    """Words to the places of their two hashes, of the word and of its form, in `table`; long words are not held."""
+
+    def __init__(self):
+        import xxhash
+
+        super().__init__()
+        self.digest = xxhash.xxh64_intdigest
+        self.used, self.table = 0, np.empty((2 * _MEMO, 2), np.uint64)
+
+    def __missing__(self, word: str) -> int:
+        at = self.used
+        self.used += 1
+        core = word.rstrip(_PUNCTUATION).lower()
+        self.table[at] = self.digest(core.encode(), 1), self.digest(word_form(word).encode(), 2)
+        if len(word) <= _MEMO_CHARS:
+            self[word] = at
+        return at
+
+
+def mixed(value: np.ndarray) -> np.ndarray:
+    """The 64-bit finalizer of the murmur hash, by which all bits depend on all."""
+    value = (value ^ (value >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    value = (value ^ (value >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return value ^ (value >> np.uint64(33))
 
 
 class Features:
@@ -28,44 +72,33 @@ class Features:
 
     def __init__(self, bits: int = BITS):
         self.size = 1 << bits
-        self.memo: dict[str, tuple[int, int]] = {}
-
-    def _word(self, word: str) -> tuple[int, int]:
-        """The feature of a word, and the number of its shape: letters' case, length, what follows the letters."""
-        core = word.rstrip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
-        tail = word[len(core) :][:3]
-        if not core:
-            case = "-"
-        elif core.isupper():
-            case = "A"
-        elif core[0].isupper():
-            case = "Aa"
-        elif core.islower():
-            case = "a"
-        else:
-            case = "?"
-        form = f"{case}{min(len(core), 9) // 3}{tail}"
-        shape = crc32(form.encode()) % _SHAPES
-        return _SHAPES + crc32(core.lower().encode()) % (self.size - _SHAPES), shape
+        self.memo = _Hashes()
 
     def text(self, text: str | None) -> np.ndarray:
         """Sorted features of a text; every text has one for its length."""
         words = (text or "").split()
-        if len(self.memo) > _MEMO:
-            self.memo.clear()
-        memo, found = self.memo, []
-        for word in words:
-            pair = memo.get(word)
-            if pair is None:
-                pair = memo[word] = self._word(word)
-            found.append(pair)
-        pairs = np.array(found, np.int64).reshape(-1, 2)
-        single, shape = pairs[:, 0], pairs[:, 1]
-        again = (single[1:] == single[:-1]) * 7919  # a word and its repetition
-        double = (shape[:-1] * 31 + shape[1:] * 17 + again) % _SHAPES
-        triple = (double[:-1] * 13 + shape[2:] * 101 + 5) % _SHAPES
-        size = crc32(b"size %d" % len(words).bit_length()) % _SHAPES
-        return np.unique(np.concatenate([single, shape, double, triple, [size]]))
+        seen = np.zeros(self.size, bool) if len(words) > self.size // 8 else None
+        found = [mixed(np.array([len(words).bit_length()], np.uint64))]
+        before = np.empty((0, 2), np.uint64)
+        for at in range(0, len(words), _MEMO):
+            part = words[at : at + _MEMO]
+            if self.memo.used + len(part) > len(self.memo.table):
+                self.memo.clear()
+                self.memo.used = 0
+            own = self.memo.table[np.fromiter(map(self.memo.__getitem__, part), np.int64, len(part))]
+            own = np.concatenate([before, own])
+            one = mixed(own)
+            two = mixed(one[:-1] * np.uint64(3) + own[1:])
+            three = mixed(two[:-1] * np.uint64(5) + own[2:])
+            found += [one[len(before) :].ravel(), two[max(0, len(before) - 1) :].ravel(), three.ravel()]
+            before = own[-2:]
+            if seen is not None:  # a long text's features are marked, not gathered
+                for hashes in found:
+                    seen[hashes & np.uint64(self.size - 1)] = True
+                found = []
+        if seen is not None:
+            return np.flatnonzero(seen)
+        return np.unique((np.concatenate(found) & np.uint64(self.size - 1)).astype(np.int64))
 
 
 @dataclass
@@ -146,9 +179,12 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, bits: int =
     """A model from (doc_id, text) and (doc_id, quality).
 
     Labels other than 0 and 1, labels without a document and documents without
-    a label are passed over; of several labels of a document the larger counts.
-    `most_rows` bounds the labelled rows used, in expectation; a hash of the id
-    chooses them.
+    a label are passed over; of several labels of a document the larger counts,
+    of several rows of a document the one with the largest hash of its text.
+    Null texts count as empty ones, and of long texts every word is used.
+    `most_rows` bounds the labelled documents used, in expectation; a hash of
+    the id chooses them. Empty tables give the model in which every score is
+    the smoothed share of label 1. Other columns are not read.
     """
     named = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").select(F.col("doc_id").cast("long"), "quality")
     named = named.groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -157,18 +193,22 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, bits: int =
     chosen = named.filter(draw < share).select(F.col("doc_id").alias("_id"), "quality")
     # about most_rows rows of two numbers: a fixed size, small enough to send to every task
     met = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("features", pa.binary())])
+    fields = "doc_id long, quality int, text_hash long, features binary"
+    schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("text_hash", pa.int64()), ("features", pa.binary())])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features(bits)
         for batch in batches:
-            found = [make.text(t).astype("<i4").tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], schema=schema)
-
-    got = met.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text").mapInArrow(
-        extract, "doc_id long, quality int, features binary"
+            found = [make.text(t).astype("<i4").tobytes() for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], schema=schema)
+
+    got = (
+        met.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), F.xxhash64("text").alias("text_hash"), "text")
+        .mapInArrow(extract, fields)
+        .groupBy("doc_id")
+        .agg(F.max(F.struct("text_hash", "features")).alias("best"), F.max("quality").alias("quality"))
     )
-    held = sorted(got.collect(), key=lambda r: (r.doc_id, bytes(r.features)))
+    held = sorted(got.select("doc_id", "quality", "best.features").collect(), key=lambda r: r.doc_id)
     rows = [np.frombuffer(bytes(r.features), "<i4") for r in held]
     return fit(rows, np.array([r.quality for r in held], np.int64), 1 << bits)
 
@@ -176,8 +216,9 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, bits: int =
 def score(docs: DataFrame, model: Model, bits: int = BITS) -> DataFrame:
     """(doc_id, score, predicted) per input row, from the text alone.
 
-    Null texts score as empty ones. Repeated rows and null ids are rows like
-    others; extra columns are not read.
+    Null texts score as empty ones, long ones by all their words. Repeated rows
+    and null ids are rows like others; extra columns are not read; an empty
+    table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
