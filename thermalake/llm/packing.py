@@ -2,10 +2,12 @@
 
 Each task packs the documents of its own scan split online. An array holds the
 number of open windows at every fill level; the next remainder goes to the
-level where it lowers the sum of the squared counts most. Windows stay open in
-bounded number: past the bound, and at the end of a split, the emptiest ones
-are cut up to fill the fullest. What is left of a split at the end becomes
-windows whose sizes are powers of two, which need no padding.
+level where it lowers the sum of the squared counts most. At the end of a split
+the emptiest windows are cut up to fill the fullest, and what is left becomes
+windows whose sizes are powers of two, which need no padding. The memory of a
+task is bounded by the number of open windows, far above what splits reach:
+past it, the window that lacks the fewest tokens is filled from the emptiest
+one, and all others stay open.
 """
 
 from __future__ import annotations
@@ -160,7 +162,8 @@ class SumOfSquares:
             return
         self._push(best + n, window)
         if self.n_open > self.max_open:
-            yield from self.merge()
+            if window := self.relieve():
+                yield window
 
     def _pop(self, fill: int) -> list[tuple]:
         self.level[fill] -= 1
@@ -172,6 +175,25 @@ class SumOfSquares:
         self.n_open += 1
         self.windows.setdefault(fill, []).append(window)
 
+    def relieve(self) -> list[tuple]:
+        """The fullest window, filled up from the emptiest, which stays open with the rest if it has more than that."""
+        held = np.flatnonzero(self.level)
+        low, fill = int(held[0]), int(held[-1])
+        donor, window = self._pop(low), self._pop(fill)
+        while donor and fill < self.size:
+            doc, start, ids, total = donor.pop()
+            keep = max(0, len(ids) - (self.size - fill))
+            if keep:
+                donor.append((doc, start, ids[:keep], total))
+            window.append((doc, start + keep, ids[keep:], total))
+            fill += len(ids) - keep
+        if donor:
+            self._push(sum(len(p[2]) for p in donor), donor)
+        if fill < self.size:  # the two together don't fill a window: one open window less
+            self._push(fill, window)
+            return []
+        return window
+
     def merge(self) -> Iterator[list[tuple]]:
         """Fill the fullest windows from cuts of the emptiest until one partial window is left at most."""
         queue = [(fill, w) for fill in sorted(self.windows) for w in self.windows[fill]]
@@ -218,7 +240,7 @@ class SumOfSquares:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str | None = None, size: int = 2048, end_id: int = 1, max_open: int = 512, known_words: int = 800_000
+    docs: DataFrame, tokenizer: str | None = None, size: int = 2048, end_id: int = 1, max_open: int = 8192, known_words: int = 800_000
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset.
 
@@ -226,9 +248,10 @@ def pack_documents(
     each input row has at least one token, and repeated rows are packed each on
     their own. The rows of a sequence_id, by offset, have no gaps; sequences of
     other lengths than `size` have a power of two of tokens. Null ids are
-    carried along; extra columns are not read. `max_open` bounds the windows a
-    task holds in memory, `known_words` the words whose ids a worker keeps
-    (about 0.4 GB at the default).
+    carried along; an empty table gives an empty one; extra columns are not
+    read. `max_open` bounds the windows a task holds in memory (64 MB of ids at
+    the default), `known_words` the words whose ids a worker keeps (about
+    0.4 GB at the default).
     """
     if tokenizer is None:
         import public_tokenizers
@@ -248,7 +271,7 @@ def pack_documents(
                     for start in range(0, whole, size):
                         yield [(doc_id, start, ids[start : start + size], len(ids))]
                     if whole < len(ids):
-                        yield from bins.place((doc_id, whole, ids[whole:], len(ids)))
+                        yield from bins.place((doc_id, whole, ids[whole:].copy(), len(ids)))  # not a view of the whole text's ids
             yield from bins.close()
 
         for number, window in enumerate(closed()):
