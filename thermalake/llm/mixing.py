@@ -19,17 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from thermalake.llm.common import cut, word_count
+from thermalake.llm.common import carried, cut, shuffle_partitions, word_count
 
 BLOCK = 1024
 _LEFT = 2  # documents that a flight may leave open
+_COPIES = 4096  # of a row that one task makes
 _SNAP = 1e-9
 
 
 def source_targets(
     sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0
 ) -> DataFrame:
-    """(source, n_docs, source_size, target) per source of (source, size).
+    """(source, n_units, source_size, target) per source of (source, size, rows).
 
     Sources are ordered by code point, null last, and weigh `weights` in turn.
     They share `share` times all sizes by weight; no target exceeds `most`
@@ -37,7 +38,7 @@ def source_targets(
     In closed form: target = min(most * size, level * weight) with the one
     level that spends all; the sources fill up in the order of size / weight.
     """
-    totals = sizes.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
+    totals = sizes.groupBy("source").agg(F.count("*").alias("n_units"), F.sum(F.col("size") * F.col("rows")).alias("source_size"))
     ranked = totals.withColumn(
         "_w",
         F.element_at(
@@ -60,7 +61,7 @@ def source_targets(
         .withColumn("_open", F.when(F.col("_level") * F.col("_w") < cap, F.col("_level")))
         .withColumn("_open", F.max("_open").over(every))
         .withColumn("target", F.least(cap, F.coalesce(F.col("_open") * F.col("_w"), cap)).cast("double"))
-        .select("source", "n_docs", "source_size", "target")
+        .select("source", "n_units", "source_size", "target")
     )
 
 
@@ -135,19 +136,28 @@ def _fly_blocks(units: DataFrame, salt: int) -> DataFrame:
     return dealt.groupBy("source", "block").applyInArrow(_flight, schema).drop("block")
 
 
-def mix_sources(
+def repeated(df: DataFrame, times: str, at: str) -> DataFrame:
+    """Each row as often as its column `times` says, numbered from 0 in `at`; very many copies are made by many tasks."""
+    number = lambda first, n: F.explode(F.sequence(first, first + n - 1))
+    few = df.filter(F.col(times).between(1, _COPIES)).withColumn(at, number(F.lit(0).cast("long"), F.col(times)))
+    chunks = df.filter(F.col(times) > _COPIES).withColumn(at, F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(_COPIES))))
+    chunks = chunks.repartition(shuffle_partitions(df.sparkSession))
+    many = chunks.withColumn(at, number(F.col(at), F.least(F.lit(_COPIES), F.col(times) - F.col(at))))
+    return few.unionByName(many)
+
+
+def mixed_units(
     docs: DataFrame,
     weights: tuple[float, ...] = (5.0, 2.0, 1.0),
     share: float = 1.5,
     most: float = 2.0,
     block: int = BLOCK,
 ) -> DataFrame:
-    """(doc_id, text_hash, size, source_size, target, copies) per input row.
+    """(doc_id, text_hash, source, size, source_size, target, rows, taken): one row per different (doc_id, text, source) of the input.
 
-    copies times size words of the row go into the mix; null and empty texts
-    have size 0. Draws depend on hashes of the ids alone, so reruns agree however
-    the input is partitioned. Repeated rows are documents of their own with
-    equal chances. A null source is a source; null ids are drawn like others.
+    rows is how many input rows it stands for, taken how often the mix takes
+    any of them, all in all. So rows that repeat fly once, with their number,
+    and no block holds many of them.
     """
     sizes = docs.select(
         F.col("doc_id").cast("long"),
@@ -155,28 +165,31 @@ def mix_sources(
         F.col("source").cast("string"),
         word_count("text").alias("size"),
     )
-    sizes = cut(sizes)
+    sizes = cut(sizes.groupBy("doc_id", "text_hash", "source", "size").agg(F.count("*").alias("rows")))
     targets = cut(source_targets(sizes, weights, share, most)).withColumnRenamed("source", "_source")
     ratio = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
-    blocks = F.ceil(F.col("n_docs") / block).cast("long")
+    blocks = F.ceil(F.col("n_units") / block).cast("long")
     units = (
         sizes.join(targets, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("whole", F.floor(ratio).cast("long"))
-        .withColumn("pi", ratio - F.col("whole"))
+        .withColumn("whole", F.floor(ratio * F.col("rows")).cast("long"))
+        .withColumn("pi", ratio * F.col("rows") - F.col("whole"))
         .withColumn("tie", F.xxhash64("doc_id", "text_hash"))
         .withColumn("blocks", blocks)
-        .select("doc_id", "text_hash", "source", "size", "source_size", "target", "whole", "pi", "tie", "blocks")
     )
+    units = units.select("doc_id", "text_hash", "source", "size", "rows", "source_size", "target", "whole", "pi", "tie", "blocks")
     most_blocks = targets.agg(F.max(blocks)).first()[0] or 1
+    open_ = F.col("pi") * F.col("size")
     giant = F.col("size") * block > F.col("source_size")
     giants = cut(_fly_blocks(units.filter(giant).withColumn("blocks", F.lit(1).cast("long")), 0))
-    spent = giants.groupBy(F.col("source").alias("_source")).agg(
-        F.sum(F.col("size") * F.col("pi")).alias("_taken"), F.sum("size").alias("_giant")
+    # what the giants' landing adds to or takes from the words due is spread over the others
+    due = units.groupBy(F.col("source").alias("_source")).agg(F.sum(open_).alias("_due"), F.sum(F.when(~giant, open_)).alias("_open"))
+    spent = giants.groupBy(F.col("source").alias("_of")).agg(F.sum(open_).alias("_spent"))
+    scale = due.join(spent, F.col("_source").eqNullSafe(F.col("_of"))).select(
+        "_source", F.coalesce(F.try_divide(F.col("_due") - F.col("_spent"), F.col("_open")), F.lit(1.0)).alias("_scale")
     )
-    rest = units.filter(~giant).join(spent, F.col("source").eqNullSafe(F.col("_source")), "left")
-    due = F.col("pi") * F.col("source_size") - F.coalesce("_taken", F.lit(0.0))
-    due = F.try_divide(due, F.col("source_size") - F.coalesce("_giant", F.lit(0)))
-    units = rest.withColumn("pi", F.coalesce(F.least(F.greatest(due, F.lit(0.0)), F.lit(1.0)), "pi")).select(units.columns)
+    rest = units.filter(~giant).join(scale, F.col("source").eqNullSafe(F.col("_source")), "left")
+    scaled = F.least(F.greatest(F.col("pi") * F.coalesce("_scale", F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
+    units = rest.withColumn("pi", scaled).select(units.columns)
     settled, rounds = [giants], 1
     while True:
         flown = cut(_fly_blocks(units, rounds))
@@ -190,24 +203,37 @@ def mix_sources(
         rounds += 1
     whole = functools.reduce(DataFrame.unionByName, settled)
     return whole.select(
-        "doc_id", "text_hash", "size", "source_size", "target", (F.col("whole") + F.col("pi").cast("long")).alias("copies")
+        "doc_id", "text_hash", "source", "size", "source_size", "target", "rows", (F.col("whole") + F.col("pi").cast("long")).alias("taken")
     )
 
 
+def mix_sources(docs: DataFrame, **settings) -> DataFrame:
+    """(doc_id, text_hash, size, source_size, target, copies) per input row.
+
+    copies times size words of the row go into the mix; null and empty texts
+    have size 0. Draws depend on hashes of the ids and texts alone, so reruns
+    agree however the input is partitioned. Rows that repeat an id, a text and
+    a source share what is taken of them evenly. A null source is a source;
+    null ids are drawn like others. An empty table gives an empty one; extra
+    columns are not read. Settings are those of `mixed_units`.
+    """
+    each = repeated(mixed_units(docs, **settings), "rows", "_at")
+    copies = F.expr("taken div rows") + F.when(F.col("_at") < F.col("taken") % F.col("rows"), 1).otherwise(0)
+    return each.select("doc_id", "text_hash", "size", "source_size", "target", copies.cast("long").alias("copies"))
+
+
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The input rows and columns, each as often as the mix takes it.
 
-    Rows that repeat an id and text take the largest number of copies drawn for
-    any of them.
+    Null and empty texts come as often as drawn, with their null or empty text;
+    long ones come whole. Of rows that repeat an id, a text and a source, one
+    comes as often as the mix takes all of them together. An empty table gives
+    an empty one. Extra columns of any name are carried along.
     """
-    copies = (
-        mix_sources(docs, **settings)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-        .agg(F.max("copies").alias("_copies"))
-        .filter("_copies > 0")
-    )
-    met = docs.withColumn("_text_hash", F.xxhash64("text")).join(
-        copies.hint("shuffle_hash"),
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")),
-    )
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    units = mixed_units(docs, **settings).filter("taken > 0").select("doc_id", "text_hash", "source", "rows", "taken")
+    rows = carried(docs, _id=F.col("doc_id").cast("long"), _hash=F.xxhash64("text"), _of=F.col("source").cast("string"))
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")) & F.col("_of").eqNullSafe(F.col("source"))
+    met = rows.join(units, same).select("row", "_id", "_hash", "_of", "rows", "taken")
+    one = met.filter("rows > 1").groupBy("_id", "_hash", "_of", "rows", "taken").agg(F.first("row").alias("row"))
+    whole = met.filter("rows = 1").select("row", "taken").unionByName(one.select("row", "taken"))
+    return repeated(whole, "taken", "_at").select("row.*")
