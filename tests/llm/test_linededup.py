@@ -22,9 +22,16 @@ def brute(rows):
     return sorted(out, key=str)
 
 
+CLASHES = ("key", "n_dropped", "row", "_id", "_hash", "_n", "_keep", "_text_hash", "text_hash", "keep_bitmap", "hit", "cut", "number", "part", "positions")
+
+
 def run(spark, rows):
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash")).withColumn("n_dropped", F.lit(9))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *[f"7 AS {c}" for c in CLASHES])
     got = linededup.drop_repeated_lines(docs)
+    assert set(got.columns) == {*docs.columns, "n_lines"}
+    assert all(set(r) == {7} for r in got.select(*[c for c in CLASHES if c != "n_dropped"]).distinct().collect())
+    plain = linededup.drop_repeated_lines(docs, counts=False)
+    assert plain.columns == docs.columns and plain.count() == len(rows)
     return sorted((tuple(r) for r in got.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256)).collect()), key=str)
 
 
@@ -33,7 +40,7 @@ def test_against_brute_force(spark):
     rows = [(i, f"{hot}\nown {i}\n \t{hot.swapcase() if i % 2 else hot.upper()}\r\n{short}") for i in range(300)]
     rows = [(d, t.replace("ä", "Ä")) for d, t in rows]
     rows += [(1000 + i, f"{other}\n{other}\n") for i in range(4)] + [(5000, None), (5001, ""), (None, hot), (None, None)]
-    rows += [(7, rows[7][1])] * 2 + [(8, "another text\n" + hot)] + [(9000, hot + "\nz" * 20000)]
+    rows += [(7, rows[7][1])] * 900 + [(8, "another text\n" + hot)] + [(9000, hot + "\nz" * 20000)]
     assert run(spark, rows) == brute(rows)
 
 

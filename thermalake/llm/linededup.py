@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermalake.llm.common import BLANKS, cut, shuffle_partitions
+from thermalake.llm.common import BLANKS, carried, cut, shuffle_partitions
 
 _LINES = pa.schema(
     [("key", pa.binary()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("positions", pa.binary())]
@@ -97,11 +97,18 @@ def join_edges(edges: list[tuple]) -> dict[bytes, tuple[int, int]]:
 
 
 def stream_repeats(rows: Iterator[tuple], known: dict, min_docs: int) -> Iterator[tuple]:
-    """(doc_id, text_hash, positions) of each sorted row (key, doc_id, text_hash, positions) to drop."""
+    """(doc_id, text_hash, positions) of each sorted row (key, doc_id, text_hash, positions) to drop, once for equal ones.
+
+    Rows wait until their key has enough documents, so never more than those of
+    `min_docs` documents do.
+    """
     for key, run in itertools.groupby(rows, key=lambda r: r[0]):
         total, keeper = known.get(key, (0, None))
-        seen, last, waiting = 0, None, []
+        seen, last, before, waiting = 0, None, None, []
         for _, doc, text_hash, positions in run:
+            if before == (doc, text_hash):
+                continue
+            before = doc, text_hash
             if keeper is None:
                 keeper = doc  # the first occurrence has the largest id
             seen += doc != last
@@ -124,11 +131,13 @@ def repeated_line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int =
     they count as one document. Rows without an id or a text are not compared
     and lose nothing. Extra columns are not read.
     """
-    order = [F.col("key"), F.col("doc_id").desc(), F.col("text_hash")]
+    # a number per row lets equal rows lie in several ranges; the rows are made once, for the sample of the ranges and for the shuffle
+    rows = cut(line_rows(docs, min_chars).withColumn("number", F.monotonically_increasing_id()))
+    order = [F.col("key"), F.col("doc_id").desc(), F.col("text_hash"), F.col("number")]
     dealt = (
-        line_rows(docs, min_chars)
-        .repartitionByRange(shuffle_partitions(docs.sparkSession), *order)
+        rows.repartitionByRange(shuffle_partitions(docs.sparkSession), *order)
         .sortWithinPartitions(*order)
+        .drop("number")
         .withColumn("part", F.spark_partition_id())
     )
     dealt = cut(dealt)
@@ -178,29 +187,22 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
     """The input rows and columns with `text` cut to its kept lines, and n_chars, if there, to their length.
 
     With `counts` the columns n_lines and n_dropped come in addition, in place
-    of columns of these names.
-
-    Null text stays null and counts as one empty line. A text that loses all
-    its lines becomes empty. Of the texts, only those that lose a line go
-    through Python.
+    of columns of these names. Null text stays null and counts as one empty
+    line. A text that loses all its lines becomes empty. Rows without an id
+    lose nothing; repeated rows lose the same lines. An empty table gives an
+    empty one. Extra columns of any name are carried along. Of the texts, only
+    those that lose a line go through Python.
     """
-    bitmaps = repeated_line_bitmaps(docs, min_chars, min_docs).withColumnsRenamed(
-        {"doc_id": "_id", "text_hash": "_hash", "n_dropped": "_n", "keep_bitmap": "_keep"}
-    )
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    met = hashed.join(
-        bitmaps.hint("shuffle_hash"),
-        (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_text_hash") == F.col("_hash")),
-        "left",
-    )
-    hit = F.col("_keep").isNotNull()
+    bitmaps = repeated_line_bitmaps(docs, min_chars, min_docs)
+    rows = carried(docs, text=F.col("text"), _id=F.col("doc_id").cast("long"), _hash=F.xxhash64("text"))
+    met = rows.join(bitmaps, (F.col("_id") == F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")), "left")
+    hit = F.col("keep_bitmap").isNotNull()
     kept = F.pandas_udf(_kept, "string")
     n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)) + 1
-    if counts:
-        met = met.withColumns({"n_lines": n_lines.cast("long"), "n_dropped": F.coalesce("_n", F.lit(0)).cast("long")})
-    met = met.withColumn(
-        "text", F.when(hit, kept(F.when(hit, F.col("text")), F.col("_keep"))).otherwise(F.col("text"))
+    made = {"n_lines": n_lines.cast("long"), "n_dropped": F.coalesce("n_dropped", F.lit(0)).cast("long")} if counts else {}
+    met = met.select(
+        "row", hit.alias("hit"), F.when(hit, kept(F.when(hit, F.col("text")), F.col("keep_bitmap"))).otherwise(F.col("text")).alias("cut"), *[c.alias(n) for n, c in made.items()]
     )
-    if "n_chars" in docs.columns:
-        met = met.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return met.drop("_id", "_hash", "_n", "_keep", "_text_hash")
+    new = {"text": F.col("cut"), "n_chars": F.when(F.col("hit"), F.length("cut").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    same = [new[c].alias(c) if new.get(c) is not None else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in made]
+    return met.select(*same, *made)
