@@ -66,3 +66,38 @@ def test_components(spark):
             part[a] = part[b] = min(part[a], part[b])
     got = dict(map(tuple, connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()))
     assert got == {x: p for x, p in part.items() if x in got} and {x for x, p in part.items() if any(x in q and q[0] != q[1] for q in pairs)} == set(got)
+
+
+def test_pivot_cells_bring_near_fingerprints_together():
+    rng = np.random.default_rng(8)
+    fps = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    near = fps ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64))
+    pivots = simhash.references(12)
+    cells = [{} for _ in range(2)]
+    for held, side in zip(cells, (fps, near), strict=True):
+        for at, cell in zip(*map(np.ndarray.tolist, simhash.pivot_cells(side, pivots)), strict=True):
+            held.setdefault(at, set()).add(cell)
+    assert all(cells[0][i] & cells[1][i] for i in range(300))
+    assert sum(len(c) for c in cells[0].values()) < 300 * 20
+
+
+def test_links_do_not_depend_on_how_cells_are_split(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**64, 150, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base, *[base ^ (np.uint64(1) << rng.integers(0, 64, 150, dtype=np.uint64)) for _ in range(4)]]))
+    table = spark.createDataFrame([(int(f), i) for i, f in enumerate(fps.view(np.int64))], "fp long, node long")
+    want = None
+    for cell, full in ((1 << 30, 1 << 30), (8, 1 << 30), (8, 4), (1 << 30, 4)):
+        got = sorted(map(tuple, connected_components(simhash.near_links(table, cell=cell, full=full)).collect()))
+        want = want or got
+        assert got == want and len(got) == len({n for n, _ in got})
+
+
+def test_clashing_columns(spark):
+    names = ("row", "_id", "_hash", "_text_hash", "text_hash", "fp", "component_id", "cell", "node", "choice", "bits", "members")
+    rows = [(1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (3, "other words are here"), (3, "other words are here"), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *[f"7 AS {n}" for n in names])
+    kept = simhash.one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect() if r.doc_id is not None) == [(1, "a b c d", *[7] * 12), (3, "other words are here", *[7] * 12), (4, None, *[7] * 12)]
+    assert kept.count() == 4 and simhash.one_of_each_group(docs.limit(0)).count() == 0

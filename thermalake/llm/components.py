@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermalake.llm.common import cut
+from thermalake.llm.common import discard, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,19 +34,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of (a long, b long); component is the smallest node reachable.
 
     Self-links and repeated links are fine, nodes without another neighbour are
-    left out, nulls are ignored. Each round is cut through the checkpoint
-    folder. The loop ends when a round changes nothing and raises if
-    `max_rounds` is not enough.
+    left out, nulls are ignored. Each round is written as a table to the shared
+    folder, and the table before it deleted. The loop ends when a round changes
+    nothing and raises if `max_rounds` is not enough.
     """
+    spark = edges.sparkSession
     links = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    links = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    links, path = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     digest = lambda df: df.agg(
         F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_if(F.col("b") > F.col("a"))
     ).first()
     before = digest(links)
     for _ in range(max_rounds):
-        links = cut(_star(_star(links, large=True), large=False))
-        after = digest(links)
+        links, new = stored(_star(_star(links, large=True), large=False))
+        discard(spark, path)
+        path, after = new, digest(links)
         if after == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
                 links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

@@ -1,13 +1,15 @@
 """SimHash near-duplicates with pivot distance tables.
 
-Equal fingerprints collapse first. Two fingerprints that differ in at most 2
-of 64 bits differ in at most 2 of 8 bytes, so they agree on the other 6 for
-one of the 28 choices of 2 bytes: that byte sextet deals the distinct
-fingerprints out. At most 65,536 different fingerprints can share a sextet,
-which bounds every group whatever the input. Inside a group the Hamming
-distances to many reference fingerprints are tabulated; a pair whose distances
-to any reference differ by more than the threshold cannot be near (triangle
-inequality) and is discarded, and the survivors are verified on all bits.
+Equal fingerprints collapse first. The Hamming distances of every different
+fingerprint to many reference fingerprints, the pivots, are its coordinates.
+Two fingerprints that differ in at most 2 bits differ by at most 2 in each of
+them, so the first pivots deal the fingerprints into cells: a distance on the
+lower side of a cut, but within 2 of it, is sent to both sides. Inside a cell
+all pivots' distances are compared; a pair with a larger difference in any is
+discarded, and the survivors are verified on all bits. A cell that is still
+too full is split by what two near fingerprints must share: they differ in at
+most 2 of 8 bytes, so they agree on the other 6 for one of 28 choices, and at
+most 65,536 fingerprints agree on 6 bytes.
 """
 
 from __future__ import annotations
@@ -20,10 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermalake.llm.common import cut
+from thermalake.llm.common import carried, cut, shuffle_partitions
 from thermalake.llm.components import connected_components
 
 MAX_BITS = 2
+#: Parameters: pivots in all, those that deal at most, fingerprints a cell should hold, and those past which it is split.
+PIVOTS, DEALING, CELL, FULL = 16, 12, 1024, 8192
+_CUT = 33  # of 64 bits; half of all fingerprints are nearer to a pivot than that
 _CHUNK = 16_384
 
 
@@ -62,7 +67,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     )
 
 
-def references(count: int = 16) -> np.ndarray:
+def references(count: int = PIVOTS) -> np.ndarray:
     """The fixed reference fingerprints of the distance tables."""
     return np.random.default_rng(64).integers(0, 2**64, count, dtype=np.uint64)
 
@@ -111,22 +116,52 @@ def spanning_links(pairs: Iterator[tuple[np.ndarray, np.ndarray]], nodes: np.nda
     return {x: find(x) for x in list(parent)}
 
 
-def near_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def pivot_cells(fps: np.ndarray, pivots: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, cells): the cells of every fingerprint, by the side of the cut that each pivot's distance is on.
+
+    Those that lie below a cut by `max_bits` or less are in the cells of both
+    sides, so two fingerprints within `max_bits` share the cell that has the
+    upper side wherever either of them has it.
+    """
+    distance = np.bitwise_count(fps[:, None] ^ pivots[None, :]).astype(np.int64)
+    at, cell = np.arange(len(fps)), ((distance >= _CUT) << np.arange(len(pivots))).sum(1)
+    for j in range(len(pivots)):
+        both = np.flatnonzero((distance[at, j] < _CUT) & (distance[at, j] >= _CUT - max_bits))
+        at, cell = np.concatenate([at, at[both]]), np.concatenate([cell, cell[both] | 1 << j])
+    return at, cell
+
+
+def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, cell: int = CELL, full: int = FULL) -> DataFrame:
     """Links (a, b) between rows (fp long, node long) of different fingerprints.
 
     Direct or via others of the same group: enough links for the components,
     at most one per row and group, so dense groups don't grow quadratically.
+    The number of dealing pivots grows with that of the fingerprints, up to
+    DEALING; cells of more than `full` rows are split by bytes.
     """
     pivots = references()
+    n_pivots = min(DEALING, max(0, (distinct.count() // cell).bit_length()))
+    dealing = pivots[:n_pivots]
+    dealt_schema = pa.schema([("cell", pa.int32()), ("fp", pa.int64()), ("node", pa.int64())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, nodes = (c.to_numpy() for c in batch.columns)
+            at, cells = pivot_cells(fps.view(np.uint64), dealing, max_bits)
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(fps[at]), pa.array(nodes[at])], schema=dealt_schema)
+
+    dealt = distinct.select("fp", "node").mapInArrow(deal, "cell int, fp long, node long")
+    # at most 2^DEALING cells
+    crowded = [r["cell"] for r in dealt.groupBy("cell").count().filter(F.col("count") > full).collect()]
     free = [sum(0xFF << (8 * byte) for byte in pair) for pair in itertools.combinations(range(8), 2)]
     masks = (~np.array(free, np.uint64)).view(np.int64).tolist()
-    tagged = distinct.select(
-        "fp",
-        "node",
-        F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "bits"),
-    )
+    split = F.col("cell").isin(crowded) if crowded else F.lit(False)
+    whole = dealt.filter(~split).select("cell", "fp", "node", F.lit(-1).alias("choice"), F.lit(0).cast("long").alias("bits"))
+    by_bytes = dealt.filter(split).select("cell", "fp", "node", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "bits"))
+    # a group's work is far above its bytes, so the groups are dealt by number, not put together by size
+    tagged = whole.unionByName(by_bytes).repartition(shuffle_partitions(distinct.sparkSession), "cell", "choice", "bits")
     groups = (
-        tagged.groupBy("choice", "bits")
+        tagged.groupBy("cell", "choice", "bits")
         .agg(F.collect_list(F.struct("fp", "node")).alias("members"))
         .filter(F.size("members") > 1)
         .select("members")
@@ -175,21 +210,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS)
 def one_of_each_group(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
     """The input rows and columns without near-duplicates: of each component its smallest doc_id stays.
 
-    Of rows that repeat this id, one stays. Rows without an id cannot stand for
-    a group and are no document to compare: all of them stay.
+    Of rows that repeat this id, one stays, of those with the smallest hash of
+    the text. Null and empty texts are near-duplicates of each other. Rows
+    without an id cannot stand for a group and are no document to compare: all
+    of them stay. An empty table gives an empty one. Extra columns of any name
+    are carried along.
     """
-    named = docs.filter("doc_id IS NOT NULL")
     keepers = (
-        near_duplicates(named, shingle, max_bits)
+        near_duplicates(docs.filter("doc_id IS NOT NULL"), shingle, max_bits)
         .filter("doc_id = component_id")
-        .groupBy(F.col("component_id").alias("_id"))
-        .agg(F.min("text_hash").alias("_hash"))
-    )
-    met = named.withColumn("_text_hash", F.xxhash64("text")).join(
-        keepers.hint("shuffle_hash"),
-        (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_text_hash") == F.col("_hash")),
+        .groupBy("component_id")
+        .agg(F.min("text_hash").alias("text_hash"))
     )
-    kept = met.dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    rows = carried(docs, _id=F.col("doc_id").cast("long"), _hash=F.xxhash64("text"))
+    met = rows.join(keepers, (F.col("_id") == F.col("component_id")) & (F.col("_hash") == F.col("text_hash"))).select("row", "_id", "_hash")
+    # rows that repeat an id and a text are put together where they are read, before they are sent
+    kept = met.groupBy("_id", "_hash").agg(F.first("row").alias("row")).select("row.*")
     return kept.unionByName(docs.filter("doc_id IS NULL"))
 
 
