@@ -429,7 +429,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         "row long, doc_id long, word binary, n long, n_tokens long, n_known long, log_count double, rest double",
     )
     counts = model.vocabulary.select(F.col("word").alias("_word"), F.col("n").alias("c"))
-    met = sent.join(counts.hint("shuffle_hash"), F.col("word") == F.col("_word"), "left")
+    met = sent.join(counts, F.col("word") == F.col("_word"), "left")
     sums = met.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.sum("n_tokens").alias("n_tokens"),
