@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Kinds in the order of the digest; the first four are the base kinds.
-KINDS = ("email", "ip", "card", "phone", "url", "account", "address")
+KINDS = ("email", "ip", "card", "phone", "url", "account", "address", "secret")
 BASE = KINDS[:4]
 
-#: Words that announce an account number or a street address.
+#: Words that announce an account number, a street address or a secret.
 ACCOUNT_CUES = ("account", "acct", "iban", "routing", "passport", "ssn", "konto", "compte", "cuenta")
 STREET_CUES = ("street", "avenue", "road", "boulevard", "lane", "drive", "straße", "strasse", "rue", "calle")
 
+SECRET_CUES = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api-key", "access_key", "private_key", "auth_key", "bearer")
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _LABEL = re.compile(r"[A-Za-z0-9-]+")
 _DIGITS = re.compile(r"[0-9]+")
@@ -34,6 +36,8 @@ _ACCOUNT = re.compile(r"[\x20:#.=-]{0,4}((?:[A-Z]{2}[0-9]{2}[A-Z0-9]{4,30})|[0-9
 _HOUSE_AFTER = re.compile(r"[\x20,]{1,2}([0-9]{1,5}[A-Za-z]?)(?![A-Za-z0-9])")
 _HOUSE_BEFORE = re.compile(r"([0-9]{1,5}[A-Za-z]?)\x20(?:[^\W\d_]+\x20){0,3}$")
 
+_ASSIGNED = re.compile(r"[\"'\]]?\x20{0,2}(?:[:=]|=>|:=)\x20{0,2}[\"']?([A-Za-z0-9+/_.~$!@#%^&*-]{8,512})|\x20([A-Za-z0-9+/_.~-]{20,512}={0,2})(?![A-Za-z0-9])")
+
 SCHEMA = "doc_id long, spans array<struct<kind:string,start:long,end:long>>"
 _ARROW = pa.schema(
     [
@@ -116,6 +120,17 @@ def iban(code: str) -> bool:
     return len(code) >= 15 and int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def grow_secret(text: str, end: int) -> tuple[int, int] | None:
+    """The value that is assigned to, or follows, the cue before `end`: letters and digits together, 8 characters or more."""
+    found = _ASSIGNED.match(text, end)
+    if not found:
+        return None
+    group = 1 if found[1] else 2
+    value = found[group].rstrip(".,;:!?")
+    mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+    return (found.start(group), found.start(group) + len(value)) if mixed and len(value) >= 8 else None
+
+
 def _automaton():
     import ahocorasick
 
@@ -125,7 +140,7 @@ def _automaton():
     machine.add_word("@", ("at", 1))
     machine.add_word("+", ("plus", 1))
     machine.add_word("://", ("scheme", 3))
-    for kind, cues in (("account", ACCOUNT_CUES), ("street", STREET_CUES)):
+    for kind, cues in (("account", ACCOUNT_CUES), ("street", STREET_CUES), ("secret", SECRET_CUES)):
         for cue in cues:
             for form in {cue, cue.capitalize(), cue.upper()}:
                 machine.add_word(form, (kind, len(form)))
@@ -182,6 +197,9 @@ def find_spans(text: str, machine) -> list[tuple[str, int, int]]:
                 value = code[1]
                 if value[0].isdigit() or iban(value):
                     take("account", *code.span(1))
+        elif anchor == "secret":
+            if first >= floor["secret"] and (grown := grow_secret(text, last + 1)):
+                take("secret", *grown)
         elif grown := grow_street(text, first, last + 1, floor["address"]):
             take("address", *grown)
     return [(kind, start, end) for kind in KINDS for start, end in found[kind]]
@@ -190,8 +208,10 @@ def find_spans(text: str, machine) -> list[tuple[str, int, int]]:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id and its spans in code points, end exclusive.
 
-    Null and empty texts have no spans; repeated rows and null ids are kept as
-    rows of their own; other columns of the input are not read.
+    Null and empty texts have no spans; texts of any length are searched whole;
+    spans of one kind don't overlap, those of different kinds may. Repeated rows
+    and null ids are kept as rows of their own; other columns of the input are
+    not read; an empty table gives an empty one.
     """
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
