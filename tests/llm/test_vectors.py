@@ -71,3 +71,11 @@ def test_bounds_are_rigorous(dim):
     a, b = rng.normal(size=(40, dim)) * 1e3, rng.standard_cauchy(size=(50, dim))
     near, bound = tile_product(Quantised(a), Quantised(b))
     assert (np.abs(near - a @ b.T) <= bound).all()
+
+
+def test_vectors_of_extreme_size(spark):
+    rows = [(i, [s * x for x in (1.0, 2.0, 3.0)], "a") for i, s in enumerate((1e200, 2e200, 1e-200, 3e-310, 1.0))] + [(9, [0.0, 0.0, 1e200], "a")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    assert sorted(tuple(r) for r in embdedup.near_duplicates(table).collect()) == [(i, 4, 0, i == 0) for i in range(5)] + [(9, 0, 9, True)]
+    got = ann.nearest(table, F.col("vec_id") == 0).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == [1, 9, 4, 2, 3] and got[0].score == INF

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from thermalake.llm.common import cut, shuffle_partitions
 from thermalake.llm.components import connected_components
-from thermalake.llm.tiles import Quantised, dot_pairs, floats, one_row_per_id, tile_product, usable, vectors
+from thermalake.llm.tiles import Quantised, dot_pairs, floats, one_row_per_id, scaled, tile_product, usable, vectors
 
 BLOCK = 2048
 _PAIRS = 1 << 17  # recomputed at a time
@@ -28,7 +28,7 @@ def tile_links(table: pa.Table, threshold: float) -> pa.Table:
     """(vec_id, links, low) for the linked vectors of one tile: rows of side 0, and of side 1 unless it meets itself."""
     dim = table["dim"][0].as_py()
     ids, side = table["vec_id"].to_numpy(), table["side"].to_numpy()
-    rows = vectors(table["embedding"], dim)
+    rows = scaled(vectors(table["embedding"], dim))  # by powers of two, which leaves every cosine as it is
     units = rows / np.sqrt((rows**2).sum(1))[:, None]
     left = np.flatnonzero(side == 0)
     right = np.flatnonzero(side == 1) if (side == 1).any() else left
@@ -77,7 +77,8 @@ def near_duplicates(vecs: DataFrame, threshold: float = 0.93, block: int = BLOCK
     null or non-finite components, and vectors of another dimension link with
     nothing. component_id is the smallest vec_id reachable. Of rows that repeat
     a vec_id, the one with the largest label, then embedding counts; rows
-    without an id are returned one by one, unlinked.
+    without an id are returned one by one, unlinked. An empty table gives an
+    empty one; extra columns are not read.
     """
     table = floats(vecs).select("vec_id", "embedding", F.col("label").cast("string"))
     rows = cut(one_row_per_id(table, "vec_id", "label", "embedding"))

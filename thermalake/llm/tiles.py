@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 #: Longest run of components whose int8 products sum exactly in single precision.
 _EXACT = 1024
-#: Above what rounding in the few double operations of a bound can make up, relative to the vectors' lengths.
-_SLACK = 1e-9
+#: Above what rounding in the few double operations of a bound can make up, relative to the vectors' lengths, and in absolute terms.
+_SLACK, _TINY = 1e-9, 1e-300
 
 
 class Quantised:
     """Rows x as codes * scale + error, with the length of each row and of its error."""
 
+    @np.errstate(over="ignore")
     def __init__(self, rows: np.ndarray):
         top = np.abs(rows).max(1, initial=0.0)
         self.scale = np.where(top > 0, top / 127.0, 1.0)
@@ -25,6 +26,7 @@ class Quantised:
         self.length = np.sqrt((rows**2).sum(1))
 
 
+@np.errstate(over="ignore", invalid="ignore")
 def tile_product(a: Quantised, b: Quantised) -> tuple[np.ndarray, np.ndarray]:
     """Approximate inner products of all rows of a with all of b, and bounds of their errors.
 
@@ -39,10 +41,20 @@ def tile_product(a: Quantised, b: Quantised) -> tuple[np.ndarray, np.ndarray]:
     total *= b.scale[None, :]
     longer = a.length + a.error
     bound = a.error[:, None] * b.length[None, :] + longer[:, None] * b.error[None, :]
-    bound += _SLACK * longer[:, None] * (b.length + b.error)[None, :]
+    bound += _SLACK * longer[:, None] * (b.length + b.error)[None, :] + _TINY
+    # lengths past the range of doubles bound nothing: such pairs always count as possible
+    open_ = ~(np.isfinite(total) & np.isfinite(bound))
+    total[open_], bound[open_] = 0.0, np.inf
     return total, bound
 
 
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest components to between 1/2 and 1, so that their squares keep in range."""
+    _, power = np.frexp(np.abs(rows).max(1, initial=0.0))
+    return np.ldexp(rows, -power[:, None])
+
+
+@np.errstate(over="ignore", invalid="ignore")
 def dot_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Double precision inner products of aligned rows, summed from the first component to the last."""
     return (a * b).cumsum(1)[:, -1]
