@@ -57,6 +57,11 @@ def valid_bt(bt: Column) -> Column:
     return finite(bt) & (bt > 0) & (bt < BT_LIMIT)
 
 
+def limb_value(angle: float) -> float:
+    """`limb` of one angle, on the driver."""
+    return math.log(math.cos(math.radians(angle)) + 2.0) / math.log(math.cos(math.radians(REFERENCE_ANGLE)) + 2.0)
+
+
 def limb(angle: Column) -> Column:
     """Logarithmic limb function of a zenith angle in degrees, 1 at the reference angle."""
     return F.log(F.cos(F.radians(angle)) + 2.0) / F.lit(math.log(math.cos(math.radians(REFERENCE_ANGLE)) + 2.0))

@@ -7,16 +7,20 @@ system whose size depends on the model alone.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thermalake.functions.physics import limb_value, polynomial, polynomial_terms
 from thermalake.functions.rng import uniform
 from thermalake.operators.sampling import quantiles, running
 
+_BUILT_IN = 9  # columns whose products built-in aggregates sum
 _STATS = pa.schema([("at", pa.int32()), ("value", pa.float64())])
 
 
@@ -41,36 +45,129 @@ def summed(df: DataFrame, columns: Sequence[Column], reduce: Callable[[np.ndarra
     return out
 
 
-def least_squares(df: DataFrame, terms: Sequence[Column], target: Column, weight: Column | None = None) -> np.ndarray:
-    """Intercept and coefficients of weighted least squares; the smallest in norm if the system is singular."""
-    size = len(terms) + 1
+def gram(df: DataFrame, columns: Sequence[Column], weight: Column, means: Sequence[float] | None = None) -> np.ndarray:
+    """The matrix of weighted sums of products of (1, columns), each column less its mean; rows with nulls are left out.
 
-    def gram(block: np.ndarray) -> np.ndarray:
-        x = np.concatenate([np.ones((len(block), 1)), block[:, :-1]], 1)
-        return (x * block[:, -1:]).T @ x
+    Few columns are summed by built-in aggregates, many as blocks in tasks.
+    """
+    means = [0.0] * len(columns) if means is None else [float(m) for m in means]
+    centred = [c.cast("double") - F.lit(m) for c, m in zip(columns, means, strict=True)]
+    size = len(columns) + 1
+    if size > _BUILT_IN:
+
+        def products(block: np.ndarray) -> np.ndarray:
+            x = np.concatenate([np.ones((len(block), 1)), block[:, :-1]], 1)
+            return (x * block[:, -1:]).T @ x
+
+        got = summed(df, [*centred, weight], products)
+        return got.reshape(size, size) if got.size else np.zeros((size, size))
+    named = df.select(F.lit(1.0).alias("c0"), *[c.alias(f"c{i + 1}") for i, c in enumerate(centred)], weight.cast("double").alias("w")).na.drop()
+    cells = [(i, j) for i in range(size) for j in range(i, size)]
+    row = named.agg(*[F.sum(F.col("w") * F.col(f"c{i}") * F.col(f"c{j}")).alias(f"g{i}_{j}") for i, j in cells]).first()
+    out = np.zeros((size, size))
+    for i, j in cells:
+        out[i, j] = out[j, i] = row[f"g{i}_{j}"] or 0.0
+    return out
 
-    got = summed(df, [*terms, target, weight if weight is not None else F.lit(1.0)], gram)
-    if not got.size:
+
+def solve(full: np.ndarray) -> np.ndarray:
+    """Intercept and coefficients from the products of (1, terms, target); the smallest in norm if the terms depend on each other."""
+    return np.linalg.lstsq(full[:-1, :-1], full[:-1, -1], rcond=1e-14)[0]
+
+
+def spread(df: DataFrame, columns: Sequence[Column], weight: Column) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted means and population scales over rows without nulls; constant columns have scale 1."""
+    named = df.select(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)], weight.cast("double").alias("w")).na.drop()
+    at = range(len(columns))
+    row = named.agg(F.sum("w").alias("w"), *[f(i) for i in at for f in (lambda i: F.sum(F.col("w") * F.col(f"c{i}")).alias(f"m{i}"), lambda i: F.min(f"c{i}").alias(f"low{i}"), lambda i: F.max(f"c{i}").alias(f"high{i}"))]).first()
+    if not row["w"]:
         raise ValueError("no complete rows to fit")
-    full = got.reshape(size + 1, size + 1)
-    return np.linalg.lstsq(full[:size, :size], full[:size, size], rcond=None)[0]
+    mean = np.array([row[f"m{i}"] / row["w"] for i in at])
+    second = named.agg(*[F.sum(F.col("w") * F.pow(F.col(f"c{i}") - float(mean[i]), F.lit(2.0))).alias(f"v{i}") for i in at]).first()
+    scale = np.array([math.sqrt(second[f"v{i}"] / row["w"]) if row[f"low{i}"] < row[f"high{i}"] else 1.0 for i in at])
+    return mean, np.where(scale > 0, scale, 1.0)
+
+
+def least_squares(df: DataFrame, terms: Sequence[Column], target: Column, weight: Column | None = None) -> np.ndarray:
+    """Intercept and coefficients of weighted least squares; the smallest in norm if the system is singular.
+
+    The terms are centred and scaled first, and the result is mapped back.
+    """
+    weight = F.lit(1.0) if weight is None else weight
+    mean, scale = spread(df, [*terms, target], weight)
+    z = [(t - float(m)) / float(s) for t, m, s in zip(terms, mean, scale, strict=False)]
+    found = solve(gram(df, [*z, target], weight, [*np.zeros(len(z)), mean[-1]]))
+    slopes = found[1:] / scale[:-1]
+    return np.r_[found[0] + mean[-1] - slopes @ mean[:-1], slopes]
+
 
+@dataclass(frozen=True)
+class Polynomial:
+    """A polynomial in values that are centred and scaled first; terms in the order of `polynomial_terms`."""
 
-def huber(df: DataFrame, terms: Sequence[Column], target: Column, weight: Column, cutoff: float = 1.345, rounds: int = 50, tol: float = 1e-6) -> np.ndarray:
-    """Robust regression by reweighting; the scale is 1.4826 times the median absolute residual of the first fit."""
-    linear = lambda c: sum((F.lit(float(k)) * t for k, t in zip(c[1:], terms, strict=True)), F.lit(float(c[0])))
-    now = least_squares(df, terms, target, weight)
-    scale = 1.4826 * (quantiles(df, [], F.abs(target - linear(now)), [0.5]).first()[0] or 0.0)
-    if scale <= 0:
+    mean: tuple[float, ...]
+    scale: tuple[float, ...]
+    degree: int
+    intercept: float
+    coefficients: tuple[float, ...]
+
+    def scaled(self, values: Sequence[Column]) -> list[Column]:
+        return [(v - F.lit(m)) / F.lit(s) for v, m, s in zip(values, self.mean, self.scale, strict=True)]
+
+    def column(self, values: Sequence[Column]) -> Column:
+        return polynomial(self.scaled(values), self.coefficients, self.intercept, self.degree)
+
+
+def fit_polynomial(df: DataFrame, values: Sequence[Column], target: Column, weight: Column | None = None, degree: int = 1) -> Polynomial:
+    """Weighted least squares of all monomials of the standardised values up to a degree.
+
+    A second pass over the residuals takes up what rounding left in the first.
+    """
+    weight = F.lit(1.0) if weight is None else weight
+    mean, scale = spread(df, [*values, target], weight)
+    frame = Polynomial(tuple(map(float, mean[:-1])), tuple(map(float, scale[:-1])), degree, 0.0, ())
+    terms = polynomial_terms(frame.scaled(values), degree)
+    full = gram(df, [*terms, target], weight, [*np.zeros(len(terms)), mean[-1]])
+    found = solve(full)
+    first = replace(frame, intercept=float(found[0] + mean[-1]), coefficients=tuple(map(float, found[1:])))
+    left = gram(df, [*terms, target - first.column(values)], weight)
+    found = found + solve(left)
+    return replace(frame, intercept=float(found[0] + mean[-1]), coefficients=tuple(map(float, found[1:])))
+
+
+def huber_polynomial(df: DataFrame, values: Sequence[Column], target: Column, weight: Column, degree: int = 1, cutoff: float = 1.345, rounds: int = 50, tol: float = 1e-6) -> Polynomial:
+    """Robust regression by reweighting: the scale is 1.4826 times the median absolute residual of the first fit.
+
+    Ends when no prediction moves by more than `tol` times the scale. The
+    columns that it needs are kept by the executors while it runs.
+    """
+    kept = df.select(*[v.cast("double").alias(f"x{i}") for i, v in enumerate(values)], target.cast("double").alias("y"), weight.cast("double").alias("w")).na.drop().persist()
+    try:
+        x, y, w = [F.col(f"x{i}") for i in range(len(values))], F.col("y"), F.col("w")
+        now = fit_polynomial(kept, x, y, w, degree)
+        scale = 1.4826 * (quantiles(kept, [], F.abs(y - now.column(x)), [0.5]).first()[0] or 0.0)
+        if scale <= 0:
+            return now
+        terms = polynomial_terms(now.scaled(x), degree)
+        for _ in range(rounds):
+            residual = F.abs(y - now.column(x))
+            trust = F.least(F.lit(1.0), F.lit(cutoff * scale) / F.greatest(residual, F.lit(1e-300)))
+            step = solve(gram(kept, [*terms, y - now.column(x)], w * trust))
+            after = replace(now, intercept=now.intercept + float(step[0]), coefficients=tuple(float(a + b) for a, b in zip(now.coefficients, step[1:], strict=True)))
+            moved = kept.agg(F.max(F.abs(after.column(x) - now.column(x)))).first()[0]
+            now = after
+            if moved <= tol * scale:
+                break
         return now
-    for _ in range(rounds):
-        residual = F.abs(target - linear(now))
-        trust = F.least(F.lit(1.0), F.lit(cutoff * scale) / F.greatest(residual, F.lit(1e-12)))
-        after = least_squares(df, terms, target, weight * trust)
-        if np.abs(after - now).max() < tol * max(1.0, np.abs(now).max()):
-            return after
-        now = after
-    return now
+    finally:
+        kept.unpersist()
+
+
+def huber(df: DataFrame, terms: Sequence[Column], target: Column, weight: Column, **settings) -> np.ndarray:
+    """Intercept and coefficients of `huber_polynomial` in given terms."""
+    fit = huber_polynomial(df, terms, target, weight, 1, **settings)
+    slopes = np.array(fit.coefficients) / np.array(fit.scale)
+    return np.r_[fit.intercept - slopes @ np.array(fit.mean), slopes]
 
 
 def standardise(cells: list, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,83 +195,195 @@ def principal_axes(cov: np.ndarray, scale: np.ndarray, keep: float = 0.98) -> tu
     return (axes * sign[:, None])[:count], values[:count]
 
 
-def mixture(df: DataFrame, columns: Sequence[Column], k: int, seed: int = 42, rounds: int = 100, tol: float = 1e-3, floor: float = 1e-6) -> dict:
-    """A Gaussian mixture of full covariances by expectation maximisation over every row.
+def starting_means(rows: DataFrame, k: int, starts: int, seed: int) -> np.ndarray:
+    """(starts, k, columns): different rows drawn by a keyed hash of their values, without a sort of all rows."""
+    wanted = 4 * k * starts
+    drawn = rows.orderBy(uniform(seed, *rows.columns), *rows.columns).limit(wanted).collect()
+    seen = list(dict.fromkeys(tuple(r) for r in drawn))
+    if len(seen) < k and len(drawn) == wanted:  # rows repeat often
+        seen = [tuple(r) for r in rows.distinct().orderBy(uniform(seed, *rows.columns), *rows.columns).limit(wanted).collect()]
+    if len(seen) < k:
+        raise ValueError("fewer distinct rows than components")
+    order = np.random.default_rng(seed)
+    return np.array([[seen[i] for i in order.permutation(len(seen))[:k]] for _ in range(starts)])
+
+
+def log_densities(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    """log of weight times density, rows by components."""
+    out = np.empty((len(x), len(weight)))
+    for j in range(len(weight)):
+        chol = np.linalg.cholesky(cov[j])
+        z = np.linalg.solve(chol, (x - mean[j]).T)
+        out[:, j] = np.log(weight[j]) - (z * z).sum(0) / 2 - np.log(np.diagonal(chol)).sum() - x.shape[1] / 2 * np.log(2 * np.pi)
+    return out
+
+
+def mixture(df: DataFrame, columns: Sequence[Column], k: int, seed: int = 42, starts: int = 5, rounds: int = 200, tol: float = 1e-4, floor: float = 1e-6) -> dict:
+    """A Gaussian mixture of full covariances by expectation maximisation over every row, the best of several starts.
 
-    Starts from k rows drawn by a keyed hash of their values. Raises if a
-    component loses its mass.
+    Each start begins with k drawn rows as means, equal weights and the
+    variances of all rows. All starts go on in the same passes over the data,
+    whose moments are taken around the present means. A start ends when its
+    mean log likelihood changes by less than `tol`; one whose component loses
+    its mass is set aside. Raises if no start ends in time. The result has
+    `attempts` with start, loglik, rounds and status of each.
     """
-    d = len(columns)
-    chosen = df.select(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).na.drop().distinct()
-    start = chosen.orderBy(uniform(seed, *chosen.columns), *chosen.columns).limit(k).collect()
-    if len(start) < k:
-        raise ValueError("fewer distinct rows than components")
-    mean = np.array([list(r) for r in start])
-    first = summed(df, columns, lambda x: np.r_[len(x), x.sum(0), (x * x).sum(0)])
-    n = first[0]
-    var = first[1 + d :] / n - (first[1 : 1 + d] / n) ** 2
-    weight, cov, before = np.full(k, 1 / k), np.stack([np.diag(var + floor)] * k), -np.inf
+    named = [c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)]
+    rows = df.select(*named).na.drop()
+    names, d = rows.columns, len(columns)
+    level = rows.agg(F.count("*").alias("n"), *[f(c).alias(f"{a}_{c}") for c in names for a, f in (("mean", F.avg), ("var", F.var_pop))]).first()
+    n, centre = level["n"], np.array([level[f"mean_{c}"] or 0.0 for c in names])
+    rows = rows.select(*[(F.col(c) - F.lit(float(m))).alias(c) for c, m in zip(names, centre, strict=True)]).persist()
+    try:
+        mean = starting_means(rows, k, starts, seed)
+        variance = np.diag([level[f"var_{c}"] for c in names]) + floor * np.eye(d)
+        state = {s: (np.full(k, 1 / k), mean[s], np.stack([variance] * k)) for s in range(starts)}
+        before, attempts, done, width = dict.fromkeys(state, -np.inf), {}, {}, 1 + k * (1 + d + d * d)
+        for count in range(1, rounds + 1):
+            running_ = sorted(state)
+            held = [state[s] for s in running_]
+
+            def step(x: np.ndarray, held=held) -> np.ndarray:
+                parts = []
+                for weight, mean, cov in held:
+                    logs = log_densities(x, weight, mean, cov)
+                    top = logs.max(1)
+                    density = top + np.log(np.exp(logs - top[:, None]).sum(1))
+                    share = np.exp(logs - density[:, None])
+                    parts += [[density.sum()], share.sum(0)]
+                    gaps = [x - m for m in mean]
+                    parts += [share[:, j] @ gaps[j] for j in range(k)]
+                    parts += [((gaps[j] * share[:, j : j + 1]).T @ gaps[j]).ravel() for j in range(k)]
+                return np.concatenate(parts)
+
+            got = summed(rows, [F.col(c) for c in names], step).reshape(len(running_), width)
+            for s, sums in zip(running_, got, strict=True):
+                now, mass = sums[0] / n, sums[1 : 1 + k]
+                if (mass <= 10 * np.finfo(float).eps * n).any():
+                    attempts[s] = {"start": s, "loglik": None, "rounds": count, "status": "a component lost its mass"}
+                    del state[s]
+                    continue
+                shift = sums[1 + k : 1 + k + k * d].reshape(k, d) / mass[:, None]
+                second = sums[1 + k + k * d :].reshape(k, d, d) / mass[:, None, None]
+                cov = second - np.einsum("ki,kj->kij", shift, shift) + floor * np.eye(d)
+                state[s] = (mass / n, state[s][1] + shift, cov)
+                if abs(now - before[s]) < tol:
+                    attempts[s] = {"start": s, "loglik": float(now), "rounds": count, "status": "converged"}
+                    done[s] = state.pop(s)
+                before[s] = now
+            if not state:
+                break
+        for s in state:
+            attempts[s] = {"start": s, "loglik": float(before[s]), "rounds": rounds, "status": "not converged"}
+    finally:
+        rows.unpersist()
+    if not done:
+        raise ValueError("no start converged: " + ", ".join(a["status"] for a in attempts.values()))
+    best = max(done, key=lambda s: (attempts[s]["loglik"], -s))
+    weight, mean, cov = done[best]
+    return {
+        "weight": weight, "mean": mean + centre, "covariance": cov, "loglik": attempts[best]["loglik"], "rounds": attempts[best]["rounds"],
+        "converged": True, "n": n, "attempts": [attempts[s] for s in sorted(attempts)],
+    }
+
+
+def mixture_criteria(df: DataFrame, columns: Sequence[Column], model: dict) -> dict:
+    """loglik (sum), entropy of the memberships, BIC and ICL = BIC + 2 entropy of a mixture over all rows, and how many are ambiguous.
+
+    A row is ambiguous if no component has 0.8 of it.
+    """
+    k, d = model["mean"].shape
+    centre = model["weight"] @ model["mean"]
+    near = model["mean"] - centre
 
     def step(x: np.ndarray) -> np.ndarray:
-        logs = np.empty((len(x), k))
-        for j in range(k):
-            chol = np.linalg.cholesky(cov[j])
-            z = np.linalg.solve(chol, (x - mean[j]).T)
-            logs[:, j] = np.log(weight[j]) - (z * z).sum(0) / 2 - np.log(np.diagonal(chol)).sum() - d / 2 * np.log(2 * np.pi)
+        logs = log_densities(x - centre, model["weight"], near, model["covariance"])
         top = logs.max(1)
         density = top + np.log(np.exp(logs - top[:, None]).sum(1))
         share = np.exp(logs - density[:, None])
-        parts = [[density.sum()], share.sum(0), (share.T @ x).ravel()]
-        parts += [((x * share[:, j : j + 1]).T @ x).ravel() for j in range(k)]
-        return np.concatenate(parts)
-
-    for count in range(rounds):
-        got = summed(df, columns, step)
-        level, mass = got[0] / n, got[1 : 1 + k]
-        if (mass <= 10 * np.finfo(float).eps * n).any():
-            raise ValueError("a component lost its mass")
-        weight = mass / n
-        mean = got[1 + k : 1 + k + k * d].reshape(k, d) / mass[:, None]
-        second = got[1 + k + k * d :].reshape(k, d, d) / mass[:, None, None]
-        cov = second - np.einsum("ki,kj->kij", mean, mean) + floor * np.eye(d)
-        if abs(level - before) < tol:
-            return {"weight": weight, "mean": mean, "covariance": cov, "loglik": level, "rounds": count + 1, "converged": True}
-        before = level
-    return {"weight": weight, "mean": mean, "covariance": cov, "loglik": before, "rounds": rounds, "converged": False}
-
-
-def shape_parameters(df: DataFrame, keys: Sequence[str], first: Column, second: Column, ratio: Column, rounds: int = 20, bound: float = 0.999) -> DataFrame:
-    """(keys, n, b, rmse): the shape under which (1 + b first) / (1 + b second) is nearest to the observed ratios.
-
-    Gauss-Newton for all groups at once, one aggregation each; b stays within
-    the bound. Groups without spread in the two basis values raise nothing and
-    return null.
+        return np.array([len(x), density.sum(), -(share * np.log(np.maximum(share, 1e-300))).sum(), (share.max(1) < 0.8).sum()])
+
+    n, loglik, entropy, ambiguous = summed(df, columns, step)
+    free = k - 1 + k * d + k * d * (d + 1) // 2
+    bic = -2 * loglik + free * math.log(n)
+    return {"n": int(n), "loglik": float(loglik), "entropy": float(entropy), "bic": float(bic), "icl": float(bic + 2 * entropy), "ambiguous": int(ambiguous)}
+
+
+def candidates(df: DataFrame, columns: Sequence[Column], ks: Sequence[int], least_rows: int = 100, **settings) -> list[dict]:
+    """The best start of each number of components with its criteria; raises if a component would have fewer than `least_rows` rows on average."""
+    out = []
+    for k in ks:
+        model = mixture(df, columns, k, **settings)
+        if model["n"] < least_rows * k:
+            raise ValueError(f"fewer than {least_rows} rows per component at {k} components")
+        out.append({"k": k, "model": model, **mixture_criteria(df, columns, model)})
+    return out
+
+
+def positive_bounds(basis: Sequence[float], margin: float = 1e-6) -> tuple[float, float]:
+    """Between which values of b the shape 1 + b * basis stays above the margin, over basis values of the hemisphere."""
+    room = margin - 1.0
+    low = max((room / g for g in basis if g > 0), default=-np.inf)
+    high = min((room / g for g in basis if g < 0), default=np.inf)
+    return low, high
+
+
+def shape_parameters(
+    df: DataFrame, keys: Sequence[str], first: Column, second: Column, ratio: Column, angles: tuple[Column, Column] | None = None,
+    bounds: tuple[float, float] | None = None, least_pairs: int = 100, least_variance: float = 0.01, rounds: int = 60,
+) -> DataFrame:
+    """(keys, n, b, rmse, support): the shape under which (1 + b first) / (1 + b second) is nearest to the observed ratios.
+
+    Gauss-Newton for all groups at once, one aggregation each, held between the
+    last parameters on either side of the minimum. b stays where the shape is
+    positive over the hemisphere. Groups of fewer than `least_pairs` pairs, or
+    whose `angles` differ by about the same everywhere (a variance below
+    `least_variance`), have no b, and support says why. Groups are those of a
+    model, a few; a null key is a group.
     """
-    rows = df.select(*keys, first.alias("_p"), second.alias("_q"), ratio.alias("_r")).na.drop(subset=["_p", "_q", "_r"])
-    spark, now = df.sparkSession, {}
-    names = [f"_k{i}" for i in range(len(keys))]
-    for step in range(rounds):
-        if now:
-            table = spark.createDataFrame([(*k, b) for k, b in now.items()], [*names, "_b"])
+    low, high = bounds or positive_bounds([limb_value(90 * i / 900) - 1 for i in range(901)])
+    gap = F.lit(None).cast("double") if angles is None else (angles[0] - angles[1]).cast("double")
+    kinds = dict(df.dtypes)
+    rows = df.select(*keys, first.cast("double").alias("_p"), second.cast("double").alias("_q"), ratio.cast("double").alias("_r"), gap.alias("_gap"))
+    rows = rows.na.drop(subset=["_p", "_q", "_r"]).persist()
+    try:
+        counted = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.var_pop("_gap").alias("v"), F.max(F.abs(F.col("_p") - F.col("_q"))).alias("far")).collect()
+        support = {}
+        for g in counted:
+            few, alike = g["n"] < least_pairs, (angles is not None and g["v"] < least_variance) or not g["far"]
+            support[tuple(g[k] for k in keys)] = "too few pairs" if few else "too little angular diversity" if alike else "ok"
+        open_ = {k: [low, high, min(max(0.0, low), high)] for k, why in support.items() if why == "ok"}
+        b, rmse = {}, {}
+        schema = ", ".join([*(f"_k{i} {kinds[k]}" for i, k in enumerate(keys)), "_b double"])
+        for _ in range(rounds):
+            if not open_:
+                break
+            table = df.sparkSession.createDataFrame([(*k, at) for k, (_, _, at) in open_.items()], schema)
             on = F.lit(True)
-            for k, name in zip(keys, names, strict=True):
-                on = on & (F.col(k) == F.col(name))
-            # one row per group of the model, as many as it has parameters
-            own = rows.join(F.broadcast(table), on).drop(*names)
-        else:
-            own = rows.withColumn("_b", F.lit(0.0))
-        top, low = 1.0 + F.col("_b") * F.col("_p"), 1.0 + F.col("_b") * F.col("_q")
-        residual, slope = top / low - F.col("_r"), (F.col("_p") - F.col("_q")) / (low * low)
-        got = own.groupBy(*keys).agg(
-            F.count("*").alias("n"), F.first("_b").alias("b"), F.sum(slope * slope).alias("jj"), F.sum(slope * residual).alias("jr"), F.sqrt(F.avg(residual * residual)).alias("rmse")
-        ).collect()
-        after = {tuple(g[k] for k in keys): float(np.clip(g["b"] - g["jr"] / g["jj"], -bound, bound)) if g["jj"] else None for g in got}
-        done = step and all(b is None or abs(b - now[k]) < 1e-10 for k, b in after.items() if k in now)
-        now = {k: b for k, b in after.items() if b is not None}
-        if done or not now:
-            break
-    schema = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys) + ", n long, b double, rmse double"
-    return spark.createDataFrame([(*[g[k] for k in keys], g["n"], now.get(tuple(g[k] for k in keys)), g["rmse"]) for g in got], schema)
+            for i, k in enumerate(keys):
+                on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+            own = rows.join(table, on)
+            bottom = 1.0 + F.col("_b") * F.col("_q")
+            residual, slope = (1.0 + F.col("_b") * F.col("_p")) / bottom - F.col("_r"), (F.col("_p") - F.col("_q")) / (bottom * bottom)
+            own = own.select(*keys, residual.alias("_e"), slope.alias("_s"))
+            sums = own.groupBy(*keys).agg(F.sum(F.col("_s") * F.col("_s")).alias("jj"), F.sum(F.col("_s") * F.col("_e")).alias("jr"), F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"))
+            for g in sums.collect():
+                key = tuple(g[k] for k in keys)
+                left, right, at = open_[key]
+                left, right = (left, at) if g["jr"] > 0 else (at, right)
+                new = at - g["jr"] / g["jj"]
+                if not left < new < right:
+                    new = (left + right) / 2
+                b[key], rmse[key] = at, g["rmse"]
+                if g["jr"] == 0 or abs(new - at) < 1e-10 * max(1.0, abs(at)):
+                    b[key] = new if g["jr"] else at
+                    del open_[key]
+                else:
+                    open_[key] = [left, right, new]
+    finally:
+        rows.unpersist()
+    out = [(*(g[k] for k in keys), g["n"], b.get(tuple(g[k] for k in keys)), rmse.get(tuple(g[k] for k in keys)), support[tuple(g[k] for k in keys)]) for g in counted]
+    return df.sparkSession.createDataFrame(out, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "n long, b double, rmse double, support string"]))
 
 
 def view_retrieval(df: DataFrame, keys: Sequence[str], basis: Column, radiance: Column, basis_integral: float) -> DataFrame:
@@ -191,11 +400,45 @@ def view_retrieval(df: DataFrame, keys: Sequence[str], basis: Column, radiance:
     )
 
 
+def deal_sizes(counts: dict[int, int], folds: int) -> list[tuple[int, int, list[int]]]:
+    """(size, from_rank, pattern): which folds groups of a size go to in turn, if each goes to the lightest fold, largest groups first.
+
+    `counts` has the number of groups per size. Groups of one size go around
+    the folds that are lightest by less than that size, and more folds join in
+    as these fill up, so a size has as many patterns as folds at most.
+    """
+    loads, out = [0] * folds, []
+    for size in sorted(counts, reverse=True):
+        left, rank = counts[size], 0
+        while left:
+            low = min(loads)
+            turn = [f for _, f in sorted((load, f) for f, load in enumerate(loads) if load < low + size)]
+            others = [load for f, load in enumerate(loads) if f not in turn]
+            dealt = min(left, (min(others) - low) // size * len(turn)) if others else left
+            out.append((size, rank, turn))
+            for place, f in enumerate(turn):
+                loads[f] += size * (dealt // len(turn) + (place < dealt % len(turn)))
+            left, rank = left - dealt, rank + dealt
+    return out
+
+
 def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
-    """(group, size, fold): groups of equal size are dealt to the folds in turn, so that folds get equal shares of each."""
+    """(group, size, fold): from the largest group to the smallest, and by name, each goes to the lightest fold.
+
+    The rule needs only how many groups each size has, one row per different
+    size; ranks among groups of a size come from range partitions.
+    """
     sizes = df.groupBy(group).agg(F.count("*").alias("size"))
-    dealt = running(sizes.withColumn("_one", F.lit(1)), ["size"], group, "_one")
-    return dealt.select(group, "size", F.pmod(F.col("so_far") + F.col("size"), F.lit(folds)).cast("int").alias("fold"))
+    ranked = running(sizes.withColumn("_one", F.lit(1)), ["size"], group, "_one").withColumn("_rank", F.col("so_far") - 1)
+    counts = {r["size"]: r["count"] for r in ranked.groupBy("size").count().collect()}
+    dealt: dict[int, list] = {}
+    for size, rank, turn in deal_sizes(counts, folds):
+        dealt.setdefault(size, []).append({"from": rank, "turn": turn})
+    table = df.sparkSession.createDataFrame(list(dealt.items()), "_size long, _turns array<struct<from: long, turn: array<int>>>")
+    met = ranked.join(table, F.col("size") == F.col("_size"))
+    own = F.element_at(F.filter("_turns", lambda t: t["from"] <= F.col("_rank")), -1)
+    fold = own["turn"][((F.col("_rank") - own["from"]) % F.size(own["turn"])).cast("int")]
+    return met.select(group, "size", fold.alias("fold"))
 
 
 def best_matching(gain: np.ndarray) -> list[int]:
@@ -232,12 +475,24 @@ def stability(cells: DataFrame) -> dict:
     return {label: float(jaccard[i, match[i]]) for i, label in enumerate(a)}
 
 
-def cross_validated(df: DataFrame, terms: Sequence[Column], target: Column, weight: Column, fold: Column, folds: int) -> DataFrame:
-    """The rows with `prediction`, each by the regression of all other folds.
+def cross_validated(df: DataFrame, values: Sequence[Column], target: Column, weight: Column, fold: Column, folds: int, degree: int = 1) -> DataFrame:
+    """The rows with `prediction`, each by the polynomial regression of all other folds.
 
-    One pass gathers the normal equations of every fold; those of a training
-    set are the sum of all but one. Raises if a fold leaves too few rows.
+    One pass gathers the products of every fold; those of a training set are
+    the sum of all but one. Raises if a fold leaves too few rows.
     """
+    predictions = fold_models(df, values, target, weight, fold, folds, degree)
+    prediction = F.lit(None).cast("double")
+    for k, model in predictions.items():
+        prediction = F.when(fold == k, model.column(values)).otherwise(prediction)
+    return df.withColumn("prediction", prediction)
+
+
+def fold_models(df: DataFrame, values: Sequence[Column], target: Column, weight: Column, fold: Column, folds: int, degree: int = 1) -> dict[int, Polynomial]:
+    """The polynomial regression of all other folds, by fold."""
+    mean, scale = spread(df, [*values, target], weight)
+    frame = Polynomial(tuple(map(float, mean[:-1])), tuple(map(float, scale[:-1])), degree, 0.0, ())
+    terms = polynomial_terms(frame.scaled(values), degree)
     size = len(terms) + 1
 
     def grams(block: np.ndarray) -> np.ndarray:
@@ -248,19 +503,18 @@ def cross_validated(df: DataFrame, terms: Sequence[Column], target: Column, weig
             out[k] = (x[own] * block[own, -2:-1]).T @ x[own]
         return out
 
-    got = summed(df, [*terms, target, weight, fold], grams)
+    got = summed(df, [*terms, target - F.lit(float(mean[-1])), weight, fold], grams)
     if not got.size:
         raise ValueError("no complete rows to fit")
     each = got.reshape(folds, size + 1, size + 1)
-    prediction = F.lit(None).cast("double")
+    models = {}
     for k in range(folds):
         train = each.sum(0) - each[k]
         if train[0, 0] <= 0:
             raise ValueError("a fold leaves nothing to train on")
-        c = np.linalg.lstsq(train[:size, :size], train[:size, size], rcond=None)[0]
-        value = sum((F.lit(float(b)) * t for b, t in zip(c[1:], terms, strict=True)), F.lit(float(c[0])))
-        prediction = F.when(fold == k, value).otherwise(prediction)
-    return df.withColumn("prediction", prediction)
+        c = solve(train)
+        models[k] = replace(frame, intercept=float(c[0] + mean[-1]), coefficients=tuple(map(float, c[1:])))
+    return models
 
 
 def pooled_shape(df: DataFrame, keys: Sequence[str], file: str, basis: Sequence[Column], radiance: Column, grid: np.ndarray) -> list[dict]:
@@ -302,9 +556,7 @@ def pooled_shape(df: DataFrame, keys: Sequence[str], file: str, basis: Sequence[
         lead = half @ np.linalg.eigh(half.T @ m @ half)[1][:, -1]
         b = lead[1:] / lead[0]
         if p == 2:
-            low = max(((1e-6 - 1) / g for g in grid[:, 0] if g > 0), default=-np.inf)
-            high = min(((1e-6 - 1) / g for g in grid[:, 0] if g < 0), default=np.inf)
-            b = np.clip(b, low, high)
+            b = np.clip(b, *positive_bounds(grid[:, 0]))
         elif (1 + grid @ b <= 0).any():
             raise ValueError("the fitted shape is not positive everywhere")
         out.append({**{k: row[k] for k in keys}, "files": row["files"], "parameters": b.tolist()})

@@ -20,13 +20,58 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixture_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights and means of a mixture fitted to every row."""
+    """Weights and means of a mixture fitted to every row, the best of five starts."""
     df = _features(spark, sf_dir)
     m = fits.mixture(df, [F.col("f0"), F.col("f1")], 3)
     rows = [(int(i), float(m["weight"][i]), *map(float, m["mean"][i]), float(m["loglik"]), m["rounds"]) for i in m["mean"][:, 0].argsort()]
     return spark.createDataFrame(rows, "component int, weight double, mean0 double, mean1 double, loglik double, rounds int")
 
 
+OFFSETS = (0.0, 1e3, 1e6)
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three clusters far from each other, made of keys."""
+    k = F.col("o_orderkey") % 7
+    place = F.when(k < 4, 0).when(k < 6, 1).otherwise(2)
+    x = place * 18.0 + F.col("o_custkey") % 10 / 10.0
+    return table(spark, sf_dir, "orders").select(place.alias("place"), x.alias("x"), (place * place - 2.0 * place + F.col("o_totalprice") / 100000.0).alias("y"))
+
+
+def mixture_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same clusters are found wherever they lie; weights, means and variances of each."""
+    df, rows = _clusters(spark, sf_dir), []
+    for offset in OFFSETS:
+        m = fits.mixture(df, [F.col("x") + offset, F.col("y")], 3)
+        for place, i in enumerate(m["mean"][:, 0].argsort()):
+            rows.append((offset, place, round(float(m["weight"][i]), 6), round(float(m["mean"][i, 0]) - offset, 4), round(float(m["mean"][i, 1]), 4), round(float(m["covariance"][i, 0, 0]), 4)))
+    return spark.createDataFrame(rows, "offset double, component int, weight double, mean0 double, mean1 double, variance0 double")
+
+
+MIXTURE_OFFSETS = """WITH c AS (SELECT CASE WHEN o_orderkey % 7 < 4 THEN 0 WHEN o_orderkey % 7 < 6 THEN 1 ELSE 2 END AS k, o_custkey % 10 / 10.0 AS j, o_totalprice / 100000.0 AS p FROM orders),
+o(v) AS (VALUES """ + ", ".join(f"({v!r}::DOUBLE)" for v in OFFSETS) + """)
+SELECT v AS "offset", k::INTEGER AS component, round(count(*) / (SELECT count(*) FROM orders), 6) AS weight, round(avg(k * 18.0 + j), 4) AS mean0, round(avg(k * k - 2.0 * k + p), 4) AS mean1,
+  round(var_pop(j) + 1e-6, 4) AS variance0 FROM c, o GROUP BY v, k"""
+
+
+def mixture_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best start for each number of components with its criteria, and which one the information criterion chooses."""
+    df = _clusters(spark, sf_dir)
+    got = fits.candidates(df, [F.col("x"), F.col("y")], (1, 2, 3), least_rows=10)
+    best = min(got, key=lambda c: c["bic"])["k"]
+    rows = [(c["k"], c["n"], round(c["loglik"] / c["n"], 5), round(c["entropy"], 3), c["ambiguous"], c["k"] == best, c["icl"] >= c["bic"]) for c in got[:1] + got[2:]]
+    return spark.createDataFrame(rows, "k int, n long, loglik double, entropy double, ambiguous long, chosen boolean, ordered boolean")
+
+
+_CLUSTERS = """c AS (SELECT CASE WHEN o_orderkey % 7 < 4 THEN 0 WHEN o_orderkey % 7 < 6 THEN 1 ELSE 2 END AS k, o_custkey % 10 / 10.0 AS j, o_totalprice / 100000.0 AS p FROM orders),
+r AS (SELECT k, k * 18.0 + j AS x, k * k - 2.0 * k + p AS y FROM c)"""
+_LEVEL = "ln({share}) - ln(2 * pi()) - ln((var_pop(x) + 1e-6) * (var_pop(y) + 1e-6) - pow(covar_pop(x, y), 2)) / 2 - ((var_pop(x) * (var_pop(y) + 1e-6) + var_pop(y) * (var_pop(x) + 1e-6) - 2 * pow(covar_pop(x, y), 2)) / ((var_pop(x) + 1e-6) * (var_pop(y) + 1e-6) - pow(covar_pop(x, y), 2))) / 2"
+MIXTURE_CANDIDATES = f"""WITH {_CLUSTERS}, n AS (SELECT count(*) AS n FROM r),
+g AS (SELECT k, count(*) AS m, {_LEVEL.format(share="count(*) / (SELECT n FROM n)")} AS level FROM r GROUP BY k)
+SELECT 1::INTEGER AS k, count(*) AS n, round({_LEVEL.format(share="1.0")}, 5) AS loglik, 0.0::DOUBLE AS entropy, 0::BIGINT AS ambiguous, false AS chosen, true AS ordered FROM r
+UNION ALL SELECT 3, (SELECT n FROM n), round(sum(m * level) / (SELECT n FROM n), 5), 0.0, 0, true, true FROM g"""
+
+
 def principal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores on the axes that hold over 98 % of the standardised variance."""
     df = _features(spark, sf_dir)
@@ -37,20 +82,23 @@ def principal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("vec_id", *[F.round(score(a), 6).alias(f"z{i}") for i, a in enumerate(axes)])
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Radiance ratios at two angles under a known shape per flag."""
-    p, q = physics.limb(F.col("l_quantity") * 1.3) - 1.0, physics.limb(F.col("l_tax") * 800.0) - 1.0
-    df = table(spark, sf_dir, "lineitem").withColumn("b", F.when(F.col("l_returnflag") == "A", -0.1).when(F.col("l_returnflag") == "N", -0.25).otherwise(-0.4))
-    return df.select("l_returnflag", "l_linestatus", p.alias("p"), q.alias("q"), "b").withColumn("ratio", (1.0 + F.col("b") * F.col("p")) / (1.0 + F.col("b") * F.col("q")))
+#: Shape parameters from the whole range in which shapes are positive, by line number; the last group has a null key.
+TRUE_SHAPES = (0.0, -0.3, 0.3, -0.6, 1.0, 1.5, -2.0)
 
 
 def shape_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recovers the shapes that the ratios were made with."""
-    out = fits.shape_parameters(_pairs(spark, sf_dir), ["l_returnflag", "l_linestatus"], F.col("p"), F.col("q"), F.col("ratio"))
-    return out.select("l_returnflag", "l_linestatus", "n", F.round("b", 6).alias("b"), F.round("rmse", 6).alias("rmse"))
+    first, second = F.col("l_quantity") * 1.3, F.col("l_tax") * 800.0
+    p, q = physics.limb(first) - 1.0, physics.limb(second) - 1.0
+    b = F.element_at(F.array(*[F.lit(v) for v in TRUE_SHAPES]), F.col("l_linenumber"))
+    df = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_linenumber") < 7, F.col("l_linenumber")).alias("scene"), first.alias("first"), second.alias("second"), p.alias("p"), q.alias("q"), b.alias("true"))
+    ratio = (1.0 + F.col("true") * F.col("p")) / (1.0 + F.col("true") * F.col("q"))
+    out = fits.shape_parameters(df, ["scene"], F.col("p"), F.col("q"), ratio, angles=(F.col("first"), F.col("second")))
+    return out.select("scene", "n", F.round("b", 6).alias("b"), F.round("rmse", 6).alias("rmse"), "support")
 
 
-SHAPE_LIBRARY = """SELECT l_returnflag, l_linestatus, count(*) AS n, CASE l_returnflag WHEN 'A' THEN -0.1 WHEN 'N' THEN -0.25 ELSE -0.4 END::DOUBLE AS b, 0.0::DOUBLE AS rmse FROM lineitem GROUP BY 1, 2"""
+SHAPE_LIBRARY = f"""WITH l AS (SELECT CASE WHEN l_linenumber < 7 THEN l_linenumber END AS scene, ([{', '.join(f'{v!r}::DOUBLE' for v in TRUE_SHAPES)}])[l_linenumber] AS b FROM lineitem)
+SELECT scene, count(*) AS n, CASE WHEN count(*) >= 100 THEN avg(b) END AS b, CASE WHEN count(*) >= 100 THEN 0.0::DOUBLE END AS rmse, CASE WHEN count(*) >= 100 THEN 'ok' ELSE 'too few pairs' END AS support FROM l GROUP BY 1"""
 
 
 def regression(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +109,31 @@ def regression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGRESSION = "SELECT round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_slope(l_extendedprice, l_quantity), 5) AS slope FROM lineitem"
 
+#: Temperatures in Kelvin made of measures, and their exact polynomials of degree 1 to 3.
+TEMPERATURES = ("220.0 + l_quantity * 1.5", "230.0 + l_discount * 500.0", "240.0 + l_tax * 700.0", "225.0 + l_extendedprice / 1500.0", "221.0 + l_suppkey % 53", "250.0 + l_partkey % 41")
+_T = [f"({t})" for t in TEMPERATURES]
+EXACT = {
+    1: f"(3.0 + 0.2 * {_T[0]} - 0.1 * {_T[1]} + 0.3 * {_T[2]} + 0.25 * {_T[3]} + 0.15 * {_T[4]} + 0.2 * {_T[5]})",
+    2: f"(0.002 * {_T[0]} * {_T[1]} - 0.001 * {_T[3]} * {_T[3]} + 0.4 * {_T[4]} - 0.0015 * {_T[2]} * {_T[5]})",
+    3: f"(0.00001 * {_T[0]} * {_T[1]} * {_T[2]} - 0.00002 * {_T[3]} * {_T[3]} * {_T[5]} + 0.003 * {_T[4]} * {_T[0]} - {_T[2]})",
+}
+
+
+def temperature_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regressions of degree 1 to 3 in raw temperatures find exact polynomials: mean predictions per flag, and whether all are within a millionth of a spread."""
+    df = table(spark, sf_dir, "lineitem").select("l_returnflag", *[F.expr(t).alias(f"t{i}") for i, t in enumerate(TEMPERATURES)], *[F.expr(e).alias(f"y{d}") for d, e in EXACT.items()])
+    values, out = [F.col(f"t{i}") for i in range(6)], []
+    for degree in EXACT:
+        y = F.col(f"y{degree}")
+        fit = fits.fit_polynomial(df, values, y, degree=degree)
+        got = df.select("l_returnflag", y.alias("y"), fit.column(values).alias("p")).groupBy("l_returnflag")
+        got = got.agg(F.count("*").alias("n"), F.avg("p").alias("p"), F.max(F.abs(F.col("p") - F.col("y"))).alias("far"), F.stddev_pop("y").alias("sd"))
+        out.append(got.select(F.lit(degree).alias("degree"), "l_returnflag", "n", F.round("p", 5).alias("prediction"), (F.col("far") < 1e-6 * F.col("sd")).alias("exact")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+TEMPERATURE_REGRESSIONS = " UNION ALL ".join(f"SELECT {d}::INTEGER AS degree, l_returnflag, count(*) AS n, round(avg({e}), 5) AS prediction, true AS exact FROM lineitem GROUP BY 2" for d, e in EXACT.items())
+
 
 def robust_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100 / 10.0).alias("x"), "o_orderkey")
@@ -84,8 +157,11 @@ def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fits.group_folds(table(spark, sf_dir, "orders"), "o_custkey", 5)
 
 
-GROUP_FOLDS = """WITH s AS (SELECT o_custkey, count(*) AS size FROM orders GROUP BY 1)
-SELECT o_custkey, size, ((row_number() OVER (PARTITION BY size ORDER BY o_custkey) + size) % 5)::INTEGER AS fold FROM s"""
+GROUP_FOLDS = """WITH RECURSIVE s AS (SELECT o_custkey, count(*) AS size FROM orders GROUP BY 1),
+g AS (SELECT *, row_number() OVER (ORDER BY size DESC, o_custkey) AS i FROM s),
+r AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS loads, NULL::INTEGER AS fold
+  UNION ALL SELECT g.i, [loads[k] + CASE WHEN k = list_position(loads, list_min(loads)) THEN size ELSE 0 END FOR k IN range(1, 6)], (list_position(loads, list_min(loads)) - 1)::INTEGER FROM r JOIN g ON g.i = r.i + 1)
+SELECT o_custkey, size, fold FROM r JOIN g USING (i)"""
 
 
 def monte_carlo_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,12 +191,25 @@ def noise_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cross_validated_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out errors per fold of a quadratic regression of the price on three measures."""
     df = table(spark, sf_dir, "lineitem").withColumn("fold", F.pmod("l_orderkey", F.lit(5)).cast("int"))
-    terms = physics.polynomial_terms([F.col("l_quantity") / 50.0, F.col("l_discount") * 10.0, F.col("l_tax") * 10.0], 2)
-    out = fits.cross_validated(df, terms, F.col("l_extendedprice"), F.lit(1.0), F.col("fold"), 5)
+    values = [F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")]
+    out = fits.cross_validated(df, values, F.col("l_extendedprice"), F.lit(1.0), F.col("fold"), 5, 2)
+    e = F.col("prediction") - F.col("l_extendedprice")
+    return out.groupBy("fold").agg(F.count(e).alias("n"), F.round(F.avg(e), 3).alias("bias"), F.round(F.sqrt(F.avg(e * e)), 3).alias("rmse"))
+
+
+def cross_validated_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out errors per fold of a straight line, each fitted to the other folds."""
+    df = table(spark, sf_dir, "lineitem").withColumn("fold", F.pmod("l_orderkey", F.lit(5)).cast("int"))
+    out = fits.cross_validated(df, [F.col("l_quantity")], F.col("l_extendedprice"), F.lit(1.0), F.col("fold"), 5)
     e = F.col("prediction") - F.col("l_extendedprice")
     return out.groupBy("fold").agg(F.count(e).alias("n"), F.round(F.avg(e), 3).alias("bias"), F.round(F.sqrt(F.avg(e * e)), 3).alias("rmse"))
 
 
+CROSS_VALIDATED_LINE = """WITH l AS (SELECT (l_orderkey % 5)::INTEGER AS fold, l_quantity AS x, l_extendedprice AS y FROM lineitem), f AS (SELECT DISTINCT fold FROM l),
+m AS (SELECT f.fold, regr_intercept(y, x) AS a, regr_slope(y, x) AS b FROM f JOIN l ON l.fold <> f.fold GROUP BY 1)
+SELECT fold, count(*) AS n, round(avg(a + b * x - y), 3) AS bias, round(sqrt(avg(pow(a + b * x - y, 2))), 3) AS rmse FROM l JOIN m USING (fold) GROUP BY 1"""
+
+
 def pooled_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shape shared by simulated files of known shape and free brightness, per region."""
     views = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", F.explode(F.sequence(F.lit(0), F.lit(70), F.lit(5))).alias("angle"))
@@ -170,6 +259,10 @@ l AS (SELECT *, spectral + angular + noise AS total FROM o) """ + " UNION ALL ".
 
 QUERIES = {
     "mixture_fit": (mixture_fit, None),
+    "mixture_offsets": (mixture_offsets, MIXTURE_OFFSETS),
+    "mixture_candidates": (mixture_candidates, MIXTURE_CANDIDATES),
+    "temperature_regressions": (temperature_regressions, TEMPERATURE_REGRESSIONS),
+    "cross_validated_line": (cross_validated_line, CROSS_VALIDATED_LINE),
     "principal_scores": (principal_scores, None),
     "shape_library": (shape_library, SHAPE_LIBRARY),
     "regression": (regression, REGRESSION),
