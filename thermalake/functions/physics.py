@@ -30,11 +30,17 @@ def nullify(x: Column) -> Column:
 
 def brightness_temperature(radiance: Column, fk1, fk2, bc1=0.0, bc2=1.0) -> Column:
     """Inverse Planck function with band corrections; null unless the radiance is positive and finite."""
-    good = finite(radiance) & (radiance > 0)
+    good = (radiance > 0) & (radiance < float("inf"))  # NaN compares as the largest value
     value = F.lit(fk1) / F.when(good, radiance)
     return (F.lit(fk2) / F.log1p(value) - F.lit(bc1)) / F.lit(bc2)
 
 
+def temperature_of_positive(radiance: Column, fk1, fk2, bc1=0.0, bc2=1.0) -> Column:
+    """`brightness_temperature` of a radiance that is known to be positive and finite."""
+    value = F.lit(fk2) / F.log1p(F.lit(fk1) / radiance)
+    return value if (bc1, bc2) == (0.0, 1.0) else (value - F.lit(bc1)) / F.lit(bc2)
+
+
 def planck_radiance(temperature: Column, fk1, fk2, bc1=0.0, bc2=1.0) -> Column:
     """Radiance of a brightness temperature."""
     return F.lit(fk1) / F.expm1(F.lit(fk2) / (F.lit(bc2) * temperature + F.lit(bc1)))
@@ -54,7 +60,8 @@ def planck_derivative(wavelength_m: Column, temperature: Column) -> Column:
 
 
 def valid_bt(bt: Column) -> Column:
-    return finite(bt) & (bt > 0) & (bt < BT_LIMIT)
+    """Whether a temperature is in its range; null for null, false for NaN, which compares as the largest value."""
+    return (bt > 0) & (bt < BT_LIMIT)
 
 
 def limb_value(angle: float) -> float:

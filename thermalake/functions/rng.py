@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 
 from pyspark.sql import Column
@@ -21,7 +23,17 @@ def normal(seed: int, *keys: Column | str) -> Column:
     return F.sqrt(-2.0 * F.log(first)) * F.cos(F.lit(2 * math.pi) * second)
 
 
-def transition(seed: int, cumulative: Column, *keys: Column | str) -> Column:
+def passed(cumulative: Column, draw: Column) -> Column:
     """Inverse of a cumulative row of probabilities: how many of its entries a draw exceeds."""
-    draw = uniform(seed, *keys)
     return F.size(F.filter(cumulative, lambda c: draw > c))
+
+
+def transition(seed: int, cumulative: Column, *keys: Column | str) -> Column:
+    """The place that a draw of the keys falls to in a cumulative row of probabilities."""
+    return passed(cumulative, uniform(seed, *keys))
+
+
+def child_seed(seed: int, *parts: str | int) -> int:
+    """A seed of its own for a file, a day or a stage, the same on every machine."""
+    text = json.dumps([seed, *parts], separators=(",", ":"))
+    return int.from_bytes(hashlib.sha256(text.encode()).digest()[:7], "big")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermalake.functions.rng import uniform
+from thermalake.sources.tables import cut
 
 
 def smallest(df: DataFrame, key: Column, n: int, order: Sequence[str]) -> DataFrame:
@@ -30,34 +30,69 @@ def split(df: DataFrame, seed: int, keys: Sequence[str], share: float) -> DataFr
     return df.withColumn("part", F.when(uniform(seed, *keys) < share, "train").otherwise("test"))
 
 
+def smallest_keys(df: DataFrame, key: Column, order: Sequence[str], take: int, few: int = 10_000, steps: int = 4096) -> Column:
+    """A condition that holds for exactly `take` rows, those of the smallest keys and, among equal ones, of the first in order.
+
+    The key of the last row taken is found by counts of rows per range of the
+    keys, and of ranges within the range that holds it, until few rows are left
+    to sort. `key` is a number; `order` tells all rows apart.
+    """
+    number = key.cast("double")
+    place = F.struct(number.alias("_key"), *order)
+    ends = df.agg(F.min(number).alias("low"), F.max(number).alias("high"), F.count("*").alias("n")).first()
+    if take <= 0 or not ends["n"]:
+        return F.lit(False)
+    if take >= ends["n"]:
+        return F.lit(True)
+    low, high, before, held = ends["low"], ends["high"], 0, ends["n"]
+    while held > few and low < high:
+        width = (high - low) / steps
+        at = F.least(F.floor((number - low) / width), F.lit(steps - 1))
+        counts = df.filter(number.between(low, high)).groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min(number).alias("low"), F.max(number).alias("high"))
+        for r in sorted(counts.collect(), key=lambda r: r["at"]):
+            if before + r["n"] >= take:
+                low, high, held = r["low"], r["high"], r["n"]
+                break
+            before += r["n"]
+    rows = df.filter(number.between(low, high))
+    if held <= few:
+        last = rows.select(place.alias("p")).orderBy("p").limit(take - before).agg(F.max("p").alias("p")).first()["p"]
+    else:  # so many rows have one key
+        ranked = running(rows.select(place.alias("p"), F.lit(1).alias("_one")), [], "p", "_one")
+        last = ranked.filter(F.col("so_far") == take - before).first()["p"]
+    bound = F.struct(F.lit(float(last["_key"])).alias("_key"), *[F.lit(last[o]).cast(dict(df.dtypes)[o]).alias(o) for o in order])
+    return place <= bound
+
+
 def switch_labels(df: DataFrame, label: str, second: str, fraction: float, key: Column, order: Sequence[str]) -> DataFrame:
     """Exactly floor(fraction * n) rows, those of the smallest keys, take their second label.
 
-    The threshold is found by counting keys, so no row is ranked against all others.
+    Only counts of rows per range of keys and a few rows are gathered; the
+    others are neither sorted nor moved.
     """
-    keyed = df.withColumn("_key", key)
-    n = keyed.count()
-    take = int(fraction * n)
-    chosen = keyed.select("_key", *order).orderBy("_key", *order).limit(take).withColumnsRenamed({o: f"_o_{o}" for o in order}).withColumnRenamed("_key", "_k")
-    on = F.col("_key") == F.col("_k")
-    for o in order:
-        on = on & (F.col(o) == F.col(f"_o_{o}"))
-    met = keyed.join(chosen, on, "left")
-    switched = F.col("_k").isNotNull()
-    return met.withColumn(label, F.when(switched, F.col(second)).otherwise(F.col(label))).withColumn("switched", switched).select(*df.columns, "switched")
-
-
-def bootstrap(df: DataFrame, seed: int, draws: int, keys: Sequence[str]) -> DataFrame:
-    """Rows repeated by Poisson(1) counts for each of `draws` replicates, the large-n form of drawing with replacement."""
-    replicate = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("replicate")
-    drawn = df.select("*", replicate).withColumn("_u", uniform(seed, "replicate", *keys))
+    switched = smallest_keys(df, key, order, int(fraction * df.count()))
+    out = df.withColumn("switched", switched)
+    return out.withColumn(label, F.when(F.col("switched"), F.col(second)).otherwise(F.col(label))).select(*df.columns, "switched")
+
+
+def poisson(draw: Column) -> Column:
+    """How often a row is drawn in a resampling with replacement, the Poisson(1) count of a uniform draw."""
     steps, total, term = [], 0.0, 0.36787944117144233
     for k in range(9):
         total += term
         steps.append(total)
         term /= k + 1
-    copies = sum((F.when(F.col("_u") >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    return drawn.withColumn("_n", copies).filter("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_u", "_n", "_i")
+    return sum((F.when(draw >= s, 1).otherwise(0) for s in steps), F.lit(0))
+
+
+def bootstrap_sums(df: DataFrame, keys: Sequence[str], draws: Sequence[Column], value: Column | None = None) -> DataFrame:
+    """(keys, replicate, n, total) of each resampling: counts and sums of a value, in one aggregation without copies of rows."""
+    x = F.lit(1.0) if value is None else value.cast("double")
+    own = df.select(*keys, x.alias("_x"), *[poisson(d).alias(f"_n{i}") for i, d in enumerate(draws)])
+    at = range(len(draws))
+    sums = own.groupBy(*keys).agg(*[F.sum(f"_n{i}").alias(f"n{i}") for i in at], *[F.sum(F.col(f"_n{i}") * F.col("_x")).alias(f"t{i}") for i in at])
+    cells = F.array(*[F.struct(F.lit(i).alias("replicate"), F.col(f"n{i}").alias("n"), F.col(f"t{i}").alias("total")) for i in at])
+    return sums.select(*keys, F.inline(cells))
 
 
 def running(df: DataFrame, keys: Sequence[str], order: str, n: str) -> DataFrame:
@@ -65,11 +100,7 @@ def running(df: DataFrame, keys: Sequence[str], order: str, n: str) -> DataFrame
 
     Rows are dealt by ranges of the order; only one total per range and key is added up in a window of its own.
     """
-    dealt = df.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id())
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    dealt = dealt.checkpoint(eager=True)
+    dealt = cut(df.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()))
     each = dealt.groupBy("_part", *keys).agg(F.sum(n).alias("_sum"))
     before = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     each = each.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(before, F.lit(0)).alias("_before"))

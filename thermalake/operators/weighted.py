@@ -7,31 +7,45 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thermalake.operators.sampling import running
+
+
+def _about_mean(a: Column, b: Column, w: Column) -> tuple[Column, Column]:
+    """Aggregates: the sum of w (a - mean a), and of w (a - mean a)(b - mean b), with plain means.
+
+    They are made of covariances, which Spark updates around running means, so
+    a large common level costs no digits.
+    """
+    n = F.count("*").cast("double")
+    return n * F.covar_pop(w, a), n * (F.covar_pop(w * a, b) - F.avg(a) * F.covar_pop(w, b))
+
 
 def weighted_errors(df: DataFrame, keys: Sequence[str], error: Column, weight: Column) -> DataFrame:
     """Reliability-weighted bias, sd and rmse per group, weights scaled to sum 1; ess = 1 / sum of squared weights."""
-    own = df.select(*keys, error.alias("_e"), weight.alias("_w")).filter("_e IS NOT NULL AND _w IS NOT NULL")
+    own = df.select(*keys, error.cast("double").alias("_e"), weight.cast("double").alias("_w")).filter("_e IS NOT NULL AND _w IS NOT NULL")
     e, w = F.col("_e"), F.col("_w")
+    first, second = _about_mean(e, e, w)
     sums = own.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.sum(w).alias("w1"),
         F.sum(w * w).alias("w2"),
-        F.sum(w * e).alias("we"),
-        F.sum(w * e * e).alias("wee"),
+        F.avg(e).alias("level"),
+        first.alias("wd"),
+        second.alias("wdd"),
         F.max(F.when(w > 0, F.abs(e))).alias("max_abs"),
     )
-    bias = F.col("we") / F.col("w1")
-    square = F.col("wee") / F.col("w1")
-    spread = F.greatest(square - bias * bias, F.lit(0.0))
-    used = F.col("w2") / (F.col("w1") * F.col("w1"))
+    shift = F.try_divide("wd", "w1")
+    bias = F.col("level") + shift
+    spread = F.greatest(F.try_divide("wdd", "w1") - shift * shift, F.lit(0.0))
+    used = F.try_divide("w2", F.col("w1") * F.col("w1"))
     return sums.select(
         *keys,
         "n",
         bias.alias("bias"),
         F.sqrt(F.try_divide(spread, 1.0 - used)).alias("sd"),
-        F.sqrt(square).alias("rmse"),
+        F.sqrt(bias * bias + spread).alias("rmse"),
         "max_abs",
-        (1.0 / used).alias("ess"),
+        F.try_divide(F.lit(1.0), used).alias("ess"),
     )
 
 
@@ -86,20 +100,21 @@ def error_classes(df: DataFrame, file: str, error: Column, weight: Column) -> Da
 def weighted_quantile(df: DataFrame, keys: Sequence[str], value: str, weight: str, q: float) -> DataFrame:
     """Quantile by linear interpolation on the midpoint distribution, clamped to the extreme values.
 
-    Equal values are put together first, so that the windows see a value once.
+    Equal values are put together first; weights are added up over ranges of
+    the values, so that no task holds a key.
     """
     points = df.filter((F.col(weight) > 0) & F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    order = Window.partitionBy(*keys).orderBy(value)
-    running = F.sum("_w").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("_w").over(Window.partitionBy(*keys))
-    placed = points.withColumn("_p", (running - F.col("_w") / 2.0) / total)
-    placed = placed.withColumns({"_p0": F.lag("_p").over(order), "_v0": F.lag(value).over(order)})
-    x = F.col(value)
-    inside = F.col("_v0") + (F.lit(q) - F.col("_p0")) / (F.col("_p") - F.col("_p0")) * (x - F.col("_v0"))
-    hit = (F.col("_p") >= q) & (F.col("_p0").isNull() | (F.col("_p0") < q))
-    return placed.groupBy(*keys).agg(
-        F.coalesce(F.max(F.when(hit, F.coalesce(inside, x))), F.max(x)).alias("quantile")
-    )
+    ranked = running(points, keys, value, "_w")
+    total = ranked.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.sum("_w").alias("_total"))
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    placed = ranked.join(total, on).withColumn("_p", (F.col("so_far") - F.col("_w") / 2.0) / F.col("_total"))
+    point, below = F.struct(F.col("_p").alias("p"), F.col(value).alias("v")), F.col("_p") < q
+    ends = placed.groupBy(*keys).agg(F.max(F.when(below, point)).alias("low"), F.min(F.when(~below, point)).alias("high"))
+    low, high = F.col("low"), F.col("high")
+    inside = low["v"] + (F.lit(q) - low["p"]) / (high["p"] - low["p"]) * (high["v"] - low["v"])
+    return ends.select(*keys, F.when(low.isNull(), high["v"]).when(high.isNull(), low["v"]).otherwise(inside).alias("quantile"))
 
 
 def population_weights(df: DataFrame, label: str, population: DataFrame, share: str) -> DataFrame:
@@ -119,28 +134,22 @@ def population_weights(df: DataFrame, label: str, population: DataFrame, share:
 
 def paired_covariance(df: DataFrame, keys: Sequence[str], first: Column, second: Column, weight: Column) -> DataFrame:
     """Weighted means and unbiased 2 x 2 covariance, and the variance of the sum as its quadratic form with (1, 1)."""
-    own = df.select(*keys, first.alias("_a"), second.alias("_b"), weight.alias("_w")).filter(
-        "_a IS NOT NULL AND _b IS NOT NULL"
-    )
+    own = df.select(*keys, first.cast("double").alias("_a"), second.cast("double").alias("_b"), weight.cast("double").alias("_w")).na.drop(subset=["_a", "_b", "_w"])
     w, a, b = F.col("_w"), F.col("_a"), F.col("_b")
+    (da, daa), (db, dbb), (_, dab) = _about_mean(a, a, w), _about_mean(b, b, w), _about_mean(a, b, w)
     sums = own.groupBy(*keys).agg(
-        F.sum(w).alias("w1"),
-        F.sum(w * w).alias("w2"),
-        F.sum(w * a).alias("sa"),
-        F.sum(w * b).alias("sb"),
-        F.sum(w * a * a).alias("saa"),
-        F.sum(w * b * b).alias("sbb"),
-        F.sum(w * a * b).alias("sab"),
+        F.sum(w).alias("w1"), F.sum(w * w).alias("w2"), F.avg(a).alias("la"), F.avg(b).alias("lb"),
+        da.alias("da"), db.alias("db"), daa.alias("daa"), dbb.alias("dbb"), dab.alias("dab"),
     )
     w1 = F.col("w1")
-    ma, mb = F.col("sa") / w1, F.col("sb") / w1
+    ma, mb = F.col("da") / w1, F.col("db") / w1
     free = 1.0 - F.col("w2") / (w1 * w1)
     cell = lambda s, x, y: F.try_divide(F.col(s) / w1 - x * y, free)
-    vaa, vbb, vab = cell("saa", ma, ma), cell("sbb", mb, mb), cell("sab", ma, mb)
+    vaa, vbb, vab = cell("daa", ma, ma), cell("dbb", mb, mb), cell("dab", ma, mb)
     return sums.select(
         *keys,
-        ma.alias("mean_first"),
-        mb.alias("mean_second"),
+        (F.col("la") + ma).alias("mean_first"),
+        (F.col("lb") + mb).alias("mean_second"),
         vaa.alias("var_first"),
         vbb.alias("var_second"),
         vab.alias("covariance"),
@@ -175,23 +184,25 @@ def component_budget(df: DataFrame, components: Sequence[str], weight: Column) -
     own = df.select(*[F.col(c).cast("double").alias(c) for c in components], weight.alias("_w")).withColumn("total", total.cast("double")).na.drop()
     names = [*components, "total"]
     w = F.col("_w")
-    pairs = [(a, b) for i, a in enumerate(components) for b in components[i:]]
+    pairs = [(a, b) for i, a in enumerate(components) for b in components[i:]] + [("total", "total")]
+    about = {(a, b): _about_mean(F.col(a), F.col(b), w) for a, b in pairs}
     sums = own.agg(
         F.sum(w).alias("w1"),
-        *[F.sum(w * F.col(c)).alias(f"m_{c}") for c in names],
-        *[F.sum(w * F.col(c) * F.col(c)).alias(f"q_{c}") for c in names],
-        *[F.sum(w * F.col(a) * F.col(b)).alias(f"x_{a}_{b}") for a, b in pairs],
+        *[F.avg(c).alias(f"l_{c}") for c in names],
+        *[about[c, c][0].alias(f"m_{c}") for c in names],
+        *[second.alias(f"x_{a}_{b}") for (a, b), (_, second) in about.items()],
     )
-    mean = lambda c: F.col(f"m_{c}") / F.col("w1")
-    spread = lambda c: F.col(f"q_{c}") / F.col("w1") - mean(c) * mean(c)
+    shift = lambda c: F.col(f"m_{c}") / F.col("w1")
+    mean = lambda c: F.col(f"l_{c}") + shift(c)
+    cross = lambda a, b: F.col(f"x_{a}_{b}") / F.col("w1") - shift(a) * shift(b)
+    spread = lambda c: cross(c, c)
     whole = F.lit(0.0)
-    for a, b in pairs:
-        cov = F.col(f"x_{a}_{b}") / F.col("w1") - mean(a) * mean(b)
-        whole = whole + (cov if a == b else 2.0 * cov)
+    for a, b in pairs[:-1]:
+        whole = whole + (cross(a, b) if a == b else 2.0 * cross(a, b))
     rows = F.array(
         *[
             F.struct(
-                F.lit(c).alias("component"), mean(c).alias("bias"), spread(c).alias("variance"), F.sqrt(F.col(f"q_{c}") / F.col("w1")).alias("rmse"),
+                F.lit(c).alias("component"), mean(c).alias("bias"), spread(c).alias("variance"), F.sqrt(mean(c) * mean(c) + F.greatest(spread(c), F.lit(0.0))).alias("rmse"),
                 (spread(c) - whole if c == "total" else F.lit(0.0)).alias("closure"),
             )
             for c in names

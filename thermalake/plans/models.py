@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermalake.functions import physics
-from thermalake.functions.rng import normal, transition, uniform
+from thermalake.functions.rng import normal, passed, uniform
 from thermalake.operators import fits, grid, moments, sampling, scenes, weighted
 from thermalake.sources.tables import table
 
@@ -164,6 +164,21 @@ r AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS loads, NULL::INTEGER A
 SELECT o_custkey, size, fold FROM r JOIN g USING (i)"""
 
 
+def lattice(*keys: Column | int) -> Column:
+    """A draw in [0, 1) by arithmetic that SQL can repeat; the library's own draws are hashes."""
+    total = F.lit(0)
+    for i, k in enumerate(keys):
+        total = total + (k if isinstance(k, Column) else F.lit(k)) * (48271 + 20610 * i)
+    mixed = F.pmod(total * 69621 + 12345, F.lit(2147483647))
+    return F.pmod(F.pmod(mixed * mixed, F.lit(2147483629)) * 16807, F.lit(2147483647)) / F.lit(2147483647.0)
+
+
+def _lattice(*keys: str) -> str:
+    total = " + ".join(f"{k} * {48271 + 20610 * i}" for i, k in enumerate(keys))
+    mixed = f"((({total}) * 69621 + 12345) % 2147483647)"
+    return f"(((({mixed} * {mixed}) % 2147483629) * 16807) % 2147483647 / 2147483647.0)"
+
+
 def monte_carlo_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drawn label changes: thirty draws of every event against its type's transition row."""
     e = table(spark, sf_dir, "events")
@@ -171,15 +186,29 @@ def monte_carlo_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cells.groupBy(F.col("a").alias("_a")).agg(F.array_sort(F.collect_list(F.struct("b", "cumulative"))).alias("row"))
     draws = e.select("event_id", "event_type", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("draw"))
     met = draws.join(rows, F.col("event_type") == F.col("_a"))
-    at = transition(3, F.transform(F.slice("row", F.lit(1), F.size("row") - 1), lambda x: x["cumulative"]), "event_id", "draw")
+    at = passed(F.transform(F.slice("row", F.lit(1), F.size("row") - 1), lambda x: x["cumulative"]), lattice(F.col("event_id").cast("long"), F.col("draw")))
     return met.groupBy("event_type", F.element_at("row", at + 1)["b"].alias("drawn")).agg(F.count("*").alias("n"))
 
 
+MONTE_CARLO = f"""WITH l AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events), c AS (SELECT a, b, count(*) AS n FROM l WHERE b IS NOT NULL GROUP BY 1, 2),
+p AS (SELECT a, b, sum(n) OVER (PARTITION BY a ORDER BY b) / sum(n) OVER (PARTITION BY a) AS high, (sum(n) OVER (PARTITION BY a ORDER BY b) - n) / sum(n) OVER (PARTITION BY a) AS low FROM c),
+d AS (SELECT event_type, {_lattice("event_id::BIGINT", "draw")} AS u FROM events, generate_series(1, 30) AS g(draw))
+SELECT event_type, b AS drawn, count(*) AS n FROM d JOIN p ON event_type = a AND u <= high AND (u > low OR low = 0) GROUP BY 1, 2"""
+
+
 def bootstrap_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spread of each type's share over twenty resamplings."""
-    drawn = sampling.bootstrap(table(spark, sf_dir, "events").select("event_id", "event_type"), 11, 20, ["event_id"])
-    share = drawn.groupBy("replicate", "event_type").agg(F.count("*").alias("n"))
-    return share.groupBy("event_type").agg(F.avg("n").alias("mean"), F.stddev_samp("n").alias("sd"))
+    """Spread of each type's number and mean value over twenty resamplings."""
+    draws = [lattice(F.col("event_id").cast("long"), i) for i in range(20)]
+    sums = sampling.bootstrap_sums(table(spark, sf_dir, "events"), ["event_type"], draws, F.col("value"))
+    level = F.col("total") / F.col("n")
+    return sums.groupBy("event_type").agg(*[F.round(f(c), 5).alias(name) for name, f, c in (("mean", F.avg, "n"), ("sd", F.stddev_samp, "n"), ("level", F.avg, level), ("level_sd", F.stddev_samp, level))])
+
+
+_STEPS = ", ".join(repr(sum(0.36787944117144233 / math.factorial(k) for k in range(n + 1))) for n in range(9))
+BOOTSTRAP = f"""WITH d AS (SELECT event_type, value, i, {_lattice("event_id::BIGINT", "i")} AS u FROM events, generate_series(0, 19) AS g(i)),
+c AS (SELECT event_type, i, value, len([s FOR s IN [{_STEPS}] IF u >= s]) AS n FROM d),
+s AS (SELECT event_type, i, sum(n) AS n, sum(n * value) / sum(n) AS level FROM c GROUP BY 1, 2)
+SELECT event_type, round(avg(n), 5) AS mean, round(stddev_samp(n), 5) AS sd, round(avg(level), 5) AS level, round(stddev_samp(level), 5) AS level_sd FROM s GROUP BY 1"""
 
 
 def noise_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,21 +254,22 @@ POOLED = "SELECT n_regionkey, count(*) AS files, round(-0.1 - 0.1 * n_regionkey,
 
 
 def scene_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 22 classification features over a small grid made of keys."""
-    lines = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 30).alias("y"), (F.col("l_suppkey") % 30).alias("x"))
+    """The 22 classification features over the grid of all parts and suppliers; null where a temperature is invalid."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("y"), F.col("l_suppkey").alias("x"))
     grids = lines.agg(*[(F.avg("l_extendedprice") / 400.0 + 180.0 + i).alias(f"c{i}") for i in range(6)])
     grids = grids.withColumn("c2", F.when((F.col("x") + 2 * F.col("y")) % 17 != 0, F.col("c2")))
-    out = grid.scene_features(grids, [], "y", "x", [f"c{i}" for i in range(6)])
+    out = grid.scene_features(grids, [], "y", "x", [f"c{i}" for i in range(6)], keep_invalid=True)
     return out.select("y", "x", *[F.round(c, 3).alias(c) for c in out.columns if c not in ("y", "x")])
 
 
-_FEATURE_GRID = """WITH g AS (SELECT l_partkey % 30 AS y, l_suppkey % 30 AS x, avg(l_extendedprice) / 400.0 + 180.0 AS c0 FROM lineitem GROUP BY 1, 2), v AS (SELECT * FROM g WHERE (x + 2 * y) % 17 <> 0),
-s5 AS (SELECT a.y, a.x, stddev_pop(b.c0) AS s FROM v a JOIN v b ON abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY 1, 2), s9 AS (SELECT a.y, a.x, stddev_pop(b.c0) AS s FROM v a JOIN v b ON abs(a.y - b.y) <= 4 AND abs(a.x - b.x) <= 4 GROUP BY 1, 2)
-SELECT v.y, v.x, """ + ", ".join(
-    [f"round(c0 + {i}, 3) AS c{i}" for i in range(6)]
-    + [f"{d}.0::DOUBLE AS btd_{n}" for n, d in (("14_11", 2), ("14_15", -1), ("14_08", 3), ("14_16", -2))]
-    + [f"round({s}.s, 3) AS c{i}_std{n}" for s, n in (("s5", "5x5"), ("s9", "9x9")) for i in range(6)]
-) + " FROM v JOIN s5 ON s5.y = v.y AND s5.x = v.x JOIN s9 ON s9.y = v.y AND s9.x = v.x"
+_FEATURE_GRID = """WITH g AS (SELECT l_partkey AS y, l_suppkey AS x, avg(l_extendedprice) / 400.0 + 180.0 AS c0 FROM lineitem GROUP BY 1, 2), v AS (SELECT * FROM g WHERE (x + 2 * y) % 17 <> 0),
+d AS (SELECT unnest(range(-4, 5)) AS d), a AS (SELECT v.y, v.x, v.y + d AS o, d FROM v, d),
+s9 AS (SELECT a.y, a.x, stddev_pop(b.c0) AS s, stddev_pop(b.c0) FILTER (abs(d) <= 2 AND abs(b.x - a.x) <= 2) AS s5 FROM a JOIN v b ON b.y = a.o AND b.x BETWEEN a.x - 4 AND a.x + 4 GROUP BY 1, 2)
+SELECT g.y, g.x, """ + ", ".join(
+    [f"round(v.c0 + {i}, 3) AS c{i}" for i in range(6)]
+    + [f"CASE WHEN v.y IS NOT NULL THEN {d}.0::DOUBLE END AS btd_{n}" for n, d in (("14_11", 2), ("14_15", -1), ("14_08", 3), ("14_16", -2))]
+    + [f"round(s9.{s}, 3) AS c{i}_std{n}" for s, n in (("s5", "5x5"), ("s", "9x9")) for i in range(6)]
+) + " FROM g LEFT JOIN v ON v.y = g.y AND v.x = g.x LEFT JOIN s9 ON s9.y = g.y AND s9.x = g.x"
 
 
 def component_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,8 +299,8 @@ QUERIES = {
     "robust_regression": (robust_regression, None),
     "view_retrieval": (view_retrieval, VIEW_RETRIEVAL),
     "group_folds": (group_folds, GROUP_FOLDS),
-    "monte_carlo_transitions": (monte_carlo_transitions, None),
-    "bootstrap_stability": (bootstrap_stability, None),
+    "monte_carlo_transitions": (monte_carlo_transitions, MONTE_CARLO),
+    "bootstrap_stability": (bootstrap_stability, BOOTSTRAP),
     "noise_draws": (noise_draws, None),
     "cross_validated_regression": (cross_validated_regression, None),
     "pooled_shapes": (pooled_shapes, POOLED),

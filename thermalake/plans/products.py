@@ -74,20 +74,29 @@ _SHAPES_SQL = (
 )
 
 
+#: The radiance of the highest valid temperature: below it, and above zero, a temperature is valid.
+HIGHEST = FK1 / math.expm1(FK2 / physics.BT_LIMIT)
+
+
 def chain(df: DataFrame, angle: str, out: str) -> DataFrame:
     """The table with the flux of each pixel: shape correction, temperatures in single precision, regression, flux.
 
-    Each step is a projection of its own, so that no step's formula is written
-    out again in the next.
+    Temperatures rise with radiances, so the lowest and the highest of the six
+    tell whether all are valid. Tests of each channel, for two views, would
+    make the generated method too large for the virtual machine to compile.
     """
-    own = [f"_t{i}" for i in range(6)]
-    df = df.withColumn("_shape", physics.radiance_shape(F.col(angle), [F.col("b")]))
-    df = df.withColumns({t: F.when(F.col("_shape") > 0, F.col(f"rad{i}") * F.col("integral") / F.col("_shape")) for i, t in enumerate(own)})
-    df = df.withColumns({t: physics.stored(physics.brightness_temperature(F.col(t), FK1, FK2)) for t in own})
-    df = df.withColumns({t: F.when(physics.valid_bt(F.col(t)), F.col(t)) for t in own})
-    df = df.withColumn("_effective", physics.polynomial([F.col(t) for t in own], LINEAR, 1.0, 1))
-    seen = F.col(angle).between(0.0, physics.MAX_ZENITH)
-    return df.withColumn(out, F.when(seen, physics.broadband_flux(F.col("_effective")))).drop(*own, "_shape", "_effective")
+    df = df.withColumn("_factor", correction(F.col(angle)))
+    own = [F.col(f"rad{i}") for i in range(6)]
+    bt = [physics.stored(physics.temperature_of_positive(l * F.col("_factor"), FK1, FK2)) for l in own]
+    valid = (F.least(*own) > 0) & (F.greatest(*own) * F.col("_factor") < HIGHEST)  # NaN compares as the largest value
+    df = df.withColumn("_effective", F.when(valid, physics.polynomial(bt, LINEAR, 1.0, 1)))
+    return df.withColumn(out, physics.broadband_flux(F.col("_effective"))).drop("_factor", "_effective")
+
+
+def correction(angle: Column) -> Column:
+    """What a radiance of the pixel's scene is multiplied by; null where the angle is out of range or the shape not positive."""
+    shape = physics.radiance_shape(angle, [F.col("b")])
+    return F.when(angle.between(0.0, physics.MAX_ZENITH) & (shape > 0), F.col("integral") / shape)
 
 
 def _chain_sql(angle: str) -> str:
@@ -133,12 +142,11 @@ CELLS_SQL = f"""WITH {PIXELS_SQL} SELECT floor(l_partkey / 5)::BIGINT AS cy, flo
 
 
 def complete_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = pixels(spark, sf_dir).withColumns({"gy": F.col("l_partkey") % 100, "gx": F.col("l_suppkey") % 100})
-    out = grid.complete_footprints(px, [], "gy", "gx", F.col("price") > 1000, 2)
+    out = grid.complete_footprints(pixels(spark, sf_dir), [], "l_partkey", "l_suppkey", F.col("price") > 1000, 2)
     return out.select(F.col("cy").cast("long"), F.col("cx").cast("long"))
 
 
-FOOTPRINTS_SQL = f"""WITH {PIXELS_SQL}, g AS (SELECT l_partkey % 100 AS gy, l_suppkey % 100 AS gx, price FROM px)
+FOOTPRINTS_SQL = f"""WITH {PIXELS_SQL}, g AS (SELECT l_partkey AS gy, l_suppkey AS gx, price FROM px)
 SELECT floor(gy / 2)::BIGINT AS cy, floor(gx / 2)::BIGINT AS cx FROM g GROUP BY 1, 2
 HAVING bool_and(price > 1000) AND count(DISTINCT (gy, gx)) = 4"""
 
@@ -175,7 +183,7 @@ FROM b GROUP BY ALL"""
 def brightness_temperatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     bt = physics.brightness_temperature(F.col("o_totalprice") / 1000.0 - 50.0, FK1, FK2, 0.5, 0.999)
     back = physics.planck_radiance(bt, FK1, FK2, 0.5, 0.999)
-    return table(spark, sf_dir, "orders").select("o_orderkey", r(bt, 6).alias("bt"), r(back, 6).alias("radiance"), physics.valid_bt(bt).alias("valid"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", r(bt, 6).alias("bt"), r(back, 6).alias("radiance"), F.coalesce(physics.valid_bt(bt), F.lit(False)).alias("valid"))
 
 
 BT_SQL = f"""WITH l AS (SELECT o_orderkey, CASE WHEN o_totalprice / 1000.0 - 50.0 > 0 THEN o_totalprice / 1000.0 - 50.0 END AS l FROM orders),
@@ -276,36 +284,37 @@ SELECT o_orderkey, round(CASE WHEN sd = 0 THEN l ELSE exp(ln(l) + sqrt(v) * z -
 
 
 def box_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = pixels(spark, sf_dir).groupBy((F.col("l_partkey") % 60).alias("y"), (F.col("l_suppkey") % 60).alias("x"))
-    px = px.agg(F.avg("rad1").alias("v")).filter("(x * 7 + y * 3) % 11 <> 0")
-    px = px.withColumn("v", F.when((F.col("x") + F.col("y")) % 13 != 0, F.col("v")))
+    px = pixels(spark, sf_dir).groupBy(F.col("l_partkey").alias("y"), F.col("l_suppkey").alias("x"))
+    px = px.agg(F.avg("rad1").alias("v")).withColumn("v", F.when((F.col("x") + F.col("y")) % 13 != 0, F.col("v") + 1e6))
     out = grid.box_statistics(px, [], "y", "x", "v", 2)
     return out.select("y", "x", "box_n", r(F.col("box_mean")).alias("box_mean"), r(F.col("box_sd"), 3).alias("box_sd"))
 
 
-BOX_SQL = f"""WITH {PIXELS_SQL}, g AS (SELECT l_partkey % 60 AS y, l_suppkey % 60 AS x, avg(rad1) AS v FROM px GROUP BY 1, 2),
-k AS (SELECT y, x, CASE WHEN (x + y) % 13 <> 0 THEN v END AS v FROM g WHERE (x * 7 + y * 3) % 11 <> 0)
-SELECT a.y, a.x, count(b.v) AS box_n, round(avg(b.v), 4) AS box_mean, round(stddev_pop(b.v), 3) AS box_sd
-FROM k a JOIN k b ON b.y BETWEEN a.y - 2 AND a.y + 2 AND b.x BETWEEN a.x - 2 AND a.x + 2 GROUP BY a.y, a.x"""
+BOX_SQL = f"""WITH {PIXELS_SQL}, g AS (SELECT l_partkey AS y, l_suppkey AS x, avg(rad1) AS v FROM px GROUP BY 1, 2),
+k AS (SELECT y, x, CASE WHEN (x + y) % 13 <> 0 THEN v END AS v FROM g), d(d) AS (VALUES (-2), (-1), (0), (1), (2)),
+a AS (SELECT k.y, k.x, k.y + d AS o FROM k, d)
+SELECT a.y, a.x, count(b.v) AS box_n, round(avg(b.v) + 1e6, 4) AS box_mean, round(stddev_pop(b.v), 3) AS box_sd
+FROM a JOIN k b ON b.y = a.o AND b.x BETWEEN a.x - 2 AND a.x + 2 GROUP BY a.y, a.x"""
 
 
 def nearest_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 17 % 500 / 10.0).alias("y"), (F.col("c_custkey") * 31 % 700 / 10.0).alias("x"))
-    sources = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 13 % 50 + 0.25).alias("y"), (F.col("s_suppkey") * 29 % 70 + 0.35).alias("x"), F.col("s_suppkey").alias("value"))
-    out = grid.nearest_within(targets, sources, "y", "x", "value", 3.0)
-    return out.select("c_custkey", "value", r(F.col("distance")).alias("distance"))
+    """The supplier nearest to each customer within 600 km on the sphere, near the poles and across the date line too."""
+    targets = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 17 % 1799 / 10.0 - 89.9).alias("lat"), (F.col("c_custkey") * 31 % 3600 / 10.0 - 180.0).alias("lon"))
+    sources = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 13 % 179 - 89.25).alias("lat"), (F.col("s_suppkey") * 29 % 360 - 179.65).alias("lon"), F.col("s_suppkey").alias("value"))
+    out = grid.nearest_within(targets, sources, "lat", "lon", "value", 600_000.0)
+    return out.select("c_custkey", "value", r(F.col("distance"), 2).alias("distance"))
 
 
-NEAREST_SQL = """WITH t AS (SELECT c_custkey, c_custkey * 17 % 500 / 10.0 AS y, c_custkey * 31 % 700 / 10.0 AS x FROM customer),
-s AS (SELECT s_suppkey * 13 % 50 + 0.25 AS sy, s_suppkey * 29 % 70 + 0.35 AS sx, s_suppkey AS value FROM supplier),
-d AS (SELECT t.c_custkey, value, sqrt((y - sy) * (y - sy) + (x - sx) * (x - sx)) AS d FROM t, s),
-b AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY round(d, 9), value) AS k FROM d WHERE d <= 3.0)
-SELECT t.c_custkey, value, round(d, 4) AS distance FROM t LEFT JOIN (SELECT * FROM b WHERE k = 1) USING (c_custkey)"""
+NEAREST_SQL = """WITH t AS (SELECT c_custkey, c_custkey * 17 % 1799 / 10.0 - 89.9 AS a, c_custkey * 31 % 3600 / 10.0 - 180.0 AS o FROM customer),
+s AS (SELECT s_suppkey * 13 % 179 - 89.25 AS b, s_suppkey * 29 % 360 - 179.65 AS p, s_suppkey AS value FROM supplier),
+d AS (SELECT t.c_custkey, value, 2 * 6371008.8 * asin(sqrt(least(pow(sin(radians(b - a) / 2), 2) + cos(radians(a)) * cos(radians(b)) * pow(sin(radians(p - o) / 2), 2), 1))) AS d FROM t, s),
+b AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY round(d, 6), value) AS k FROM d WHERE d <= 600000.0)
+SELECT t.c_custkey, value, round(d, 2) AS distance FROM t LEFT JOIN (SELECT * FROM b WHERE k = 1) USING (c_custkey)"""
 
 
 def regrid_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coarse-then-retrieve minus retrieve-then-average over complete cells, and the closure of stored precision."""
-    px = pixels(spark, sf_dir).select((F.col("l_partkey") % 40).alias("y"), (F.col("l_suppkey") % 40).alias("x"), "rad3")
+    px = pixels(spark, sf_dir).select(F.col("l_partkey").alias("y"), F.col("l_suppkey").alias("x"), "rad3")
     px = px.groupBy("y", "x").agg(F.avg("rad3").alias("rad"))
     bt = lambda c: physics.brightness_temperature(c, FK1, FK2)
     out = px.groupBy(F.floor(F.col("y") / 4).alias("cy"), F.floor(F.col("x") / 4).alias("cx")).agg(
@@ -314,7 +323,7 @@ def regrid_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("cy").cast("long"), F.col("cx").cast("long"), "n", r(F.col("coarse") - F.col("fine"), 5).alias("difference"))
 
 
-REGRID_SQL = f"""WITH {PIXELS_SQL}, g AS (SELECT l_partkey % 40 AS y, l_suppkey % 40 AS x, avg(rad3) AS rad FROM px GROUP BY 1, 2)
+REGRID_SQL = f"""WITH {PIXELS_SQL}, g AS (SELECT l_partkey AS y, l_suppkey AS x, avg(rad3) AS rad FROM px GROUP BY 1, 2)
 SELECT floor(y / 4)::BIGINT AS cy, floor(x / 4)::BIGINT AS cx, count(rad) AS n,
   round({FK2} / ln(1 + {FK1} / avg(rad)) - avg({FK2} / ln(1 + {FK1} / rad)), 5) AS difference FROM g GROUP BY 1, 2"""
 

@@ -257,10 +257,10 @@ SELECT round(avg(CASE WHEN a <> b THEN 1.0 ELSE 0.0 END), 6) AS change_probabili
 
 def angular_support(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").withColumn("bin", F.floor(F.col("l_quantity") / 5).cast("int"))
-    return rounded(scenes.angular_support(df.filter("l_linenumber < 3"), "l_returnflag", "bin", 7), ["l_returnflag", "n", "occupied"], ["coverage", "effective_bins"], 5)
+    return rounded(scenes.angular_support(df, "l_returnflag", "bin", 7), ["l_returnflag", "n", "occupied"], ["coverage", "effective_bins"], 5)
 
 
-SUPPORT = """WITH c AS (SELECT l_returnflag, floor(l_quantity / 5) AS bin, count(*) AS n FROM lineitem WHERE l_linenumber < 3 AND floor(l_quantity / 5) < 7 GROUP BY 1, 2)
+SUPPORT = """WITH c AS (SELECT l_returnflag, floor(l_quantity / 5) AS bin, count(*) AS n FROM lineitem WHERE floor(l_quantity / 5) < 7 GROUP BY 1, 2)
 SELECT l_returnflag, sum(n)::BIGINT AS n, count(*) AS occupied, round(count(*) / 7, 5) AS coverage, round(pow(sum(n), 2) / sum(n * n), 5) AS effective_bins FROM c GROUP BY 1"""
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +26,30 @@ PIXELS = T.StructType(
 RESPONSE = T.StructType([T.StructField("wavelength_nm", T.DoubleType()), T.StructField("response", T.DoubleType())])
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the folder `spark.checkpoint.dir`, which all executors share, and forget its lineage.
+
+    Where the session names none, a local session gets a folder of its own; a
+    cluster raises.
+    """
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    present = context._jsc.sc().getCheckpointDir()
+    if present.isDefined():
+        return present.get()
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

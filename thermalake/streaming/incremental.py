@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermalake.operators import moments
+from thermalake.sources import tables
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name in the checkpoint folder that all executors share, or a local one where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = base or tempfile.mkdtemp(prefix="stream-")
-    return f"{base}/{name}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    """A new folder name in the folder that all executors share."""
+    return f"{tables.shared_folder(spark)}/{name}-{uuid.uuid4()}"
 
 
 def store_states(stream: DataFrame, keys: Sequence[str], value: Column, state_path: str, checkpoint_path: str):
