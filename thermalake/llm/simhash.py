@@ -27,7 +27,7 @@ from thermalake.llm.components import connected_components
 
 MAX_BITS = 2
 #: Parameters: pivots in all, those that deal at most, fingerprints a cell should hold, and those past which it is split.
-PIVOTS, DEALING, CELL, FULL = 16, 12, 1024, 8192
+PIVOTS, DEALING, CELL, FULL = 24, 16, 128, 4096
 _CUT = 33  # of 64 bits; half of all fingerprints are nearer to a pivot than that
 _CHUNK = 16_384
 
@@ -77,23 +77,30 @@ def near_pairs(
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j) of pairs of one group within `max_bits`, batch by batch.
 
-    Rows are walked in the order of group, then of the distance to the first
+    Rows are walked in the order of group, then of the distance to the last
     reference; a row leaves the walk when its next neighbour is of another
-    group or too far from it in that distance.
+    group or too far from it in that distance. The other distances discard
+    pairs one after the other, the last first: the first deal, so they differ
+    least within a group.
     """
     table = np.bitwise_count(fps[:, None] ^ pivots[None, :]).astype(np.int8)
-    order = np.lexsort((table[:, 0], group))
-    group, fps, table = group[order], fps[order], table[order]
-    active = np.arange(len(fps))
+    order = np.lexsort((table[:, -1], group))
+    group, fps = group[order], fps[order]
+    columns = np.ascontiguousarray(table[order].T)
+    walk, active = columns[-1], np.arange(len(fps))
     for step in range(1, len(fps)):
         active = active[active + step < len(fps)]
         other = active + step
-        live = (group[active] == group[other]) & (table[other, 0] - table[active, 0] <= max_bits)
+        live = (group[active] == group[other]) & (walk[other] - walk[active] <= max_bits)
         active, other = active[live], other[live]
         if not len(active):
             return
-        near = np.abs(table[active] - table[other]).max(1) <= max_bits
-        i, j = active[near], other[near]
+        i, j = active, other
+        for column in columns[-2::-1]:
+            near = np.abs(column[i] - column[j]) <= max_bits
+            i, j = i[near], j[near]
+            if not len(i):
+                break
         true = np.bitwise_count(fps[i] ^ fps[j]) <= max_bits
         if true.any():
             yield order[i[true]], order[j[true]]
@@ -151,7 +158,7 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, cell: int = CELL,
             yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(fps[at]), pa.array(nodes[at])], schema=dealt_schema)
 
     dealt = distinct.select("fp", "node").mapInArrow(deal, "cell int, fp long, node long")
-    # at most 2^DEALING cells
+    # at most 2^DEALING numbers of cells
     crowded = [r["cell"] for r in dealt.groupBy("cell").count().filter(F.col("count") > full).collect()]
     free = [sum(0xFF << (8 * byte) for byte in pair) for pair in itertools.combinations(range(8), 2)]
     masks = (~np.array(free, np.uint64)).view(np.int64).tolist()
