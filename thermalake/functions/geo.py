@@ -96,3 +96,12 @@ def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius:
     half = lambda a, b: F.pow(F.sin(F.radians(b - a) / 2.0), F.lit(2.0))
     h = half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2)
     return 2.0 * radius * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+
+
+def parallax(latitude: Column, longitude: Column, height: Column, view: View) -> tuple[Column, Column]:
+    """Where a cloud top of a height in metres, seen at a place, stands; a height that is null or NaN counts as 0.
+
+    The ray of the place's scan angles meets the ellipsoid raised by the height.
+    """
+    x, y = to_scan_angles(latitude, longitude, view)
+    return from_scan_angles(x, y, view, F.when(height.isNull() | F.isnan(height), 0.0).otherwise(height))

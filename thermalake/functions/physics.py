@@ -163,9 +163,14 @@ def noise_sd(nedt: Column, fk1, fk2, bc1=0.0, bc2=1.0, at: float = 255.0) -> Col
 
 
 def lognormal_radiance(radiance: Column, sd: Column, z: Column) -> Column:
-    """Positive noise that keeps the mean and the standard deviation; exact where the latter is zero."""
-    v = F.log1p(F.pow(sd / radiance, F.lit(2.0)))
-    return F.when(sd == 0, radiance).otherwise(F.exp(F.log(radiance) + F.sqrt(v) * z - v / 2.0))
+    """Positive noise that keeps the mean and the standard deviation; exact where the latter is zero.
+
+    An error where a radiance is not positive, or the result is zero or infinite.
+    """
+    v = F.log1p(F.pow(sd / F.when(radiance > 0, radiance), F.lit(2.0)))
+    value = F.exp(F.log(radiance) + F.sqrt(v) * z - v / 2.0)
+    wrong = (radiance <= 0) | (value <= 0) | (value == float("inf"))
+    return F.when(sd == 0, radiance).when(wrong, F.raise_error(F.lit("noise leaves the range of radiances")).cast("double")).otherwise(value)
 
 
 def power_law(x: Column, a: float, b: float) -> Column:
@@ -200,3 +205,39 @@ def angle_bin(angle: Column, edges: Sequence[float]) -> Column:
 def spectral_features(bt: Sequence[Column]) -> list[Column]:
     """Six temperatures of channels 8, 11, 12, 14, 15, 16, and the differences of 14 to 11, 15, 8 and 16."""
     return [*bt, bt[3] - bt[1], bt[3] - bt[4], bt[3] - bt[0], bt[3] - bt[5]]
+
+
+def overlap(raw: Sequence[Column], corrected: Sequence[Column], temperatures: Sequence[Column], angles: Sequence[Column]) -> Column:
+    """Whether both satellites see a pixel: raw radiances positive, corrected ones between 0 and 1,000, temperatures and angles in range.
+
+    The columns are those of both satellites; a null is a no. NaN compares as the largest value.
+    """
+    good = F.lit(True)
+    for c in raw:
+        good = good & (c > 0) & (c < float("inf"))
+    for c in corrected:
+        good = good & (c > 0) & (c < 1000.0)
+    for c in temperatures:
+        good = good & valid_bt(c)
+    for c in angles:
+        good = good & c.between(0.0, MAX_ZENITH)
+    return F.coalesce(good, F.lit(False))
+
+
+def legacy_mask(radiances: Sequence[Column]) -> Column:
+    """Whether all radiances are between 0 and 1,000, at any angle."""
+    good = F.lit(True)
+    for c in radiances:
+        good = good & (c > 0) & (c < 1000.0)
+    return F.coalesce(good, F.lit(False))
+
+
+def noisy_features(first: Sequence[Column], second: Sequence[Column], noise: Sequence[tuple[Column, Column]], fk1, fk2) -> list[Column]:
+    """The ten features of the mean temperatures of two satellites with noise added to their radiances; an error where noise leaves none."""
+
+    def temperature(radiance: Column, extra: Column) -> Column:
+        shaken = radiance + extra
+        return brightness_temperature(F.when(shaken <= 0, F.raise_error(F.lit("noise leaves no radiance")).cast("double")).otherwise(shaken), fk1, fk2)
+
+    means = [(temperature(a, x) + temperature(b, y)) / 2.0 for a, b, (x, y) in zip(first, second, noise, strict=True)]
+    return spectral_features(means)

@@ -196,16 +196,31 @@ def principal_axes(cov: np.ndarray, scale: np.ndarray, keep: float = 0.98) -> tu
 
 
 def starting_means(rows: DataFrame, k: int, starts: int, seed: int) -> np.ndarray:
-    """(starts, k, columns): different rows drawn by a keyed hash of their values, without a sort of all rows."""
-    wanted = 4 * k * starts
+    """(starts, k, columns): different rows drawn by a keyed hash of their values, without a sort of all rows.
+
+    Every other start takes rows at random from those drawn, the others prefer
+    rows far from those already taken.
+    """
+    wanted = max(4 * k * starts, 60 * k)
     drawn = rows.orderBy(uniform(seed, *rows.columns), *rows.columns).limit(wanted).collect()
     seen = list(dict.fromkeys(tuple(r) for r in drawn))
     if len(seen) < k and len(drawn) == wanted:  # rows repeat often
         seen = [tuple(r) for r in rows.distinct().orderBy(uniform(seed, *rows.columns), *rows.columns).limit(wanted).collect()]
     if len(seen) < k:
         raise ValueError("fewer distinct rows than components")
-    order = np.random.default_rng(seed)
-    return np.array([[seen[i] for i in order.permutation(len(seen))[:k]] for _ in range(starts)])
+    held, order = np.array(seen), np.random.default_rng(seed)
+    unit = held / np.where(held.std(0) > 0, held.std(0), 1.0)
+    out = []
+    for start in range(starts):
+        if start % 2:
+            out.append(held[order.permutation(len(held))[:k]])
+            continue
+        chosen = [int(order.integers(len(held)))]
+        while len(chosen) < k:
+            far = ((unit[:, None] - unit[chosen][None]) ** 2).sum(2).min(1)
+            chosen.append(int(order.choice(len(held), p=far / far.sum())))
+        out.append(held[chosen])
+    return np.array(out)
 
 
 def log_densities(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:

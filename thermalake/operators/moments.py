@@ -123,3 +123,19 @@ def scatter(df: DataFrame, values: dict[str, Column], keys: Sequence[str] = ())
         ]
     )
     return own.groupBy(*keys).agg(cells.alias("cells")).select(*keys, F.inline("cells"))
+
+
+def variant_summaries(df: DataFrame, keys: Sequence[str], baseline: Column, variants: dict[str, Column], reference: Column) -> DataFrame:
+    """(keys, variant, n, mean, sd, rmse, rmse_percent, lost, gained): each variant against one baseline, all in one pass."""
+    own = df.select(*keys, nullify(baseline).alias("_b"), reference.alias("_r"), *[nullify(c).alias(f"_v{i}") for i, c in enumerate(variants.values())])
+    cells = []
+    for i, name in enumerate(variants):
+        d = F.col(f"_v{i}") - F.col("_b")
+        p = 100.0 * d / F.when(F.col("_r") > 0, F.col("_r"))
+        cells.append(
+            F.struct(
+                F.lit(name).alias("variant"), F.count(d).alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("sd"), F.sqrt(F.avg(d * d)).alias("rmse"), F.sqrt(F.avg(p * p)).alias("rmse_percent"),
+                F.count_if(F.col("_b").isNotNull() & F.col(f"_v{i}").isNull()).alias("lost"), F.count_if(F.col("_b").isNull() & F.col(f"_v{i}").isNotNull()).alias("gained"),
+            )
+        )
+    return own.groupBy(*keys).agg(F.array(*cells).alias("cells")).select(*keys, F.inline("cells"))

@@ -118,6 +118,40 @@ def geometry_study(
     )
 
 
+def noisy_geometry_study(
+    df: DataFrame, case: str, view: str, subsets: dict[str, Sequence], basis: Sequence[Column], radiance: Column, integrals: Sequence[float], truth: Column, noise: Sequence[Column]
+) -> DataFrame:
+    """(geometry, form, realization, cases, unidentifiable, bias, rmse) of retrievals with free amplitude.
+
+    form 1 fits the first basis function, form 2 both; realization 0 is without
+    noise. A realization's noise belongs to the view, so all geometries and
+    forms see the same. Least squares per case from sums of products about the
+    views' means; a case whose views don't tell the parameters apart is counted
+    as unidentifiable.
+    """
+    names = F.array_compact(F.array(*[F.when(F.col(view).isin(list(held)), F.lit(name)) for name, held in subsets.items()]))
+    drawn = F.posexplode(F.array(radiance, *[radiance + z for z in noise])).alias("realization", "_l")
+    own = df.select(case, names.alias("_names"), *[b.cast("double").alias(f"_b{i}") for i, b in enumerate(basis)], truth.alias("_t"), drawn)
+    own = own.select(case, F.explode("_names").alias("geometry"), "realization", "_b0", "_b1", "_l", "_t")
+    x, y, l = F.col("_b0"), F.col("_b1"), F.col("_l")
+    sums = own.groupBy("geometry", "realization", case).agg(
+        F.max("_t").alias("t"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.avg(l).alias("ml"), F.var_pop(x).alias("xx"), F.var_pop(y).alias("yy"), F.covar_pop(x, y).alias("xy"), F.covar_pop(x, l).alias("xl"), F.covar_pop(y, l).alias("yl"),
+    )
+    det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
+    one = F.when(F.col("xx") > 1e-12, F.col("xl") / F.col("xx"))
+    apart = det > 1e-6 * F.col("xx") * F.col("yy")
+    two = [F.when(apart, (F.col("xl") * F.col("yy") - F.col("yl") * F.col("xy")) / det), F.when(apart, (F.col("yl") * F.col("xx") - F.col("xl") * F.col("xy")) / det)]
+    pi = F.lit(float(np.pi))
+    flux1 = pi * (F.col("ml") - one * F.col("mx") + float(integrals[0]) * one)
+    flux2 = pi * (F.col("ml") - two[0] * F.col("mx") - two[1] * F.col("my") + float(integrals[0]) * two[0] + float(integrals[1]) * two[1])
+    forms = F.explode(F.array(F.struct(F.lit(1).alias("form"), flux1.alias("flux")), F.struct(F.lit(2).alias("form"), flux2.alias("flux")))).alias("f")
+    error = F.col("f.flux") - F.col("t")
+    got = sums.select("geometry", "realization", "t", forms).select("geometry", "realization", F.col("f.form").alias("form"), error.alias("e"))
+    return got.groupBy("geometry", "form", "realization").agg(
+        F.count("*").alias("cases"), F.count_if(F.col("e").isNull()).alias("unidentifiable"), F.avg("e").alias("bias"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse")
+    )
+
+
 def budget_table(budget: DataFrame, order: Sequence[str]) -> DataFrame:
     """(position, component, bias, rmse) as report cells with signs, in the given order; a component without a row raises."""
     places = F.array(*[F.lit(c) for c in order])

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thermalake.operators.sampling import quantiles
+
 
 def contingency(df: DataFrame, first: str, second: str) -> DataFrame:
     return df.groupBy(F.col(first).alias("a"), F.col(second).alias("b")).agg(F.count("*").alias("n"))
@@ -148,3 +150,75 @@ def divergence(df: DataFrame, label: str, group: str, first, second) -> DataFram
     shares = counts.select(label, p.alias("p"), q.alias("q")).withColumn("m", (F.col("p") + F.col("q")) / 2.0)
     part = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / F.col("m"))).otherwise(0.0)
     return shares.agg((F.sum(part("p") + part("q")) / 2.0).alias("js_divergence"))
+
+
+def population_report(files: DataFrame, label: str, consistency: str) -> DataFrame:
+    """Per label: files, mean and exact median consistency in percent, and the share of files that are fully consistent."""
+    own = files.select(F.col(label), (100.0 * F.col(consistency)).alias("_c"))
+    sums = own.groupBy(label).agg(F.count("*").alias("files"), F.avg("_c").alias("mean_consistency"), (100.0 * F.avg(F.when(F.col("_c") >= 100.0, 1.0).otherwise(0.0))).alias("fully_consistent"))
+    middle = quantiles(own, [label], F.col("_c"), [0.5]).select(F.col(label).alias("_l"), F.col("q0").alias("median_consistency"))
+    return sums.join(middle, F.col(label).eqNullSafe(F.col("_l"))).drop("_l")
+
+
+def complete_views(df: DataFrame, file: str, views: int) -> DataFrame:
+    """The rows, raising for a file that has not exactly so many views."""
+    counts = df.groupBy(F.col(file).alias("_f")).agg(F.count("*").alias("_n"))
+    bad = F.when(F.col("_n") != views, F.raise_error(F.lit(f"a file has not {views} views")).cast("boolean"))
+    return df.join(counts, F.col(file) == F.col("_f")).withColumn("_bad", bad).filter("_bad IS NULL").drop("_f", "_n", "_bad")
+
+
+def classification_summary(df: DataFrame, sets: Sequence[str], label: str, features: Sequence[str], posterior: Column, density: Column, threshold: float) -> DataFrame:
+    """Per label, overall and by each of the columns in `sets`: rows, their share, mean and sample sd of features, mean largest posterior, share below the density threshold."""
+    own = df.select(*sets, F.col(label), *features, F.array_max(posterior).alias("_p"), (density < threshold).cast("double").alias("_low"))
+    groups = [[F.col(label)], *[[F.col(s), F.col(label)] for s in sets]]
+    aggs = [F.grouping_id().alias("set_id"), F.count("*").alias("n"), F.avg("_p").alias("posterior"), F.avg("_low").alias("below")]
+    aggs += [f(c).alias(f"{c}_{name}") for c in features for name, f in (("mean", F.avg), ("sd", F.stddev_samp))]
+    out = own.groupingSets(groups, *[F.col(s) for s in sets], F.col(label)).agg(*aggs)
+    # one row per set and label stands behind this window
+    return out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("set_id", *sets)))
+
+
+def shortlist(diagnostics: DataFrame, k: str, passed: str, worst: str, n: int) -> DataFrame:
+    """The first `n` candidates in the order of k that passed; if none did, the `n` of the smallest worst value."""
+    rank = F.when(F.col(passed), F.col(k).cast("double")).otherwise(F.col(worst))
+    held = diagnostics.withColumns({"_any": F.max(F.col(passed).cast("int")).over(Window.partitionBy()), "_rank": rank})  # a row per candidate
+    return held.filter((F.col("_any") == 0) | F.col(passed)).orderBy("_rank", k).limit(n).drop("_any", "_rank")
+
+
+def centroid_shift(df: DataFrame, group: str, label: str, values: Sequence[str]) -> DataFrame:
+    """(label, groups, shift): how far the groups' centroids of a label lie from their mean, on average."""
+    centroids = df.groupBy(label, group).agg(*[F.avg(v).alias(v) for v in values])
+    means = centroids.groupBy(F.col(label).alias("_l")).agg(*[F.avg(v).alias(f"_{v}") for v in values])
+    square = sum((F.pow(F.col(v) - F.col(f"_{v}"), F.lit(2.0)) for v in values), F.lit(0.0))
+    return centroids.join(means, F.col(label).eqNullSafe(F.col("_l"))).groupBy(label).agg(F.count("*").alias("groups"), F.avg(F.sqrt(square)).alias("shift"))
+
+
+def paired_support(df: DataFrame, label: str, first: str, second: str, n_bins: int) -> DataFrame:
+    """`angular_support` over pairs of bins of two views, of n_bins x n_bins."""
+    inside = F.col(first).between(0, n_bins - 1) & F.col(second).between(0, n_bins - 1)
+    return angular_support(df.filter(inside).withColumn("_pair", F.col(first) * n_bins + F.col(second)), label, "_pair", n_bins * n_bins)
+
+
+def weighted_log_likelihood(df: DataFrame, day: str, level: Column) -> DataFrame:
+    """(days, rows, loglik): the mean of the days' mean levels, each weighted by its rows."""
+    daily = df.groupBy(day).agg(F.count(level).alias("n"), F.avg(level).alias("m"))
+    return daily.agg(F.count("*").alias("days"), F.sum("n").alias("rows"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("loglik"))
+
+
+def ratio_diagnostics(df: DataFrame, scene: str, ratios: dict[str, tuple[Column, Column]], first: Column, second: Column, raw_first: Column, raw_second: Column) -> DataFrame:
+    """One row: rmse of predicted against observed ratios overall, in the worst channel and the worst scene, and spreads of flux differences raw and corrected.
+
+    `ratios` has a predicted and an observed ratio per channel; gain is the share of the raw spread that the correction removes.
+    """
+    own = df.select(F.col(scene), *[F.pow(p - o, F.lit(2.0)).alias(f"_e{i}") for i, (p, o) in enumerate(ratios.values())], (first - second).alias("_d"), (raw_first - raw_second).alias("_r"))
+    n = len(ratios)
+    whole = own.agg(*[F.avg(f"_e{i}").alias(f"m{i}") for i in range(n)], F.stddev_pop("_d").alias("corrected"), F.stddev_pop("_r").alias("raw"))
+    # a row per scene, and the worst of them
+    each = own.groupBy(scene).agg((sum((F.avg(f"_e{i}") for i in range(n)), F.lit(0.0)) / n).alias("m")).agg(F.sqrt(F.max("m")).alias("worst_scene"), F.count("*").alias("scenes"))
+    channel = [F.sqrt(F.col(f"m{i}")) for i in range(n)]
+    out = whole.select(
+        F.sqrt(sum((F.col(f"m{i}") for i in range(n)), F.lit(0.0)) / n).alias("ratio_rmse"), (F.greatest(*channel) if n > 1 else channel[0]).alias("worst_channel"),
+        "raw", "corrected", (1.0 - F.col("corrected") / F.col("raw")).alias("gain"),
+    )
+    worst = each.first()
+    return out.withColumns({"worst_scene": F.lit(worst["worst_scene"]).cast("double"), "scenes": F.lit(worst["scenes"])})

@@ -62,13 +62,13 @@ def weighted_breakdown(df: DataFrame, first: str, second: str, error: Column, we
     return sets.withColumn("share", F.col("w") / F.max("w").over(Window.partitionBy())).drop("w")
 
 
-def error_classes(df: DataFrame, file: str, error: Column, weight: Column) -> DataFrame:
-    """One row: bias, random and scene-dependent variance and rmse of realizations of files.
+def error_classes(df: DataFrame, file: str, error: Column, weight: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """One row per group of keys: bias, random and scene-dependent variance and rmse of realizations of files.
 
     random is the weighted mean of the files' sample variances, scene the
     weighted spread of their means less what the realizations contribute to it.
     """
-    files = df.groupBy(file).agg(
+    files = df.groupBy(*keys, file).agg(
         F.count(error).alias("r"),
         F.avg(error).alias("m"),
         F.coalesce(F.var_samp(error), F.lit(0.0)).alias("v"),
@@ -76,20 +76,24 @@ def error_classes(df: DataFrame, file: str, error: Column, weight: Column) -> Da
         F.max(weight).alias("w"),
     )
     files = files.filter("r > 0")
-    w = F.col("w")
-    sums = files.agg(
+    w, m = F.col("w").cast("double"), F.col("m")
+    first, second = _about_mean(m, m, w)
+    sums = files.groupBy(*keys).agg(
         F.sum(w).alias("w1"),
-        F.sum(w * F.col("m")).alias("wm"),
-        F.sum(w * F.col("m") * F.col("m")).alias("wmm"),
+        F.avg(m).alias("level"),
+        first.alias("wd"),
+        second.alias("wdd"),
         F.sum(w * F.col("v")).alias("wv"),
         F.sum(w * F.col("s")).alias("ws"),
         F.sum(w * F.try_divide("v", F.col("r").cast("double"))).alias("wvr"),
         F.sum(w * w * F.try_divide("v", F.col("r").cast("double"))).alias("wwvr"),
     )
-    bias = F.col("wm") / F.col("w1")
-    scene = F.col("wmm") / F.col("w1") - bias * bias - (F.col("wvr") / F.col("w1") - F.col("wwvr") / (F.col("w1") * F.col("w1")))
+    shift = F.col("wd") / F.col("w1")
+    spread = F.col("wdd") / F.col("w1") - shift * shift
+    scene = spread - (F.col("wvr") / F.col("w1") - F.col("wwvr") / (F.col("w1") * F.col("w1")))
     return sums.select(
-        bias.alias("bias"),
+        *keys,
+        (F.col("level") + shift).alias("bias"),
         (F.col("wv") / F.col("w1")).alias("random_variance"),
         scene.alias("scene_variance"),
         F.sqrt(F.col("ws") / F.col("w1")).alias("rmse"),
@@ -209,3 +213,40 @@ def component_budget(df: DataFrame, components: Sequence[str], weight: Column) -
         ]
     )
     return sums.select(F.inline(rows))
+
+
+def weighted_moments(df: DataFrame, keys: Sequence[str], value: Column, weight: Column) -> DataFrame:
+    """(keys, mean, root_mean_square): sums of weight times value, and the root of those of weight times its square."""
+    return df.groupBy(*keys).agg(F.sum(weight * value).alias("mean"), F.sqrt(F.sum(weight * value * value)).alias("root_mean_square"))
+
+
+def combined_variance(parts: Sequence[Column]) -> Column:
+    """Sum of independent variances; null if one is null, an error if one is negative."""
+    total = F.lit(0.0)
+    for p in parts:
+        total = total + F.when(p < 0, F.raise_error(F.lit("a variance is negative")).cast("double")).otherwise(p)
+    return total
+
+
+def propagated(jacobian: Sequence[Column], covariance: Sequence[Sequence[Column]], tolerance: float = 1e-12) -> Column:
+    """J C J^T; rounding below zero becomes zero, more of it is an error."""
+    total, scale = F.lit(0.0), F.lit(0.0)
+    for i, a in enumerate(jacobian):
+        for j, b in enumerate(jacobian):
+            part = a * b * covariance[i][j]
+            total, scale = total + part, scale + F.abs(part)
+    wrong = F.raise_error(F.lit("the covariance is not positive")).cast("double")
+    return F.when(total >= 0, total).when(total >= -tolerance * scale, F.lit(0.0)).when(total.isNotNull(), wrong)
+
+
+def variance_shares(first: Column, second: Column, covariance: Column, total: Column, tolerance: float = 1e-9) -> Column:
+    """The array [variance, variance, twice the covariance] of a sum; an error if they don't add up to the total."""
+    parts = F.array(first, second, 2.0 * covariance)
+    off = F.abs(first + second + 2.0 * covariance - total) > tolerance * F.greatest(F.abs(total), F.lit(1.0))
+    return F.when(off, F.raise_error(F.lit("variances don't add up to the total")).cast("array<double>")).otherwise(parts)
+
+
+def component_statistics(bias: Column, sd: Column, n: Column, rmse: Column | None = None) -> Column:
+    """(bias, sd, rmse) with the rmse of n values from bias and sample sd where it is not stored."""
+    made = F.sqrt(bias * bias + (n - 1) / n * sd * sd)
+    return F.struct(bias.alias("bias"), sd.alias("sd"), (made if rmse is None else F.coalesce(rmse, made)).alias("rmse"))

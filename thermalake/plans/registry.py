@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thermalake.plans import models, products, retrievals, statistics, streams
+from thermalake.plans import assessments, models, products, retrievals, spectral, statistics, streams
 
 FLAGSHIP = "gridded_flux_budget"
-_MODULES = (products, statistics, models, retrievals, streams)
+_MODULES = (products, statistics, models, retrievals, spectral, assessments, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
