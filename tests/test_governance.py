@@ -21,7 +21,38 @@ def test_identities_and_status(spark):
     df = spark.range(20)
     assert g.table_identity(df) == g.table_identity(df.repartition(5))
     assert g.status(None, {}) == ("missing", []) and g.status({"a": 1}, {"a": 2}) == ("stale", ["a"]) and g.status({"a": 1}, {"a": 1}) == ("current", [])
-    assert g.finite_or_none({"a": [float("nan"), 1.0]}) == {"a": [None, 1.0]}
+    chain = "LIMIT = 3\ndef helper(x):\n    return x + LIMIT\n\ndef f():\n    return helper(1)\n\nOTHER = 5\n"
+    of_f = g.code_identity(chain, ["f"])
+    assert of_f != g.code_identity(chain.replace("LIMIT = 3", "LIMIT = 4"), ["f"]) and of_f == g.code_identity(chain.replace("OTHER = 5", "OTHER = 6"), ["f"])
+    with pytest.raises(KeyError):
+        g.code_identity(chain, ["nothing"])
+    stage = g.stage_identity("fit", {"k": 7}, chain, ["f"], ["before"])
+    assert stage == g.stage_identity("fit", {"k": 7}, chain, ["f"], ["before"]) != g.stage_identity("fit", {"k": 8}, chain, ["f"], ["before"])
+    first, reused = g.reuse_or_run(None, {"a": 1}, lambda: {"value": 3})
+    assert not reused and g.reuse_or_run(first, {"a": 1}, lambda: {"value": 4}) == (first, True) and g.reuse_or_run(first, {"a": 2}, lambda: {"value": 4})[0]["value"] == 4
+
+
+def test_settings_are_checked():
+    assert g.resolve_components(7, 4, 10) == [6, 7, 8] and g.resolve_components(4, 4, 10) == [4, 5]
+    with pytest.raises(ValueError):
+        g.resolve_components(3, 4, 10)
+    g.check_days([1, 2], [3], [3, 1, 2])
+    for bad in (([1, 2], [2], [1, 2]), ([1], [2], [1, 2, 3]), ([1, 1], [2], [1, 2])):
+        with pytest.raises(ValueError):
+            g.check_days(*bad)
+    rules = {"k": (int, 1, 20), "share": ((int, float), 0.0, 1.0)}
+    g.check_settings({"k": 7, "share": 0.5}, rules)
+    for bad in ({"k": 7}, {"k": "7", "share": 0.5}, {"k": True, "share": 0.5}, {"k": 7, "share": 1.5}):
+        with pytest.raises(ValueError):
+            g.check_settings(bad, rules)
+    a, b = {"x": {"y": 1, "z": 2}, "t": 3}, {"x": {"y": 1, "z": 4}, "u": 5, "t": 9}
+    assert g.profile_differences(a, b, ["t"]) == ["u", "x.z"]
+    assert g.requirement([{"id": "a", "v": 1}, {"id": "a", "v": 1}], "a")["v"] == 1
+    for bad in ([{"id": "a", "v": 1}, {"id": "a", "v": 2}], []):
+        with pytest.raises((ValueError, KeyError)):
+            g.requirement(bad, "a")
+    terms = [{"name": "a", "bias": 1.0}, {"name": "a", "bias": 2.0}, {"name": "b", "bias": 1.0}, {"name": "b", "bias": 3.0, "kind": "sensitivity"}]
+    assert g.term_conflicts(terms) == ["a"]
 
 
 def test_gate():

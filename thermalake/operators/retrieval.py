@@ -49,7 +49,7 @@ def quadratic_shapes(
     parameters apart return null. Groups are those of a model, a few.
     """
     names = ["_p1", "_p2", "_q1", "_q2", "_r"]
-    rows = df.select(*keys, *[c.cast("double").alias(n) for n, c in zip(names, (*first, *second, ratio), strict=True)]).na.drop(subset=names)
+    rows = df.select(*keys, *[c.cast("double").alias(n) for n, c in zip(names, (*first, *second, ratio), strict=True)]).na.drop(subset=names).persist()
     spark, kinds = df.sparkSession, dict(df.dtypes)
     now: dict[tuple, np.ndarray | None] = {}
     schema = ", ".join([*(f"_k{i} {kinds[k]}" for i, k in enumerate(keys)), "_b1 double", "_b2 double"])
@@ -83,6 +83,7 @@ def quadratic_shapes(
             moved = max(moved, float(np.abs(now[key] - b).max()))
         if moved < 1e-9 or all(b is None for b in now.values()):
             break
+    rows.unpersist()
     out = []
     for g in got:
         key = tuple(g[k] for k in keys)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,11 +95,42 @@ def write_table(df: DataFrame, path: str, partitions: tuple[str, ...] = (), rows
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
 
 
+def finite_numbers(df: DataFrame) -> DataFrame:
+    """The table with null for every number that is NaN or infinite, inside structs and arrays too."""
+
+    def clean(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.DoubleType | T.FloatType):
+            return F.when(F.abs(c) < float("inf"), c)  # NaN compares as the largest value
+        if isinstance(kind, T.ArrayType):
+            return F.transform(c, lambda x: clean(x, kind.elementType))
+        if isinstance(kind, T.StructType):
+            return F.when(c.isNotNull(), F.struct(*[clean(c[f.name], f.dataType).alias(f.name) for f in kind]))
+        return c
+
+    return df.select(*[clean(F.col(f.name), f.dataType).alias(f.name) for f in df.schema])
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """JSON lines; values that are not finite become null first."""
-    clean = {f.name: F.when(~F.isnan(f.name) & (F.abs(f.name) < float("inf")), F.col(f.name)) for f in df.schema if isinstance(f.dataType, T.DoubleType | T.FloatType)}
-    df.withColumns(clean).write.mode("overwrite").json(path)
+    finite_numbers(df).write.mode("overwrite").json(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def slug(name: str) -> str:
+    """Lower-case letters and digits, an underscore for each other character, none at the ends."""
+    return "".join(c if c.isascii() and c.isalnum() else "_" for c in name.lower()).strip("_")
+
+
+def product_path(root: str, product: str, day: int, satellite: str | None = None) -> str:
+    """Where a day's product lies: root/product/day=DDD, and below it the satellite's part."""
+    path = f"{root.rstrip('/')}/{slug(product)}/day={day:03d}"
+    return f"{path}/satellite={satellite}" if satellite else path
+
+
+def row_slabs(height: int, rows: int, block: int = 1) -> list[tuple[int, int]]:
+    """First and last rows + 1 of slabs of at most `rows` lines, in whole blocks; a partial block at the end is left out."""
+    whole, step = height // block * block, max(block, rows // block * block)
+    return [(start, min(start + step, whole)) for start in range(0, whole, step)]
