@@ -194,22 +194,42 @@ SELECT month, variant, count(v - b) AS n, count(*) FILTER (b IS NOT NULL AND v I
 VARIANTS = _variants_sql()
 
 
+def _basis_integrals(points: int = 901) -> list[float]:
+    """Twice the integral of each basis function, cosine and sine over the hemisphere, by Simpson's rule."""
+    step, grid = math.pi / 2 / (points - 1), hemisphere(points)
+    weights = [(1 if k in (0, points - 1) else 4 if k % 2 else 2) * 2 * math.cos(k * step) * math.sin(k * step) for k in range(points)]
+    return [float(sum(w * g for w, g in zip(weights, grid[:, c], strict=True))) * step / 3 for c in (0, 1)]
+
+
+INTEGRALS = _basis_integrals()
+
+
 def noisy_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four sets of views, two forms, one clean and two noisy realizations: errors of retrieved fluxes and cases that can't be told apart."""
-    angle = F.col("l_linenumber") * 10.0 - 5.0
-    basis = physics.angular_basis(angle, True)
-    grid = hemisphere()
-    theta = [math.radians(90 * k / 900) for k in range(901)]
-    step = math.pi / 2 / 900
-    simpson = [1 if k in (0, 900) else 4 if k % 2 else 2 for k in range(901)]
-    integrals = [sum(w * 2 * g * math.cos(x) * math.sin(x) for w, g, x in zip(simpson, grid[:, c], theta, strict=True)) * step / 3 for c in (0, 1)]
+    basis = physics.angular_basis(F.col("l_linenumber") * 10.0 - 5.0, True)
     amplitude = 40.0 + F.col("l_orderkey") % 50
     radiance = amplitude * (1.0 - 0.2 * basis[0] + 0.1 * basis[1])
-    truth = F.lit(math.pi) * amplitude * (1.0 - 0.2 * integrals[0] + 0.1 * integrals[1])
+    truth = F.lit(math.pi) * amplitude * (1.0 - 0.2 * INTEGRALS[0] + 0.1 * INTEGRALS[1])
     noise = [(lattice(F.col("l_orderkey"), F.col("l_linenumber"), k) - 0.5) * 2.0 for k in (1, 2)]
     df = table(spark, sf_dir, "lineitem")
-    out = retrieval.noisy_geometry_study(df, "l_orderkey", "l_linenumber", GEOMETRIES, basis, radiance, integrals, truth, noise)
-    return out.select("geometry", "form", "realization", "cases", "unidentifiable", (F.round("bias", 4) + 0.0).alias("bias"), F.round("rmse", 4).alias("rmse"))
+    out = retrieval.noisy_geometry_study(df, "l_orderkey", "l_linenumber", GEOMETRIES, basis, radiance, INTEGRALS, truth, noise)
+    return out.select("geometry", "form", F.col("realization").cast("long").alias("realization"), "cases", "unidentifiable", (F.round("bias", 4) + 0.0).alias("bias"), F.round("rmse", 4).alias("rmse"))
+
+
+def _geometry_sql() -> str:
+    views = ", ".join(f"('{name}', {v})" for name, held in GEOMETRIES.items() for v in held)
+    base, square = math.log(math.cos(math.radians(55.0)) + 2.0), math.cos(math.radians(55.0)) ** 2
+    draws = [_lattice("l_orderkey", "l_linenumber", str(k)) for k in (1, 2)]
+    return f"""WITH g(geometry, view) AS (VALUES {views}),
+b AS (SELECT l_orderkey AS k, l_linenumber AS v, ln(cos(radians(l_linenumber * 10.0 - 5.0)) + 2.0) / {base!r} - 1 AS x, pow(cos(radians(l_linenumber * 10.0 - 5.0)), 2) - {square!r} AS y, 40.0 + l_orderkey % 50 AS a, {draws[0]} AS u1, {draws[1]} AS u2 FROM lineitem),
+r AS (SELECT k, v, x, y, pi() * a * {1.0 - 0.2 * INTEGRALS[0] + 0.1 * INTEGRALS[1]!r} AS t, unnest([0, 1, 2]) AS realization, unnest([a * (1 - 0.2 * x + 0.1 * y), a * (1 - 0.2 * x + 0.1 * y) + (u1 - 0.5) * 2, a * (1 - 0.2 * x + 0.1 * y) + (u2 - 0.5) * 2]) AS l FROM b),
+s AS (SELECT geometry, realization, k, max(t) AS t, avg(x) AS mx, avg(y) AS my, avg(l) AS ml, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, l) AS xl, covar_pop(y, l) AS yl FROM r JOIN g ON view = v GROUP BY 1, 2, 3),
+f AS (SELECT geometry, realization, 1 AS form, CASE WHEN xx > 1e-12 THEN pi() * (ml + xl / xx * ({INTEGRALS[0]!r} - mx)) END - t AS e FROM s
+  UNION ALL SELECT geometry, realization, 2, CASE WHEN xx * yy - xy * xy > 1e-6 * xx * yy THEN pi() * (ml + (xl * yy - yl * xy) / (xx * yy - xy * xy) * ({INTEGRALS[0]!r} - mx) + (yl * xx - xl * xy) / (xx * yy - xy * xy) * ({INTEGRALS[1]!r} - my)) END - t FROM s)
+SELECT geometry, form::INTEGER AS form, realization::BIGINT AS realization, count(*) AS cases, count(*) FILTER (e IS NULL) AS unidentifiable, round(avg(e), 4) + 0.0 AS bias, round(sqrt(avg(e * e)), 4) AS rmse FROM f GROUP BY 1, 2, 3"""
+
+
+NOISY_GEOMETRY = _geometry_sql()
 
 
 def population_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,7 +292,7 @@ QUERIES = {
     "budget_closure": (budget_closure, BUDGET_CLOSURE),
     "overlap_features": (overlap_features, OVERLAP),
     "choice_variants": (choice_variants, VARIANTS),
-    "noisy_geometry": (noisy_geometry, None),
+    "noisy_geometry": (noisy_geometry, NOISY_GEOMETRY),
     "population_report": (population_report, POPULATION_REPORT),
     "classification_summary": (classification_summary, CLASSIFICATION),
     "centroid_shift": (centroid_shift, CENTROID_SHIFT),
