@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from thermalake.functions import geo, physics
 from thermalake.operators import assessment, fits, grid, integrate, joins, moments, retrieval, sampling, scenes, spectra, weighted
+from thermalake.plans import training
+from thermalake.sources import records
 
 NAN = float("nan")
 
@@ -42,6 +44,27 @@ def test_band_integrals(spark):
     assert spectra.band_integrals(per_number, [], F.col("w"), F.col("v"), flat, 41).first().integral == pytest.approx(1)
 
 
+def test_channel_scenarios():
+    assert spectra.channel_scenarios({"goal": {"b": [8, 9], "a": [5, 6.5]}}) == {"goal": {"b": (8.0, 9.0), "a": (5.0, 6.5)}}
+    for bad in ({"x": {}}, {"x": {"a": [6, 5]}}, {"x": {"a": [5, 7], "b": [6, 8]}}):
+        with pytest.raises(ValueError):
+            spectra.channel_scenarios(bad)
+
+
+def test_training_tables(spark, tmp_path):
+    df = spark.range(400).select("id", (F.col("id") % 7 * 2.0 + 250).alias("a"), (F.col("id") % 11 * 1.0).alias("b"), F.lit(3.0).alias("c"))
+    about = training.prepare_training(df, ["id"], ["a", "b", "c"], str(tmp_path / "z"))
+    again = records.replayed(spark, str(tmp_path / "z"), about["rows"], about["columns"])
+    row = again.agg(*[f(F.col("z0")) for f in (F.count, F.avg, F.stddev_pop)]).first()
+    assert row[0] == 400 and abs(row[1]) < 1e-9 and row[2] == pytest.approx(1, abs=0.1)
+    with pytest.raises(PySparkException):
+        training.prepare_training(df.withColumn("b", F.when(F.col("id") != 5, F.col("b"))), ["id"], ["a", "b"], str(tmp_path / "y"))
+    days = df.select("id", (F.col("id") % 4).alias("day"), (F.when(F.col("id") % 3 == 0, 30.0).otherwise(0.0) + F.col("id") % 10 / 10.0).alias("v"))
+    scored, held = training.sampled_comparison(days, "day", "id", ["v"], 2, 30)
+    counts = scored.groupBy(F.col("v") > 15, "label").count().collect()
+    assert len(counts) == 2 and scored.filter(F.col("density") < held["threshold"]).count() < 40
+
+
 def test_planck_functions(spark):
     row = spark.range(1).select(
         physics.planck_derivative(F.lit(11e-6), F.lit(280.0)).alias("slope"),

@@ -64,6 +64,18 @@ def logistic_bands(grid: Sequence[float], bands: dict[str, tuple[float, float]],
     return {name: (x, edge(x - low) * edge(high - x)) for name, (low, high) in bands.items()}
 
 
+def channel_scenarios(settings: dict[str, dict[str, Sequence[float]]]) -> dict[str, dict[str, tuple[float, float]]]:
+    """Passbands (low, high) by channel of each scenario; raises for bands that are empty or overlap, and scenarios without any."""
+    out = {}
+    for scenario, bands in settings.items():
+        held = {c: (float(b[0]), float(b[1])) for c, b in bands.items()}
+        order = sorted(held.values())
+        if not order or any(not 0 < low < high for low, high in order) or any(a[1] > b[0] for a, b in zip(order, order[1:], strict=False)):
+            raise ValueError(f"{scenario}: passbands are missing, empty or overlap")
+        out[scenario] = held
+    return out
+
+
 def band_integrals(spectra: DataFrame, keys: Sequence[str], wavelength: Column, value: Column, kernels: DataFrame, points: int) -> DataFrame:
     """(keys, channel, integral) of each spectrum; raises for one that lacks, repeats or has null samples, or has no positive integral."""
     own = spectra.select(*keys, _key(wavelength).alias("_at"), value.cast("double").alias("_v"))
