@@ -131,3 +131,39 @@ def test_query_against_brute_force(spark):
     check(got, rows)
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def brute_scores(texts, train, model, n_classes):
+    """Class bigram log probabilities of texts, from counts of the training texts under the model's classes."""
+    lookup = model.lookup.value
+    place = lambda w: lookup[w] if w in lookup else len(lookup) + brownlm.shape(w)
+    cls = lambda w: int(model.place_class[place(w)])
+    table, count = np.zeros((n_classes, n_classes)), Counter()
+    for t in train:
+        own = [0, *map(cls, words(t)), 0]
+        for a, b in zip(own, own[1:], strict=False):
+            table[a, b] += 1
+        count.update(words(t))
+    types = Counter(map(cls, count))
+    out = []
+    for t in texts:
+        own, total = [0, *map(cls, words(t)), 0], 0.0
+        for a, b in zip(own, own[1:], strict=False):
+            share = (table[:, b].sum() + 0.5) / (table.sum() + 0.5 * n_classes)
+            total += math.log10((table[a, b] + n_classes * share) / (table[a].sum() + n_classes))
+        for w in words(t):
+            total += math.log10((count[w] + 0.5) / (table[:, cls(w)].sum() + 0.5 * (types[cls(w)] + 1)))
+        out.append(total)  # the end is all of its class
+    return out
+
+
+def test_scores_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(120)] + ["end.", "a,", "12", "Longer-Words"]
+    train = [" ".join(vocabulary[int(k) % 124] for k in rng.zipf(1.3, 30)) for _ in range(150)] + ["", None]
+    texts = [*train[:20], "never seen words. w1", "W1 w1 unseen!", None, " \n"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for lexicon in (40, 10_000):
+        model = brownlm.learn(spark.createDataFrame([(t,) for t in train], "text string"), lexicon=lexicon, units=12, n_classes=7)
+        got = {r.doc_id: r.score for r in brownlm.score(docs, model).collect()}
+        assert [got[i] for i in range(len(texts))] == pytest.approx(brute_scores(texts, train, model, 7))

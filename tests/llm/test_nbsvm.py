@@ -1,4 +1,7 @@
+from zlib import crc32
+
 import numpy as np
+import xxhash
 
 from thermalake.llm import nbsvm, queries
 
@@ -46,3 +49,62 @@ def test_held_out_accuracy(spark):
     auc = np.mean([a > b for a in ones for b in zeros])
     print("accuracy", right.mean(), "auc", auc)
     assert right.mean() > 0.9 and auc > 0.9
+
+
+def brute_features(text, bits=nbsvm.BITS):
+    """Features by whole-number arithmetic, one n-gram at a time."""
+    full = (1 << 64) - 1
+
+    def mix(v):
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            v = (v ^ (v >> 33)) * factor & full
+        return v ^ (v >> 33)
+
+    words = (text or "").split()
+    out = {mix(len(words).bit_length())}
+    for of in (lambda w: xxhash.xxh64_intdigest(w.rstrip(nbsvm._PUNCTUATION).lower().encode(), 1), lambda w: xxhash.xxh64_intdigest(nbsvm.word_form(w).encode(), 2)):
+        h = [of(w) for w in words]
+        for i in range(len(h)):
+            one = mix(h[i])
+            out.add(one)
+            if i + 1 < len(h):
+                two = mix((one * 3 + h[i + 1]) & full)
+                out.add(two)
+                if i + 2 < len(h):
+                    out.add(mix((two * 5 + h[i + 2]) & full))
+    return sorted({v & ((1 << bits) - 1) for v in out})
+
+
+def test_features_against_brute_force(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [None, "", "One", "a b", "The end, of IT. the end!", " ".join(f"w{int(k)}{'.' * int(k % 3)}" for k in rng.integers(0, 50, 300)), "x" * 500 + " y " + "x" * 500]
+    for memo in (nbsvm._MEMO, 7):
+        monkeypatch.setattr(nbsvm, "_MEMO", memo)
+        make = nbsvm.Features()
+        assert all(make.text(t).tolist() == brute_features(t) for t in texts * 2)
+        assert len(make.memo) <= 2 * memo and all(len(w) <= 48 for w in make.memo)
+    small = nbsvm.Features(6)  # long texts are marked instead of gathered
+    assert all(small.text(t).tolist() == brute_features(t, 6) for t in texts)
+
+
+def test_word_order_counts():
+    make = nbsvm.Features()
+    assert make.text("good dogs like cats").tolist() != make.text("cats like good dogs").tolist()
+
+
+def test_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    quality = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        if r.quality in (0, 1) and r.doc_id in docs:
+            quality[r.doc_id] = max(r.quality, quality.get(r.doc_id, 0))
+    held = {d: crc32(str(d).encode()) % 3 == 1 for d in docs}
+    train = sorted(d for d in quality if not held[d])
+    model = nbsvm.fit([np.array(brute_features(docs[d])) for d in train], np.array([quality[d] for d in train]), 1 << nbsvm.BITS)
+    got = {r.doc_id: r for r in queries.op10_quality_nbsvm(spark, sf).collect()}
+    assert got.keys() == docs.keys()
+    for d, text in docs.items():
+        margin = model.weights[brute_features(text)].sum() + model.bias
+        chance = 1 / (1 + np.exp(-(margin * model.slope + model.offset)))
+        assert got[d].held_out == held[d] and abs(got[d].score - chance) < 1e-9 and got[d].predicted == (chance >= 0.5)
