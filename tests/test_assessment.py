@@ -197,6 +197,30 @@ def test_noisy_geometry_against_numpy(spark):
         assert r.bias == pytest.approx(np.mean(errors)) and r.rmse == pytest.approx(np.sqrt(np.mean(np.square(errors))))
 
 
+def test_retrievals_against_numpy(spark):
+    rng = np.random.default_rng(8)
+    rows = [(c, float(v), float(10 * (1 + b * v) + rng.normal() * 0.01)) for c, b in enumerate((-0.2, 0.5, 3.0, -4.0)) for v in (-0.3, -0.1, 0.0, 0.15)]
+    df = spark.createDataFrame([*rows, (9, 0.1, 5.0)], "c int, x double, y double")
+    bounds = (-1.0, 1.0)
+    got = {r.c: r for r in fits.view_retrieval(df, ["c"], F.col("x"), F.col("y"), 0.1, bounds).collect()}
+    for c in range(4):
+        x, y = np.array([r[1:] for r in rows if r[0] == c]).T
+        cost = lambda b: np.min(((y[:, None] - np.outer(1 + b * x, np.linspace(5, 15, 20001))) ** 2).sum(0))
+        at = np.linspace(*bounds, 401)
+        assert got[c].b == pytest.approx(at[np.argmin([cost(b) for b in at])], abs=0.006) and got[c].constrained == (c > 1)
+        assert got[c].flux == pytest.approx(math.pi * got[c].amplitude * (1 + 0.1 * got[c].b))
+    assert got[9].flux is None or got[9].b is None
+    views = df.withColumn("angle", F.when(F.col("x") == 0, 55.0).otherwise(20.0))
+    norm = {r.c: r for r in fits.normalised_retrieval(views.filter("c < 4"), ["c"], F.col("angle"), F.col("x"), F.col("y"), 0.1).collect()}
+    for c in range(4):
+        x, y = np.array([r[1:] for r in rows if r[0] == c]).T
+        ratio = y / y[2] - 1
+        b = (x * ratio).sum() / (x * x).sum()
+        assert norm[c].b == pytest.approx(b) and norm[c].rms_percent == pytest.approx(100 * np.sqrt(np.mean((ratio - b * x) ** 2)), abs=1e-6)
+    with pytest.raises(PySparkException):
+        fits.normalised_retrieval(views, ["c"], F.col("angle"), F.col("x"), F.col("y"), 0.1).collect()
+
+
 def test_predicates(spark):
     df = spark.createDataFrame([(50.0, 30.0), (0.0, 30.0), (NAN, 30.0), (None, 30.0), (999.0, 30.0), (50.0, 71.0), (float("inf"), 3.0)], "l double, a double")
     both = physics.overlap([F.col("l")], [F.col("l") * 1.5], [physics.brightness_temperature(F.col("l"), 2e4, 1300.0)], [F.col("a")])
@@ -310,6 +334,13 @@ def test_reports(spark):
     pairs = spark.createDataFrame([("s", 0, 1), ("s", 0, 1), ("s", 6, 6), ("s", 7, 1)], "s string, a int, b int")
     row = scenes.paired_support(pairs, "s", "a", "b", 7).first()
     assert (row.n, row.occupied, row.effective_bins) == (3, 2, pytest.approx(9 / 5))
+    held = scenes.criteria(spark.createDataFrame([(1, 0.5), (2, 2.0), (3, None)], "k int, v double"), {"small": F.col("v") < 1, "known": F.col("k") > 0})
+    assert [r.all_criteria for r in held.orderBy("k").collect()] == [True, False, False]
+    wide = scenes.classification_rows(spark.createDataFrame([(1, 0, [0.7, 0.3])], "f int, label int, p array<double>"), ["f"], "label", "p", 2)
+    assert tuple(wide.first()) == (1, 0, 0.7, 0.3)
+    days = spark.createDataFrame([(1, "a", 0.1, 1.0), (2, "a", 0.2, 1.0)], "day int, c string, b double, n double")
+    with pytest.raises(PySparkException):
+        scenes.shape_spread(days, "day", ["c"], "b", "n", 3, (0.0,)).collect()
     level = spark.createDataFrame([(1, 1.0), (1, 3.0), (2, 10.0)], "day int, l double")
     assert tuple(scenes.weighted_log_likelihood(level, "day", F.col("l")).first()) == (2, 3, pytest.approx(14 / 3))
     df = spark.createDataFrame([(0, 1.0, 1.1, 5.0, 4.0, 9.0, 4.0), (1, 1.0, 0.8, 5.0, 5.0, 9.0, 5.5)], "s int, p double, o double, a double, b double, ra double, rb double")

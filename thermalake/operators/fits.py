@@ -401,18 +401,53 @@ def shape_parameters(
     return df.sparkSession.createDataFrame(out, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "n long, b double, rmse double, support string"]))
 
 
-def view_retrieval(df: DataFrame, keys: Sequence[str], basis: Column, radiance: Column, basis_integral: float) -> DataFrame:
-    """Flux of each case from views at several angles, by least squares with free amplitude.
+def view_retrieval(df: DataFrame, keys: Sequence[str], basis: Column, radiance: Column, basis_integral: float, bounds: tuple[float, float] | None = None) -> DataFrame:
+    """(keys, views, amplitude, b, flux) of each case from views at several angles, by least squares with free amplitude.
 
     radiance = a + a b * basis is a line in the basis, so the sums of a simple
-    regression are enough; fewer than two distinct angles give null.
+    regression are enough; fewer than two distinct angles give null. With
+    `bounds`, between which the shape is positive, a case whose b lies outside
+    or whose amplitude is not positive takes the better of the bounds, with the
+    amplitude refitted, and `constrained` says so.
     """
-    return df.groupBy(*keys).agg(
-        F.count(radiance).alias("views"),
-        F.regr_intercept(radiance, basis).alias("amplitude"),
-        F.try_divide(F.regr_slope(radiance, basis), F.regr_intercept(radiance, basis)).alias("b"),
-        (F.lit(np.pi) * (F.regr_intercept(radiance, basis) + F.lit(basis_integral) * F.regr_slope(radiance, basis))).alias("flux"),
+    slope, level = F.regr_slope(radiance, basis), F.regr_intercept(radiance, basis)
+    pi = F.lit(np.pi)
+    free = [level.alias("amplitude"), F.try_divide(slope, level).alias("b"), (pi * (level + F.lit(basis_integral) * slope)).alias("flux")]
+    if bounds is None:
+        return df.groupBy(*keys).agg(F.count(radiance).alias("views"), *free)
+    own = df.select(*keys, basis.cast("double").alias("_x"), radiance.cast("double").alias("_y")).filter("_x IS NOT NULL AND _y IS NOT NULL")
+    x, y = F.col("_x"), F.col("_y")
+    slope, level = F.regr_slope(y, x), F.regr_intercept(y, x)
+    sums = own.groupBy(*keys).agg(F.count("*").alias("views"), level.alias("_a"), slope.alias("_s"), *[F.sum(c).alias(n) for n, c in (("_x", x), ("_xx", x * x), ("_y", y), ("_xy", x * y))])
+    at = lambda b: (F.col("_y") + b * F.col("_xy"), F.col("views") + 2.0 * b * F.col("_x") + b * b * F.col("_xx"))
+    (y0, n0), (y1, n1) = (at(F.lit(float(b))) for b in bounds)
+    low = y0 * y0 / n0 >= y1 * y1 / n1  # what a fit with this b explains
+    b = F.col("_s") / F.col("_a")
+    out = F.col("_s").isNotNull() & ((F.col("_a") <= 0) | ~b.between(*map(float, bounds)))
+    fixed = F.when(low, F.lit(float(bounds[0]))).otherwise(F.lit(float(bounds[1])))
+    own = sums.select(*keys, "views", out.alias("constrained"), F.when(out, F.when(low, y0 / n0).otherwise(y1 / n1)).otherwise(F.col("_a")).alias("amplitude"), F.when(out, fixed).otherwise(b).alias("b"))
+    return own.withColumn("flux", pi * F.col("amplitude") * (1.0 + F.lit(basis_integral) * F.col("b")))
+
+
+def normalised_retrieval(df: DataFrame, keys: Sequence[str], angle: Column, basis: Column, radiance: Column, basis_integral: float, reference: float = 55.0) -> DataFrame:
+    """(keys, views, b, flux, rms_percent) of each case from radiances over that of its one view at the reference angle.
+
+    radiance / reference radiance - 1 = b * basis through the origin, since the
+    basis is zero at the reference. Raises for a case without exactly one view
+    there; a case without other angles has no b.
+    """
+    near = F.abs(angle - reference) <= 1e-8 + 1e-5 * reference
+    own = df.select(*keys, near.alias("_near"), basis.cast("double").alias("_x"), radiance.cast("double").alias("_y")).filter("_x IS NOT NULL AND _y IS NOT NULL")
+    x, y = F.col("_x"), F.col("_y")
+    sums = own.groupBy(*keys).agg(
+        F.count("*").alias("views"), F.count_if("_near").alias("_n"), F.max(F.when(F.col("_near"), y)).alias("_r"), *[F.sum(c).alias(n) for n, c in (("_sx", x), ("_sxx", x * x), ("_sy", y), ("_sxy", x * y), ("_syy", y * y))]
     )
+    level = F.when(F.col("_n") != 1, F.raise_error(F.lit("a case has not exactly one view at the reference angle")).cast("double")).otherwise(F.col("_r"))
+    cross = F.col("_sxy") / level - F.col("_sx")
+    sums = sums.withColumns({"_level": level, "_cross": cross, "b": F.try_divide(cross, F.col("_sxx"))})
+    left = F.col("_syy") / F.col("_level") / F.col("_level") - 2.0 * F.col("_sy") / F.col("_level") + F.col("views") - F.col("b") * F.col("_cross")
+    flux = F.lit(np.pi) * F.col("_level") * (1.0 + F.lit(basis_integral) * F.col("b"))
+    return sums.select(*keys, "views", "b", flux.alias("flux"), (100.0 * F.sqrt(F.greatest(left, F.lit(0.0)) / F.col("views"))).alias("rms_percent"))
 
 
 def deal_sizes(counts: dict[int, int], folds: int) -> list[tuple[int, int, list[int]]]:

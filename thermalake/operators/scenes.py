@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thermalake.functions.physics import limb_value
 from thermalake.operators.sampling import quantiles
 
 
@@ -222,3 +223,33 @@ def ratio_diagnostics(df: DataFrame, scene: str, ratios: dict[str, tuple[Column,
     )
     worst = each.first()
     return out.withColumns({"worst_scene": F.lit(worst["worst_scene"]).cast("double"), "scenes": F.lit(worst["scenes"])})
+
+
+def shape_spread(library: DataFrame, day: str, keys: Sequence[str], parameter: str, norm: str, days: int, angles: Sequence[float]) -> DataFrame:
+    """(keys, angle, days, parameter's mean, sd, min, max, norm's sd, shape's mean, sd, and once and twice its relative spread) over daily libraries.
+
+    Raises for a key that has not every day exactly once.
+    """
+    sums = library.groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.count_distinct(day).alias("days"), F.avg(parameter).alias("mean"), F.stddev_samp(parameter).alias("sd"), F.min(parameter).alias("low"), F.max(parameter).alias("high"), F.stddev_samp(norm).alias("norm_sd"),
+    )
+    bad = F.when((F.col("_n") != days) | (F.col("days") != days), F.raise_error(F.lit("a library lacks or repeats a day")).cast("double")).otherwise(F.col("mean"))
+    # the shape 1 + b * basis is linear in b, so its mean and sd follow from those of b
+    held = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("angle"), F.lit(limb_value(a) - 1.0).alias("g")) for a in angles])).alias("at")
+    out = sums.withColumn("mean", bad).select(*keys, "days", "mean", "sd", "low", "high", "norm_sd", held)
+    shape, spread = 1.0 + F.col("mean") * F.col("at.g"), F.col("sd") * F.abs(F.col("at.g"))
+    return out.select(*keys, F.col("at.angle").alias("angle"), "days", "mean", "sd", "low", "high", "norm_sd", shape.alias("shape"), spread.alias("shape_sd"), (spread / shape).alias("relative"), (2.0 * spread / shape).alias("relative2"))
+
+
+def classification_rows(df: DataFrame, keys: Sequence[str], label: str, posterior: str, components: int) -> DataFrame:
+    """A row per sample or view with its label and one column per component's posterior, as a table to be written."""
+    return df.select(*keys, label, *[F.get(posterior, i).alias(f"posterior_{i}") for i in range(components)])
+
+
+def criteria(diagnostics: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """The rows with each criterion and `all_criteria`, true where all hold; an unknown one counts as not held."""
+    out = diagnostics.withColumns({name: F.coalesce(rule, F.lit(False)) for name, rule in rules.items()})
+    whole = F.lit(True)
+    for name in rules:
+        whole = whole & F.col(name)
+    return out.withColumn("all_criteria", whole)

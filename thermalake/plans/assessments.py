@@ -284,6 +284,55 @@ def residual_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RESIDUAL_SCAN = "SELECT (s_nationkey % 5)::INTEGER AS abi_scene, count(*) AS n, round(avg(s_acctbal * 0.01), 5) AS mean FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 3 = 2 GROUP BY 1"
 
+BOUNDS = (-0.4, 0.6)
+
+
+def constrained_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order is a case, its line items are views; shapes stay within bounds."""
+    df = table(spark, sf_dir, "lineitem")
+    out = fits.view_retrieval(df, ["l_orderkey"], F.col("l_quantity") / 50.0 - 0.5, F.col("l_extendedprice") / 1000.0, 0.1, BOUNDS)
+    return out.select("l_orderkey", "views", "constrained", *[F.round(c, 4).alias(c) for c in ("amplitude", "b", "flux")])
+
+
+CONSTRAINED = f"""WITH v AS (SELECT l_orderkey, l_quantity / 50.0 - 0.5 AS x, l_extendedprice / 1000.0 AS y FROM lineitem),
+s AS (SELECT l_orderkey, count(*) AS n, CASE WHEN var_pop(x) > 0 THEN regr_intercept(y, x) END AS a, CASE WHEN var_pop(x) > 0 THEN regr_slope(y, x) END AS s, sum(x) AS sx, sum(x * x) AS sxx, sum(y) AS sy, sum(x * y) AS sxy FROM v GROUP BY 1),
+c AS (SELECT *, s IS NOT NULL AND (a <= 0 OR s / a < {BOUNDS[0]} OR s / a > {BOUNDS[1]}) AS c, pow(sy + {BOUNDS[0]} * sxy, 2) / (n + 2 * {BOUNDS[0]} * sx + {BOUNDS[0] ** 2!r} * sxx) >= pow(sy + {BOUNDS[1]} * sxy, 2) / (n + 2 * {BOUNDS[1]} * sx + {BOUNDS[1] ** 2!r} * sxx) AS low FROM s),
+f AS (SELECT *, CASE WHEN NOT c THEN s / a WHEN low THEN {BOUNDS[0]} ELSE {BOUNDS[1]} END AS b FROM c),
+g AS (SELECT *, CASE WHEN NOT c THEN a ELSE (sy + b * sxy) / (n + 2 * b * sx + b * b * sxx) END AS amplitude FROM f)
+SELECT l_orderkey, n AS views, c AS constrained, round(amplitude, 4) AS amplitude, round(b, 4) AS b, round(pi() * amplitude * (1 + 0.1 * b), 4) AS flux FROM g"""
+
+
+VIEWS = (10.0, 25.0, 40.0, 55.0, 65.0)
+
+
+def normalised_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer is a case with five views, one of them at the reference angle."""
+    views = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.explode(F.array(*map(F.lit, VIEWS))).alias("angle"))
+    basis = physics.limb(F.col("angle")) - 1.0
+    radiance = (40.0 + F.col("c_acctbal") / 1000.0) * (1.0 + (F.col("c_custkey") % 11 / 10.0 - 0.7) * basis) + F.col("c_custkey") * F.col("angle").cast("int") % 13 / 10.0
+    out = fits.normalised_retrieval(views, ["c_custkey"], F.col("angle"), basis, radiance, 0.03)
+    return out.select("c_custkey", "views", *[F.round(c, 4).alias(c) for c in ("b", "flux")], F.round("rms_percent", 3).alias("rms_percent"))
+
+
+NORMALISED = f"""WITH v AS (SELECT c_custkey, a, CASE WHEN a = 55 THEN 0 ELSE ln(cos(radians(a)) + 2.0) / {math.log(math.cos(math.radians(55.0)) + 2.0)!r} - 1 END AS x, c_acctbal FROM customer, (VALUES """ + ", ".join(f"({a}::DOUBLE)" for a in VIEWS) + """) AS t(a)),
+y AS (SELECT *, (40.0 + c_acctbal / 1000.0) * (1.0 + (c_custkey % 11 / 10.0 - 0.7) * x) + c_custkey * a::INTEGER % 13 / 10.0 AS y FROM v), n AS (SELECT c_custkey, y AS l FROM y WHERE a = 55),
+s AS (SELECT c_custkey, count(*) AS n, any_value(l) AS l, sum(x * (y / l - 1)) / sum(x * x) AS b FROM y JOIN n USING (c_custkey) GROUP BY 1)
+SELECT c_custkey, any_value(n) AS views, round(any_value(b), 4) AS b, round(any_value(pi() * l * (1 + 0.03 * b)), 4) AS flux, round(100 * sqrt(avg(pow(y / l - 1 - b * x, 2))), 3) AS rms_percent FROM y JOIN s USING (c_custkey) GROUP BY 1"""
+
+
+def shape_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How shapes of twelve monthly libraries spread, by channel, scene and angle."""
+    o = table(spark, sf_dir, "orders").groupBy(F.month("o_orderdate").alias("month"), F.col("o_orderpriority").alias("channel"), (F.col("o_orderkey") % 3).alias("scene"))
+    library = o.agg((F.avg("o_totalprice") / 1e6 - 0.3).alias("b")).withColumn("norm", 1.0 / (1.0 + 0.05 * F.col("b")))
+    out = scenes.shape_spread(library, "month", ["channel", "scene"], "b", "norm", 12, (0.0, 30.0, 60.0))
+    return out.select("channel", "scene", "angle", "days", *[F.round(c, 7).alias(c) for c in out.columns[4:]])
+
+
+SHAPE_SPREAD = f"""WITH l AS (SELECT month(o_orderdate) AS m, o_orderpriority AS channel, o_orderkey % 3 AS scene, avg(o_totalprice) / 1e6 - 0.3 AS b FROM orders GROUP BY 1, 2, 3),
+a(angle) AS (VALUES (0.0::DOUBLE), (30.0), (60.0)), s AS (SELECT *, 1 + b * (ln(cos(radians(angle)) + 2.0) / {math.log(math.cos(math.radians(55.0)) + 2.0)!r} - 1) AS s, 1 / (1 + 0.05 * b) AS n FROM l, a)
+SELECT channel, scene, angle, count(*) AS days, round(avg(b), 7) AS mean, round(stddev_samp(b), 7) AS sd, round(min(b), 7) AS low, round(max(b), 7) AS high, round(stddev_samp(n), 7) AS norm_sd,
+  round(avg(s), 7) AS "shape", round(stddev_samp(s), 7) AS shape_sd, round(stddev_samp(s) / avg(s), 7) AS relative, round(2 * stddev_samp(s) / avg(s), 7) AS relative2 FROM s GROUP BY 1, 2, 3"""
+
 QUERIES = {
     "stage_assessment": (stage_assessment, STAGE_ASSESSMENT),
     "chain_covariance": (chain_covariance, CHAIN_COVARIANCE),
@@ -292,6 +341,9 @@ QUERIES = {
     "budget_closure": (budget_closure, BUDGET_CLOSURE),
     "overlap_features": (overlap_features, OVERLAP),
     "choice_variants": (choice_variants, VARIANTS),
+    "constrained_retrieval": (constrained_retrieval, CONSTRAINED),
+    "normalised_retrieval": (normalised_retrieval, NORMALISED),
+    "shape_spread": (shape_spread, SHAPE_SPREAD),
     "noisy_geometry": (noisy_geometry, NOISY_GEOMETRY),
     "population_report": (population_report, POPULATION_REPORT),
     "classification_summary": (classification_summary, CLASSIFICATION),
