@@ -259,6 +259,7 @@ def test_cells_and_neighbours(spark):
         assert keyed[y, x].box_sd == pytest.approx(r.box_sd, abs=1e-6)
     targets = spark.createDataFrame([(1, 89.9, 10.0), (2, 0.0, 179.9), (3, 0.0, 0.0)], "k int, lat double, lon double")
     sources = spark.createDataFrame([(89.9, -170.0, 7), (0.0, -179.9, 8), (0.1, 179.0, 9)], "lat double, lon double, value int")
+    assert grid.nearest_within(targets.union(targets), sources, "lat", "lon", "value", 50_000.0).count() == 6
     near = {r.k: r for r in grid.nearest_within(targets, sources, "lat", "lon", "value", 50_000.0).collect()}
     assert (near[1].value, near[2].value, near[3].value) == (7, 8, None) and near[2].distance == pytest.approx(22239, abs=10)
 

@@ -175,6 +175,9 @@ def test_matching_and_axes(spark):
 def test_tolerance_and_interpolation(spark):
     wanted, held = (spark.createDataFrame([(x,) for x in v], "a double") for v in ([55.0, 10.0000001, 30.0], [55.0, 10.0, 20.0]))
     assert {r.a: r.matches for r in joins.within_tolerance(wanted, held, "a").collect()} == {55.0: 1, 10.0000001: 1, 30.0: 0}
+    large = spark.createDataFrame([(1e9 + 5000.0,), (1e9 + 20000.0,)], "a double")
+    assert sorted(r.matches for r in joins.within_tolerance(large, spark.createDataFrame([(1e9,)], "a double"), "a").collect()) == [0, 1]
+    assert sorted(r.matches for r in joins.within_tolerance(wanted.union(wanted), held, "a").collect()) == [0, 0, 1, 1, 1, 1]
     series = spark.createDataFrame([(1.0, 10.0), (3.0, 30.0)], "k double, v double")
     points = spark.createDataFrame([(0.0,), (1.0,), (2.0,), (3.0,), (4.0,)], "k double")
     assert {r.k: r.v for r in joins.interpolate(points, series, "k", "v").collect()} == {0.0: 0, 1.0: 10, 2.0: 20, 3.0: 30, 4.0: 0}

@@ -39,15 +39,16 @@ def within_tolerance(wanted: DataFrame, available: DataFrame, column: str, absol
     Values meet over bins as wide as the largest tolerance in reach, not over all pairs.
     """
     a, b = F.col(column), F.col("_b")
-    width = 1.0
-    bins = lambda c: F.floor(c / width)
+    largest = available.agg(F.max(F.abs(F.col(column).cast("double")))).first()[0] or 0.0
+    width = max(absolute + relative * largest, 1e-12)
+    bins = lambda c: F.floor(c / F.lit(width))
     spread = available.select(F.col(column).cast("double").alias("_b")).withColumn(
         "_bin", F.explode(F.array(*[bins(F.col("_b")) + d for d in (-1, 0, 1)]))
     )
-    met = wanted.join(
-        spread, (bins(a.cast("double")) == F.col("_bin")) & (F.abs(a - b) <= absolute + relative * F.abs(b)), "left"
-    )
-    return met.groupBy(*wanted.columns).agg(F.count("_b").alias("matches"), F.min("_b").alias("matched"))
+    own = wanted.withColumn("_id", F.monotonically_increasing_id())  # wanted values may repeat
+    met = own.join(spread, (bins(a.cast("double")) == F.col("_bin")) & (F.abs(a - b) <= absolute + relative * F.abs(b)), "left")
+    one = met.groupBy("_id").agg(F.first(F.struct(*wanted.columns)).alias("_row"), F.count("_b").alias("matches"), F.min("_b").alias("matched"))
+    return one.select("_row.*", "matches", "matched")
 
 
 def strict_pairs(df: DataFrame, keys: Sequence[str], stage: str, first: str, second: str, columns: Sequence[str], equal: Sequence[str] = ()) -> DataFrame:

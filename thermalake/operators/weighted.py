@@ -75,7 +75,7 @@ def error_classes(df: DataFrame, file: str, error: Column, weight: Column, keys:
         F.avg(error * error).alias("s"),
         F.max(weight).alias("w"),
     )
-    files = files.filter("r > 0")
+    files = files.filter("r > 0 AND w IS NOT NULL")
     w, m = F.col("w").cast("double"), F.col("m")
     first, second = _about_mean(m, m, w)
     sums = files.groupBy(*keys).agg(
