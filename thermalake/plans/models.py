@@ -256,13 +256,13 @@ POOLED = "SELECT n_regionkey, count(*) AS files, round(-0.1 - 0.1 * n_regionkey,
 def scene_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 22 classification features over the grid of all parts and suppliers; null where a temperature is invalid."""
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("y"), F.col("l_suppkey").alias("x"))
-    grids = lines.agg(*[(F.avg("l_extendedprice") / 400.0 + 180.0 + i).alias(f"c{i}") for i in range(6)])
+    grids = lines.agg(*[(F.avg("l_extendedprice") / 397.0 + 180.0 + i).alias(f"c{i}") for i in range(6)])
     grids = grids.withColumn("c2", F.when((F.col("x") + 2 * F.col("y")) % 17 != 0, F.col("c2")))
     out = grid.scene_features(grids, [], "y", "x", [f"c{i}" for i in range(6)], keep_invalid=True)
     return out.select("y", "x", *[F.round(c, 3).alias(c) for c in out.columns if c not in ("y", "x")])
 
 
-_FEATURE_GRID = """WITH g AS (SELECT l_partkey AS y, l_suppkey AS x, avg(l_extendedprice) / 400.0 + 180.0 AS c0 FROM lineitem GROUP BY 1, 2), v AS (SELECT * FROM g WHERE (x + 2 * y) % 17 <> 0),
+_FEATURE_GRID = """WITH g AS (SELECT l_partkey AS y, l_suppkey AS x, avg(l_extendedprice) / 397.0 + 180.0 AS c0 FROM lineitem GROUP BY 1, 2), v AS (SELECT * FROM g WHERE (x + 2 * y) % 17 <> 0),
 d AS (SELECT unnest(range(-4, 5)) AS d), a AS (SELECT v.y, v.x, v.y + d AS o, d FROM v, d),
 s9 AS (SELECT a.y, a.x, stddev_pop(b.c0) AS s, stddev_pop(b.c0) FILTER (abs(d) <= 2 AND abs(b.x - a.x) <= 2) AS s5 FROM a JOIN v b ON b.y = a.o AND b.x BETWEEN a.x - 4 AND a.x + 4 GROUP BY 1, 2)
 SELECT g.y, g.x, """ + ", ".join(

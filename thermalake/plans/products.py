@@ -287,13 +287,13 @@ def box_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = pixels(spark, sf_dir).groupBy(F.col("l_partkey").alias("y"), F.col("l_suppkey").alias("x"))
     px = px.agg(F.avg("rad1").alias("v")).withColumn("v", F.when((F.col("x") + F.col("y")) % 13 != 0, F.col("v") + 1e6))
     out = grid.box_statistics(px, [], "y", "x", "v", 2)
-    return out.select("y", "x", "box_n", r(F.col("box_mean")).alias("box_mean"), r(F.col("box_sd"), 3).alias("box_sd"))
+    return out.select("y", "x", "box_n", r(F.col("box_mean"), 3).alias("box_mean"), r(F.col("box_sd"), 3).alias("box_sd"))
 
 
 BOX_SQL = f"""WITH {PIXELS_SQL}, g AS (SELECT l_partkey AS y, l_suppkey AS x, avg(rad1) AS v FROM px GROUP BY 1, 2),
 k AS (SELECT y, x, CASE WHEN (x + y) % 13 <> 0 THEN v END AS v FROM g), d(d) AS (VALUES (-2), (-1), (0), (1), (2)),
 a AS (SELECT k.y, k.x, k.y + d AS o FROM k, d)
-SELECT a.y, a.x, count(b.v) AS box_n, round(avg(b.v) + 1e6, 4) AS box_mean, round(stddev_pop(b.v), 3) AS box_sd
+SELECT a.y, a.x, count(b.v) AS box_n, round(avg(b.v) + 1e6, 3) AS box_mean, round(stddev_pop(b.v), 3) AS box_sd
 FROM a JOIN k b ON b.y = a.o AND b.x BETWEEN a.x - 2 AND a.x + 2 GROUP BY a.y, a.x"""
 
 
