@@ -18,6 +18,7 @@ COLUMNS = {
     "op8": ("doc_id held_out lang_pred score", True),
     "op9": ("doc_id held_out n_tokens n_known train_tokens base_score score", True),
     "op10": ("doc_id held_out score predicted", True),
+    "op11": ("doc_id n_bytes n_removed n_spans kept_sha256", True),
 }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermalake.llm import ann, brownlm, embdedup, langid, linededup, mixing, nbsvm, packing, pii, simhash
+from thermalake.llm import ann, brownlm, embdedup, langid, linededup, mixing, nbsvm, packing, pii, simhash, suffixes
 from thermalake.llm.common import documents, embeddings, fold_of
 
 
@@ -107,6 +107,10 @@ def op10_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.drop_repeated_passages(documents(spark, sf_dir)))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -121,6 +125,7 @@ def queries() -> dict:
             op8_langid_word_backoff,
             op9_lm_brown_classes,
             op10_quality_nbsvm,
+            op11_suffix_array_dedup,
         )
     }
 
