@@ -32,7 +32,9 @@ LENGTH = 50  # bytes of a repeated passage at least
 LEAD = 24  # bytes of the leading tokens
 _BEFORE = LENGTH - LEAD
 _CHUNK = 1 << 17  # window starts hashed at a time
-_HELD = 3_000_000  # seeds that a task compares before it sends them
+_HELD = 1_500_000  # seeds that a task compares before it sends them
+_GATHERED = 16_384  # suffixes cut out of texts at a time
+_STEPS = np.arange(-_BEFORE, LENGTH)
 _SEEDS_PER_BUCKET, _BLOCK_BYTES, _ROWS_PER_RANGE = 2_000_000, 8_000_000, 150_000
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = np.cumprod(np.r_[np.uint64(1), np.full(_CHUNK + LENGTH, _BASE, np.uint64)])
@@ -217,19 +219,21 @@ def _suffixes(texts: pa.Table, candidates: pa.Table) -> pa.Table:
     places, text = places[hit], text[hit]
     begin, end = offsets[text], offsets[text + 1]
     # what a document repeats in itself is one row: equal bytes around, at several places
-    at = places[:, None] + np.arange(-_BEFORE, LENGTH)
-    inside = (at >= begin[:, None]) & (at < end[:, None])
-    around = np.where(inside, data[np.clip(at, 0, max(len(data) - 1, 0))] if len(data) else 0, 0).astype(np.uint8)
     reach = np.minimum(places - begin, _BEFORE), np.minimum(end - places, LENGTH)
-    weights = _POWERS[1 : LENGTH + _BEFORE + 1]
-    mark = (around.astype(np.uint64) * weights).sum(1) if len(places) else np.empty(0, np.uint64)
+    around, mark = np.zeros((len(places), _BEFORE + LENGTH), np.uint8), np.zeros(len(places), np.uint64)
+    for i in range(0, len(places), _GATHERED):
+        part = slice(i, i + _GATHERED)
+        at = places[part, None] + _STEPS
+        at[(_STEPS < -reach[0][part, None]) | (_STEPS >= reach[1][part, None])] = -1
+        around[part] = np.where(at >= 0, data[at], 0)
+        mark[part] = around[part] @ _POWERS[1 : LENGTH + _BEFORE + 1]
     order = np.lexsort((places, reach[0], reach[1], mark, text))
     new = np.flatnonzero(_firsts(text[order], mark[order], reach[0][order], reach[1][order]))
     one = order[new]
     counts = np.diff(np.r_[new, len(order)])
     inner = (places - begin)[order].astype("<i8")
-    suffix = around[one, _BEFORE:][inside[one, _BEFORE:]]
-    before = around[one, :_BEFORE][:, ::-1][inside[one, :_BEFORE][:, ::-1]]
+    suffix = around[one, _BEFORE:][np.arange(LENGTH) < reach[1][one, None]]
+    before = around[one, :_BEFORE][:, ::-1][np.arange(_BEFORE) < reach[0][one, None]]
     return pa.Table.from_arrays(
         [_binary(suffix, reach[1][one]), _binary(before, reach[0][one]), pa.array(ids[text[one]]), _binary(inner.view(np.uint8), counts * 8)], schema=_SUFFIXES
     )
