@@ -19,6 +19,8 @@ COLUMNS = {
     "op9": ("doc_id held_out n_tokens n_known train_tokens base_score score", True),
     "op10": ("doc_id held_out score predicted", True),
     "op11": ("doc_id n_bytes n_removed n_spans kept_sha256", True),
+    "op12": ("anchor_id positive_id rank negative_id positive_score negative_score", False),
+    "op13": ("vec_id component n deviation whitened explained identity_error", False),
 }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermalake.llm import ann, brownlm, embdedup, langid, linededup, mixing, nbsvm, packing, pii, simhash, suffixes
+from thermalake.llm import ann, brownlm, embdedup, langid, linededup, mining, mixing, nbsvm, packing, pii, simhash, suffixes, whitening
 from thermalake.llm.common import documents, embeddings, fold_of
 
 
@@ -111,6 +111,32 @@ def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.drop_repeated_passages(documents(spark, sf_dir)))
 
 
+def op12_hard_negatives_distance_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.hard_negatives(embeddings(spark, sf_dir), F.col("vec_id") % 50 == 0, positives=5, negatives=3, least=50, most=95)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * x::DOUBLE) FOR x IN embedding] AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.e, c.e)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(embeddings(spark, sf_dir), scale=64, most=16)
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -126,6 +152,8 @@ def queries() -> dict:
             op9_lm_brown_classes,
             op10_quality_nbsvm,
             op11_suffix_array_dedup,
+            op12_hard_negatives_distance_keys,
+            op13_embedding_whitening,
         )
     }
 
@@ -135,4 +163,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_line_dedup_bitmaps": OP2_SQL,
         "op6_embedding_dedup_int8": OP6_SQL,
         "op7_ann_block_join": OP7_SQL,
+        "op12_hard_negatives_distance_keys": OP12_SQL,
     }
