@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thermalake.plans import assessments, models, products, retrievals, spectral, statistics, streams, training
+from thermalake.plans import assessments, models, native, products, retrievals, spectral, statistics, streams, training
 
 FLAGSHIP = "gridded_flux_budget"
-_MODULES = (products, statistics, models, retrievals, spectral, assessments, training, streams)
+_MODULES = (products, statistics, models, retrievals, spectral, assessments, training, streams, native)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
