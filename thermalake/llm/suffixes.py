@@ -384,22 +384,55 @@ def _pending(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([table[c].combine_chunks().flatten() for c in _SUFFIXES.names], schema=_SUFFIXES)
 
 
-_WINDOWS = pa.schema([("part", pa.int32()), ("lead", pa.binary()), ("window", pa.binary()), ("low", pa.int64())])
+_WINDOWS = pa.schema([("part", pa.int32()), ("lead", pa.binary()), ("slot", pa.int32()), ("windows", pa.binary()), ("lows", pa.binary())])
+
+
+def _windows_table(rows: list[tuple]) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else ([],) * len(_WINDOWS)
+    return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _WINDOWS, strict=True)], schema=_WINDOWS)
 
 
 def _distinct_windows(table: pa.Table) -> pa.Table:
-    """(part, lead, window, low): the distinct windows around one boundary's seeds and their smallest documents."""
-    bucket, known = Bucket(_pending(table)), {}
+    """The distinct windows around one boundary's seeds and their smallest documents, packed by a hash of the window.
+
+    The number of slots follows that of the buckets which the leading tokens
+    span, so a slot that gathers what all of them have stays as small as one.
+    """
+    bucket, windows, lows = Bucket(_pending(table)), [], []
     for before in range(_BEFORE + 1):
-        able, _ = bucket.windows(before)
-        for window, low in zip(bucket.bytes_of(able, before), bucket.low[able].tolist(), strict=True):
-            key = window.tobytes()
-            known[key] = min(low, known.get(key, low))
-    n = len(known)
-    return pa.Table.from_arrays(
-        [pa.array([table["part"][0].as_py()] * n, pa.int32()), pa.array([table["lead"][0].as_py()] * n, pa.binary()), pa.array(list(known), pa.binary()), pa.array(list(known.values()), pa.int64())],
-        schema=_WINDOWS,
-    )
+        able, key = bucket.windows(before)
+        order = np.argsort(key, kind="stable")
+        cuts = np.flatnonzero(_firsts(key[order]))
+        if len(cuts):
+            windows.append(bucket.bytes_of(able[order[cuts]], before))
+            lows.append(np.minimum.reduceat(bucket.low[able[order]], cuts))
+    if not windows:
+        return _windows_table([])
+    windows, lows = np.concatenate(windows), np.concatenate(lows)
+    h = windows @ _POWERS[1 : LENGTH + 1]
+    slot = ((h ^ h >> np.uint64(32)) % np.uint64(4 * table["parts"][0].as_py())).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    cuts = np.r_[np.flatnonzero(_firsts(slot[order])), len(slot)]
+    part, lead = table["part"][0].as_py(), table["lead"][0].as_py()
+    return _windows_table([(part, lead, int(slot[order[a]]), windows[order[a:b]].tobytes(), lows[order[a:b]].astype("<i8").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
+
+def _lower_elsewhere(table: pa.Table) -> pa.Table:
+    """For each bucket the windows of one slot that a smaller document of another bucket holds, and that document."""
+    held, lows = table["windows"].to_pylist(), table["lows"].to_pylist()
+    sizes = np.array([len(w) // LENGTH for w in held])
+    windows = np.frombuffer(b"".join(held), f"V{LENGTH}")
+    low = np.frombuffer(b"".join(lows), "<i8")
+    _, group = np.unique(windows, return_inverse=True)
+    lowest = np.full(int(group.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(lowest, group, low)
+    better, ends = lowest[group] < low, np.cumsum(sizes)
+    rows = []
+    for part, a, b in zip(table["part"].to_pylist(), ends - sizes, ends, strict=True):
+        hit = np.flatnonzero(better[a:b]) + a
+        if len(hit):
+            rows.append((part, table["lead"][0].as_py(), 0, windows[hit].tobytes(), lowest[group[hit]].astype("<i8").tobytes()))
+    return _windows_table(rows)
 
 
 def _across(table: pa.Table, known: pa.Table, blocks: int) -> pa.Table:
@@ -407,7 +440,9 @@ def _across(table: pa.Table, known: pa.Table, blocks: int) -> pa.Table:
     if not table.num_rows or not known.num_rows:
         return _found([])
     members = _pending(table)
-    return _found(_spans(members, Bucket(members), blocks, dict(zip(known["window"].to_pylist(), known["low"].to_pylist(), strict=True))))
+    windows, lows = (b"".join(known[c].to_pylist()) for c in ("windows", "lows"))
+    elsewhere = dict(zip((windows[i : i + LENGTH] for i in range(0, len(windows), LENGTH)), np.frombuffer(lows, "<i8").tolist(), strict=True))
+    return _found(_spans(members, Bucket(members), blocks, elsewhere))
 
 
 def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -488,10 +523,9 @@ def drop_repeated_passages(docs: DataFrame) -> DataFrame:
     own = found.filter("part IS NULL").select("block", "docs", "starts", "ends")
     edges = found.filter("part IS NOT NULL").select("part", "lead", *_SUFFIXES.names)
     split = edges.groupBy(F.col("lead").alias("_lead")).agg(F.count("*").alias("parts")).filter("parts > 1")
-    edges = edges.join(split, F.col("lead") == F.col("_lead"), "left_semi")
-    windows, windows_path = stored(edges.groupBy("part", "lead").applyInArrow(_distinct_windows, _ddl(_WINDOWS)))
-    lowest = windows.groupBy(F.col("window").alias("_window")).agg(F.min("low").alias("lowest"))
-    known = windows.join(lowest, F.col("window") == F.col("_window")).filter("lowest < low").select("part", "lead", "window", F.col("lowest").alias("low"))
+    edges = edges.join(split, F.col("lead") == F.col("_lead")).drop("_lead")
+    windows = edges.groupBy("part", "lead").applyInArrow(_distinct_windows, _ddl(_WINDOWS))
+    known, windows_path = stored(windows.groupBy("lead", "slot").applyInArrow(_lower_elsewhere, _ddl(_WINDOWS)))
     across, _ = stored(
         edges.groupBy("part", "lead").cogroup(known.groupBy("part", "lead")).applyInArrow(lambda t, k: _across(t, k, blocks), _ddl(_FOUND)).select("block", "docs", "starts", "ends")
     )
