@@ -79,3 +79,15 @@ def test_added_kinds_respect_boundaries():
     assert kinds("account no") == [] and kinds("account: 12345678 x") == [("account", "12345678")]
     assert kinds("IBAN DE89370400440532013001") == []
     assert kinds("see ftp://h.example/a. b") == [("url", "ftp://h.example/a")]
+
+
+def test_secrets_of_any_length_and_cues_of_any_case():
+    machine = pii._automaton()
+    value = "aB3" * 400
+    for text in (f'token = "{value}"', f"Bearer {value}", f"Bearer {value}==", f"apiKey: {value}", f"Api_Key={value}", f"accessKey = {value}", f"PRIVATE-KEY={value}"):
+        found = [(k, text[s:e]) for k, s, e in pii.find_spans(text, machine) if k == "secret"]
+        assert [f[1].rstrip("=") for f in found] == [value], text[:20]
+    assert pii.lowered("İAß\u2028Z") == "İaß\u2028z"
+    assert [k for k, *_ in pii.find_spans("at 12 BAKER STREET, HAUPTSTRAßE 7", machine)] == ["address"] * 2
+    long = "token=" + "x" * 2_000_000 + " token=" + "y" * 2_000_000
+    assert pii.find_spans(long, machine) == []

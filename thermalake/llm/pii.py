@@ -24,7 +24,9 @@ BASE = KINDS[:4]
 ACCOUNT_CUES = ("account", "acct", "iban", "routing", "passport", "ssn", "konto", "compte", "cuenta")
 STREET_CUES = ("street", "avenue", "road", "boulevard", "lane", "drive", "straße", "strasse", "rue", "calle")
 
-SECRET_CUES = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api-key", "access_key", "private_key", "auth_key", "bearer")
+SECRET_CUES = ("token", "secret", "password", "passwd", "pwd", "bearer")
+#: What stands before "key", with nothing, a hyphen or an underscore between.
+KEY_CUES = ("api", "access", "private", "auth")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _LABEL = re.compile(r"[A-Za-z0-9-]+")
@@ -36,7 +38,7 @@ _ACCOUNT = re.compile(r"[\x20:#.=-]{0,4}((?:[A-Z]{2}[0-9]{2}[A-Z0-9]{4,30})|[0-9
 _HOUSE_AFTER = re.compile(r"[\x20,]{1,2}([0-9]{1,5}[A-Za-z]?)(?![A-Za-z0-9])")
 _HOUSE_BEFORE = re.compile(r"([0-9]{1,5}[A-Za-z]?)\x20(?:[^\W\d_]+\x20){0,3}$")
 
-_ASSIGNED = re.compile(r"[\"'\]]?\x20{0,2}(?:[:=]|=>|:=)\x20{0,2}[\"']?([A-Za-z0-9+/_.~$!@#%^&*-]{8,512})|\x20([A-Za-z0-9+/_.~-]{20,512}={0,2})(?![A-Za-z0-9])")
+_ASSIGNED = re.compile(r"[\"'\]]?\x20{0,2}(?:[:=]|=>|:=)\x20{0,2}[\"']?([A-Za-z0-9+/_.~$!@#%^&*-]{8,})|\x20([A-Za-z0-9+/_.~-]{20,}={0,2})(?![A-Za-z0-9])")
 
 SCHEMA = "doc_id long, spans array<struct<kind:string,start:long,end:long>>"
 _ARROW = pa.schema(
@@ -120,15 +122,20 @@ def iban(code: str) -> bool:
     return len(code) >= 15 and int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
-def grow_secret(text: str, end: int) -> tuple[int, int] | None:
-    """The value that is assigned to, or follows, the cue before `end`: letters and digits together, 8 characters or more."""
+def grow_secret(text: str, end: int) -> tuple[int, int, bool] | None:
+    """The value, of any length, that is assigned to, or follows, the cue before `end`; the flag tells if it has letters and digits together, 8 characters or more."""
     found = _ASSIGNED.match(text, end)
     if not found:
         return None
     group = 1 if found[1] else 2
     value = found[group].rstrip(".,;:!?")
     mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-    return (found.start(group), found.start(group) + len(value)) if mixed and len(value) >= 8 else None
+    return found.start(group), found.start(group) + len(value), mixed and len(value) >= 8
+
+
+def lowered(text: str) -> str:
+    """The text with A-Z lower-cased and all else, and so every position, as it is."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def _automaton():
@@ -140,10 +147,10 @@ def _automaton():
     machine.add_word("@", ("at", 1))
     machine.add_word("+", ("plus", 1))
     machine.add_word("://", ("scheme", 3))
-    for kind, cues in (("account", ACCOUNT_CUES), ("street", STREET_CUES), ("secret", SECRET_CUES)):
+    keys = tuple(f"{cue}{between}key" for cue in KEY_CUES for between in ("", "-", "_"))
+    for kind, cues in (("account", ACCOUNT_CUES), ("street", STREET_CUES), ("secret", SECRET_CUES + keys)):
         for cue in cues:
-            for form in {cue, cue.capitalize(), cue.upper()}:
-                machine.add_word(form, (kind, len(form)))
+            machine.add_word(cue, (kind, len(cue)))
     machine.make_automaton()
     return machine
 
@@ -158,7 +165,7 @@ def find_spans(text: str, machine) -> list[tuple[str, int, int]]:
         floor[kind] = end
 
     number_end = 0  # of the digit run that the current anchor lies in
-    for last, (anchor, length) in machine.iter(text):
+    for last, (anchor, length) in machine.iter(lowered(text)):
         first = last + 1 - length
         if anchor == "digit":
             if first >= number_end:
@@ -199,7 +206,9 @@ def find_spans(text: str, machine) -> list[tuple[str, int, int]]:
                     take("account", *code.span(1))
         elif anchor == "secret":
             if first >= floor["secret"] and (grown := grow_secret(text, last + 1)):
-                take("secret", *grown)
+                if grown[2]:
+                    take("secret", *grown[:2])
+                floor["secret"] = grown[1]
         elif grown := grow_street(text, first, last + 1, floor["address"]):
             take("address", *grown)
     return [(kind, start, end) for kind in KINDS for start, end in found[kind]]
@@ -208,7 +217,8 @@ def find_spans(text: str, machine) -> list[tuple[str, int, int]]:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id and its spans in code points, end exclusive.
 
-    Null and empty texts have no spans; texts of any length are searched whole;
+    Null and empty texts have no spans; texts of any length are searched whole,
+    and so are values of any length; cues are known in any letter case;
     spans of one kind don't overlap, those of different kinds may. Repeated rows
     and null ids are kept as rows of their own; other columns of the input are
     not read; an empty table gives an empty one.
