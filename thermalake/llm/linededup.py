@@ -194,14 +194,15 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
     those that lose a line go through Python.
     """
     bitmaps = repeated_line_bitmaps(docs, min_chars, min_docs)
-    rows = carried(docs, text=F.col("text"), _id=F.col("doc_id").cast("long"), _hash=F.xxhash64("text"))
+    # the text crosses the join once, inside the row
+    rows = carried(docs, _id=F.col("doc_id").cast("long"), _hash=F.xxhash64("text"))
     met = rows.join(bitmaps, (F.col("_id") == F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")), "left")
-    hit = F.col("keep_bitmap").isNotNull()
+    hit, text = F.col("keep_bitmap").isNotNull(), F.col("row.text")
     kept = F.pandas_udf(_kept, "string")
-    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)) + 1
+    n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))), F.lit(0)) + 1
     made = {"n_lines": n_lines.cast("long"), "n_dropped": F.coalesce("n_dropped", F.lit(0)).cast("long")} if counts else {}
     met = met.select(
-        "row", hit.alias("hit"), F.when(hit, kept(F.when(hit, F.col("text")), F.col("keep_bitmap"))).otherwise(F.col("text")).alias("cut"), *[c.alias(n) for n, c in made.items()]
+        "row", hit.alias("hit"), F.when(hit, kept(F.when(hit, text), F.col("keep_bitmap"))).otherwise(text).alias("cut"), *[c.alias(n) for n, c in made.items()]
     )
     new = {"text": F.col("cut"), "n_chars": F.when(F.col("hit"), F.length("cut").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
     same = [new[c].alias(c) if new.get(c) is not None else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in made]
