@@ -79,3 +79,28 @@ def test_vectors_of_extreme_size(spark):
     assert sorted(tuple(r) for r in embdedup.near_duplicates(table).collect()) == [(i, 4, 0, i == 0) for i in range(5)] + [(9, 0, 9, True)]
     got = ann.nearest(table, F.col("vec_id") == 0).collect()
     assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == [1, 9, 4, 2, 3] and got[0].score == INF
+
+
+@pytest.mark.parametrize("operator", ["dedup", "nearest"])
+def test_dense_groups_of_long_vectors_stay_within_memory(operator):
+    """One tile of near copies at 1,024 dimensions: the arrays that are alive at once stay below 1 GB."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    n, dim = (1024, 1024) if operator == "dedup" else (700, 1024)
+    rows = (rng.normal(size=dim) + rng.normal(size=(n, dim)) * 1e-3).astype(np.float32)
+    if operator == "nearest":
+        rows[:] = rows[0]
+    side = np.zeros(n, np.int32) if operator == "dedup" else (np.arange(n) >= 100).astype(np.int32)
+    table = pa.table({"vec_id": np.arange(n), "side": side, "dim": np.full(n, dim), "j": np.zeros(n, np.int32), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), dim).cast(pa.list_(pa.float32()))})
+    tracemalloc.start()
+    out = embdedup.tile_links(table, 0.93) if operator == "dedup" else ann.tile_nearest(table, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
+    if operator == "dedup":
+        assert out["links"].to_pylist() == [n - 1] * n and set(out["low"].to_pylist()) == {0}
+    else:
+        assert out["vec_id"].to_pylist() == list(range(100, 120)) * 100

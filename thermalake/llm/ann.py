@@ -18,14 +18,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thermalake.llm.common import cut, shuffle_partitions
-from thermalake.llm.tiles import Quantised, dot_pairs, floats, one_row_per_id, tile_product, usable, vectors
+from thermalake.llm.tiles import Quantised, dot_pairs, floats, one_row_per_id, pairs_at_once, tile_product, usable, vectors
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 4096
-_PAIRS = 1 << 17
 MERGED = 64  # short lists that one heap merges
 _SCHEMA = pa.schema([("query_id", pa.int64()), ("j", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
+def k_best(who: np.ndarray, what: np.ndarray, scores: np.ndarray, k: int) -> list[np.ndarray]:
+    """The k best of each query: larger scores first, then smaller ids."""
+    order = np.lexsort((what, -scores, who))
+    who, what, scores = who[order], what[order], scores[order]
+    first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.empty(0, np.int64)
+    place = np.arange(len(who)) - np.repeat(first, np.diff(np.r_[first, len(who)]))
+    return [v[place < k] for v in (who, what, scores)]
+
+
 def tile_nearest(table: pa.Table, k: int) -> pa.Table:
     """The k best candidates (side 1) of every query (side 0) in one tile; ties go to smaller ids."""
     dim = table["dim"][0].as_py()
@@ -42,16 +50,11 @@ def tile_nearest(table: pa.Table, k: int) -> pa.Table:
         else:
             floor = np.full(len(q), -np.inf)
         x, y = np.nonzero((near + bound >= floor[:, None]) & ~own)
-        scores = np.concatenate(
-            [np.empty(0)]
-            + [dot_pairs(rows[q[x[s : s + _PAIRS]]], rows[c[y[s : s + _PAIRS]]]) for s in range(0, len(x), _PAIRS)]
-        )
-        who, what = ids[q[x]], ids[c[y]]
-        order = np.lexsort((what, -scores, who))
-        who, what, scores = who[order], what[order], scores[order]
-        first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.empty(0, np.int64)
-        place = np.arange(len(who)) - np.repeat(first, np.diff(np.r_[first, len(who)]))
-        found = [v[place < k] for v in (who, what, scores)]
+        step, found = pairs_at_once(dim), [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        for at in range(0, len(x), step):
+            i, j = q[x[at : at + step]], c[y[at : at + step]]
+            more = ids[i], ids[j], dot_pairs(rows[i], rows[j])
+            found = k_best(*(np.concatenate([a, b]) for a, b in zip(found, more, strict=True)), k)
     who, what, scores = found or [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
     block = np.full(len(who), table["j"][0].as_py(), np.int32)
     return pa.Table.from_arrays([pa.array(v) for v in (who, block, what, scores)], schema=_SCHEMA)

@@ -17,10 +17,9 @@ from pyspark.sql import functions as F
 
 from thermalake.llm.common import cut, shuffle_partitions
 from thermalake.llm.components import connected_components
-from thermalake.llm.tiles import Quantised, dot_pairs, floats, one_row_per_id, scaled, tile_product, usable, vectors
+from thermalake.llm.tiles import Quantised, dot_pairs, floats, one_row_per_id, pairs_at_once, scaled, tile_product, usable, vectors
 
 BLOCK = 2048
-_PAIRS = 1 << 17  # recomputed at a time
 _SCHEMA = pa.schema([("vec_id", pa.int64()), ("links", pa.int64()), ("low", pa.int64())])
 
 
@@ -42,12 +41,13 @@ def tile_links(table: pa.Table, threshold: float) -> pa.Table:
         a, b = Quantised(units[left]), Quantised(units[right])
         near, bound = tile_product(a, b)
         near += bound
-        lengths = np.sqrt(dot_pairs(rows, rows))
+        step = pairs_at_once(dim)
+        lengths = np.sqrt(np.concatenate([dot_pairs(rows[at : at + step], rows[at : at + step]) for at in range(0, len(rows), step)]))
         x, y = np.nonzero(near >= threshold)
         if own:
             x, y = x[x < y], y[x < y]
-        for at in range(0, len(x), _PAIRS):
-            i, j = left[x[at : at + _PAIRS]], right[y[at : at + _PAIRS]]
+        for at in range(0, len(x), step):
+            i, j = left[x[at : at + step]], right[y[at : at + step]]
             true = dot_pairs(rows[i], rows[j]) / (lengths[i] * lengths[j]) >= threshold
             i, j = i[true], j[true]
             links += np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))

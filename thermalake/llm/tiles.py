@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Longest run of components whose int8 products sum exactly in single precision.
 _EXACT = 1024
+CELLS = 1 << 21  # components of the pairs that are recomputed at a time
 #: Above what rounding in the few double operations of a bound can make up, relative to the vectors' lengths, and in absolute terms.
 _SLACK, _TINY = 1e-9, 1e-300
 
@@ -54,6 +55,11 @@ def scaled(rows: np.ndarray) -> np.ndarray:
     return np.ldexp(rows, -power[:, None])
 
 
+def pairs_at_once(dim: int) -> int:
+    """How many pairs of vectors are recomputed at a time: their components, not their number, are bounded."""
+    return max(1, CELLS // max(dim, 1))
+
+
 @np.errstate(over="ignore", invalid="ignore")
 def dot_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Double precision inner products of aligned rows, summed from the first component to the last."""
