@@ -167,3 +167,9 @@ def test_scores_against_brute_force(spark):
         model = brownlm.learn(spark.createDataFrame([(t,) for t in train], "text string"), lexicon=lexicon, units=12, n_classes=7)
         got = {r.doc_id: r.score for r in brownlm.score(docs, model).collect()}
         assert [got[i] for i in range(len(texts))] == pytest.approx(brute_scores(texts, train, model, 7))
+
+
+def test_words_seen_once_fill_the_lexicon(spark):
+    docs = spark.createDataFrame([(" ".join(f"w{i}x{j}" for j in range(50)),) for i in range(60)], "text string")
+    model = brownlm.learn(docs, lexicon=1000, units=20, n_classes=6)
+    assert 850 < len(model.lookup.value) < 1150

@@ -79,7 +79,13 @@ def brute_letters(text):
     return clean.split()
 
 
-def brute_model(rows, entries, longest):
+def draws(spark, grams):
+    """The number from 0 to 1 that a hash gives each entry."""
+    table = spark.createDataFrame([(g,) for g in sorted(grams)], "gram string")
+    return {r.gram: (r.h % (1 << 64) >> 11) / 2**53 for r in table.selectExpr("gram", "xxhash64(gram, 21) AS h").collect()}
+
+
+def brute_model(spark, rows, entries, longest):
     """Scores by language, size and entry of rows (text, lang)."""
     counts = defaultdict(Counter)
     for text, lang in rows:
@@ -88,10 +94,11 @@ def brute_model(rows, entries, longest):
             for size in range(1, longest + 1):
                 counts[lang, size].update(f"<{word}>"[i : i + size] for i in range(len(word) + 3 - size))
     langs = sorted({lang for lang, _ in counts})
-    kept = {}
+    kept, draw = {}, draws(spark, {g for c in counts.values() for g in c})
     for key, c in counts.items():
-        least = min((n for n in c.values() if sum(m >= n for m in c.values()) <= entries), default=math.inf)
-        kept[key] = {g: n for g, n in c.items() if n >= least}
+        held = Counter(c.values())
+        above = lambda n: sum(h for m, h in held.items() if m > n)  # noqa: B023, E731
+        kept[key] = {g: n for g, n in c.items() if draw[g] < (entries - above(n)) / held[n]}
     score = {}
     for size in range(longest + 1):
         known = {g for lang in langs for g in kept.get((lang, size), ())}
@@ -130,7 +137,7 @@ def test_learning_and_prediction_against_brute_force(spark, entries):
     sample = langid.labelled_sample(docs, 1000).collect()
     assert Counter((r.text, r.lang) for r in sample) == Counter((t, x) for _, t, x in rows if x)
     assert 5 < sum(r.kept_out for r in sample) < 50
-    langs, score = brute_model([(r.text, r.lang) for r in sample if not r.kept_out], entries, 4)
+    langs, score = brute_model(spark, [(r.text, r.lang) for r in sample if not r.kept_out], entries, 4)
     model = langid.learn(docs, entries=entries)
     level = {
         s: sum(s * m[langs.index(r.lang)] - np.log(np.exp(s * (m - m.max())).sum()) - s * m.max() - 1e-4 * s for r in sample if r.kept_out and (m := brute_mean(r.text, langs, score, 4)) is not None)
@@ -146,6 +153,15 @@ def test_learning_and_prediction_against_brute_force(spark, entries):
         assert share[langs.index(got[doc].lang_pred)] == pytest.approx(share.max(), abs=1e-4)
 
 
+def test_words_seen_once_fill_the_bound(spark):
+    """A language of many different words, each once, keeps as many as there is room for, and is found by them."""
+    rows = [(i, " ".join(f"aa{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(100)), "aa") for i in range(200)]
+    rows += [(1000 + i, "the dog and the cat ran", "en") for i in range(200)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), entries=5000)
+    words = [w for w in model.grams[0].at if w.startswith("aa")]
+    assert 4600 < len(words) < 5400
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermalake.llm.common import cut, fold_of, least_count_within
+from thermalake.llm.common import cut, fold_of, most_counted
 
 #: Parameters: words known to every task, words that begin the classes, classes, rounds of their exchange, sweeps over all words, parts of a sweep.
 LEXICON, UNITS, CLASSES, ROUNDS, SWEEPS, PARTS = 1 << 18, 768, 32, 8, 2, 4
@@ -328,11 +328,11 @@ def learn(texts: DataFrame, lexicon: int = LEXICON, units: int = UNITS, n_classe
     """The model of all rows of (text); null texts count as empty, and an empty table gives a uniform model."""
     spark = texts.sparkSession
     texts = texts.select("text")
-    vocabulary = cut(count_words(texts))
+    # the lexicon has the most frequent words; of those that tie at its bound a hash of the word chooses
+    vocabulary = cut(most_counted(count_words(texts), [], "word", "n", lexicon))
     n_texts = texts.count()
     size = vocabulary.agg(F.count("*").alias("types"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
-    least = least_count_within(vocabulary, "n", lexicon)
-    known = sorted(((r.n, bytes(r.word)) for r in vocabulary.filter(F.col("n") >= least).collect()), key=lambda r: (-r[0], r[1]))
+    known = sorted(((r.n, bytes(r.word)) for r in vocabulary.filter("chosen").collect()), key=lambda r: (-r[0], r[1]))
     lookup = spark.sparkContext.broadcast(Lookup({w: i for i, (_, w) in enumerate(known)}))
 
     own = min(units, len(known))
@@ -350,7 +350,7 @@ def learn(texts: DataFrame, lexicon: int = LEXICON, units: int = UNITS, n_classe
 
     # distinct words of each class: the lexicon's own, and those that stayed distributed by shape
     types = np.bincount(place_class[: len(known)], minlength=n_classes).astype(np.float64)
-    rest = vocabulary.filter(F.col("n") < least)
+    rest = vocabulary.filter("NOT chosen").drop("chosen")
     schema = pa.schema([("shape", pa.int32())])
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,14 +83,24 @@ def fold_of(doc_id: str, folds: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def least_count_within(counts: DataFrame, n: str, most: int) -> int:
-    """The lowest value of `n` such that at most `most` rows reach it; one more than the highest if none does.
+def most_counted(counts: DataFrame, keys: list[str], entry: str, n: str, room: int) -> DataFrame:
+    """The rows with `chosen`, true for the largest counts, about `room` of each group of `keys`: all above the boundary count, and of those that tie there the share that fills the bound.
 
-    Only the number of rows per value is gathered, which grows with the logarithm of the rows at most.
+    A hash of the entry chooses among the tied, so the bound holds in
+    expectation and a table of equal counts keeps `room` of them, not none.
+    Only the number of rows per count is put in order, which grows with the
+    logarithm of the rows at most.
     """
-    steps = counts.groupBy(F.col(n).alias("n")).agg(F.count("*").alias("held"))
-    so_far = F.sum("held").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))
-    row = steps.withColumn("so_far", so_far).agg(
-        F.min(F.when(F.col("so_far") <= most, F.col("n"))).alias("least"), F.max("n").alias("top")
-    ).first()
-    return row.least if row.least is not None else (row.top or 0) + 1
+    names = [f"_key{i}" for i in range(len(keys))]
+    steps = counts.groupBy(*[F.col(k).alias(a) for k, a in zip(keys, names, strict=True)], F.col(n).alias("_n")).agg(F.count("*").alias("_held"))
+    down = Window.partitionBy(*names).orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.withColumn("_so_far", F.sum("_held").over(down))
+    # the share of each count that stays: all, some at the boundary, none below
+    share = F.least(F.lit(1.0), (room - (F.col("_so_far") - F.col("_held"))) / F.col("_held"))
+    steps = steps.withColumn("_share", share).filter("_share > 0").drop("_so_far", "_held")
+    draw = F.shiftrightunsigned(F.xxhash64(entry, F.lit(21)), 11) / float(1 << 53)
+    on = F.col(n) == F.col("_n")
+    for k, a in zip(keys, names, strict=True):
+        on = on & F.col(k).eqNullSafe(F.col(a))
+    met = counts.join(steps, on, "left")
+    return met.select(*counts.columns, F.coalesce(draw < F.col("_share"), F.lit(False)).alias("chosen"))

@@ -18,10 +18,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermalake.llm.common import cut, discard, stored
+from thermalake.llm.common import cut, discard, most_counted, stored
 
 UNKNOWN = "und"
 _RUN = re.compile(r"[^\W\d_]+")
@@ -267,7 +267,8 @@ def learn(docs: DataFrame, per_language: int = 1000, entries: int = 20_000, mode
     expectation. `entries` bounds the words and the n-grams of each size kept
     per language, and `model_entries` those of all languages together, so that
     the model can be sent to every task however many languages there are: of
-    each table all those stay that are above the lowest count within the bound.
+    each table the largest counts stay, and of those that tie at the bound as
+    many as fill it, chosen by a hash of the entry; so the bounds hold in expectation.
     An empty table, or one without labels, gives a model without languages.
     Other columns are not read.
     """
@@ -281,18 +282,10 @@ def learn(docs: DataFrame, per_language: int = 1000, entries: int = 20_000, mode
     )
     n_langs = counted.select("lang").distinct().count()
     room = max(1, min(entries, model_entries // max(1, n_langs * (longest + 1))))
-    # how many entries a table has by their count: small whatever the number of entries
-    steps = counted.groupBy("lang", "size", "n").agg(F.count("*").alias("held"))
-    table = Window.partitionBy("lang", "size")
-    down = table.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
-    limits = (
-        steps.withColumn("total", F.sum(F.col("n") * F.col("held")).over(table))
-        .withColumn("so_far", F.sum("held").over(down))
-        .groupBy("lang", "size", "total")
-        .agg(F.coalesce(F.min(F.when(F.col("so_far") <= room, F.col("n"))), F.max("n") + 1).alias("least"))
-    )
-    best = counted.join(limits, ["lang", "size"]).filter("n >= least").select("lang", "size", "gram", "n", "total")
-    # at most model_entries rows, in columns
+    totals = counted.groupBy("lang", "size").agg(F.sum("n").alias("total"))
+    best = most_counted(counted, ["lang", "size"], "gram", "n", room).filter("chosen").join(totals, ["lang", "size"])
+    best = best.select("lang", "size", "gram", "n", "total")
+    # about model_entries rows, in columns
     model = assemble(best.toArrow().to_batches(), longest)
     model.slope = fit_slope(sample.filter("kept_out"), model)
     return model
