@@ -108,3 +108,18 @@ def test_query_against_brute_force(spark):
         margin = model.weights[brute_features(text)].sum() + model.bias
         chance = 1 / (1 + np.exp(-(margin * model.slope + model.offset)))
         assert got[d].held_out == held[d] and abs(got[d].score - chance) < 1e-9 and got[d].predicted == (chance >= 0.5)
+
+
+def test_the_features_sent_to_the_driver_are_bounded(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.integers(0, 5000, 300)) + (" great" if i % 2 else " awful") * 40) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    sent = []
+    plain = nbsvm.fit
+    monkeypatch.setattr(nbsvm, "fit", lambda held, *a: sent.append(sum(map(len, held))) or plain(held, *a))
+    whole, small = nbsvm.learn(docs, labels), nbsvm.learn(docs, labels, most_features=60_000)
+    assert sent[0] > 200_000 and 30_000 < sent[1] < 90_000
+    for model in (whole, small):
+        got = nbsvm.score(docs, model).collect()
+        assert np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.95

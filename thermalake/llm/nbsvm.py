@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thermalake.llm.common import cut
+
 BITS = 20
 _MEMO, _MEMO_CHARS = 400_000, 48
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -175,15 +177,16 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, size: int, cost: float = 1.0
     return Model(weights, bias, *calibrate(margins, labels[kept] if kept.any() else labels))
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, bits: int = BITS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, bits: int = BITS, most_features: int = 50_000_000) -> Model:
     """A model from (doc_id, text) and (doc_id, quality).
 
     Labels other than 0 and 1, labels without a document and documents without
     a label are passed over; of several labels of a document the larger counts,
     of several rows of a document the one with the largest hash of its text.
     Null texts count as empty ones, and of long texts every word is used.
-    `most_rows` bounds the labelled documents used, in expectation; a hash of
-    the id chooses them. Empty tables give the model in which every score is
+    `most_rows` bounds the labelled documents used, and `most_features` the
+    features of all of them together (4 bytes each on their way to the driver),
+    both in expectation; hashes of the id choose them. Empty tables give the model in which every score is
     the smoothed share of label 1. Other columns are not read.
     """
     named = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").select(F.col("doc_id").cast("long"), "quality")
@@ -208,7 +211,10 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, bits: int =
         .groupBy("doc_id")
         .agg(F.max(F.struct("text_hash", "features")).alias("best"), F.max("quality").alias("quality"))
     )
-    held = sorted(got.select("doc_id", "quality", "best.features").collect(), key=lambda r: r.doc_id)
+    got = cut(got.select("doc_id", "quality", "best.features"))
+    features = (got.agg(F.sum(F.octet_length("features"))).first()[0] or 0) / 4
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
+    held = sorted(got.filter(draw < min(1.0, most_features / max(1.0, features))).collect(), key=lambda r: r.doc_id)
     rows = [np.frombuffer(bytes(r.features), "<i4") for r in held]
     return fit(rows, np.array([r.quality for r in held], np.int64), 1 << bits)
 
