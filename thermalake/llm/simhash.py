@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([text_fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64)
+            found = np.array([text_fingerprint(t.as_py(), shingle) for t in batch.column(2)], np.uint64)  # one text at a time
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found.view(np.int64))], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
@@ -164,7 +164,9 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, cell: int = CELL,
     masks = (~np.array(free, np.uint64)).view(np.int64).tolist()
     split = F.col("cell").isin(crowded) if crowded else F.lit(False)
     whole = dealt.filter(~split).select("cell", "fp", "node", F.lit(-1).alias("choice"), F.lit(0).cast("long").alias("bits"))
-    by_bytes = dealt.filter(split).select("cell", "fp", "node", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "bits"))
+    # a fingerprint goes to its bytes' groups once, however many of its cells are crowded: they don't depend on the cell
+    many = dealt.filter(split).select("fp", "node").distinct()
+    by_bytes = many.select(F.lit(-1).alias("cell"), "fp", "node", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "bits"))
     # a group's work is far above its bytes, so the groups are dealt by number, not put together by size
     tagged = whole.unionByName(by_bytes).repartition(shuffle_partitions(distinct.sparkSession), "cell", "choice", "bits")
     groups = (
