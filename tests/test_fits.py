@@ -57,7 +57,8 @@ def test_a_mixture_is_found_wherever_it_lies(spark, offset):
     order = m["mean"][:, 0].argsort()
     assert m["weight"][order] == pytest.approx([2 / 3, 1 / 3], abs=1e-6) and m["mean"][order, 0] - offset == pytest.approx([0, 18], abs=0.03)
     assert np.stack([np.diag(c) for c in m["covariance"]]) == pytest.approx(np.full((2, 2), 0.0625), rel=0.1)
-    assert len(m["attempts"]) == 5 and m["loglik"] == max(a["loglik"] for a in m["attempts"] if a["status"] == "converged")
+    ended = [a for a in m["attempts"] if a["status"] == "converged"]
+    assert len(m["attempts"]) == 5 and m["loglik"] == next(a["loglik"] for a in ended if a["loglik"] >= max(b["loglik"] for b in ended) - 1e-6)
 
 
 def test_mixture_steps_against_numpy(spark):

@@ -1,72 +1,63 @@
 """Iterative fits as repeated aggregations.
 
 Every iteration is one pass in which tasks reduce their rows to sufficient
-statistics; Spark adds these up by position, and the driver solves a small
-system whose size depends on the model alone.
+statistics; Spark adds these up without rounding (operators/exact.py), so that
+a model is the same to the last bit however its rows are partitioned, and the
+driver solves a small system whose size depends on the model alone.
 """
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from statistics import NormalDist
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermalake.functions.physics import limb_value, polynomial, polynomial_terms
 from thermalake.functions.rng import uniform
+from thermalake.operators.exact import block_sums, blocked, exact_sums
 from thermalake.operators.sampling import quantiles, running
+from thermalake.sources import versions
 
 _BUILT_IN = 9  # columns whose products built-in aggregates sum
-_STATS = pa.schema([("at", pa.int32()), ("value", pa.float64())])
 
 
-def summed(df: DataFrame, columns: Sequence[Column], reduce: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """The sum over all rows of what `reduce` makes of blocks (rows x columns) of them; rows with nulls are left out."""
-    named = df.select(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).na.drop()
+def summed(df: DataFrame, columns: Sequence[Column], reduce: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all rows of what `reduce` makes of blocks of them, for any partitioning; rows with nulls are left out.
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            if batch.num_rows:
-                block = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
-                own = reduce(block)
-                total = own if total is None else total + own
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], schema=_STATS)
-
-    rows = named.mapInArrow(partial, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
-    out = np.zeros(len(rows))
-    for row in rows:
-        out[row["at"]] = row["value"]
-    return out
+    `reduce` gets rows x columns and how often each row comes.
+    """
+    return block_sums(blocked(df, columns), reduce)
 
 
 def gram(df: DataFrame, columns: Sequence[Column], weight: Column, means: Sequence[float] | None = None) -> np.ndarray:
     """The matrix of weighted sums of products of (1, columns), each column less its mean; rows with nulls are left out.
 
-    Few columns are summed by built-in aggregates, many as blocks in tasks.
+    Few columns are summed by built-in aggregates, many as blocks in tasks;
+    either way the sums don't depend on how rows are partitioned.
     """
     means = [0.0] * len(columns) if means is None else [float(m) for m in means]
     centred = [c.cast("double") - F.lit(m) for c, m in zip(columns, means, strict=True)]
     size = len(columns) + 1
     if size > _BUILT_IN:
 
-        def products(block: np.ndarray) -> np.ndarray:
+        def products(block: np.ndarray, n: np.ndarray) -> np.ndarray:
             x = np.concatenate([np.ones((len(block), 1)), block[:, :-1]], 1)
-            return (x * block[:, -1:]).T @ x
+            return (x * (block[:, -1] * n)[:, None]).T @ x
 
         got = summed(df, [*centred, weight], products)
         return got.reshape(size, size) if got.size else np.zeros((size, size))
     named = df.select(F.lit(1.0).alias("c0"), *[c.alias(f"c{i + 1}") for i, c in enumerate(centred)], weight.cast("double").alias("w")).na.drop()
     cells = [(i, j) for i in range(size) for j in range(i, size)]
-    row = named.agg(*[F.sum(F.col("w") * F.col(f"c{i}") * F.col(f"c{j}")).alias(f"g{i}_{j}") for i, j in cells]).first()
+    found = exact_sums(named, {f"g{i}_{j}": F.col("w") * F.col(f"c{i}") * F.col(f"c{j}") for i, j in cells})
     out = np.zeros((size, size))
     for i, j in cells:
-        out[i, j] = out[j, i] = row[f"g{i}_{j}"] or 0.0
+        out[i, j] = out[j, i] = found[f"g{i}_{j}"]
     return out
 
 
@@ -79,12 +70,14 @@ def spread(df: DataFrame, columns: Sequence[Column], weight: Column) -> tuple[np
     """Weighted means and population scales over rows without nulls; constant columns have scale 1."""
     named = df.select(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)], weight.cast("double").alias("w")).na.drop()
     at = range(len(columns))
-    row = named.agg(F.sum("w").alias("w"), *[f(i) for i in at for f in (lambda i: F.sum(F.col("w") * F.col(f"c{i}")).alias(f"m{i}"), lambda i: F.min(f"c{i}").alias(f"low{i}"), lambda i: F.max(f"c{i}").alias(f"high{i}"))]).first()
-    if not row["w"]:
+    row = named.agg(*[f(f"c{i}").alias(f"{n}{i}") for i in at for n, f in (("low", F.min), ("high", F.max))]).first()
+    first = exact_sums(named, {"w": F.col("w"), **{f"m{i}": F.col("w") * F.col(f"c{i}") for i in at}})
+    if not first["w"]:
         raise ValueError("no complete rows to fit")
-    mean = np.array([row[f"m{i}"] / row["w"] for i in at])
-    second = named.agg(*[F.sum(F.col("w") * F.pow(F.col(f"c{i}") - float(mean[i]), F.lit(2.0))).alias(f"v{i}") for i in at]).first()
-    scale = np.array([math.sqrt(second[f"v{i}"] / row["w"]) if row[f"low{i}"] < row[f"high{i}"] else 1.0 for i in at])
+    mean = np.array([first[f"m{i}"] / first["w"] for i in at])
+    gap = [F.col(f"c{i}") - float(mean[i]) for i in at]
+    second = exact_sums(named, {f"v{i}": F.col("w") * gap[i] * gap[i] for i in at})
+    scale = np.array([math.sqrt(second[f"v{i}"] / first["w"]) if row[f"low{i}"] < row[f"high{i}"] else 1.0 for i in at])
     return mean, np.where(scale > 0, scale, 1.0)
 
 
@@ -195,6 +188,28 @@ def principal_axes(cov: np.ndarray, scale: np.ndarray, keep: float = 0.98) -> tu
     return (axes * sign[:, None])[:count], values[:count]
 
 
+class Keeper:
+    """States of unfinished fits under a path, by versions (`sources/versions.py`): saved every few rounds, loaded if they belong to the same fit."""
+
+    def __init__(self, spark: SparkSession, path: str, every: int = 5):
+        self.spark, self.path, self.every = spark, path, every
+
+    def save(self, identity: dict, count: int, state: dict, before: dict, attempts: dict, done: dict) -> None:
+        pack = lambda held: [[list(j), [v.tolist() for v in s]] for j, s in held.items()]
+        record = {"identity": identity, "count": count, "state": pack(state), "done": pack(done), "before": [[list(j), None if np.isinf(v) else v] for j, v in before.items()], "attempts": [[list(j), a] for j, a in attempts.items()]}
+        versions.publish_text(self.spark, self.path, json.dumps(record))
+
+    def load(self, identity: dict) -> tuple | None:
+        """(rounds so far, states, likelihoods, attempts, finished states) of the same fit; None if there is none."""
+        text = versions.latest_text(self.spark, self.path)
+        held = json.loads(text) if text is not None else None
+        if held is None or held["identity"] != json.loads(json.dumps(identity)):
+            return None
+        unpack = lambda rows: {tuple(j): tuple(np.array(v) for v in s) for j, s in rows}
+        before = {tuple(j): -np.inf if v is None else v for j, v in held["before"]}
+        return held["count"], unpack(held["state"]), before, {tuple(j): a for j, a in held["attempts"]}, unpack(held["done"])
+
+
 def starting_means(rows: DataFrame, k: int, starts: int, seed: int) -> np.ndarray:
     """(starts, k, columns): different rows drawn by a keyed hash of their values, without a sort of all rows.
 
@@ -233,105 +248,291 @@ def log_densities(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, cov: np.n
     return out
 
 
-def mixture(df: DataFrame, columns: Sequence[Column], k: int, seed: int = 42, starts: int = 5, rounds: int = 200, tol: float = 1e-4, floor: float = 1e-6) -> dict:
+def mixture_statistics(x: np.ndarray, n: np.ndarray, state: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """What one round of a mixture needs of rows x, each counted n times: the log likelihood, and mass, first and second moments around its mean for each component."""
+    weight, mean, cov = state
+    k = len(weight)
+    logs = log_densities(x, weight, mean, cov)
+    top = logs.max(1)
+    density = top + np.log(np.exp(logs - top[:, None]).sum(1))
+    share = np.exp(logs - density[:, None]) * n[:, None]
+    gaps = [x - m for m in mean]
+    parts = [[(density * n).sum()], share.sum(0), *[share[:, j] @ gaps[j] for j in range(k)]]
+    parts += [((gaps[j] * share[:, j : j + 1]).T @ gaps[j]).ravel() for j in range(k)]
+    return np.concatenate(parts)
+
+
+def maximised(sums: np.ndarray, state: tuple, total: float, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """The next state of a mixture; None if a component has lost its mass."""
+    k, d = state[1].shape
+    mass = sums[1 : 1 + k]
+    if (mass <= 10 * np.finfo(float).eps * total).any():
+        return None
+    shift = sums[1 + k : 1 + k + k * d].reshape(k, d) / mass[:, None]
+    second = sums[1 + k + k * d :].reshape(k, d, d) / mass[:, None, None]
+    return mass / total, state[1] + shift, second - np.einsum("ki,kj->kij", shift, shift) + floor * np.eye(d)
+
+
+class Rows:
+    """Rows of numbers for repeated passes: blocked, kept by the executors, and centred on their mean."""
+
+    def __init__(self, df: DataFrame, columns: Sequence[Column]):
+        self.d = len(columns)
+        self.plain = df.select(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).na.drop()
+        self.blocks = blocked(df, columns).persist()
+        sums = block_sums(self.blocks, lambda x, n: np.r_[n.sum(), n @ x])
+        self.n = int(sums[0]) if sums.size else 0
+        self.centre = sums[1:] / max(self.n, 1) if sums.size else np.zeros(self.d)
+        centre = self.centre
+        second = block_sums(self.blocks, lambda x, n: n @ (x - centre) ** 2)
+        self.variance = second / max(self.n, 1) if second.size else np.zeros(self.d)
+
+    def __enter__(self) -> Rows:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.blocks.unpersist()
+
+    def sums(self, reduce: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        centre = self.centre
+        return block_sums(self.blocks, lambda x, n: reduce(x - centre, n))
+
+
+def mixture(
+    df: DataFrame, columns: Sequence[Column], k: int, seed: int = 42, starts: int = 5, rounds: int = 200, tol: float = 1e-4, floor: float = 1e-6, keep: Keeper | None = None
+) -> dict:
     """A Gaussian mixture of full covariances by expectation maximisation over every row, the best of several starts.
 
     Each start begins with k drawn rows as means, equal weights and the
     variances of all rows. All starts go on in the same passes over the data,
     whose moments are taken around the present means. A start ends when its
     mean log likelihood changes by less than `tol`; one whose component loses
-    its mass is set aside. Raises if no start ends in time. The result has
-    `attempts` with start, loglik, rounds and status of each.
+    its mass is set aside. The best start is the first whose likelihood is
+    within `tol` of the largest. Raises if no start ends in time. The result has
+    `attempts` with start, loglik, rounds and status of each, and is the same to
+    the last bit however the rows are partitioned. With `keep` the states of all
+    starts are stored every few rounds, and a fit that was cut off goes on from them.
     """
-    named = [c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)]
-    rows = df.select(*named).na.drop()
-    names, d = rows.columns, len(columns)
-    level = rows.agg(F.count("*").alias("n"), *[f(c).alias(f"{a}_{c}") for c in names for a, f in (("mean", F.avg), ("var", F.var_pop))]).first()
-    n, centre = level["n"], np.array([level[f"mean_{c}"] or 0.0 for c in names])
-    rows = rows.select(*[(F.col(c) - F.lit(float(m))).alias(c) for c, m in zip(names, centre, strict=True)]).persist()
-    try:
-        mean = starting_means(rows, k, starts, seed)
-        variance = np.diag([level[f"var_{c}"] for c in names]) + floor * np.eye(d)
-        state = {s: (np.full(k, 1 / k), mean[s], np.stack([variance] * k)) for s in range(starts)}
-        before, attempts, done, width = dict.fromkeys(state, -np.inf), {}, {}, 1 + k * (1 + d + d * d)
-        for count in range(1, rounds + 1):
-            running_ = sorted(state)
-            held = [state[s] for s in running_]
-
-            def step(x: np.ndarray, held=held) -> np.ndarray:
-                parts = []
-                for weight, mean, cov in held:
-                    logs = log_densities(x, weight, mean, cov)
-                    top = logs.max(1)
-                    density = top + np.log(np.exp(logs - top[:, None]).sum(1))
-                    share = np.exp(logs - density[:, None])
-                    parts += [[density.sum()], share.sum(0)]
-                    gaps = [x - m for m in mean]
-                    parts += [share[:, j] @ gaps[j] for j in range(k)]
-                    parts += [((gaps[j] * share[:, j : j + 1]).T @ gaps[j]).ravel() for j in range(k)]
-                return np.concatenate(parts)
-
-            got = summed(rows, [F.col(c) for c in names], step).reshape(len(running_), width)
-            for s, sums in zip(running_, got, strict=True):
-                now, mass = sums[0] / n, sums[1 : 1 + k]
-                if (mass <= 10 * np.finfo(float).eps * n).any():
-                    attempts[s] = {"start": s, "loglik": None, "rounds": count, "status": "a component lost its mass"}
-                    del state[s]
+    return mixtures(df, columns, [k], seed, starts, rounds, tol, floor, keep)[k]
+
+
+def mixtures(
+    df: DataFrame, columns: Sequence[Column], ks: Sequence[int], seed: int = 42, starts: int = 5, rounds: int = 200, tol: float = 1e-4, floor: float = 1e-6, keep: Keeper | None = None
+) -> dict[int, dict]:
+    """A `mixture` for each number of components, all of them and all their starts in the same passes."""
+    with Rows(df, columns) as rows:
+        identity = {"columns": [str(c) for c in columns], "n": rows.n, "centre": rows.centre.tolist(), "variance": rows.variance.tolist(), "ks": list(ks), "seed": seed, "starts": starts, "tol": tol, "floor": floor}
+        held = keep.load(identity) if keep else None
+        if held:
+            count, state, before, attempts, done = held
+        else:
+            count, attempts, done = 0, {}, {}
+            variance = np.diag(rows.variance) + floor * np.eye(rows.d)
+            state = {(k, s): (np.full(k, 1 / k), mean - rows.centre, np.stack([variance] * k)) for k in ks for s, mean in enumerate(starting_means(rows.plain, k, starts, seed))}
+            before = dict.fromkeys(state, -np.inf)
+        while state and count < rounds:
+            count += 1
+            now = sorted(state)
+            states = [state[j] for j in now]
+            got = rows.sums(lambda x, n, states=states: np.concatenate([mixture_statistics(x, n, s) for s in states]))
+            at = 0
+            for j in now:
+                width = 1 + j[0] * (1 + rows.d + rows.d**2)
+                sums, at = got[at : at + width], at + width
+                after, level = maximised(sums, state[j], rows.n, floor), float(sums[0] / rows.n)
+                if after is None:
+                    attempts[j] = {"start": j[1], "loglik": None, "rounds": count, "status": "a component lost its mass"}
+                    del state[j]
                     continue
-                shift = sums[1 + k : 1 + k + k * d].reshape(k, d) / mass[:, None]
-                second = sums[1 + k + k * d :].reshape(k, d, d) / mass[:, None, None]
-                cov = second - np.einsum("ki,kj->kij", shift, shift) + floor * np.eye(d)
-                state[s] = (mass / n, state[s][1] + shift, cov)
-                if abs(now - before[s]) < tol:
-                    attempts[s] = {"start": s, "loglik": float(now), "rounds": count, "status": "converged"}
-                    done[s] = state.pop(s)
-                before[s] = now
+                state[j] = after
+                if abs(level - before[j]) < tol:
+                    attempts[j] = {"start": j[1], "loglik": level, "rounds": count, "status": "converged"}
+                    done[j] = state.pop(j)
+                before[j] = level
+            if keep and (not state or count % keep.every == 0):
+                keep.save(identity, count, state, before, attempts, done)
+        for j in state:
+            attempts[j] = {"start": j[1], "loglik": before[j], "rounds": rounds, "status": "not converged"}
+        n, centre = rows.n, rows.centre
+    out = {}
+    for k in ks:
+        own = {j: attempts[j] for j in sorted(attempts) if j[0] == k}
+        ended = [j for j in own if j in done]
+        if not ended:
+            raise ValueError(f"no start converged at {k} components: " + ", ".join(a["status"] for a in own.values()))
+        top = max(own[j]["loglik"] for j in ended)
+        best = next(j for j in ended if own[j]["loglik"] >= top - tol)
+        weight, mean, cov = done[best]
+        out[k] = {
+            "weight": weight, "mean": mean + centre, "covariance": cov, "loglik": own[best]["loglik"], "rounds": own[best]["rounds"],
+            "converged": True, "n": n, "attempts": list(own.values()),
+        }
+    return out
+
+
+def resampling_counts(x: np.ndarray, n: np.ndarray, seed: int, replicate: int) -> np.ndarray:
+    """How often a resampling with replacement draws each row that comes n times: the Poisson(n) count of a hash of its values.
+
+    The draw depends on the values alone, so it is the same wherever the row
+    lies. Above a mean of 50 the count is the nearest whole number to the normal
+    quantile, which is within 3 % of a deviation there.
+    """
+    start = (seed * 1_000_003 + replicate * 7919 + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+    h = np.full(len(x), start, np.uint64)
+    for column in np.ascontiguousarray(x.T + 0.0).view(np.uint64):
+        h ^= column
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ h >> np.uint64(shift)) * np.uint64(factor)
+        h ^= h >> np.uint64(31)
+    u = ((h >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+    few = n <= 50
+    term = np.exp(-np.where(few, n, 1.0))
+    total, count = term.copy(), np.zeros(len(x))
+    open_ = few & (u > total)
+    for step in range(1, 200):
+        if not open_.any():
+            break
+        count += open_
+        term = term * np.where(few, n, 1.0) / step
+        total = total + term
+        open_ &= u > total
+    if not few.all():
+        quantile = np.vectorize(NormalDist().inv_cdf)
+        count[~few] = np.maximum(np.rint(n[~few] + np.sqrt(n[~few]) * quantile(u[~few])), 0.0)
+    return count
+
+
+def refits(
+    df: DataFrame, columns: Sequence[Column], k: int, replicates: int, seed: int = 42, starts: int = 5, rounds: int = 200, tol: float = 1e-4, floor: float = 1e-6
+) -> list[dict]:
+    """A `mixture` of each resampling with replacement of the rows; all resamplings and their starts share the same passes.
+
+    No row is copied: a resampling is a count for each row. A resampling none
+    of whose starts ends in time keeps its likeliest state, with `converged` false.
+    """
+    with Rows(df, columns) as rows:
+        means = starting_means(rows.plain, k, starts * replicates, seed)
+        centre = rows.centre
+        totals = block_sums(rows.blocks, lambda x, n: np.array([resampling_counts(x, n, seed, r).sum() for r in range(replicates)]))
+        variance = np.diag(rows.variance) + floor * np.eye(rows.d)
+        state = {(r, s): (np.full(k, 1 / k), means[r * starts + s] - rows.centre, np.stack([variance] * k)) for r in range(replicates) for s in range(starts)}
+        levels, done = dict.fromkeys(state, -np.inf), {}
+        for _ in range(rounds):
             if not state:
                 break
-        for s in state:
-            attempts[s] = {"start": s, "loglik": float(before[s]), "rounds": rounds, "status": "not converged"}
-    finally:
-        rows.unpersist()
-    if not done:
-        raise ValueError("no start converged: " + ", ".join(a["status"] for a in attempts.values()))
-    best = max(done, key=lambda s: (attempts[s]["loglik"], -s))
-    weight, mean, cov = done[best]
-    return {
-        "weight": weight, "mean": mean + centre, "covariance": cov, "loglik": attempts[best]["loglik"], "rounds": attempts[best]["rounds"],
-        "converged": True, "n": n, "attempts": [attempts[s] for s in sorted(attempts)],
-    }
+            now = sorted(state)
+
+            def step(x: np.ndarray, n: np.ndarray, now=now, state=dict(state)) -> np.ndarray:
+                drawn = {r: resampling_counts(x, n, seed, r) for r in {r for r, _ in now}}
+                return np.concatenate([mixture_statistics(x - centre, drawn[j[0]], state[j]) for j in now])
+
+            for j, sums in zip(now, block_sums(rows.blocks, step).reshape(len(now), -1), strict=True):
+                after, level = maximised(sums, state[j], totals[j[0]], floor), float(sums[0] / totals[j[0]])
+                if after is None:
+                    del state[j]
+                    continue
+                state[j] = after
+                if abs(level - levels[j]) < tol:
+                    done[j] = state.pop(j)
+                levels[j] = level
+        out = []
+        for r in range(replicates):
+            held = {j: s for j, s in done.items() if j[0] == r} or {j: s for j, s in state.items() if j[0] == r}
+            if not held:
+                raise ValueError(f"every start of resampling {r} lost a component")
+            top = max(levels[j] for j in held)
+            best = next(j for j in sorted(held) if levels[j] >= top - tol)
+            weight, mean, cov = held[best]
+            out.append({"weight": weight, "mean": mean + rows.centre, "covariance": cov, "loglik": levels[best], "converged": best in done})
+    return out
+
+
+def rand_index(n: np.ndarray) -> float:
+    """The adjusted Rand index of a contingency table."""
+    pairs = lambda a: float((a * (a - 1) / 2).sum())
+    both, first, second, every = pairs(n), pairs(n.sum(1)), pairs(n.sum(0)), pairs(np.array([n.sum()]))
+    expected, most = first * second / every if every else 0.0, (first + second) / 2
+    return 1.0 if most == expected else (both - expected) / (most - expected)
+
+
+def matched_jaccard(n: np.ndarray) -> list[float | None]:
+    """The Jaccard index of each row's label with its match, the matching that makes their sum largest; null for a label without rows."""
+    union = n.sum(1)[:, None] + n.sum(0)[None, :] - n
+    jaccard = np.divide(n, union, out=np.zeros(n.shape), where=union > 0)
+    match = best_matching(jaccard)
+    return [float(jaccard[i, j]) if n[i].sum() else None for i, j in enumerate(match)]
+
+
+def refit_stability(df: DataFrame, columns: Sequence[Column], label: Column, k: int, replicates: int, held_out: DataFrame | None = None, **settings) -> list[dict]:
+    """replicate, ari, jaccard (of each label 0 to k - 1), least and converged, of the labels that each refit gives to the held-out rows against `label`.
+
+    Without held-out rows those of the fit are compared. All refits label a row
+    in the same pass; only tables of k x k counts are gathered.
+    """
+    models = refits(df, columns, k, replicates, **settings)
+    test = df if held_out is None else held_out
+    origin = np.mean([m["weight"] @ m["mean"] for m in models], axis=0)
+
+    def tables(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        own, x = x[:, -1].astype(int), x[:, :-1] - origin
+        found = []
+        for m in models:
+            other = log_densities(x, m["weight"], m["mean"] - origin, m["covariance"]).argmax(1)
+            found.append(np.bincount(own * k + other, n, k * k))
+        return np.concatenate(found)
+
+    known = F.when(label.between(0, k - 1), label)
+    got = summed(test, [*columns, known], tables)
+    if not got.size:
+        raise ValueError("no labelled rows to compare")
+    out = []
+    for r, (table, model) in enumerate(zip(got.reshape(replicates, k, k), models, strict=True)):
+        jaccard = matched_jaccard(table)
+        out.append({"replicate": r, "ari": rand_index(table), "jaccard": jaccard, "least": min(j for j in jaccard if j is not None), "converged": model["converged"]})
+    return out
 
 
 def mixture_criteria(df: DataFrame, columns: Sequence[Column], model: dict) -> dict:
     """loglik (sum), entropy of the memberships, BIC and ICL = BIC + 2 entropy of a mixture over all rows, and how many are ambiguous.
 
-    A row is ambiguous if no component has 0.8 of it.
+    A row is ambiguous if no component has 0.8 of it. `rows` has the number of
+    rows that each component is the likeliest of.
     """
     k, d = model["mean"].shape
     centre = model["weight"] @ model["mean"]
     near = model["mean"] - centre
 
-    def step(x: np.ndarray) -> np.ndarray:
+    def step(x: np.ndarray, count: np.ndarray) -> np.ndarray:
         logs = log_densities(x - centre, model["weight"], near, model["covariance"])
         top = logs.max(1)
         density = top + np.log(np.exp(logs - top[:, None]).sum(1))
         share = np.exp(logs - density[:, None])
-        return np.array([len(x), density.sum(), -(share * np.log(np.maximum(share, 1e-300))).sum(), (share.max(1) < 0.8).sum()])
+        own = np.bincount(logs.argmax(1), count, k)
+        return np.r_[count.sum(), count @ density, -(count @ (share * np.log(np.maximum(share, 1e-300))).sum(1)), count @ (share.max(1) < 0.8), own]
 
-    n, loglik, entropy, ambiguous = summed(df, columns, step)
+    n, loglik, entropy, ambiguous, *own = summed(df, columns, step)
     free = k - 1 + k * d + k * d * (d + 1) // 2
     bic = -2 * loglik + free * math.log(n)
-    return {"n": int(n), "loglik": float(loglik), "entropy": float(entropy), "bic": float(bic), "icl": float(bic + 2 * entropy), "ambiguous": int(ambiguous)}
+    return {"n": int(n), "loglik": float(loglik), "entropy": float(entropy), "bic": float(bic), "icl": float(bic + 2 * entropy), "ambiguous": int(ambiguous), "rows": [int(c) for c in own]}
+
 
+def candidates(df: DataFrame, columns: Sequence[Column], ks: Sequence[int], least_rows: int = 100, held_out: DataFrame | None = None, **settings) -> list[dict]:
+    """The best start of each number of components with its criteria over the held-out rows, or over all.
 
-def candidates(df: DataFrame, columns: Sequence[Column], ks: Sequence[int], least_rows: int = 100, **settings) -> list[dict]:
-    """The best start of each number of components with its criteria; raises if a component would have fewer than `least_rows` rows on average."""
+    Raises before any fit if there are fewer than `least_rows` rows a component
+    on average, and after it if a component is the likeliest of fewer than that
+    of the rows that the criteria are taken over. All fits share their passes.
+    """
+    test = df if held_out is None else held_out
+    present = test.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).na.drop().count()
+    if present < least_rows * max(ks):
+        raise ValueError(f"fewer than {least_rows} rows per component at {max(ks)} components")
     out = []
-    for k in ks:
-        model = mixture(df, columns, k, **settings)
-        if model["n"] < least_rows * k:
-            raise ValueError(f"fewer than {least_rows} rows per component at {k} components")
-        out.append({"k": k, "model": model, **mixture_criteria(df, columns, model)})
+    for k, model in mixtures(df, columns, ks, **settings).items():
+        found = mixture_criteria(test, columns, model)
+        if min(found["rows"]) < least_rows:
+            raise ValueError(f"a component of {k} has {min(found['rows'])} rows, fewer than {least_rows}")
+        out.append({"k": k, "model": model, **found})
     return out
 
 
@@ -545,12 +746,12 @@ def fold_models(df: DataFrame, values: Sequence[Column], target: Column, weight:
     terms = polynomial_terms(frame.scaled(values), degree)
     size = len(terms) + 1
 
-    def grams(block: np.ndarray) -> np.ndarray:
+    def grams(block: np.ndarray, n: np.ndarray) -> np.ndarray:
         x = np.concatenate([np.ones((len(block), 1)), block[:, :-2]], 1)
         out = np.zeros((folds, size + 1, size + 1))
         for k in range(folds):
             own = block[:, -1] == k
-            out[k] = (x[own] * block[own, -2:-1]).T @ x[own]
+            out[k] = (x[own] * (block[own, -2] * n[own])[:, None]).T @ x[own]
         return out
 
     got = summed(df, [*terms, target - F.lit(float(mean[-1])), weight, fold], grams)

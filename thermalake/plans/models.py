@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from thermalake.functions import physics
 from thermalake.functions.rng import normal, passed, uniform
-from thermalake.operators import fits, grid, moments, sampling, scenes, weighted
+from thermalake.operators import fits, grid, labelers, moments, sampling, scenes, weighted
 from thermalake.sources.tables import table
 
 
@@ -57,12 +57,55 @@ SELECT v AS "offset", k::INTEGER AS component, round(count(*) / (SELECT count(*)
 def mixture_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best start for each number of components with its criteria, and which one the information criterion chooses."""
     df = _clusters(spark, sf_dir)
-    got = fits.candidates(df, [F.col("x"), F.col("y")], (1, 2, 3), least_rows=10)
+    got = fits.candidates(df, [F.col("x"), F.col("y")], (1, 3), least_rows=10)
     best = min(got, key=lambda c: c["bic"])["k"]
-    rows = [(c["k"], c["n"], round(c["loglik"] / c["n"], 5), round(c["entropy"], 3), c["ambiguous"], c["k"] == best, c["icl"] >= c["bic"]) for c in got[:1] + got[2:]]
+    rows = [(c["k"], c["n"], round(c["loglik"] / c["n"], 5), round(c["entropy"], 3), c["ambiguous"], c["k"] == best, c["icl"] >= c["bic"]) for c in got]
     return spark.createDataFrame(rows, "k int, n long, loglik double, entropy double, ambiguous long, chosen boolean, ordered boolean")
 
 
+def mixture_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One to four components over clusters that overlap, all fitted in the same passes: criteria of each and the choice of both."""
+    df = _clusters(spark, sf_dir).withColumn("x", F.col("x") / 12.0)
+    got = fits.candidates(df, [F.col("x"), F.col("y")], (1, 2, 3, 4), least_rows=10)
+    best = {c: min(got, key=lambda g: g[c])["k"] for c in ("bic", "icl")}  # noqa: B023
+    rows = [(c["k"], c["n"], *(round(c[v], 3) for v in ("loglik", "entropy", "bic", "icl")), c["ambiguous"], min(c["rows"]), c["k"] == best["bic"], c["k"] == best["icl"]) for c in got]
+    return spark.createDataFrame(rows, "k int, n long, loglik double, entropy double, bic double, icl double, ambiguous long, least_rows int, chosen_bic boolean, chosen_icl boolean")
+
+
+def refit_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of a mixture against those of its refits to ten resamplings: agreement, matched overlap of each label, and the worst and the spread over all."""
+    df = _clusters(spark, sf_dir).withColumn("x", F.col("x") / 12.0)
+    columns = [F.col("x"), F.col("y")]
+    m = fits.mixture(df, columns, 3)
+    labelled = labelers.labelled(df, columns, {"label": labelers.MixtureLabeler(m["weight"], m["mean"], m["covariance"])})
+    got = fits.refit_stability(labelled, columns, F.col("label"), 3, replicates=10)
+    ari = np.array([g["ari"] for g in got])
+    rows = [(g["replicate"], g["ari"], g["jaccard"], g["least"], g["converged"], float(ari.min()), float(ari.std())) for g in got]
+    return spark.createDataFrame(rows, "replicate int, ari double, jaccard array<double>, least double, converged boolean, worst_ari double, sd_ari double")
+
+
+def labelled_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by what three labelers say: a mixture as expressions, the same mixture as a model of batches, and thresholds of batches."""
+    df = _clusters(spark, sf_dir).withColumn("x", F.when(F.col("y") < 4.5, F.col("x")))
+    # a mixture of known parameters, so that the labels can be stated in SQL
+    weight, mean, cov = np.array([0.5, 0.3, 0.2]), np.array([[0.5, 0.0], [18.5, 0.0], [36.5, 0.0]]), np.stack([np.diag([4.0, 9.0])] * 3)
+    cuts = np.array([9.5, 27.5])
+    found = labelers.labelled(
+        df,
+        [F.col("x"), F.col("y")],
+        {
+            "mixture": labelers.MixtureLabeler(weight, mean, cov),
+            "batches": labelers.ModelLabeler(lambda x: fits.log_densities(x, weight, mean, cov).argmax(1), 3, "mixture"),
+            "thresholds": labelers.ModelLabeler(lambda x: np.searchsorted(cuts, x[:, 0]), 3, "thresholds"),
+        },
+    )
+    return found.groupBy("place", "mixture", "batches", "thresholds").agg(F.count("*").alias("n"))
+
+
+LABELLED_SCENES = """WITH c AS (SELECT CASE WHEN o_orderkey % 7 < 4 THEN 0 WHEN o_orderkey % 7 < 6 THEN 1 ELSE 2 END AS place, o_totalprice / 100000.0 AS p FROM orders)
+SELECT place::INTEGER AS place, CASE WHEN place * place - 2.0 * place + p < 4.5 THEN place::INTEGER END AS mixture, CASE WHEN place * place - 2.0 * place + p < 4.5 THEN place::INTEGER END AS batches,
+CASE WHEN place * place - 2.0 * place + p < 4.5 THEN place::INTEGER END AS thresholds, count(*) AS n FROM c GROUP BY 1, 2, 3, 4"""
+
 _CLUSTERS = """c AS (SELECT CASE WHEN o_orderkey % 7 < 4 THEN 0 WHEN o_orderkey % 7 < 6 THEN 1 ELSE 2 END AS k, o_custkey % 10 / 10.0 AS j, o_totalprice / 100000.0 AS p FROM orders),
 r AS (SELECT k, k * 18.0 + j AS x, k * k - 2.0 * k + p AS y FROM c)"""
 _LEVEL = "ln({share}) - ln(2 * pi()) - ln((var_pop(x) + 1e-6) * (var_pop(y) + 1e-6) - pow(covar_pop(x, y), 2)) / 2 - ((var_pop(x) * (var_pop(y) + 1e-6) + var_pop(y) * (var_pop(x) + 1e-6) - 2 * pow(covar_pop(x, y), 2)) / ((var_pop(x) + 1e-6) * (var_pop(y) + 1e-6) - pow(covar_pop(x, y), 2))) / 2"
@@ -291,6 +334,9 @@ QUERIES = {
     "mixture_fit": (mixture_fit, None),
     "mixture_offsets": (mixture_offsets, MIXTURE_OFFSETS),
     "mixture_candidates": (mixture_candidates, MIXTURE_CANDIDATES),
+    "mixture_sweep": (mixture_sweep, None),
+    "labelled_scenes": (labelled_scenes, LABELLED_SCENES),
+    "refit_stability": (refit_stability, None),
     "temperature_regressions": (temperature_regressions, TEMPERATURE_REGRESSIONS),
     "cross_validated_line": (cross_validated_line, CROSS_VALIDATED_LINE),
     "principal_scores": (principal_scores, None),
