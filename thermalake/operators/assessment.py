@@ -39,7 +39,8 @@ def stage_residuals(cases: DataFrame, case: Sequence[str], inputs: dict[str, Seq
 
     `inputs` has the channel fluxes of each stage, as the true ones of the stage
     `fitted` alone and retrieved ones of a later stage; all stages use the
-    models fitted to that one. Needs the columns fold and weight.
+    models fitted to that one. Needs the columns fold and weight; a case whose
+    fold has no model raises.
     """
     names = {stage: [f"_{stage}{i}" for i in range(len(columns))] for stage, columns in inputs.items()}
     wide = cases.select(*case, "fold", "weight", truth.cast("double").alias("truth"), *[c.cast("double").alias(n) for stage, columns in inputs.items() for c, n in zip(columns, names[stage], strict=True)])
@@ -48,7 +49,8 @@ def stage_residuals(cases: DataFrame, case: Sequence[str], inputs: dict[str, Seq
         values = [F.col(n) for n in names[fitted]]
         models = fits.fold_models(wide, values, F.col("truth"), F.col("weight"), F.col("fold"), folds, degree)
         for stage in inputs:
-            prediction = F.lit(None).cast("double")
+            # every case is predicted once, by its own fold's model; one without is an error, not a null that aggregates drop
+            prediction = F.raise_error(F.lit("a case has no model of its fold")).cast("double")
             for k, model in models.items():
                 prediction = F.when(F.col("fold") == k, model.column([F.col(n) for n in names[stage]])).otherwise(prediction)
             own = wide.select(*case, "fold", "weight", F.lit(degree).alias("degree"), F.lit(stage).alias("stage"), "truth", (prediction - F.col("truth")).alias("residual"))
@@ -129,7 +131,9 @@ def four_components(
     channels = len(noise_sd)
     own = cases.select(F.col(case).alias("_case"), F.col(scene).alias("_own"), "fold", "weight", F.col(view).alias("_view"), F.col(true_fluxes).alias("_true"), F.col(truth).alias("_truth"))
     table = shapes.withColumnsRenamed({"_fold": "_f", "_scene": "_s"})
-    own = own.join(table, (F.col("fold") == F.col("_f")) & (F.col("_own") == F.col("_s"))).drop("_f", "_s")
+    own = own.join(table, (F.col("fold") == F.col("_f")) & (F.col("_own") == F.col("_s")), "left")
+    found = F.when(F.col("_f").isNull(), F.raise_error(F.lit("a case's scene has no shape in its fold")).cast("array<double>")).otherwise(F.col("shapes"))
+    own = own.withColumn("shapes", found).drop("_f", "_s")
     own = own.withColumn("_clean", channel_fluxes(F.col("_view"), angle, F.col("shapes"), F.col("integrals")))
     own = own.join(transitions, F.col("_own") == F.col("_from")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     place = passed(F.slice("cumulative", F.lit(1), F.size("cumulative") - 1), pick(F.col("_case"), F.col("draw")))

@@ -768,6 +768,30 @@ def fold_models(df: DataFrame, values: Sequence[Column], target: Column, weight:
     return models
 
 
+def best_positive(m: np.ndarray, s: np.ndarray, grid: np.ndarray, margin: float = 1e-6) -> np.ndarray:
+    """The parameters (1, b) = v with the largest v m v / v s v among shapes that are at least `margin` on the grid, where the free best isn't.
+
+    The best lies on the edge of the allowed region: where one angle's value is
+    at the margin, or two neighbouring ones' (the first and the last are
+    neighbours too). Along an edge the best is an eigenvector of 2 x 2.
+    """
+    normals = np.column_stack([np.full(len(grid), 1.0 - margin), grid])
+    found = []
+    for n in normals:
+        plane = np.linalg.svd(n[None, :])[2][1:].T
+        small_m, small_s = plane.T @ m @ plane, plane.T @ s @ plane
+        root = np.linalg.inv(np.linalg.cholesky(small_s))
+        found.append(plane @ (root.T @ np.linalg.eigh(root @ small_m @ root.T)[1][:, -1]))
+    v = np.concatenate([np.array(found), np.cross(normals, np.roll(normals, -1, axis=0))])
+    v = v[np.abs(v[:, 0]) > 1e-12]
+    v = v / v[:, :1]
+    v = v[(v @ normals.T >= -1e-9).all(1)]
+    if not len(v):
+        raise ValueError("no shape is positive everywhere")
+    value = np.einsum("ki,ij,kj->k", v, m, v) / np.einsum("ki,ij,kj->k", v, s, v)
+    return v[value.argmax(), 1:]
+
+
 def pooled_shape(df: DataFrame, keys: Sequence[str], file: str, basis: Sequence[Column], radiance: Column, grid: np.ndarray) -> list[dict]:
     """One radiance shape per key for all its files, each file with an amplitude of its own and equal influence.
 
@@ -808,7 +832,7 @@ def pooled_shape(df: DataFrame, keys: Sequence[str], file: str, basis: Sequence[
         b = lead[1:] / lead[0]
         if p == 2:
             b = np.clip(b, *positive_bounds(grid[:, 0]))
-        elif (1 + grid @ b <= 0).any():
-            raise ValueError("the fitted shape is not positive everywhere")
+        elif (1 + grid @ b < 1e-6).any():
+            b = best_positive(m, s, grid)
         out.append({**{k: row[k] for k in keys}, "files": row["files"], "parameters": b.tolist()})
     return out

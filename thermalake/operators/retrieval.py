@@ -46,44 +46,50 @@ def quadratic_shapes(
     Gauss-Newton for all groups at once, one aggregation a round; every pair
     enters exactly. `grid` holds the two basis functions over the hemisphere,
     where the shape must stay positive. Groups whose angles don't tell the two
-    parameters apart return null. Groups are those of a model, a few.
+    parameters apart return null. Groups are those of a model, a few. Raises if
+    a shape still moves after the last round.
     """
     names = ["_p1", "_p2", "_q1", "_q2", "_r"]
     rows = df.select(*keys, *[c.cast("double").alias(n) for n, c in zip(names, (*first, *second, ratio), strict=True)]).na.drop(subset=names).persist()
     spark, kinds = df.sparkSession, dict(df.dtypes)
     now: dict[tuple, np.ndarray | None] = {}
     schema = ", ".join([*(f"_k{i} {kinds[k]}" for i, k in enumerate(keys)), "_b1 double", "_b2 double"])
-    got = []
-    for _ in range(rounds):
-        if now:
-            table = spark.createDataFrame([(*k, *map(float, b)) for k, b in now.items() if b is not None], schema)
-            own = rows.join(table, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-        else:
-            own = rows.withColumns({"_b1": F.lit(0.0), "_b2": F.lit(0.0)})
-        top = 1.0 + F.col("_b1") * F.col("_p1") + F.col("_b2") * F.col("_p2")
-        low = 1.0 + F.col("_b1") * F.col("_q1") + F.col("_b2") * F.col("_q2")
-        own = own.withColumns({"_top": top, "_low": low})
-        slope = lambda i: (F.col(f"_p{i}") * F.col("_low") - F.col(f"_q{i}") * F.col("_top")) / (F.col("_low") * F.col("_low"))
-        own = own.withColumns({"_e": F.col("_top") / F.col("_low") - F.col("_r"), "_s1": slope(1), "_s2": slope(2)})
-        cross = lambda a, b: F.sum(F.col(a) * F.col(b))
-        sums = own.groupBy(*keys).agg(
-            F.count("*").alias("n"), F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"), F.first("_b1").alias("b1"), F.first("_b2").alias("b2"),
-            cross("_s1", "_s1").alias("h11"), cross("_s1", "_s2").alias("h12"), cross("_s2", "_s2").alias("h22"), cross("_s1", "_e").alias("g1"), cross("_s2", "_e").alias("g2"),
-        )
-        step, moved = sums.collect(), 0.0
-        got = got or step
-        rmse = {tuple(g[k] for k in keys): g["rmse"] for g in step}
-        for g in step:
-            key = tuple(g[k] for k in keys)
-            h, b = np.array([[g["h11"], g["h12"]], [g["h12"], g["h22"]]]), np.array([g["b1"], g["b2"]])
-            if np.linalg.cond(h) > 1e12:
-                now[key] = None
-                continue
-            now[key] = nearest_positive(h, b - np.linalg.solve(h, [g["g1"], g["g2"]]), grid, margin)
-            moved = max(moved, float(np.abs(now[key] - b).max()))
-        if moved < 1e-9 or all(b is None for b in now.values()):
-            break
-    rows.unpersist()
+    got, settled = [], False
+    try:
+        for _ in range(rounds):
+            if now:
+                table = spark.createDataFrame([(*k, *map(float, b)) for k, b in now.items() if b is not None], schema)
+                own = rows.join(table, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+            else:
+                own = rows.withColumns({"_b1": F.lit(0.0), "_b2": F.lit(0.0)})
+            top = 1.0 + F.col("_b1") * F.col("_p1") + F.col("_b2") * F.col("_p2")
+            low = 1.0 + F.col("_b1") * F.col("_q1") + F.col("_b2") * F.col("_q2")
+            own = own.withColumns({"_top": top, "_low": low})
+            slope = lambda i: (F.col(f"_p{i}") * F.col("_low") - F.col(f"_q{i}") * F.col("_top")) / (F.col("_low") * F.col("_low"))
+            own = own.withColumns({"_e": F.col("_top") / F.col("_low") - F.col("_r"), "_s1": slope(1), "_s2": slope(2)})
+            cross = lambda a, b: F.sum(F.col(a) * F.col(b))
+            sums = own.groupBy(*keys).agg(
+                F.count("*").alias("n"), F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"), F.first("_b1").alias("b1"), F.first("_b2").alias("b2"),
+                cross("_s1", "_s1").alias("h11"), cross("_s1", "_s2").alias("h12"), cross("_s2", "_s2").alias("h22"), cross("_s1", "_e").alias("g1"), cross("_s2", "_e").alias("g2"),
+            )
+            step, moved = sums.collect(), 0.0
+            got = got or step
+            rmse = {tuple(g[k] for k in keys): g["rmse"] for g in step}
+            for g in step:
+                key = tuple(g[k] for k in keys)
+                h, b = np.array([[g["h11"], g["h12"]], [g["h12"], g["h22"]]]), np.array([g["b1"], g["b2"]])
+                if np.linalg.cond(h) > 1e12:
+                    now[key] = None
+                    continue
+                now[key] = nearest_positive(h, b - np.linalg.solve(h, [g["g1"], g["g2"]]), grid, margin)
+                moved = max(moved, float(np.abs(now[key] - b).max()))
+            if moved < 1e-9 or all(b is None for b in now.values()):
+                settled = True
+                break
+    finally:
+        rows.unpersist()
+    if not settled:
+        raise ValueError(f"the shapes did not settle in {rounds} rounds")
     out = []
     for g in got:
         key = tuple(g[k] for k in keys)

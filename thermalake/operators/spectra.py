@@ -79,9 +79,10 @@ def channel_scenarios(settings: dict[str, dict[str, Sequence[float]]]) -> dict[s
 def band_integrals(spectra: DataFrame, keys: Sequence[str], wavelength: Column, value: Column, kernels: DataFrame, points: int) -> DataFrame:
     """(keys, channel, integral) of each spectrum; raises for one that lacks, repeats or has null samples, or has no positive integral."""
     own = spectra.select(*keys, _key(wavelength).alias("_at"), value.cast("double").alias("_v"))
-    met = own.join(kernels, F.col("_at") == F.col("at"))
+    # from the left, so that a spectrum none of whose samples lie on the grid is seen: it comes with a null channel
+    met = own.join(kernels, F.col("_at") == F.col("at"), "left")
     sums = met.groupBy(*keys, "channel").agg(F.count("_v").alias("_n"), F.count("*").alias("_all"), F.sum(F.col("_v") * F.col("kernel")).alias("integral"))
-    bad = (F.col("_n") != points) | (F.col("_all") != points) | ~(F.col("integral") > 0)
+    bad = F.col("channel").isNull() | (F.col("_n") != points) | (F.col("_all") != points) | ~(F.col("integral") > 0)
     checked = F.when(bad, F.raise_error(F.lit("a spectrum is incomplete or has no positive integral")).cast("double")).otherwise(F.col("integral"))
     return sums.select(*keys, "channel", checked.alias("integral"))
 

@@ -7,16 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermalake.functions import physics
-from thermalake.operators import retrieval, weighted
+from thermalake.operators import constrained, retrieval, weighted
+from thermalake.sources.models import hemisphere
 from thermalake.sources.tables import table
 
 
-def hemisphere(points: int = 901) -> np.ndarray:
-    """The two basis functions of the radiance shape over zenith angles from 0 to 90 degrees."""
-    cosine, base = np.cos(np.linspace(0, np.pi / 2, points)), np.cos(np.radians(physics.REFERENCE_ANGLE))
-    return np.stack([np.log(cosine + 2) / np.log(base + 2) - 1, cosine**2 - base**2], 1)
-
-
 def quadratic_shape_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recovers two-parameter shapes from the ratios that they make."""
     p, q = (physics.angular_basis(a, True) for a in (F.col("l_quantity") * 1.3, F.col("l_tax") * 800.0))
@@ -73,7 +68,40 @@ BUDGET_REPORT = """WITH o AS (SELECT o_totalprice / 100000.0 - 1.5 AS spectral,
     _CELL.format(i, c) for i, c in enumerate(("total", "spectral", "angular"))
 )
 
+#: The angles of the views, and the coordinates of the limb at 90 degrees.
+VIEWS = (0.0, 20.0, 40.0, 55.0, 68.0)
+
+
+def case_retrievals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amplitude, shape and flux of every order from five views; steep shapes would be negative at the limb and are held at zero there."""
+    geometry = constrained.Geometry(VIEWS, 2)
+    level, b1, b2 = F.col("o_totalprice") / 5000.0 + 40.0, F.col("o_orderkey") % 13 / 2.0 - 1.0, F.col("o_custkey") % 5 / 20.0
+    noise = lambda i: 0.01 * ((F.col("o_orderkey") * (i + 3)) % 11 - 5)
+    views = F.array(*[level * (1.0 + b1 * float(row[1]) + b2 * float(row[2])) + noise(i) for i, row in enumerate(geometry.design)])
+    out = constrained.retrieve(table(spark, sf_dir, "orders").select("o_orderkey", views.alias("views")), "views", geometry)
+    return out.select("o_orderkey", F.round("amplitude", 5).alias("amplitude"), F.round(F.col("shape")[0], 5).alias("b1"), F.round(F.col("shape")[1], 5).alias("b2"), F.round("flux", 4).alias("flux"), F.round("rmse", 5).alias("rmse"), "constrained")
+
+
+def _case_retrievals_sql() -> str:
+    """The free fit by its pseudo-inverse; where the shape at 90 degrees is below the margin, the fit that holds it there."""
+    g = constrained.Geometry(VIEWS, 2)
+    limb = g.bounds[-1]
+    spread = np.linalg.inv(g.design.T @ g.design) @ limb
+    push = spread / (limb @ spread)
+    views = [f"(level * (1.0 + b1 * {float(r[1])!r} + b2 * {float(r[2])!r}) + 0.01 * ((o_orderkey * {i + 3}) % 11 - 5))" for i, r in enumerate(g.design)]
+    dot = lambda names, weights: " + ".join(f"{n} * ({float(w)!r})" for n, w in zip(names, weights, strict=True))
+    l, f, c = ([f"{n}{i}" for i in range(k)] for n, k in (("l", 5), ("f", 3), ("c", 3)))
+    left = " + ".join(f"pow(l{i} - ({dot(c, r)}), 2)" for i, r in enumerate(g.design))
+    return f"""WITH o AS (SELECT *, o_totalprice / 5000.0 + 40.0 AS level, o_orderkey % 13 / 2.0 - 1.0 AS b1, o_custkey % 5 / 20.0 AS b2 FROM orders),
+v AS (SELECT o_orderkey, {", ".join(f"{x} AS l{i}" for i, x in enumerate(views))} FROM o),
+e AS (SELECT *, {", ".join(f"{dot(l, r)} AS f{i}" for i, r in enumerate(g.inverse))} FROM v),
+h AS (SELECT *, {dot(f, limb)} AS low FROM e),
+k AS (SELECT *, {", ".join(f"f{i} - CASE WHEN low < 0 THEN low * ({float(p)!r}) ELSE 0 END AS c{i}" for i, p in enumerate(push))} FROM h)
+SELECT o_orderkey, round(c0, 5) AS amplitude, round(c1 / c0, 5) AS b1, round(c2 / c0, 5) AS b2, round(pi() * ({dot(c, g.integral)}), 4) AS flux, round(sqrt(({left}) / 5), 5) AS rmse, low < 0 AS constrained FROM k"""
+
+
 QUERIES = {
+    "case_retrievals": (case_retrievals, _case_retrievals_sql()),
     "quadratic_shape_library": (quadratic_shape_library, QUADRATIC),
     "library_fluxes": (library_fluxes, LIBRARY_FLUX),
     "geometry_study": (geometry_study, GEOMETRY),

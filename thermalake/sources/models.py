@@ -24,23 +24,31 @@ def write_model(table: DataFrame, path: str, **about) -> None:
 
 def read_model(spark: SparkSession, path: str, most: int, **wanted) -> list:
     """The rows of a model of at most `most` rows; raises if it has more, or is about something else than wanted."""
-    about = json.loads(spark.read.text(f"{path}/about").first()["value"])
-    wrong = sorted(k for k, v in wanted.items() if about.get(k) != v)
+    wrong = differences(spark, path, wanted)
+    if wrong is None:
+        raise FileNotFoundError(f"there is no model at {path}")
     if wrong:
-        raise ValueError("the model differs in " + ", ".join(f"{k}: {about.get(k)!r} instead of {wanted[k]!r}" for k in wrong))
+        raise ValueError("the model differs in " + ", ".join(wrong))
     rows = spark.read.parquet(f"{path}/rows").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"the model has more than {most} rows")
     return rows
 
 
+def differences(spark: SparkSession, path: str, wanted: dict) -> list[str] | None:
+    """In what the model at the path is about something else than wanted; None if there is no model."""
+    try:
+        about = json.loads(spark.read.text(f"{path}/about").first()["value"])
+    except Exception as why:
+        if "PATH_NOT_FOUND" in str(why):
+            return None
+        raise
+    return [f"{k}: {about.get(k)!r} instead of {wanted[k]!r}" for k in sorted(wanted) if about.get(k) != wanted[k]]
+
+
 def stored_or_fitted(spark: SparkSession, path: str, fit: Callable[[], DataFrame], read: Callable[[], object], **about):
     """What `read` makes of the model at the path, which is fitted and written first if there is none that is about the same."""
-    try:
-        read_model(spark, path, 1_000_000, **about)
-    except Exception as why:  # no such path, or another model
-        if "PATH_NOT_FOUND" not in str(why) and not isinstance(why, ValueError):
-            raise
+    if differences(spark, path, about) != []:
         write_model(fit(), path, **about)
     return read()
 

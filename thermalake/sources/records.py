@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,21 +72,39 @@ def read_product(spark: SparkSession, path: str) -> tuple[DataFrame, dict, dict]
 
 
 def write_counted(df: DataFrame, path: str, least: int = 100) -> int:
-    """Writes a cache and counts what can be read again; raises below `least` rows, or if the counts differ."""
-    n = df.count()
+    """Writes a cache, counting and marking the rows as they are written; raises below `least` rows, or if others can be read again.
+
+    The input is computed once. `_identity` beside the rows has the sum of the
+    rows' hashes, by which `replayed` tells a cache whose values have changed.
+    """
+    seen = Observation()
+    marked = df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(_row_hash(df)).alias("hash"))
+    marked.write.mode("overwrite").parquet(f"{path}/rows")
+    n, known = seen.get["n"], str(seen.get["hash"])
     if n < least:
         raise ValueError(f"{n} rows are fewer than {least}")
-    df.write.mode("overwrite").parquet(path)
-    again = df.sparkSession.read.parquet(path).count()
-    if again != n:
-        raise ValueError(f"{again} rows were written of {n}")
+    again = _contents(df.sparkSession.read.parquet(f"{path}/rows"))
+    if again != (n, known):
+        raise ValueError(f"{again[0]} rows were written of {n}")
+    line = json.dumps({"rows": n, "hash": known})
+    df.sparkSession.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_identity")
     return n
 
 
+def _row_hash(df: DataFrame) -> Column:
+    return F.xxhash64(*df.columns).cast("decimal(38,0)")
+
+
+def _contents(df: DataFrame) -> tuple[int, str]:
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_hash(df)).alias("hash")).first()
+    return row["n"], str(row["hash"])
+
+
 def replayed(spark: SparkSession, path: str, rows: int, columns: Sequence[str]) -> DataFrame:
-    """A written cache for another pass; raises if its rows or columns are not those that were written."""
-    df = spark.read.parquet(path)
-    if df.columns != list(columns) or df.count() != rows:
+    """A written cache for another pass; raises if its columns, its rows or any of their values are not those that were written."""
+    df = spark.read.parquet(f"{path}/rows")
+    known = json.loads(spark.read.text(f"{path}/_identity").first()["value"])
+    if df.columns != list(columns) or known["rows"] != rows or _contents(df) != (rows, known["hash"]):
         raise ValueError("the cache has changed since it was written")
     return df
 
@@ -122,12 +141,25 @@ def paired_scenes(paths: DataFrame, kind: Column) -> DataFrame:
 
 
 def atomically(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
-    """Writes beside the path and renames when all is written, so that readers see the old output or the new one."""
+    """Writes beside the path and renames when all is written, for readers of a fixed path.
+
+    The old output is moved aside, not deleted, before the new one takes its
+    place, and is put back if that fails. Between the two renames a reader finds
+    nothing; `versions.publish` has no such moment.
+    """
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    new, old = hadoop(f"{path}.new"), hadoop(path)
+    mark = uuid.uuid4()
+    new, aside, old = hadoop(f"{path}.new-{mark}"), hadoop(f"{path}.old-{mark}"), hadoop(path)
     files = new.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(new, True)
-    write(f"{path}.new")
-    files.delete(old, True)
-    if not files.rename(new, old):
-        raise OSError(f"{path} could not be replaced")
+    try:
+        write(new.toString())
+        held = files.exists(old)
+        if held and not files.rename(old, aside):
+            raise OSError(f"{path} could not be moved aside")
+        if not files.rename(new, old):
+            if held:
+                files.rename(aside, old)
+            raise OSError(f"{path} could not be replaced")
+        files.delete(aside, True)
+    finally:
+        files.delete(new, True)
