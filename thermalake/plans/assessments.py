@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermalake.functions import physics
-from thermalake.operators import assessment, fits, moments, retrieval, scenes, weighted
+from thermalake.operators import assessment, fits, moments, retrieval, scenes, variants, weighted
 from thermalake.plans.models import _lattice, lattice
 from thermalake.plans.products import FK1, FK2
 from thermalake.plans.retrievals import GEOMETRIES, hemisphere
@@ -333,7 +333,31 @@ a(angle) AS (VALUES (0.0::DOUBLE), (30.0), (60.0)), s AS (SELECT *, 1 + b * (ln(
 SELECT channel, scene, angle, count(*) AS days, round(avg(b), 7) AS mean, round(stddev_samp(b), 7) AS sd, round(min(b), 7) AS low, round(max(b), 7) AS high, round(stddev_samp(n), 7) AS norm_sd,
   round(avg(s), 7) AS "shape", round(stddev_samp(s), 7) AS shape_sd, round(stddev_samp(s) / avg(s), 7) AS relative, round(2 * stddev_samp(s) / avg(s), 7) AS relative2 FROM s GROUP BY 1, 2, 3"""
 
+def held_out_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items predicted by the other folds under four one-choice variants; a regime of one fold alone has no prediction by regime."""
+    regime = F.when(F.col("l_orderkey") % 5 == 2, F.when(F.col("l_linenumber") == 7, "rare").otherwise(F.col("l_returnflag"))).otherwise(F.col("l_returnflag"))
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax", regime.alias("regime"), (F.col("l_orderkey") % 5).alias("fold"), (1.0 + F.col("l_discount")).alias("w"))
+    x, tax = F.col("l_quantity"), F.col("l_tax")
+    wanted = [variants.Variant("nominal", [x]), variants.Variant("other input", [x * (1.0 + tax)]), variants.Variant("by regime", [x], regime=F.col("regime")), variants.Variant("positive", [F.when(tax > 0, F.log(x) * 10.0)])]
+    keys = ["l_orderkey", "l_linenumber"]
+    out = variants.held_out_variants(df, keys, wanted, F.col("l_extendedprice") / 100.0, F.col("w"), F.col("fold"), 5)
+    return out.select(*keys, F.col("fold").cast("int").alias("fold"), "variant", "supported", F.round("prediction", 4).alias("prediction"), F.round("residual", 4).alias("residual"))
+
+
+_SUMS = ", ".join(f"sum({e}) AS {n}" for n, e in (("n", "1"), ("w", "w"), ("x", "w * x"), ("y", "w * y"), ("xx", "w * x * x"), ("xy", "w * x * y")))
+HELD_OUT_VARIANTS = f"""WITH c AS (SELECT l_orderkey, l_linenumber, (l_orderkey % 5)::INTEGER AS fold, 1.0 + l_discount AS w, l_extendedprice / 100.0 AS y, l_quantity AS q, l_tax AS t,
+  CASE WHEN l_orderkey % 5 = 2 AND l_linenumber = 7 THEN 'rare' ELSE l_returnflag END AS regime FROM lineitem),
+v AS (SELECT *, 'nominal' AS variant, 'all' AS g, q - 25.0 AS x FROM c UNION ALL SELECT *, 'other input', 'all', q * (1.0 + t) - 25.0 FROM c UNION ALL SELECT *, 'by regime', regime, q - 25.0 FROM c
+  UNION ALL SELECT *, 'positive', 'all', CASE WHEN t > 0 THEN ln(q) * 10.0 - 25.0 END FROM c),
+s AS (SELECT variant, g, fold, {_SUMS} FROM v WHERE x IS NOT NULL GROUP BY 1, 2, 3),
+k AS (SELECT f.fold, s.variant, s.g, sum(n) AS n, sum(w) AS w, sum(x) AS x, sum(y) AS y, sum(xx) AS xx, sum(xy) AS xy FROM s, (SELECT unnest(range(5))::INTEGER AS fold) f WHERE s.fold <> f.fold GROUP BY 1, 2, 3),
+m AS (SELECT *, (w * xy - x * y) / (w * xx - x * x) AS slope FROM k WHERE n >= 2)
+SELECT l_orderkey, l_linenumber, v.fold, v.variant, coalesce(m.slope IS NOT NULL AND v.x IS NOT NULL, false) AS supported, round((m.y - m.slope * m.x) / m.w + m.slope * v.x, 4) AS prediction,
+  round((m.y - m.slope * m.x) / m.w + m.slope * v.x - v.y, 4) AS residual FROM v LEFT JOIN m ON m.fold = v.fold AND m.variant = v.variant AND m.g = v.g"""
+
+
 QUERIES = {
+    "held_out_variants": (held_out_variants, HELD_OUT_VARIANTS),
     "stage_assessment": (stage_assessment, STAGE_ASSESSMENT),
     "chain_covariance": (chain_covariance, CHAIN_COVARIANCE),
     "scene_residuals": (scene_residuals, SCENE_RESIDUALS),

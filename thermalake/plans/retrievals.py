@@ -75,7 +75,7 @@ VIEWS = (0.0, 20.0, 40.0, 55.0, 68.0)
 def case_retrievals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amplitude, shape and flux of every order from five views; steep shapes would be negative at the limb and are held at zero there."""
     geometry = constrained.Geometry(VIEWS, 2)
-    level, b1, b2 = F.col("o_totalprice") / 5000.0 + 40.0, F.col("o_orderkey") % 13 / 2.0 - 1.0, F.col("o_custkey") % 5 / 20.0
+    level, b1, b2 = F.col("o_totalprice") / 5000.0 + 40.0, F.col("o_orderkey") % 13 / 2.0 - 0.9, F.col("o_custkey") % 5 / 20.0 + 0.03
     noise = lambda i: 0.01 * ((F.col("o_orderkey") * (i + 3)) % 11 - 5)
     views = F.array(*[level * (1.0 + b1 * float(row[1]) + b2 * float(row[2])) + noise(i) for i, row in enumerate(geometry.design)])
     out = constrained.retrieve(table(spark, sf_dir, "orders").select("o_orderkey", views.alias("views")), "views", geometry)
@@ -92,7 +92,7 @@ def _case_retrievals_sql() -> str:
     dot = lambda names, weights: " + ".join(f"{n} * ({float(w)!r})" for n, w in zip(names, weights, strict=True))
     l, f, c = ([f"{n}{i}" for i in range(k)] for n, k in (("l", 5), ("f", 3), ("c", 3)))
     left = " + ".join(f"pow(l{i} - ({dot(c, r)}), 2)" for i, r in enumerate(g.design))
-    return f"""WITH o AS (SELECT *, o_totalprice / 5000.0 + 40.0 AS level, o_orderkey % 13 / 2.0 - 1.0 AS b1, o_custkey % 5 / 20.0 AS b2 FROM orders),
+    return f"""WITH o AS (SELECT *, o_totalprice / 5000.0 + 40.0 AS level, o_orderkey % 13 / 2.0 - 0.9 AS b1, o_custkey % 5 / 20.0 + 0.03 AS b2 FROM orders),
 v AS (SELECT o_orderkey, {", ".join(f"{x} AS l{i}" for i, x in enumerate(views))} FROM o),
 e AS (SELECT *, {", ".join(f"{dot(l, r)} AS f{i}" for i, r in enumerate(g.inverse))} FROM v),
 h AS (SELECT *, {dot(f, limb)} AS low FROM e),
