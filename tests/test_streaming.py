@@ -48,3 +48,41 @@ def test_days_are_whole_whatever_the_order_of_the_files(spark, tmp_path):
     merged = incremental.merged_windows(spark, state, ["event_type"])
     got = merged.select(F.date_format("start", "yyyy-MM-dd"), "event_type", "n", F.round("mean", 5)).collect()
     assert sorted(map(tuple, got)) == want
+
+
+def test_compacted_states_count_every_batch_once(spark, tmp_path, monkeypatch):
+    source, state, log = (str(tmp_path / n) for n in ("in", "state", "log"))
+    rows = spark.range(60).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+    for i in range(6):
+        rows.filter(f"id >= {i * 10} AND id < {i * 10 + 10}").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    incremental.store_states(stream, ["g"], F.col("v"), state, log).awaitTermination()
+    merged = lambda: {r.g: (r.n, round(r["mean"], 9), round(r.m2, 6)) for r in incremental.merged_states(spark, state, ["g"]).collect()}
+    want = {r.g: (r.n, round(r.m, 9), round(r.v, 6)) for r in rows.groupBy("g").agg(F.count("v").alias("n"), F.avg("v").alias("m"), (F.var_pop("v") * F.count("v")).alias("v")).collect()}
+    assert merged() == want and len(incremental._batches(spark, state)) == 6
+    # cut off after the pointer was replaced, before the folders went: nothing is counted twice
+    plain = incremental._batches
+    calls = []
+
+    def cut_off(*args):
+        calls.append(1)
+        if len(calls) == 2:
+            raise ConnectionError("the driver is lost")
+        return plain(*args)
+
+    monkeypatch.setattr(incremental, "_batches", cut_off)
+    try:
+        incremental.compact_states(spark, state, ["g"])
+    except ConnectionError:
+        pass
+    monkeypatch.setattr(incremental, "_batches", plain)
+    assert len(plain(spark, state)) == 6 and merged() == want
+    assert incremental.compact_states(spark, state, ["g"]) == 5 and merged() == want and plain(spark, state) == [5]
+    # the last batch is written again, and more rows come
+    rows.filter("id >= 50").groupBy("g").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), (F.var_pop("v") * F.count("v")).alias("m2")).write.mode("overwrite").parquet(f"{state}/batch=5")
+    assert merged() == want
+    rows.filter("id < 10").write.mode("append").parquet(source)
+    incremental.store_states(stream, ["g"], F.col("v"), state, log).awaitTermination()
+    assert sum(n for n, *_ in merged().values()) == 70
+    incremental.compact_states(spark, state, ["g"])
+    assert sum(n for n, *_ in merged().values()) == 70 and len(plain(spark, state)) == 1

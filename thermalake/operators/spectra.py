@@ -93,12 +93,15 @@ def blackbody_spectra(cases: DataFrame, temperature: Column, grid: Sequence[floa
     return wide.withColumn("radiance", physics.blackbody(F.col("wavelength") * 1e-6, temperature) * (1e-6 / np.pi))
 
 
-def roundtrip(spark: SparkSession, grid: Sequence[float], responses: dict[str, tuple[Sequence[float], Sequence[float]]], coefficients: dict[str, tuple[float, float]], low: float = 180.0, high: float = 330.0) -> DataFrame:
+def roundtrip(spark: SparkSession, grid: Sequence[float], responses: dict[str, tuple[Sequence[float], Sequence[float]]], coefficients: dict[str, tuple[float, float]], low: float = 180.0, high: float = 330.0, cases: DataFrame | None = None) -> DataFrame:
     """(channel, temperatures, error): the largest error of black bodies' temperatures found from their equivalent radiances.
 
-    `coefficients` are fk1 and fk2 of each channel.
+    `coefficients` are fk1 and fk2 of each channel. The temperatures are the
+    different ones of the column `temperature` of `cases`, or whole degrees from
+    `low` to `high`.
     """
-    cases = spark.range(int(high - low) + 1).select((F.col("id") + F.lit(low)).alias("temperature"))
+    whole = spark.range(int(high - low) + 1).select((F.col("id") + F.lit(low)).alias("temperature"))
+    cases = whole if cases is None else cases.select(F.col("temperature").cast("double").alias("temperature")).na.drop().distinct()
     got = band_integrals(blackbody_spectra(cases, F.col("temperature"), grid), ["temperature"], F.col("wavelength"), F.col("radiance"), band_kernels(spark, grid, responses, True), len(grid))
     fk = spark.createDataFrame([(c, *map(float, k)) for c, k in coefficients.items()], "_channel string, fk1 double, fk2 double")
     met = got.join(fk, F.col("channel") == F.col("_channel"))

@@ -13,7 +13,7 @@ from thermalake.plans.models import _lattice, lattice
 from thermalake.plans.products import FK1, FK2
 from thermalake.plans.retrievals import GEOMETRIES, hemisphere
 from thermalake.sources import records
-from thermalake.sources.tables import table
+from thermalake.sources.tables import cut, table
 from thermalake.streaming.incremental import shared_folder
 
 
@@ -101,7 +101,7 @@ def _budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nominal_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The error classes of four paired components and their total, and per scene; shapes and regressions are fitted per fold."""
-    errors = _budget(spark, sf_dir)
+    errors = cut(_budget(spark, sf_dir))  # both summaries read the draws, which are made once
     out = assessment.budget_classes(errors, "c_custkey").withColumn("scene", F.lit(-1)).unionByName(assessment.budget_classes(errors, "c_custkey", ["scene"]))
     return out.select("scene", "component", *[(F.round(c, 5) + 0.0).alias(c) for c in ("bias", "random_variance", "scene_variance", "rmse")])
 

@@ -20,6 +20,7 @@ def streamed_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moments per event type from the stored states of all batches."""
     folder = incremental.shared_folder(spark, "moments")
     incremental.store_states(_stream(spark, sf_dir), ["event_type"], F.col("value"), f"{folder}/state", f"{folder}/log").awaitTermination()
+    incremental.compact_states(spark, f"{folder}/state", ["event_type"])
     out = incremental.merged_states(spark, f"{folder}/state", ["event_type"])
     return out.select("event_type", "n", F.round("mean", 5).alias("mean"), F.round(F.sqrt(F.col("m2") / F.col("n")), 5).alias("sd"))
 

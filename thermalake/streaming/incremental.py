@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermalake.operators import moments
-from thermalake.sources import tables
+from thermalake.sources import tables, versions
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -39,9 +40,70 @@ def _store(stream: DataFrame, state: Callable[[DataFrame], DataFrame], state_pat
     )
 
 
+def _batches(spark: SparkSession, state_path: str) -> list[int]:
+    """The numbers of the batches whose states have a folder of their own."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(state_path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+
+def _compacted(spark: SparkSession, state_path: str) -> tuple[int, str | None]:
+    """The last batch that the compacted states hold, and their folder; -1 without any."""
+    text = versions.latest_text(spark, f"{state_path}-compacted")
+    held = json.loads(text) if text is not None else {"through": -1, "folder": None}
+    return held["through"], held["folder"]
+
+
+def stored_states(spark: SparkSession, state_path: str) -> DataFrame:
+    """The compacted states and those of every batch since; a batch is never in both."""
+    through, folder = _compacted(spark, state_path)
+    paths = [f"{state_path}/batch={n}" for n in _batches(spark, state_path) if n > through]
+    return spark.read.parquet(*([folder] if folder else []), *paths)
+
+
+def compact(spark: SparkSession, state_path: str, merge: Callable[[DataFrame], DataFrame], keep: int = 1) -> int:
+    """Merges the states of all batches but the last `keep` into one table, and removes their folders; returns how many went.
+
+    The last batch may be written again after a restart, so it stays as it is.
+    The merged table is named by a pointer that is replaced in one step, so
+    readers count every batch once whenever this is cut off; what a compaction
+    that was cut off has left behind goes with the next one.
+    """
+    if keep < 1:
+        raise ValueError("the last batch may still be written again")
+    through, folder = _compacted(spark, state_path)
+    ready = [n for n in _batches(spark, state_path)[:-keep] if n > through]
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(state_path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if ready:
+        new = f"{state_path}-compacted/states-{uuid.uuid4()}"
+        held = spark.read.parquet(*([folder] if folder else []), *[f"{state_path}/batch={n}" for n in ready])
+        merge(held).write.parquet(new)
+        versions.publish_text(spark, f"{state_path}-compacted", json.dumps({"through": ready[-1], "folder": new}))
+        through = ready[-1]
+        if folder:
+            files.delete(place(folder), True)
+    gone = [n for n in _batches(spark, state_path) if n <= through]
+    for n in gone:
+        files.delete(place(f"{state_path}/batch={n}"), True)
+    return len(gone)
+
+
+def compact_states(spark: SparkSession, state_path: str, keys: Sequence[str], keep: int = 1) -> int:
+    return compact(spark, state_path, lambda states: moments.merge(states, keys), keep)
+
+
+def compact_windows(spark: SparkSession, state_path: str, keys: Sequence[str], keep: int = 1) -> int:
+    def merge(states: DataFrame) -> DataFrame:
+        return states.groupBy("start", "end", *keys).agg(F.sum("n").alias("n"), F.sum("held").alias("held"), F.sum("total").alias("total"), F.max("last").alias("last"))
+
+    return compact(spark, state_path, merge, keep)
+
+
 def merged_states(spark: SparkSession, state_path: str, keys: Sequence[str]) -> DataFrame:
     """One state per key of all batches stored so far."""
-    return moments.merge(spark.read.parquet(state_path).drop("batch"), keys)
+    return moments.merge(stored_states(spark, state_path), keys)
 
 
 def store_windows(stream: DataFrame, time: str, keys: Sequence[str], value: str, width: str, state_path: str, checkpoint_path: str):
@@ -59,7 +121,7 @@ def store_windows(stream: DataFrame, time: str, keys: Sequence[str], value: str,
 
 def merged_windows(spark: SparkSession, state_path: str, keys: Sequence[str]) -> DataFrame:
     """Count, mean and last time of every window of all batches stored so far, the latest window too."""
-    states = spark.read.parquet(state_path)
+    states = stored_states(spark, state_path)
     return states.groupBy("start", "end", *keys).agg(
         F.sum("n").alias("n"),
         F.try_divide(F.sum("total"), F.sum("held").cast("double")).alias("mean"),
