@@ -3,7 +3,7 @@ import os
 from pyspark.sql import functions as F
 
 from thermalake.plans import streams
-from thermalake.streaming import incremental
+from thermalake.streaming import incremental, keyed
 
 
 def test_repeated_runs_go_on_where_the_last_ended(spark, tmp_path):
@@ -86,3 +86,28 @@ def test_compacted_states_count_every_batch_once(spark, tmp_path, monkeypatch):
     assert sum(n for n, *_ in merged().values()) == 70
     incremental.compact_states(spark, state, ["g"])
     assert sum(n for n, *_ in merged().values()) == 70 and len(plain(spark, state)) == 1
+
+
+def test_keyed_states_equal_the_batch_result_and_idle_keys_close(spark, tmp_path):
+    keyed.enable(spark)
+    rows = spark.range(90).select(
+        F.when(F.col("id") % 10 > 0, F.col("id") % 3).alias("g"), F.when(F.col("id") % 7 > 0, F.col("id") * 1.5).alias("v"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 60).alias("t")
+    )
+    rows = rows.filter("NOT (g <=> 2 AND t > timestamp_seconds(1700001800))")  # this key stops early
+    source = str(tmp_path / "in")
+    for i in (4, 0, 3, 1, 5, 2):  # in no order of time
+        rows.filter(f"t >= timestamp_seconds({1_700_000_000 + i * 900}) AND t < timestamp_seconds({1_700_000_000 + (i + 1) * 900})").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    got = keyed.latest(keyed.keyed_moments(stream, "g", "v", "t"), "g", str(tmp_path / "a")).collect()
+    want = {r.g: r for r in rows.groupBy("g").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), (F.var_pop("v") * F.count("v")).alias("m2"), F.max("t").alias("last")).collect()}
+    assert len(got) == len(want) == 4
+    for r in got:
+        w = want[r.g]
+        assert r.n == w.n and abs(r["mean"] - w["mean"]) < 1e-9 and abs(r.m2 - w.m2) < 1e-6 * w.m2 and r.last == w.last and not r.closed
+
+    ordered = str(tmp_path / "ordered")
+    for i in range(6):
+        rows.filter(f"t >= timestamp_seconds({1_700_000_000 + i * 900}) AND t < timestamp_seconds({1_700_000_000 + (i + 1) * 900})").coalesce(1).write.mode("append").parquet(ordered)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(ordered)
+    got = {r.g: r for r in keyed.latest(keyed.keyed_moments(stream, "g", "v", "t", idle="20 minutes", late="1 minute"), "g", str(tmp_path / "b")).collect()}
+    assert {g for g, r in got.items() if r.closed} == {2} and got[2].n == want[2].n and got[0].n == want[0].n

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermalake.sources.tables import table
-from thermalake.streaming import incremental
+from thermalake.streaming import incremental, keyed
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,18 @@ def daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 DAILY_WINDOWS = """SELECT strftime(ts::DATE, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 5) AS mean FROM events
 WHERE ts::DATE + INTERVAL 1 DAY <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2"""
 
+def keyed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments per user, kept by a stateful operator while the events arrive file by file."""
+    keyed.enable(spark)
+    states = keyed.keyed_moments(_stream(spark, sf_dir), "user_id", "value", "ts")
+    out = keyed.latest(states, "user_id", incremental.shared_folder(spark, "keyed"))
+    return out.select("user_id", "n", F.round("mean", 5).alias("mean"), F.round(F.sqrt(F.col("m2") / F.col("n")), 5).alias("sd"), F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last"))
+
+
+KEYED_STATES = "SELECT user_id, count(value) AS n, round(avg(value), 5) AS mean, round(stddev_pop(value), 5) AS sd, strftime(max(ts)::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS last FROM events GROUP BY 1"
+
 QUERIES = {
+    "keyed_states": (keyed_states, KEYED_STATES),
     "streamed_moments": (streamed_moments, STREAMED_MOMENTS),
     "daily_windows": (daily_windows, DAILY_WINDOWS),
 }
