@@ -20,6 +20,7 @@ from thermalake.functions.physics import angular_integral, limb_value
 
 MARGIN, WORST = 1e-6, 1e8  # least value of a shape relative to its amplitude, and the largest condition of a geometry
 _GRID = np.linspace(0.0, 90.0, 901)
+_BATCH, _TINY = 2048, 1e-13  # cases on their worst bound at a time, and how far below a bound counts as on it
 
 
 def basis(angles: Sequence[float], parameters: int) -> np.ndarray:
@@ -61,9 +62,19 @@ class Geometry:
         out, held = free.copy(), (free @ self.bounds.T < 0).any(1) | (free[:, 0] <= 0)
         _, upper = np.linalg.qr(self.design)
         cone = self.bounds @ np.linalg.inv(upper)  # in coordinates in which least squares is distance
-        for i in np.flatnonzero(held):
-            scale = radiances[i].mean()
-            out[i] = np.linalg.solve(upper, nearest_in_cone(cone, upper @ free[i] / scale)) * scale
+        unit = cone / np.linalg.norm(cone, axis=1, keepdims=True)
+        touched = np.flatnonzero(held)
+        for at in range(0, len(touched), _BATCH):
+            own = touched[at : at + _BATCH]
+            scale = radiances[own].mean(1, keepdims=True)
+            point = free[own] @ upper.T / scale
+            # mostly one bound holds the shape: all cases of a batch are put on their worst one at once, and the others go on from there
+            heights = point @ unit.T
+            worst = heights.argmin(1)
+            z = point - heights[np.arange(len(own)), worst, None] * unit[worst]
+            for i in np.flatnonzero((z @ unit.T).min(1) < -_TINY * np.maximum(1.0, np.abs(point).max(1))):
+                z[i] = nearest_in_cone(unit, point[i])
+            out[own] = np.linalg.solve(upper, z.T).T * scale
         return out, held
 
 
@@ -79,7 +90,7 @@ def nearest_in_cone(normals: np.ndarray, point: np.ndarray, rounds: int = 200) -
     z = point
     for _ in range(rounds):
         worst = int((unit @ z).argmin())
-        if unit[worst] @ z >= -1e-13 * max(1.0, float(np.abs(point).max())) or worst in active:
+        if unit[worst] @ z >= -_TINY * max(1.0, float(np.abs(point).max())) or worst in active:
             return z
         active.append(worst)
         push = np.r_[push, 0.0]
