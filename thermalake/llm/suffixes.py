@@ -497,7 +497,7 @@ def drop_repeated_passages(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = rows.filter("doc_id IS NOT NULL").withColumn("text_hash", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    named = rows.filter("doc_id IS NOT NULL").withColumn("text_hash", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
     long_enough = F.octet_length("text") >= LENGTH
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, blocks = max(shuffle_partitions(spark), -(-total // (13 * _SEEDS_PER_BUCKET))), _prime(-(-total // _BLOCK_BYTES))
