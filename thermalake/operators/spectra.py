@@ -80,7 +80,8 @@ def band_integrals(spectra: DataFrame, keys: Sequence[str], wavelength: Column,
     """(keys, channel, integral) of each spectrum; raises for one that lacks, repeats or has null samples, or has no positive integral."""
     own = spectra.select(*keys, _key(wavelength).alias("_at"), value.cast("double").alias("_v"))
     # from the left, so that a spectrum none of whose samples lie on the grid is seen: it comes with a null channel
-    met = own.join(kernels, F.col("_at") == F.col("at"), "left")
+    # the kernels are a fixed number of rows; a join by shuffle would put a spectrum's samples, and all spectra's, into as many tasks as the grid has wavelengths
+    met = own.join(F.broadcast(kernels), F.col("_at") == F.col("at"), "left")
     sums = met.groupBy(*keys, "channel").agg(F.count("_v").alias("_n"), F.count("*").alias("_all"), F.sum(F.col("_v") * F.col("kernel")).alias("integral"))
     bad = F.col("channel").isNull() | (F.col("_n") != points) | (F.col("_all") != points) | ~(F.col("integral") > 0)
     checked = F.when(bad, F.raise_error(F.lit("a spectrum is incomplete or has no positive integral")).cast("double")).otherwise(F.col("integral"))
@@ -89,7 +90,8 @@ def band_integrals(spectra: DataFrame, keys: Sequence[str], wavelength: Column,
 
 def blackbody_spectra(cases: DataFrame, temperature: Column, grid: Sequence[float]) -> DataFrame:
     """The rows with `wavelength` (micrometres) and `radiance` (per micrometre) of a black body of their temperature."""
-    wide = cases.withColumn("wavelength", F.explode(F.array(*[F.lit(float(x)) for x in grid])))
+    spread = cases.repartition(4 * cases.sparkSession.sparkContext.defaultParallelism)  # a small file of cases is a large one of samples
+    wide = spread.withColumn("wavelength", F.explode(F.array(*[F.lit(float(x)) for x in grid])))
     return wide.withColumn("radiance", physics.blackbody(F.col("wavelength") * 1e-6, temperature) * (1e-6 / np.pi))
 
 
@@ -104,7 +106,7 @@ def roundtrip(spark: SparkSession, grid: Sequence[float], responses: dict[str, t
     cases = whole if cases is None else cases.select(F.col("temperature").cast("double").alias("temperature")).na.drop().distinct()
     got = band_integrals(blackbody_spectra(cases, F.col("temperature"), grid), ["temperature"], F.col("wavelength"), F.col("radiance"), band_kernels(spark, grid, responses, True), len(grid))
     fk = spark.createDataFrame([(c, *map(float, k)) for c, k in coefficients.items()], "_channel string, fk1 double, fk2 double")
-    met = got.join(fk, F.col("channel") == F.col("_channel"))
+    met = got.join(F.broadcast(fk), F.col("channel") == F.col("_channel"))
     back = F.col("fk2") / F.log1p(F.col("fk1") / F.col("integral"))
     return met.groupBy("channel").agg(F.count("*").alias("temperatures"), F.max(F.abs(back - F.col("temperature"))).alias("error"))
 
