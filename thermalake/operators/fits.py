@@ -578,7 +578,7 @@ def shape_parameters(
             on = F.lit(True)
             for i, k in enumerate(keys):
                 on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-            own = rows.join(table, on)
+            own = rows.join(F.broadcast(table), on)  # groups of a model, a few
             bottom = 1.0 + F.col("_b") * F.col("_q")
             residual, slope = (1.0 + F.col("_b") * F.col("_p")) / bottom - F.col("_r"), (F.col("_p") - F.col("_q")) / (bottom * bottom)
             own = own.select(*keys, residual.alias("_e"), slope.alias("_s"))
