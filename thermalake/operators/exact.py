@@ -9,6 +9,9 @@ arrive. Two ways around that:
   and sorts these, so that the same rows meet in the same order wherever they
   lie. `block_sums` reduces each block, takes its numbers apart into digits of
   2^32, and sums the digits as whole numbers.
+- `exact_products` writes columns as three slices of 18 bits below their
+  largest value, so that products of slices add up without rounding in any
+  order, and rows stay where they are.
 """
 
 from __future__ import annotations
@@ -148,3 +151,79 @@ def block_sums(blocks: DataFrame, reduce: Callable[[np.ndarray, np.ndarray], np.
 
     rows = blocks.mapInArrow(partial, "at int, place int, digit long").groupBy("at", "place").agg(F.sum("digit").alias("digit"))
     return put_together(rows.collect())
+
+
+_SLICE, _CHUNK = 18, 2048  # bits of a slice, and rows taken at a time: a double holds the products of 2^16, and these stay in the cache
+
+
+def _sliced(x: np.ndarray, power: np.ndarray) -> list[np.ndarray]:
+    """Three whole numbers of 18 bits with x = (a + b / 2^18 + c / 2^36) * 2^(power - 17), to the last bit of the largest x."""
+    rest, out = x * np.ldexp(1.0, np.minimum(_SLICE - 1 - power, 1000)), []  # powers of two, so products are exact
+    for _ in range(3):
+        out.append(np.rint(rest))
+        rest = (rest - out[-1]) * 2.0**_SLICE
+    return out
+
+
+def exact_products(df: DataFrame, columns: Sequence[Column], pairs: Callable[[np.ndarray], Sequence[tuple[np.ndarray, np.ndarray]]]) -> list[np.ndarray]:
+    """first.T @ second over all rows, for each (first, second) that `pairs` makes of any part of the rows x columns; the same for any partitioning.
+
+    Two passes and no exchange: the first finds the largest value of each
+    column, the second adds products of slices as whole numbers. Products are
+    right to about 2^-52 of the largest. Rows with nulls are left out; a column
+    with a value that is not finite makes its products NaN. No rows give an
+    empty list. `pairs` must return the same shapes for parts without rows of a
+    kind.
+    """
+    named = df.select(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).na.drop()
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Sequence[tuple[np.ndarray, np.ndarray]]]:
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+            for at in range(0, len(rows), _CHUNK):
+                yield pairs(rows[at : at + _CHUNK])
+
+    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = None
+        for made in parts(batches):
+            own = [np.abs(m).max(0, initial=0.0) for pair in made for m in pair]
+            top = own if top is None else [np.maximum(a, b) for a, b in zip(top, own, strict=True)]
+        for place, tops in enumerate(top or []):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tops), place), pa.int32()), pa.array(np.arange(len(tops)), pa.int32()), pa.array(tops)], names=["place", "at", "top"])
+
+    found: dict[int, dict[int, float]] = {}
+    for r in named.mapInArrow(largest, "place int, at int, top double").groupBy("place", "at").agg(F.max("top").alias("top")).collect():
+        found.setdefault(r["place"], {})[r["at"]] = r["top"]
+    tops = [np.array([found[p][i] for i in range(len(found[p]))]) for p in range(len(found))]
+    finite = [np.isfinite(t) for t in tops]
+    powers = [np.frexp(np.where(f, t, 0.0))[1] for t, f in zip(tops, finite, strict=True)]
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] | None = None
+        for made in parts(batches):
+            sums = []
+            for i, pair in enumerate(made):
+                a, b = (_sliced(m if f.all() else np.where(f, m, 0.0), p) for m, f, p in zip(pair, finite[2 * i : 2 * i + 2], powers[2 * i : 2 * i + 2], strict=True))
+                sums.append([sum(a[j].T @ b[level - j] for j in range(level + 1)).astype(np.int64) for level in range(3)])
+            if held is None:
+                held = [[(s & 0xFFFFFFFF, s >> _DIGIT) for s in own] for own in sums]
+            else:
+                held = [[(low + (s & 0xFFFFFFFF), high + (s >> _DIGIT)) for (low, high), s in zip(before, own, strict=True)] for before, own in zip(held, sums, strict=True)]
+        for i, own in enumerate(held or []):
+            for level, digits in enumerate(own):
+                for place, digit in enumerate(digits):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(digit.size, 6 * i + 2 * level + place), pa.int32()), pa.array(np.arange(digit.size), pa.int32()), pa.array(digit.ravel())], names=["place", "at", "digit"])
+
+    out = [np.zeros((len(tops[i]), len(tops[i + 1]))) for i in range(0, len(tops), 2)]
+    whole: dict[tuple[int, int], int] = {}
+    for r in named.mapInArrow(products, "place int, at int, digit long").groupBy("place", "at").agg(F.sum("digit").alias("digit")).collect():
+        pair, rest = divmod(r["place"], 6)
+        level, high = divmod(rest, 2)
+        key = pair, r["at"]
+        whole[key] = whole.get(key, 0) + (r["digit"] << _DIGIT * high + _SLICE * (2 - level))
+    for (pair, at), value in whole.items():
+        i, j = divmod(at, out[pair].shape[1])
+        power = int(powers[2 * pair][i]) + int(powers[2 * pair + 1][j]) - 2 * (_SLICE - 1) - 2 * _SLICE
+        good = finite[2 * pair][i] and finite[2 * pair + 1][j]
+        out[pair][i, j] = float(Fraction(value) * Fraction(2) ** power) if good else np.nan
+    return out

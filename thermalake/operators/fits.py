@@ -8,9 +8,10 @@ driver solves a small system whose size depends on the model alone.
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from statistics import NormalDist
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from thermalake.functions.physics import limb_value, polynomial, polynomial_terms
 from thermalake.functions.rng import uniform
-from thermalake.operators.exact import block_sums, blocked, exact_sums
+from thermalake.operators.exact import block_sums, blocked, exact_products, exact_sums
 from thermalake.operators.sampling import quantiles, running
 from thermalake.sources import versions
 
@@ -38,7 +39,7 @@ def summed(df: DataFrame, columns: Sequence[Column], reduce: Callable[[np.ndarra
 def gram(df: DataFrame, columns: Sequence[Column], weight: Column, means: Sequence[float] | None = None) -> np.ndarray:
     """The matrix of weighted sums of products of (1, columns), each column less its mean; rows with nulls are left out.
 
-    Few columns are summed by built-in aggregates, many as blocks in tasks;
+    Few columns are summed by built-in aggregates, many as products in tasks;
     either way the sums don't depend on how rows are partitioned.
     """
     means = [0.0] * len(columns) if means is None else [float(m) for m in means]
@@ -46,12 +47,12 @@ def gram(df: DataFrame, columns: Sequence[Column], weight: Column, means: Sequen
     size = len(columns) + 1
     if size > _BUILT_IN:
 
-        def products(block: np.ndarray, n: np.ndarray) -> np.ndarray:
-            x = np.concatenate([np.ones((len(block), 1)), block[:, :-1]], 1)
-            return (x * (block[:, -1] * n)[:, None]).T @ x
+        def products(rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+            x = np.concatenate([np.ones((len(rows), 1)), rows[:, :-1]], 1)
+            return [(x * rows[:, -1:], x)]
 
-        got = summed(df, [*centred, weight], products)
-        return got.reshape(size, size) if got.size else np.zeros((size, size))
+        got = exact_products(df, [*centred, weight], products)
+        return _symmetric(got[0]) if got else np.zeros((size, size))
     named = df.select(F.lit(1.0).alias("c0"), *[c.alias(f"c{i + 1}") for i, c in enumerate(centred)], weight.cast("double").alias("w")).na.drop()
     cells = [(i, j) for i in range(size) for j in range(i, size)]
     found = exact_sums(named, {f"g{i}_{j}": F.col("w") * F.col(f"c{i}") * F.col(f"c{j}") for i, j in cells})
@@ -61,6 +62,11 @@ def gram(df: DataFrame, columns: Sequence[Column], weight: Column, means: Sequen
     return out
 
 
+def _symmetric(m: np.ndarray) -> np.ndarray:
+    """The products of weighted and plain columns; those below the diagonal are taken from above it."""
+    return np.triu(m) + np.triu(m, 1).T
+
+
 def solve(full: np.ndarray) -> np.ndarray:
     """Intercept and coefficients from the products of (1, terms, target); the smallest in norm if the terms depend on each other."""
     return np.linalg.lstsq(full[:-1, :-1], full[:-1, -1], rcond=1e-14)[0]
@@ -116,16 +122,48 @@ def fit_polynomial(df: DataFrame, values: Sequence[Column], target: Column, weig
 
     A second pass over the residuals takes up what rounding left in the first.
     """
-    weight = F.lit(1.0) if weight is None else weight
-    mean, scale = spread(df, [*values, target], weight)
-    frame = Polynomial(tuple(map(float, mean[:-1])), tuple(map(float, scale[:-1])), degree, 0.0, ())
-    terms = polynomial_terms(frame.scaled(values), degree)
-    full = gram(df, [*terms, target], weight, [*np.zeros(len(terms)), mean[-1]])
-    found = solve(full)
-    first = replace(frame, intercept=float(found[0] + mean[-1]), coefficients=tuple(map(float, found[1:])))
-    left = gram(df, [*terms, target - first.column(values)], weight)
-    found = found + solve(left)
-    return replace(frame, intercept=float(found[0] + mean[-1]), coefficients=tuple(map(float, found[1:])))
+    return fit_polynomials(df, values, {degree: target}, weight)[degree]
+
+
+def _monomials(z: np.ndarray, degree: int) -> np.ndarray:
+    """One and the monomials of rows x values, in the order of `polynomial_terms`."""
+    out = [np.ones(len(z))]
+    for size in range(1, degree + 1):
+        for chosen in itertools.combinations_with_replacement(range(z.shape[1]), size):
+            term = z[:, chosen[0]]
+            for i in chosen[1:]:
+                term = term * z[:, i]
+            out.append(term)
+    return np.column_stack(out)
+
+
+def fit_polynomials(df: DataFrame, values: Sequence[Column], targets: Mapping[int, Column], weight: Column | None = None) -> dict[int, Polynomial]:
+    """A polynomial of each degree to its own target, all from the same passes; only rows that have all values and targets count.
+
+    Values and targets alone leave the scan: tasks make the monomials.
+    """
+    weight, degrees = F.lit(1.0) if weight is None else weight, list(targets)
+    many = len(values)
+    mean, scale = spread(df, [*values, *targets.values()], weight)
+    centre, unit, level = mean[:many], scale[:many], mean[many:]
+    columns, top = [*values, *targets.values(), weight], max(degrees)
+    sizes = [math.comb(many + d, d) for d in degrees]
+    found = [np.zeros(n) for n in sizes]
+    for _ in range(2):
+        now = [f.copy() for f in found]
+
+        def products(rows: np.ndarray, now: list[np.ndarray] = now) -> list[tuple[np.ndarray, np.ndarray]]:
+            x = _monomials((rows[:, :many] - centre) / unit, top)
+            y = [rows[:, many + i] - level[i] - x[:, :n] @ c if c.any() else rows[:, many + i] - level[i] for i, (n, c) in enumerate(zip(sizes, now, strict=True))]
+            return [(x * rows[:, -1:], np.column_stack([x, *y]))]
+
+        got = exact_products(df, columns, products)
+        for i, n in enumerate(sizes):
+            own = np.zeros((n + 1, n + 1))
+            own[:n, :n], own[:n, n] = got[0][:n, :n], got[0][:n, max(sizes) + i]
+            found[i] = found[i] + solve(_symmetric(own))
+    made = lambda d, c, at: Polynomial(tuple(map(float, centre)), tuple(map(float, unit)), d, float(c[0] + at), tuple(map(float, c[1:])))
+    return {d: made(d, c, at) for d, c, at in zip(degrees, found, level, strict=True)}
 
 
 def huber_polynomial(df: DataFrame, values: Sequence[Column], target: Column, weight: Column, degree: int = 1, cutoff: float = 1.345, rounds: int = 50, tol: float = 1e-6) -> Polynomial:
@@ -744,20 +782,16 @@ def fold_models(df: DataFrame, values: Sequence[Column], target: Column, weight:
     mean, scale = spread(df, [*values, target], weight)
     frame = Polynomial(tuple(map(float, mean[:-1])), tuple(map(float, scale[:-1])), degree, 0.0, ())
     terms = polynomial_terms(frame.scaled(values), degree)
-    size = len(terms) + 1
 
-    def grams(block: np.ndarray, n: np.ndarray) -> np.ndarray:
-        x = np.concatenate([np.ones((len(block), 1)), block[:, :-2]], 1)
-        out = np.zeros((folds, size + 1, size + 1))
-        for k in range(folds):
-            own = block[:, -1] == k
-            out[k] = (x[own] * (block[own, -2] * n[own])[:, None]).T @ x[own]
-        return out
+    def grams(rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        x = np.concatenate([np.ones((len(rows), 1)), rows[:, :-2]], 1)
+        own = [rows[:, -1] == k for k in range(folds)]
+        return [(x[k] * rows[k, -2:-1], x[k]) for k in own]
 
-    got = summed(df, [*terms, target - F.lit(float(mean[-1])), weight, fold], grams)
-    if not got.size:
+    got = exact_products(df, [*terms, target - F.lit(float(mean[-1])), weight, fold], grams)
+    if not got:
         raise ValueError("no complete rows to fit")
-    each = got.reshape(folds, size + 1, size + 1)
+    each = np.array([_symmetric(m) for m in got])
     models = {}
     for k in range(folds):
         train = each.sum(0) - each[k]

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thermalake.functions.physics import polynomial_terms
-from thermalake.operators.fits import solve, spread, summed
+from thermalake.operators.exact import exact_products
+from thermalake.operators.fits import _symmetric, solve, spread
 
 
 @dataclass(frozen=True)
@@ -62,34 +63,32 @@ def held_out_variants(cases: DataFrame, keys: Sequence[str], variants: Sequence[
 
     layout = [(len(terms), len(regimes[v.name])) for v, terms, *_ in plans]  # columns don't travel to tasks
 
-    def grams(block: np.ndarray, n: np.ndarray) -> np.ndarray:
+    def grams(block: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         found, at = [], 0
         for size, groups in layout:
             x = np.column_stack([block[:, at : at + size], block[:, -2]])
-            w, regime = block[:, at + size] * n, block[:, at + size + 1]
+            w, regime = block[:, at + size], block[:, at + size + 1]
             at += size + 2
-            out = np.zeros((groups, folds, size + 2, size + 1))
             for g in range(groups):
                 for k in range(folds):
                     rows = (regime == g) & (block[:, -1] == k) & (w > 0)
-                    out[g, k, :-1] = (x[rows] * w[rows, None]).T @ x[rows]
-                    out[g, k, -1, 0] = n[rows].sum()
-            found.append(out.ravel())
-        return np.concatenate(found)
-
-    sums, models, at = summed(own, columns, grams), [], 0
-    for v, terms, *_ in plans if sums.size else ():
-        shape = (len(regimes[v.name]), folds, len(terms) + 2, len(terms) + 1)
-        held, at = sums[at : at + int(np.prod(shape))].reshape(shape), at + int(np.prod(shape))
-        for g in range(shape[0]):
+                    # the last line counts the rows: each begins with a one
+                    found.append((np.column_stack([x[rows] * w[rows, None], np.ones(rows.sum())]), x[rows]))
+        return found
+
+    sums, models, at = exact_products(own, columns, grams), [], 0
+    for v, terms, *_ in plans if sums else ():
+        groups = len(regimes[v.name])
+        held, at = np.array(sums[at : at + groups * folds]).reshape(groups, folds, len(terms) + 2, len(terms) + 1), at + groups * folds
+        for g in range(groups):
             for k in range(folds):
                 train = held[g].sum(0) - held[g, k]
                 if train[-1, 0] >= len(terms):
-                    models.append((v.name, g, k, solve(train[:-1]).tolist()))
+                    models.append((v.name, g, k, solve(_symmetric(train[:-1])).tolist()))
     table = cases.sparkSession.createDataFrame(models, "_variant string, _regime int, _k int, _c array<double>")
     each = F.array(*[F.struct(F.lit(v.name).alias("variant"), place.cast("int").alias("place"), F.when(_present(i, v), F.array(*terms)).alias("terms")) for i, (v, terms, place, _) in enumerate(plans)])
     long = own.select(*keys, "_y", F.col("_fold").alias("fold"), F.explode(each).alias("_e")).select(*keys, "_y", "fold", "_e.*")
-    met = long.join(table, (F.col("variant") == F.col("_variant")) & (F.col("place") == F.col("_regime")) & (F.col("fold") == F.col("_k")), "left")
+    met = long.join(F.broadcast(table), (F.col("variant") == F.col("_variant")) & (F.col("place") == F.col("_regime")) & (F.col("fold") == F.col("_k")), "left")
     prediction = F.aggregate(F.zip_with("terms", "_c", lambda t, c: t * c), F.lit(0.0), lambda s, x: s + x)
     met = met.withColumn("prediction", prediction)
     return met.select(*keys, "fold", "variant", F.col("prediction").isNotNull().alias("supported"), "prediction", (F.col("prediction") - F.col("_y")).alias("residual"))
