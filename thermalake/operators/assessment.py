@@ -129,19 +129,20 @@ def four_components(
     noise = noise or (lambda c, channel, draw: normal(seed, F.lit(2), c, channel, draw))
     pick = pick or (lambda c, draw: uniform(seed, F.lit(4), c, draw))
     channels = len(noise_sd)
+    # shapes and transitions are tables of a model, of folds x scenes rows
     own = cases.select(F.col(case).alias("_case"), F.col(scene).alias("_own"), "fold", "weight", F.col(view).alias("_view"), F.col(true_fluxes).alias("_true"), F.col(truth).alias("_truth"))
     table = shapes.withColumnsRenamed({"_fold": "_f", "_scene": "_s"})
-    own = own.join(table, (F.col("fold") == F.col("_f")) & (F.col("_own") == F.col("_s")), "left")
+    own = own.join(F.broadcast(table), (F.col("fold") == F.col("_f")) & (F.col("_own") == F.col("_s")), "left")
     found = F.when(F.col("_f").isNull(), F.raise_error(F.lit("a case's scene has no shape in its fold")).cast("array<double>")).otherwise(F.col("shapes"))
     own = own.withColumn("shapes", found).drop("_f", "_s")
     own = own.withColumn("_clean", channel_fluxes(F.col("_view"), angle, F.col("shapes"), F.col("integrals")))
-    own = own.join(transitions, F.col("_own") == F.col("_from")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    own = own.join(F.broadcast(transitions), F.col("_own") == F.col("_from")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     place = passed(F.slice("cumulative", F.lit(1), F.size("cumulative") - 1), pick(F.col("_case"), F.col("draw")))
     shaken = F.array(*[F.get("_view", i) + F.lit(float(s)) * noise(F.col("_case"), F.lit(i), F.col("draw")) for i, s in enumerate(noise_sd)])
     own = own.withColumns({"_drawn": F.element_at("labels", place + 1), "_shaken": shaken})
     own = own.withColumn("_noisy", channel_fluxes(F.col("_shaken"), angle, F.col("shapes"), F.col("integrals")))
     other = shapes.select(F.col("_fold").alias("_f"), F.col("_scene").alias("_s"), F.col("shapes").alias("_b"), F.col("integrals").alias("_i"))
-    own = own.join(other, (F.col("fold") == F.col("_f")) & (F.col("_drawn") == F.col("_s")))
+    own = own.join(F.broadcast(other), (F.col("fold") == F.col("_f")) & (F.col("_drawn") == F.col("_s")))
     own = own.withColumn("_moved", channel_fluxes(F.col("_shaken"), angle, F.col("_b"), F.col("_i")))
 
     def predicted(fluxes: str) -> Column:
