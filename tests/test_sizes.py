@@ -60,3 +60,42 @@ def test_regressions_exchange_no_rows(spark, monkeypatch):
     monkeypatch.setattr(fits, "blocked", fail)
     registry.queries()["stored_polynomial"](spark, SF)
     registry.queries()["held_out_variants"](spark, SF)
+
+
+def test_boxes_of_few_pixels_cost_no_dense_image():
+    import numpy as np
+
+    from thermalake.operators import tiles
+
+    y, x = np.array([0, 1, 100_000, 100_000]), np.array([0, 1, 100_000, 99_998])  # a dense piece would have 10^10 places
+    (n, mean, sd), (wide, *_) = tiles.box_moments(y, x, np.array([[1.0, 3.0, 5.0, np.nan]]), [1, 2])
+    assert n.tolist() == [[2, 2, 1, 0]] and wide.tolist() == [[2, 2, 1, 1]]
+    assert np.allclose(mean[0, :3], [2.0, 2.0, 5.0]) and np.allclose(sd[0, :3], [1.0, 1.0, 0.0])
+
+
+def test_few_and_many_pixels_have_the_same_boxes(monkeypatch):
+    import numpy as np
+
+    from thermalake.operators import tiles
+
+    rng = np.random.default_rng(5)
+    y, x, values = rng.integers(0, 60, 300), rng.integers(0, 60, 300), rng.normal(size=(2, 300)) + 1e4
+    values[0, ::7] = np.nan
+    few = tiles.box_moments(y, x, values, [2, 4])
+    monkeypatch.setattr(tiles, "_SPARSE", 0.0)
+    for a, b in zip(few, tiles.box_moments(y, x, values, [2, 4]), strict=True):
+        assert (a[0] == b[0]).all() and np.allclose(a[1], b[1], equal_nan=True) and np.allclose(a[2], b[2], atol=1e-6, equal_nan=True)
+
+
+def test_states_of_mixtures_share_their_products():
+    import numpy as np
+
+    from thermalake.operators import fits
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1500, 2)) * 3.0
+    for narrow in (1.0, 1e-9):  # the second is too narrow for squares and goes its own way
+        states = [(np.array([0.2, 0.3, 0.5]), rng.normal(size=(3, 2)), np.stack([np.array([[1.0, 0.2], [0.2, 0.5]]) * s * narrow for s in (1, 2, 3)])) for _ in range(4)]
+        counts = [rng.poisson(1.0, len(x)).astype(float) for _ in states]
+        want = np.concatenate([fits.mixture_statistics(x, n, s) for n, s in zip(counts, states, strict=True)])
+        assert np.allclose(fits.many_statistics(x, counts, states), want, rtol=1e-9, atol=1e-8)
