@@ -286,6 +286,46 @@ def log_densities(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, cov: np.n
     return out
 
 
+def many_statistics(x: np.ndarray, counts: Sequence[np.ndarray], states: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """`mixture_statistics` of several states of equally many components, each with its own counts, state after state.
+
+    Densities and moments of all components are two products with the rows'
+    monomials. Where a component is so narrow for its distance from the origin
+    that squares would lose its digits, each state is taken on its own, around
+    its means.
+    """
+    (k, d), count = states[0][1].shape, len(states)
+    weight, mean, cov = (np.concatenate([s[i] for s in states]) for i in range(3))
+    inverse = np.linalg.inv(cov)
+    pulled = np.einsum("cij,cj->ci", inverse, mean)
+    if np.trace(inverse, axis1=1, axis2=2).max() * max((mean * mean).sum(1).max(), (x * x).sum(1).max(initial=0.0)) > 1e6:
+        return np.concatenate([mixture_statistics(x, n, s) for n, s in zip(counts, states, strict=True)])
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    first = np.log(weight) - np.linalg.slogdet(cov)[1] / 2 - d / 2 * np.log(2 * np.pi) - (pulled * mean).sum(1) / 2
+    factors = np.stack([first, *pulled.T, *[-inverse[:, i, j] * (0.5 if i == j else 1.0) for i, j in pairs]])
+    level, moments = np.zeros(count), np.zeros((count * k, len(factors)))
+    for at in range(0, len(x), 512):
+        part = x[at : at + 512]
+        rows = np.stack([np.ones(len(part)), *part.T, *[part[:, i] * part[:, j] for i, j in pairs]], 1)
+        logs = (rows @ factors).reshape(len(part), count, k)
+        top = logs.max(2)
+        share = np.exp(logs - top[..., None])
+        total = share.sum(2)
+        n = np.stack([c[at : at + 512] for c in counts], 1)
+        level += ((top + np.log(total)) * n).sum(0)
+        share *= (n / total)[..., None]
+        moments += share.reshape(len(part), -1).T @ rows
+    mass, sums = moments[:, 0], moments[:, 1 : 1 + d]
+    second = np.empty((count * k, d, d))
+    for place, (i, j) in enumerate(pairs):
+        second[:, i, j] = second[:, j, i] = moments[:, 1 + d + place]
+    cross = np.einsum("ci,cj->cij", sums, mean)
+    second = second - cross - cross.transpose(0, 2, 1) + mass[:, None, None] * np.einsum("ci,cj->cij", mean, mean)
+    shift = sums - mass[:, None] * mean
+    each = [np.r_[level[s], mass[s * k : s * k + k], shift[s * k : s * k + k].ravel(), second[s * k : s * k + k].ravel()] for s in range(count)]
+    return np.concatenate(each)
+
+
 def mixture_statistics(x: np.ndarray, n: np.ndarray, state: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """What one round of a mixture needs of rows x, each counted n times: the log likelihood, and mass, first and second moments around its mean for each component."""
     weight, mean, cov = state
@@ -372,7 +412,8 @@ def mixtures(
             count += 1
             now = sorted(state)
             states = [state[j] for j in now]
-            got = rows.sums(lambda x, n, states=states: np.concatenate([mixture_statistics(x, n, s) for s in states]))
+            alike = [[s for s in states if len(s[0]) == k] for k in sorted({j[0] for j in now})]  # in the order of `now`
+            got = rows.sums(lambda x, n, alike=alike: np.concatenate([many_statistics(x, [n] * len(same), same) for same in alike]))
             at = 0
             for j in now:
                 width = 1 + j[0] * (1 + rows.d + rows.d**2)
@@ -462,7 +503,7 @@ def refits(
 
             def step(x: np.ndarray, n: np.ndarray, now=now, state=dict(state)) -> np.ndarray:
                 drawn = {r: resampling_counts(x, n, seed, r) for r in {r for r, _ in now}}
-                return np.concatenate([mixture_statistics(x - centre, drawn[j[0]], state[j]) for j in now])
+                return many_statistics(x - centre, [drawn[j[0]] for j in now], [state[j] for j in now])
 
             for j, sums in zip(now, block_sums(rows.blocks, step).reshape(len(now), -1), strict=True):
                 after, level = maximised(sums, state[j], totals[j[0]], floor), float(sums[0] / totals[j[0]])
