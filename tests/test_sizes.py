@@ -99,3 +99,24 @@ def test_states_of_mixtures_share_their_products():
         counts = [rng.poisson(1.0, len(x)).astype(float) for _ in states]
         want = np.concatenate([fits.mixture_statistics(x, n, s) for n, s in zip(counts, states, strict=True)])
         assert np.allclose(fits.many_statistics(x, counts, states), want, rtol=1e-9, atol=1e-8)
+
+
+def test_nearest_of_dense_sources_forms_few_pairs(spark, monkeypatch):
+    import numpy as np
+
+    from thermalake.operators import grid
+
+    rng = np.random.default_rng(9)
+    sources = [(float(a), float(o), i) for i, (a, o) in enumerate(zip(rng.uniform(-3, 3, 3000), rng.uniform(-3, 3, 3000), strict=True))]
+    sources += [(a, o, v + 10_000) for a, o, v in sources[:500]]  # the same places again
+    targets = [(i, float(a), float(o)) for i, (a, o) in enumerate(zip(rng.uniform(-9, 9, 200), rng.uniform(-9, 9, 200), strict=True))]
+    steps, kept = [], grid.cut
+    monkeypatch.setattr(grid, "cut", lambda df: steps.append(1) or kept(df))
+    out = grid.nearest_within(spark.createDataFrame(targets, "id long, lat double, lon double"), spark.createDataFrame(sources, "lat double, lon double, v long"), "lat", "lon", "v", 600_000.0)
+    got = {r["id"]: r["v"] for r in out.collect()}
+    lat, lon = (np.radians(np.array([s[i] for s in sources[:3000]])) for i in (0, 1))
+    for i, a, o in targets:
+        a, o = np.radians(a), np.radians(o)
+        d = 2 * 6371008.8 * np.arcsin(np.sqrt(np.sin((lat - a) / 2) ** 2 + np.cos(a) * np.cos(lat) * np.sin((lon - o) / 2) ** 2))
+        assert got[i] == (int(d.argmin()) if d.min() <= 600_000.0 else None)
+    assert steps  # smaller cubes were tried
