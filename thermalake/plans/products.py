@@ -315,9 +315,12 @@ SELECT t.c_custkey, value, round(d, 2) AS distance FROM t LEFT JOIN (SELECT * FR
 def regrid_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coarse-then-retrieve minus retrieve-then-average over complete cells, and the closure of stored precision."""
     px = pixels(spark, sf_dir).select(F.col("l_partkey").alias("y"), F.col("l_suppkey").alias("x"), "rad3")
-    px = px.groupBy("y", "x").agg(F.avg("rad3").alias("rad"))
+    px = px.withColumns({"cy": F.floor(F.col("y") / 4), "cx": F.floor(F.col("x") / 4)})
+    # one exchange of the rows by cell serves both means; few rows repeat a place, so sums before it would only be wider
+    parts = max(spark.sparkContext.defaultParallelism, -(-px.count() // 500_000))
+    px = px.repartition(parts, "cy", "cx").groupBy("cy", "cx", "y", "x").agg(F.avg("rad3").alias("rad"))
     bt = lambda c: physics.brightness_temperature(c, FK1, FK2)
-    out = px.groupBy(F.floor(F.col("y") / 4).alias("cy"), F.floor(F.col("x") / 4).alias("cx")).agg(
+    out = px.groupBy("cy", "cx").agg(
         F.count("rad").alias("n"), bt(F.avg("rad")).alias("coarse"), F.avg(bt(F.col("rad"))).alias("fine")
     )
     return out.select(F.col("cy").cast("long"), F.col("cx").cast("long"), "n", r(F.col("coarse") - F.col("fine"), 5).alias("difference"))
