@@ -363,3 +363,35 @@ def test_the_flagship_stays_compiled(spark):
         assert max(codes.apply(i)._3().maxMethodCodeSize() for i in range(codes.size())) < 8000
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_overlap_features_stay_compiled(spark):
+    from thermalake.plans import assessments
+
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = assessments.overlap_features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+        debug = spark._jvm.org.apache.spark.sql.execution.debug
+        codes = getattr(getattr(debug, "package$"), "MODULE$").codegenStringSeq(plan)
+        assert max(codes.apply(i)._3().maxMethodCodeSize() for i in range(codes.size())) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_masks_and_noisy_features_of_odd_radiances(spark):
+    """Null, NaN, infinite and negative values are a no in every group; features are null where a radiance isn't finite."""
+    odd = [None, float("nan"), float("inf"), -1.0, 0.0, 900.0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(odd)], "i int, v double").coalesce(1)
+    good, v = F.lit(10.0), F.col("v")
+    for raw, corrected, bt, angle, want in (
+        (v, good, good, good, [False, False, False, False, False, True]), (good, v, good, good, [False, False, False, False, False, True]),
+        (good, good, v, good, [False, False, False, False, False, True]), (good, good, good, v, [False, False, False, False, True, False]),
+    ):
+        rows = df.orderBy("i").select(physics.overlap([good, raw], [good, corrected], [bt], [angle]).alias("b")).collect()
+        assert [r.b for r in rows] == want
+    f = physics.noisy_features([v] * 6, [good] * 6, [(F.lit(2.0), F.lit(0.0))] * 6, 2e4, 1300.0)
+    found = [r[0] for r in df.orderBy("i").select(f[0]).collect()]
+    assert found[:3] == [None] * 3
+    temperature = lambda x: 1300.0 / math.log1p(2e4 / x)
+    assert found[3:] == [pytest.approx((temperature(x + 2.0) + temperature(10.0)) / 2) for x in odd[3:]]
