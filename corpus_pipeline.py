@@ -14,12 +14,16 @@ from thermalake.llm.common import cut, documents
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters go, null and empty ones among them; so do those of which no language reaches a probability of 0.3.
-
-    With more than three languages 0.9 divided by their number is enough. If no
-    language could be learned, all texts with letters stay. Long texts are
-    judged whole, repeated rows alike; an empty table gives an empty one; extra
-    columns of any name are carried along.
+    """Texts in a learned language stay, and `lang` says in which; the last stage packs by it.
+
+    Texts without letters go, null and empty ones among them, and those most of
+    whose letters the best language isn't written in. A score below 0.3, or 0.9
+    divided by the number of languages if that is less, is too low as well. A
+    missing label is filled in, and one that the text contradicts with a
+    probability of 0.95 is replaced. If no language could be learned, all texts
+    with letters stay as they are. Long texts are judged whole, repeated rows
+    alike; an empty table gives an empty one; extra columns of any name are
+    carried along.
     """
     return langid.accept(docs, langid.learn(docs), least=0.3)
 
@@ -57,13 +61,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences of 2048, with their ids; workers keep fewer words, as they hold other stages' tables too.
+    """Pieces of token sequences of 2048, each of one language, with their ids; workers keep fewer words, as they hold other stages' tables too.
 
-    Null texts count as empty ones, each row ends with the end token, and
-    repeated rows are packed each on their own. An empty table gives an empty
-    one; extra columns are not read.
+    Null texts count as empty ones, a null language is one, each row ends with
+    the end token, and repeated rows are packed each on their own. An empty
+    table gives an empty one; extra columns are not read.
     """
-    return packing.pack_documents(docs, size=2048, end_id=1, known_words=200_000)
+    return packing.pack_documents(docs, size=2048, end_id=1, known_words=200_000, by="lang")
 
 
 STAGES = [

@@ -1,5 +1,6 @@
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -70,3 +71,21 @@ def test_round_trip(spark):
             ids = np.frombuffer(b"".join(x[1] for x in sorted(tokens[doc])), "<u4").tolist()
             assert ids == INNER.encode(text or "", add_special_tokens=False).ids + [1] and tokens[doc][0][2] == len(ids)
     assert packing.pack_documents(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("max_open", [1, 5, 1000])
+def test_bins_by_key_hold_everything_apart_and_bounded(max_open):
+    draws, bins, out, put = np.random.default_rng(3), packing.Bins(64, max_open), [], {}
+    for i in range(300):
+        n, key = int(draws.integers(1, 64)), "abc"[i % 3] if i % 7 else None
+        out += bins.place(key, (i, 0, np.arange(n, dtype="<u4"), n))
+        put[i] = (key, n)
+        assert bins.n_open == sum(b.n_open for b in bins.of.values()) <= max_open
+    out += bins.close()
+    held = {}
+    for window in out:
+        assert len({put[p[0]][0] for p in window}) == 1
+        assert (total := sum(len(p[2]) for p in window)) == 64 or total & (total - 1) == 0
+        for doc, start, ids, _ in window:
+            held.setdefault(doc, []).extend(range(start, start + len(ids)))
+    assert {k: sorted(v) for k, v in held.items()} == {k: list(range(n)) for k, (_, n) in put.items()}

@@ -86,3 +86,18 @@ def test_run_equals_the_stages(spark, tmp_path):
     last = stages(spark, spark.read.parquet(f"{SF}/documents.parquet"), tmp_path)[-1]
     total = lambda df: Counter({r.doc_id: r.n for r in df.groupBy("doc_id").agg({"length": "sum"}).toDF("doc_id", "n").collect()})
     assert total(corpus_pipeline.run(spark, SF)) == total(last)
+
+
+def test_the_language_found_decides_what_stays_and_what_shares_a_sequence(spark, tmp_path):
+    words = {"en": "the cat sat with thing", "de": "die katze saß und läuft"}
+    rows = [Row(i, f"{words[x]} {'abc'[i % 3]} {words[x][: 5 + i % 7]} {words[x]}", x, "s", 1) for i in range(300) for x in [("en", "de")[i % 2]]]
+    rows += [Row(500, "это не латинский текст, хотя в нем есть буквы", None, "s", 1), Row(501, "日本語の文章", "en", "s", 1)]
+    rows += [Row(502, words["de"] * 2, None, "s", 1), Row(503, words["de"] * 3, "en", "s", 1), Row(504, words["en"] + " это", "en", "s", 1)]
+    found = stages(spark, spark.createDataFrame(rows, COLUMNS), tmp_path)
+    lang = {r.doc_id: r.lang for r in found[1].collect()}
+    assert lang == {**{i: ("en", "de")[i % 2] for i in range(300)}, 502: "de", 503: "de", 504: "en"}
+    mixed = {r.doc_id: r.lang for r in found[4].collect()}
+    sequences = {}
+    for r in found[5].collect():
+        sequences.setdefault(r.sequence_id, set()).add(mixed[r.doc_id])
+    assert set().union(*sequences.values()) == {"en", "de"} and all(len(x) == 1 for x in sequences.values())

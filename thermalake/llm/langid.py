@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermalake.llm.common import cut, discard, most_counted, stored
+from thermalake.llm.common import carried, cut, discard, most_counted, stored
 
 UNKNOWN = "und"
 _RUN = re.compile(r"[^\W\d_]+")
 _FLUSH = 200_000
 _MEMO, _MEMO_CELLS = 400_000, 16_000_000
 _MEMO_CHARS = 48  # longer words are not remembered
+_TEXTS = -1  # the size of entries that count texts
+_RARE = 0.01  # a language is written in the letters of at least this share of its texts, so that few texts with a wrong label add none
 _UNSEEN = 0.25  # less than one occurrence, for languages in which an entry was not seen
 #: Scales of the mean log score that are tried on kept-out texts.
 SLOPES = np.geomspace(0.25, 256.0, 41)
@@ -94,6 +96,7 @@ class Lexicon:
     slope: float = 30.0
     memo: _Places = field(default_factory=_Places)
     table: np.ndarray | None = None
+    alphabets: dict[str, set[str]] = field(default_factory=dict)
 
     def words(self, words: list[str]) -> np.ndarray:
         """Log10 relative frequencies of known words, and for others the mean of their longest known n-grams (words x languages)."""
@@ -165,6 +168,17 @@ class Lexicon:
         best = int(share.argmax())
         return self.langs[best], float(share[best])
 
+    def written(self, text: str, lang: str) -> bool:
+        """Whether at least half of the letters of a text are ones that a language is written in; true where these aren't known."""
+        if lang not in self.alphabets:
+            return True
+        known, low = self.alphabets[lang], text.lower()
+        strange = [c for c in set(low) if c.isalpha() and c not in known]
+        if not strange:
+            return True
+        counts = Counter(low)
+        return 2 * sum(counts[c] for c in strange) <= sum(n for c, n in counts.items() if c.isalpha())
+
 
 def labelled_sample(docs: DataFrame, per_language: int) -> DataFrame:
     """(text, lang, kept_out): at most about `per_language` rows of each language, by a hash of the id and the text.
@@ -194,7 +208,10 @@ def _count(longest: int):
         counts: dict = defaultdict(Counter)
         for batch in batches:
             for text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for word, n in Counter(letters(text)).items():
+                words = Counter(letters(text))
+                if words:  # texts by letter, and all of them
+                    counts[lang, _TEXTS].update({"", *"".join(words)})
+                for word, n in words.items():
                     counts[lang, 0][word] += n
                     padded = f"<{word}>"
                     for size in range(1, longest + 1):
@@ -213,10 +230,15 @@ def assemble(best: Iterable[pa.RecordBatch], longest: int) -> Lexicon:
     """The lexicon of batches (lang, size, gram, n, total), which are folded one by one."""
     at: dict[str, int] = {}
     parts = {size: ({}, [], [], [], {}) for size in range(longest + 1)}
+    texts: dict[str, dict[str, int]] = defaultdict(dict)
     for batch in best:
-        langs = [at.setdefault(x, len(at)) for x in batch.column(0).to_pylist()]
+        named = batch.column(0).to_pylist()
+        langs = [at.setdefault(x, len(at)) for x in named]
         rest = (batch.column(i).to_pylist() for i in (1, 2, 3, 4))
-        for lang, size, gram, n, total in zip(langs, *rest, strict=True):
+        for name, lang, size, gram, n, total in zip(named, langs, *rest, strict=True):
+            if size == _TEXTS:
+                texts[name][gram] = n
+                continue
             grams, entry, owner, counts, totals = parts[size]
             entry.append(grams.setdefault(gram, len(grams)))
             owner.append(lang)
@@ -234,7 +256,8 @@ def assemble(best: Iterable[pa.RecordBatch], longest: int) -> Lexicon:
         start = np.searchsorted(entry[order], np.arange(len(grams) + 1))
         above = np.log10(np.array(counts, np.float64)[order] / _UNSEEN).astype(np.float32)
         tables[size] = Table(grams, start, lang[order].astype(np.int32), above, np.log10(_UNSEEN / total).astype(np.float32))
-    return Lexicon(names, longest, tables)
+    alphabets = {name: {g for g, n in held.items() if g and n >= _RARE * held[""]} for name, held in texts.items() if "" in held}
+    return Lexicon(names, longest, tables, alphabets=alphabets)
 
 
 def fit_slope(sample: DataFrame, model: Lexicon, smooth: float = 1e-4) -> float:
@@ -313,23 +336,34 @@ def predict(docs: DataFrame, model: Lexicon) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, lang_pred string, score double")
 
 
-def accept(docs: DataFrame, model: Lexicon, least: float = 0.3) -> DataFrame:
-    """The input rows and columns whose text has a language, with a score of at least `least`.
+def accept(docs: DataFrame, model: Lexicon, least: float = 0.3, sure: float = 0.95) -> DataFrame:
+    """The input rows and columns whose text is in a language, with that language in `lang`.
 
-    Where more languages tie than that leaves room for, a score of 0.9 divided
-    by their number is enough. If nothing could be learned, all texts with
-    letters are kept. Null and empty texts and those without letters go; of
+    A text is in its best language if at least half of its letters are ones
+    that the language is written in, and its score is at least `least`, or 0.9
+    divided by the number of languages if that is less. The label of a row
+    stands unless it is missing, or a text in another language has a score of
+    at least `sure`. If nothing could be learned, all texts with letters are
+    kept as they are. Null and empty texts and those without letters go; of
     repeated rows each is judged alike; ids and extra columns are carried along
     and never read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     floor = min(least, 0.9 / max(1, len(model.langs)))
 
-    @F.pandas_udf("boolean")
-    def has_language(texts: pd.Series) -> pd.Series:
-        if not shared.value.langs:
-            return pd.Series([bool(letters(t or "")) for t in texts], dtype=bool)
-        found = (shared.value.text(t or "") for t in texts)
-        return pd.Series([lang != UNKNOWN and score >= floor for lang, score in found], dtype=bool)
-
-    return docs.filter(has_language("text"))
+    def judged(text: str, label: str | None) -> tuple[bool, str | None]:
+        own = shared.value
+        if not own.langs:
+            return bool(letters(text)), label
+        lang, score = own.text(text)
+        kept = lang != UNKNOWN and score >= floor and own.written(text, lang)
+        return kept, lang if label is None or score >= sure else label
+
+    @F.pandas_udf("kept boolean, lang string")
+    def judge(texts: pd.Series, labels: pd.Series) -> pd.DataFrame:
+        found = [judged(t or "", x) for t, x in zip(texts, labels, strict=True)]
+        return pd.DataFrame({"kept": pd.Series([k for k, _ in found], dtype=bool), "lang": pd.Series([x for _, x in found], dtype=object)})
+
+    # nondeterministic, so that the filter isn't moved below and texts are judged once
+    found = carried(docs, _found=judge.asNondeterministic()(F.col("text"), F.col("lang").cast("string")))
+    return found.filter("_found.kept").select(F.col("row").withField("lang", F.col("_found.lang")).alias("row")).select("row.*")

@@ -239,8 +239,38 @@ class SumOfSquares:
             left -= size
 
 
+class Bins:
+    """Windows of one task by a key; together they hold no more open ones than `max_open`."""
+
+    def __init__(self, size: int, max_open: int):
+        self.size, self.max_open, self.n_open = size, max_open, 0
+        self.of: dict = {}
+
+    def place(self, key, piece: tuple) -> Iterator[list[tuple]]:
+        if key not in self.of:
+            self.of[key] = SumOfSquares(self.size, self.max_open)
+        own = self.of[key]
+        before = own.n_open
+        yield from own.place(piece)
+        self.n_open += own.n_open - before
+        if self.n_open > self.max_open:
+            most = max(self.of, key=lambda k: self.of[k].n_open)
+            own = self.of[most]
+            before = own.n_open
+            if before > 1:
+                if window := own.relieve():
+                    yield window
+            else:  # more keys than windows
+                yield from self.of.pop(most).close()
+            self.n_open += own.n_open - before
+
+    def close(self) -> Iterator[list[tuple]]:
+        for own in self.of.values():
+            yield from own.close()
+
+
 def pack_documents(
-    docs: DataFrame, tokenizer: str | None = None, size: int = 2048, end_id: int = 1, max_open: int = 8192, known_words: int = 800_000
+    docs: DataFrame, tokenizer: str | None = None, size: int = 2048, end_id: int = 1, max_open: int = 8192, known_words: int = 800_000, by: str | None = None
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset.
 
@@ -249,9 +279,10 @@ def pack_documents(
     their own. The rows of a sequence_id, by offset, have no gaps; sequences of
     other lengths than `size` have a power of two of tokens. Null ids are
     carried along; an empty table gives an empty one; extra columns are not
-    read. `max_open` bounds the windows a task holds in memory (64 MB of ids at
-    the default), `known_words` the words whose ids a worker keeps (about
-    0.4 GB at the default).
+    read. With a column `by`, such as the language, all documents of a sequence
+    have the same value of it, null being one. `max_open` bounds the windows a
+    task holds in memory (64 MB of ids at the default), `known_words` the words
+    whose ids a worker keeps (about 0.4 GB at the default).
     """
     if tokenizer is None:
         import public_tokenizers
@@ -260,18 +291,18 @@ def pack_documents(
     end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        coder, bins = _coder(tokenizer, known_words), SumOfSquares(size, max_open)
+        coder, bins = _coder(tokenizer, known_words), Bins(size, max_open)
         first_id = TaskContext.get().partitionId() << 40
 
         def closed() -> Iterator[list[tuple]]:
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for doc_id, text, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     ids = np.frombuffer(coder.encode(text or "") + end, "<u4")
                     whole = len(ids) // size * size
                     for start in range(0, whole, size):
                         yield [(doc_id, start, ids[start : start + size], len(ids))]
                     if whole < len(ids):
-                        yield from bins.place((doc_id, whole, ids[whole:].copy(), len(ids)))  # not a view of the whole text's ids
+                        yield from bins.place(key, (doc_id, whole, ids[whole:].copy(), len(ids)))  # not a view of the whole text's ids
             yield from bins.close()
 
         for number, window in enumerate(closed()):
@@ -287,7 +318,8 @@ def pack_documents(
                 [pa.array(v, f.type) for v, f in zip(zip(*chunk, strict=True), PIECES, strict=True)], schema=PIECES
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    key = F.lit(None).cast("string") if by is None else F.col(by)
+    return docs.select(F.col("doc_id").cast("long"), "text", key.alias("key")).mapInArrow(
         pack,
         "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long",
     )
