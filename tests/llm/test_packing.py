@@ -1,9 +1,11 @@
+import sys
+
 import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from thermalake.llm import packing
 
@@ -89,3 +91,56 @@ def test_bins_by_key_hold_everything_apart_and_bounded(max_open):
         for doc, start, ids, _ in window:
             held.setdefault(doc, []).extend(range(start, start + len(ids)))
     assert {k: sorted(v) for k, v in held.items()} == {k: list(range(n)) for k, (_, n) in put.items()}
+
+
+def ids(coder, text):
+    return np.frombuffer(coder.encode(text), "<u4").tolist()
+
+
+def test_new_words_are_not_kept():
+    coder = packing.WordCachedTokenizer(PATH)
+    text = " ".join(f"thoner{i:x}ble" for i in range(5000))
+    assert ids(coder, text) == INNER.encode(text, add_special_tokens=False).ids
+    assert not (coder.parts or coder.first or coder.later)
+
+
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet=BLANKS + "ab 's!1é\x1c\x1f\u180e\u200b\ufeff½", max_size=30))
+def test_blanks_of_all_kinds(text):
+    assert ids(CODER, text) == INNER.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", ["a" + " " * 1_200_000 + "b", " \n" * 600_000, "a  <|endoftext|>  b", "'LL we'll 'sé'S " * 3, "x" * 30_000])
+def test_long_and_odd_texts(text):
+    assert ids(CODER, text) == INNER.encode(text, add_special_tokens=False).ids
+
+
+def test_every_letter_and_number_is_cut_alike():
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (chr(c).isalnum() or c < 0x3000)]
+    for at in range(0, len(points), 5000):
+        text = "".join(f"a{c}1{c} {c}!{c}" for c in points[at : at + 5000])
+        assert ids(CODER, text) == INNER.encode(text, add_special_tokens=False).ids
+
+
+def test_words_are_kept_without_tiktoken(monkeypatch):
+    monkeypatch.setitem(sys.modules, "tiktoken", None)
+    coder = packing.WordCachedTokenizer(PATH)
+    for text in ["the eder.\nEranth the  ontheahe", "a <|endoftext|> b", "", " \t x"]:
+        assert ids(coder, text) == INNER.encode(text, add_special_tokens=False).ids
+    assert coder.ranked is None and coder.later
+
+
+def test_merges_that_ranks_do_not_tell_are_left_to_the_tokenizer(tmp_path):
+    # "abc" is made of "ab" and "c", but "bc" is joined first: the ids are "a" and "bc", where ranks alone would find "abc"
+    made = [("b", "c"), ("a", "b"), ("ab", "c")]
+    vocab = {letter: i for i, letter in enumerate([*packing._byte_letters().values(), *map("".join, made)])}
+    inner = Tokenizer(models.BPE(vocab, made))
+    inner.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    inner.save(path := str(tmp_path / "odd.json"))
+    coder = packing.WordCachedTokenizer(path)
+    assert coder.ranked is None
+    assert ids(coder, "abc ab bc") == inner.encode("abc ab bc").ids
+    assert ids(coder, "abc") == [vocab["a"], vocab["bc"]]

@@ -69,16 +69,55 @@ def _byte_letters() -> dict[int, str]:
     return letters
 
 
+def _ranked_merges(inner, own: dict):
+    """A `tiktoken` encoding that is proven to give the ids of this byte-level file, or None.
+
+    `tiktoken` joins neighbours whenever the two together are a token, the
+    lowest id first; `tokenizers` joins the listed pairs, the first listed
+    first. If every token is a byte or comes of one pair, ids rise in the order
+    of the pairs, and each token's own text is encoded to that token alone,
+    both are the same: neighbours arise by merges within their own text, as if
+    it stood alone, and there only the listed pair makes the token.
+    """
+    try:
+        import tiktoken
+    except ImportError:
+        return None
+    model, bytes_of = own["model"], {letter: byte for byte, letter in _byte_letters().items()}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    if not plain or own.get("truncation") or own.get("padding"):
+        return None
+    vocab = model["vocab"]
+    made = ["".join(pair) for pair in model["merges"]]
+    if vocab.keys() != bytes_of.keys() | set(made) or len(vocab) != len(bytes_of) + len(made):
+        return None
+    if any(vocab[a] >= vocab[b] for a, b in itertools.pairwise(made)):
+        return None
+    if any([t.id for t in inner.model.tokenize(token)] != [i] for token, i in vocab.items()):
+        return None
+    ranks = {bytes(map(bytes_of.__getitem__, token)): i for token, i in vocab.items()}
+    words = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+    return tiktoken.Encoding("byte_level", pat_str=words, mergeable_ranks=ranks, special_tokens={})
+
+
 class WordCachedTokenizer:
     """Ids of texts by a `tokenizers` file, as bytes of little-endian 32-bit ids.
 
-    A byte-level pre-tokenizer never joins what stands on the two sides of a
-    single space between non-blank characters, so the ids of " word" are the
-    same in every text and are kept. A word not met before is put together
-    from its letters and its punctuation, which are encoded once each. Other
-    tokenizers see whole texts.
+    Texts go whole through the file's merges in `tiktoken` where that is proven
+    to give the same ids; nothing is kept then. Of more than one blank before a
+    word, the pre-tokenizer leaves the last one to the word, so texts are cut
+    there. Texts that name an added token go whole to `tokenizers`.
+
+    Where `tiktoken` is missing or not proven, the ids of " word" are kept,
+    since a byte-level pre-tokenizer never joins what stands on the two sides
+    of a single space between non-blank characters. A word not met before is
+    put together from its letters and its punctuation, which are encoded once
+    each. Tokenizers of other kinds see whole texts.
     """
 
+    _BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # all that \s is in the pre-tokenizer
+    _TWO_BLANKS = re.compile(f"[{_BLANK}][{_BLANK}]")
+    _LAST_OF_BLANKS = re.compile(f"(?<=[{_BLANK}])(?=[{_BLANK}][^{_BLANK}])")
     _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
     _ODD_SPACE = re.compile(r"\s\s|\s$|^\s")
     _INNER_BLANK = re.compile(r"[^\S\n]")
@@ -97,6 +136,8 @@ class WordCachedTokenizer:
             and not pre.get("add_prefix_space")
             and not own.get("normalizer")
         )
+        self.added = [token["content"] for token in own.get("added_tokens") or []]
+        self.ranked = _ranked_merges(self.inner, own) if self.by_word else None
         self.parts = _Known(self._merge, max_words)
         self.first = _Known(self._join, 10_000)
         self.later = _Known(lambda word: self._join(" " + word), max_words * 3 // 2)
@@ -105,6 +146,12 @@ class WordCachedTokenizer:
         ids = self.inner.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _encode_ranked(self, text: str) -> bytes:
+        if any(token in text for token in self.added):
+            return self._encode(text)
+        cuts = self._LAST_OF_BLANKS.split(text) if self._TWO_BLANKS.search(text) else [text]
+        return b"".join(self.ranked.encode_to_numpy(cut, disallowed_special=()).astype("<u4", copy=False).tobytes() for cut in cuts)
+
     def _merge(self, part: str) -> bytes:
         """Ids of what the pre-tokenizer leaves in one piece, by the tokenizer's merges alone."""
         ids = [t.id for t in self.inner.model.tokenize(part.encode().decode("latin-1").translate(_byte_letters()))]
@@ -127,13 +174,15 @@ class WordCachedTokenizer:
     def encode(self, text: str) -> bytes:
         if not self.by_word:
             return self._encode(text)
+        if self.ranked is not None:
+            return self._encode_ranked(text)
         words = iter(self._INNER_SPACE.split(text) if self._ODD_SPACE.search(text) else text.split(" "))
         return self.first[next(words)] + b"".join(map(self.later.__getitem__, words))
 
 
 @functools.lru_cache(maxsize=1)
 def _coder(path: str, max_words: int) -> WordCachedTokenizer:
-    """The tokenizer of a worker process; the words it knows serve all tasks that the process runs."""
+    """The tokenizer of a worker process, made once for all tasks that the process runs."""
     return WordCachedTokenizer(path, max_words)
 
 
@@ -282,7 +331,8 @@ def pack_documents(
     read. With a column `by`, such as the language, all documents of a sequence
     have the same value of it, null being one. `max_open` bounds the windows a
     task holds in memory (64 MB of ids at the default), `known_words` the words
-    whose ids a worker keeps (about 0.4 GB at the default).
+    whose ids a worker keeps where it lacks `tiktoken` or can't use it (about
+    0.4 GB at the default).
     """
     if tokenizer is None:
         import public_tokenizers
