@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +48,19 @@ def test_links_against_brute_force(spark):
     assert embdedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_short_lists_stream_past_their_query(spark):
+    """No task gathers a query's lists: the merge holds the k best so far, whatever the lists and the batches are cut into."""
+    _, table = sample(spark, 60)
+    plan = ann.nearest(table, F.col("vec_id") % 20 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "ArrowEvalPython" not in plan
+    rng = np.random.default_rng(7)
+    rows = [(int(q), int(v), float(rng.integers(0, 40))) for q in (0, 20, 60) for v in rng.permutation(5000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at : at + 700], strict=True)], names=["query_id", "vec_id", "score"]) for at in range(0, len(rows), 700)]
+    got = [tuple(r.values()) for b in ann.merged(iter(batches), 7) for r in b.to_pylist()]
+    best = {q: sorted(((-s, v) for p, v, s in rows if p == q))[:7] for q in (0, 20, 60)}
+    assert got == [(q, n + 1, v, -s) for q, found in best.items() for n, (s, v) in enumerate(found)]
+
+
 def test_nearest_against_brute_force(spark, monkeypatch):
     rows, table = sample(spark)
     monkeypatch.setattr(ann, "QUERY_BLOCK", 20)
