@@ -43,6 +43,19 @@ def test_sums_of_odd_rows(spark):
     assert exact.block_sums(exact.blocked(df.limit(0), [F.col("a")]), lambda x, n: x.sum(0)).size == 0
 
 
+def test_kept_blocks_give_the_sums_of_the_table(spark, monkeypatch):
+    """Passes over kept blocks plan no query, have no more tasks than blocks or cores, and add up to the last bit whether tasks or the driver join them."""
+    df = spark.range(30_000).select((F.rand(3) - 0.5).alias("a"), F.when(F.col("id") % 7 > 0, F.exp(F.randn(4) * 9)).alias("b"))
+    blocks = exact.blocked(df, [F.col("a"), F.col("b")], size=400)
+    step = lambda x, n: np.r_[n.sum(), n @ x, n @ x**2, np.inf if x[:, 0].max() > 0.4999 else 1.0]
+    held = exact.kept(blocks)
+    assert held.getNumPartitions() == spark.sparkContext.defaultParallelism and exact.kept(exact.blocked(df.limit(9), [F.col("a")])).getNumPartitions() == 1
+    one = exact.block_sums(held, step)
+    monkeypatch.setattr(exact, "_FEW_TASKS", 1)
+    assert one.tobytes() == exact.block_sums(held, step).tobytes() == exact.block_sums(blocks, step).tobytes() and one[0] > 25_000
+    assert exact.block_sums(exact.kept(exact.blocked(df.limit(0), [F.col("a")])), lambda x, n: x.sum(0)).size == 0
+
+
 def bits(model):
     return [model[k].tobytes() for k in ("weight", "mean", "covariance")] + [model["loglik"], model["rounds"], str(model["attempts"])]
 

@@ -21,10 +21,12 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 4096  # rows of a block on average
+_TASK_BLOCKS, _FEW_TASKS = 128, 64  # blocks of a task, unless cores would be idle, and tasks whose sums the driver adds by itself
 _DIGIT = 32
 _NOT_FINITE = 1 << 20  # the digit that marks a term without a value
 _DIGITS = pa.schema([("at", pa.int32()), ("place", pa.int32()), ("digit", pa.int64())])
@@ -75,7 +77,46 @@ def blocked(df: DataFrame, columns: Sequence[Column], size: int = BLOCK) -> Data
     rows = named.groupBy(*names).agg(F.count("*").alias("n"))
     blocks = max(1, -(-named.count() // size))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64(*names), F.lit(blocks)).cast("int")).select("block", "n", *names)
-    return dealt.repartition("block").sortWithinPartitions("block", *names)
+    # a pass over few blocks costs what its tasks cost to start, so they are no more than the cores
+    tasks = max(min(blocks, df.sparkSession.sparkContext.defaultParallelism), -(-blocks // _TASK_BLOCKS))
+    return dealt.repartition(tasks, "block").sortWithinPartitions("block", *names)
+
+
+def _parted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows x columns, how often each row comes), both of a layout of their own: products of views can differ from theirs in the last bit."""
+    return np.ascontiguousarray(rows[:, 1:]), np.ascontiguousarray(rows[:, 0])
+
+
+def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The whole blocks of batches that are sorted by block, without the block's number."""
+    waiting: list[np.ndarray] = []
+    for batch in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], 1)
+        for part in np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1):
+            if waiting and len(part) and waiting[0][0, 0] != part[0, 0]:
+                yield np.concatenate(waiting)[:, 1:]
+                waiting = []
+            if len(part):
+                waiting.append(part)
+    if waiting:
+        yield np.concatenate(waiting)[:, 1:]
+
+
+def kept(blocks: DataFrame) -> RDD:
+    """The blocks of `blocked` for repeated passes: (rows x columns, how often each row comes), kept by the executors as arrays.
+
+    A pass over them plans no query and makes no arrays of rows again.
+    """
+    width = len(blocks.columns) - 1
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _each_block(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(block).tobytes()], pa.binary())], names=["rows"])
+
+    def arrays(row) -> tuple[np.ndarray, np.ndarray]:
+        return _parted(np.frombuffer(row["rows"]).reshape(-1, width))
+
+    return blocks.mapInArrow(packed, "rows binary").rdd.map(arrays).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def taken_apart(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -107,47 +148,59 @@ def put_together(rows) -> np.ndarray:
     return out
 
 
-def block_sums(blocks: DataFrame, reduce: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """The sum over the blocks of `blocked` of what `reduce` makes of (rows x columns, how often each row comes); empty without rows.
+def _added(held: dict[int, np.ndarray], values: np.ndarray) -> dict[int, np.ndarray]:
+    """`held`, digits by place, with those of further values; place 0 is there whatever the values are."""
+    own = np.asarray(values, float).ravel()
+    if own.size:
+        held.setdefault(0, np.zeros(own.size, np.int64))
+    finite = np.isfinite(own)
+    if not finite.all():
+        held[_NOT_FINITE] = held.get(_NOT_FINITE, 0) + (~finite).astype(np.int64)
+    for place, digits in taken_apart(np.where(finite, own, 0.0)):
+        held[place] = held.get(place, 0) + digits
+    return held
+
+
+def _joined(a: dict[int, np.ndarray], b: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    return {place: a.get(place, 0) + b.get(place, 0) for place in {**a, **b}}
+
+
+def _seen(held: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place, positions, digits) without the zeros, but for place 0, which tells how many numbers there are."""
+    for place, digits in held.items():
+        seen = np.flatnonzero(digits) if place else np.arange(len(digits))
+        if len(seen):
+            yield place, seen, digits[seen]
+
+
+def block_sums(blocks: DataFrame | RDD, reduce: Callable[..., np.ndarray]) -> np.ndarray:
+    """The sum over the blocks of `blocked` or `kept` of what `reduce` makes of (rows x columns, how often each row comes); empty without rows.
 
     The result is the same to the last bit for any partitioning: the blocks
     are, and their sums are added without rounding. What reaches the driver
-    depends on the size of one result alone.
+    depends on the size of one result alone, of kept blocks times a bounded
+    number of tasks.
     """
+    if isinstance(blocks, RDD):
+
+        def digits(arrays: Iterator[tuple[np.ndarray, ...]]) -> Iterator[dict[int, np.ndarray]]:
+            held: dict[int, np.ndarray] = {}
+            for block in arrays:
+                held = _added(held, reduce(*block))
+            return iter([held])
+
+        if not blocks.getNumPartitions():  # Spark has found out that there are no rows
+            return put_together([])
+        depth = 1 if blocks.getNumPartitions() <= _FEW_TASKS else 2
+        total = blocks.mapPartitions(digits).treeReduce(_joined, depth)
+        return put_together({"at": at, "place": place, "digit": digit} for place, seen, found in _seen(total) for at, digit in zip(seen.tolist(), found.tolist(), strict=True))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
-        waiting: list[np.ndarray] = []
-        width = 0
-
-        def add(rows: np.ndarray) -> None:
-            nonlocal width
-            own = np.asarray(reduce(rows[:, 2:], rows[:, 1]), float).ravel()
-            width = own.size
-            if width:
-                held.setdefault(0, np.zeros(width, np.int64))
-            finite = np.isfinite(own)
-            if not finite.all():
-                held[_NOT_FINITE] = held.get(_NOT_FINITE, 0) + (~finite).astype(np.int64)
-            for place, digits in taken_apart(np.where(finite, own, 0.0)):
-                held[place] = held.get(place, 0) + digits
-
-        for batch in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], 1)
-            cuts = np.flatnonzero(np.diff(rows[:, 0])) + 1
-            parts = np.split(rows, cuts)
-            for i, part in enumerate(parts):
-                if waiting and len(part) and waiting[0][0, 0] != part[0, 0]:
-                    add(np.concatenate(waiting))
-                    waiting = []
-                if len(part):
-                    waiting.append(part)
-        if waiting:
-            add(np.concatenate(waiting))
-        for place, digits in held.items():
-            seen = np.flatnonzero(digits) if place else np.arange(width)
-            if len(seen):
-                yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(np.full(len(seen), place), pa.int32()), pa.array(digits[seen])], schema=_DIGITS)
+        for block in _each_block(batches):
+            held = _added(held, reduce(*_parted(block)))
+        for place, seen, found in _seen(held):
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(np.full(len(seen), place), pa.int32()), pa.array(found)], schema=_DIGITS)
 
     rows = blocks.mapInArrow(partial, "at int, place int, digit long").groupBy("at", "place").agg(F.sum("digit").alias("digit"))
     return put_together(rows.collect())

@@ -16,12 +16,13 @@ from dataclasses import dataclass, replace
 from statistics import NormalDist
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermalake.functions.physics import limb_value, polynomial, polynomial_terms
 from thermalake.functions.rng import uniform
-from thermalake.operators.exact import block_sums, blocked, exact_products, exact_sums
+from thermalake.operators.exact import block_sums, blocked, exact_products, exact_sums, kept
 from thermalake.operators.sampling import quantiles, running
 from thermalake.sources import versions
 
@@ -303,18 +304,24 @@ def many_statistics(x: np.ndarray, counts: Sequence[np.ndarray], states: Sequenc
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     first = np.log(weight) - np.linalg.slogdet(cov)[1] / 2 - d / 2 * np.log(2 * np.pi) - (pulled * mean).sum(1) / 2
     factors = np.stack([first, *pulled.T, *[-inverse[:, i, j] * (0.5 if i == j else 1.0) for i, j in pairs]])
-    level, moments = np.zeros(count), np.zeros((count * k, len(factors)))
-    for at in range(0, len(x), 512):
-        part = x[at : at + 512]
+    # the components lie apart, so that each is a matrix of rows by states that runs through the cache in order
+    apart = np.ascontiguousarray(factors.reshape(-1, count, k).transpose(2, 0, 1))
+    level, moments, every = np.zeros(count), np.zeros((k, count, len(factors))), np.stack(counts, 1)
+    step = max(256, min(2048, 12288 // count))
+    for at in range(0, len(x), step):
+        part, n = x[at : at + step], every[at : at + step]
         rows = np.stack([np.ones(len(part)), *part.T, *[part[:, i] * part[:, j] for i, j in pairs]], 1)
-        logs = (rows @ factors).reshape(len(part), count, k)
-        top = logs.max(2)
-        share = np.exp(logs - top[..., None])
-        total = share.sum(2)
-        n = np.stack([c[at : at + 512] for c in counts], 1)
+        shares = [rows @ own for own in apart]
+        top, total = np.maximum.reduce(shares), 0.0
+        for share in shares:
+            share -= top
+            total = total + np.exp(share, out=share)
         level += ((top + np.log(total)) * n).sum(0)
-        share *= (n / total)[..., None]
-        moments += share.reshape(len(part), -1).T @ rows
+        n = n / total
+        for j, share in enumerate(shares):
+            share *= n
+            moments[j] += share.T @ rows
+    moments = moments.transpose(1, 0, 2).reshape(count * k, -1)
     mass, sums = moments[:, 0], moments[:, 1 : 1 + d]
     second = np.empty((count * k, d, d))
     for place, (i, j) in enumerate(pairs):
@@ -357,7 +364,7 @@ class Rows:
     def __init__(self, df: DataFrame, columns: Sequence[Column]):
         self.d = len(columns)
         self.plain = df.select(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).na.drop()
-        self.blocks = blocked(df, columns).persist()
+        self.blocks = kept(blocked(df, columns))
         sums = block_sums(self.blocks, lambda x, n: np.r_[n.sum(), n @ x])
         self.n = int(sums[0]) if sums.size else 0
         self.centre = sums[1:] / max(self.n, 1) if sums.size else np.zeros(self.d)
@@ -492,7 +499,14 @@ def refits(
     with Rows(df, columns) as rows:
         means = starting_means(rows.plain, k, starts * replicates, seed)
         centre = rows.centre
-        totals = block_sums(rows.blocks, lambda x, n: np.array([resampling_counts(x, n, seed, r).sum() for r in range(replicates)]))
+
+        def draw(block: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+            x, n = block
+            drawn = np.array([resampling_counts(x, n, seed, r) for r in range(replicates)])
+            return x - centre, n, drawn.astype(np.min_scalar_type(int(drawn.max(initial=0))))
+
+        blocks = rows.blocks.map(draw).persist(StorageLevel.MEMORY_AND_DISK)
+        totals = block_sums(blocks, lambda x, n, drawn: drawn.sum(1, dtype=float))
         variance = np.diag(rows.variance) + floor * np.eye(rows.d)
         state = {(r, s): (np.full(k, 1 / k), means[r * starts + s] - rows.centre, np.stack([variance] * k)) for r in range(replicates) for s in range(starts)}
         levels, done = dict.fromkeys(state, -np.inf), {}
@@ -501,11 +515,10 @@ def refits(
                 break
             now = sorted(state)
 
-            def step(x: np.ndarray, n: np.ndarray, now=now, state=dict(state)) -> np.ndarray:
-                drawn = {r: resampling_counts(x, n, seed, r) for r in {r for r, _ in now}}
-                return many_statistics(x - centre, [drawn[j[0]] for j in now], [state[j] for j in now])
+            def step(x: np.ndarray, n: np.ndarray, drawn: np.ndarray, now=now, state=dict(state)) -> np.ndarray:
+                return many_statistics(x, [drawn[j[0]].astype(float) for j in now], [state[j] for j in now])
 
-            for j, sums in zip(now, block_sums(rows.blocks, step).reshape(len(now), -1), strict=True):
+            for j, sums in zip(now, block_sums(blocks, step).reshape(len(now), -1), strict=True):
                 after, level = maximised(sums, state[j], totals[j[0]], floor), float(sums[0] / totals[j[0]])
                 if after is None:
                     del state[j]
@@ -514,6 +527,7 @@ def refits(
                 if abs(level - levels[j]) < tol:
                     done[j] = state.pop(j)
                 levels[j] = level
+        blocks.unpersist()
         out = []
         for r in range(replicates):
             held = {j: s for j, s in done.items() if j[0] == r} or {j: s for j, s in state.items() if j[0] == r}
