@@ -25,6 +25,16 @@ def test_labelers_agree_and_leave_incomplete_rows_unlabelled(spark):
     assert labelers.labelled(df.limit(0), [F.col("a")], {"m": model}).count() == 0
 
 
+def test_a_label_is_made_once_however_often_it_is_named(spark):
+    _, df = features(spark)
+    labeler = labelers.MixtureLabeler(np.full(3, 1 / 3), np.eye(3), np.stack([np.eye(3)] * 3))
+    label = F.col("e")
+    used = labelers.labelled(df, [F.col(c) for c in "abc"], {"e": labeler}).select("id", F.when(label.between(0, 2), label).alias("known")).na.drop()
+    # three for the density and three for the shares; as one expression there were dozens, and code past the virtual machine's 64 KB
+    assert used._jdf.queryExecution().optimizedPlan().toString().count("EXP(") == 6
+    assert used.count() == 500
+
+
 @pytest.mark.parametrize(
     "predict, message",
     [(lambda b: np.zeros(len(b)), "not whole numbers"), (lambda b: np.full(len(b), 3), "outside 0 to 2"), (lambda b: np.full(len(b), -1), "outside"), (lambda b: np.zeros(1, int), "shape"), (lambda b: b.fill(0), "read-only")],

@@ -132,7 +132,7 @@ def lowest(b: Sequence[Column]) -> Column:
     return F.least(ends, F.when((u > 0) & (u < 1), at(u)))
 
 
-def _made(df: DataFrame, **columns: Column) -> DataFrame:
+def made(df: DataFrame, **columns: Column) -> DataFrame:
     """The rows with new columns, each computed once: later uses name the column instead of repeating its expression."""
     return df.select(*df.columns, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
@@ -151,13 +151,13 @@ def retrieve(df: DataFrame, radiances: str, geometry: Geometry) -> DataFrame:
     values = F.col(radiances)
     good = F.coalesce((F.size(values) == geometry.views) & F.forall(values, lambda x: x.isNotNull() & (x > 0) & (x < float("inf"))), F.lit(False))
     checked = F.when(good, values.cast("array<double>")).otherwise(F.raise_error(F.lit("a case needs one positive radiance for each view")).cast("array<double>"))
-    own = _made(df, _l=checked)
+    own = made(df, _l=checked)
     dot = lambda weights: sum((F.col("_l")[i] * float(w) for i, w in enumerate(weights)), F.lit(0.0))
-    free = _made(own, _c=F.array(*[dot(row) for row in geometry.inverse]))
+    free = made(own, _c=F.array(*[dot(row) for row in geometry.inverse]))
     level = F.col("_c")[0]
-    shaped = _made(free, **{f"_b{j}": F.try_divide(F.col("_c")[j + 1], level) for j in range(geometry.parameters)})
+    shaped = made(free, **{f"_b{j}": F.try_divide(F.col("_c")[j + 1], level) for j in range(geometry.parameters)})
     low = lowest([F.col(f"_b{j}") for j in range(geometry.parameters)])
-    flagged = _made(shaped, _flag=F.coalesce((level <= 0) | (low < MARGIN * (1.0 + 1e-9)), F.lit(True)))
+    flagged = made(shaped, _flag=F.coalesce((level <= 0) | (low < MARGIN * (1.0 + 1e-9)), F.lit(True)))
     held = flagged.filter("_flag").select(F.struct(*[F.col(n) for n in names]).alias("row"), "_l")
     fields = f"row {held.schema['row'].dataType.simpleString()}, _l array<double>, _c array<double>, constrained boolean"
 

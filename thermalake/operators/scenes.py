@@ -103,8 +103,8 @@ def neighbours(diagnostics: DataFrame, k: str, columns: Sequence[str]) -> DataFr
     return out
 
 
-def responsibilities(z: Sequence[Column], components: Sequence[dict]) -> tuple[Column, Column]:
-    """log density and posterior array of diagonal or full Gaussians.
+def log_weights(z: Sequence[Column], components: Sequence[dict]) -> list[Column]:
+    """log of weight times density of each of some Gaussians.
 
     Each component has weight, mean and precision_cholesky (upper triangular
     rows as in precision = U U^T); parameters are few and become literals.
@@ -122,11 +122,22 @@ def responsibilities(z: Sequence[Column], components: Sequence[dict]) -> tuple[C
                     y = y + (z[i] - c["mean"][i]) * chol[i][j]
             total = total - y * y / 2.0
         logs.append(total)
+    return logs
+
+
+def log_sum(logs: Sequence[Column]) -> Column:
+    """log of the sum of exp of each."""
     top = F.greatest(*logs) if len(logs) > 1 else logs[0]
     sum_exp = F.lit(0.0)
     for log in logs:
         sum_exp = sum_exp + F.exp(log - top)
-    density = top + F.log(sum_exp)
+    return top + F.log(sum_exp)
+
+
+def responsibilities(z: Sequence[Column], components: Sequence[dict]) -> tuple[Column, Column]:
+    """log density and posterior array of diagonal or full Gaussians, with the components of `log_weights`."""
+    logs = log_weights(z, components)
+    density = log_sum(logs)
     return density, F.array(*[F.exp(log - density) for log in logs])
 
 
