@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermalake.functions import geo, physics
+from thermalake.functions.numbers import rounded
 from thermalake.functions.physics import angular_integral
 from thermalake.operators import grid, moments
 from thermalake.sources.tables import table
@@ -287,7 +288,7 @@ def box_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = pixels(spark, sf_dir).groupBy(F.col("l_partkey").alias("y"), F.col("l_suppkey").alias("x"))
     px = px.agg(F.avg("rad1").alias("v")).withColumn("v", F.when((F.col("x") + F.col("y")) % 13 != 0, F.col("v") + 1e6))
     out = grid.box_statistics(px, [], "y", "x", "v", 2)
-    return out.select("y", "x", "box_n", r(F.col("box_mean"), 3).alias("box_mean"), r(F.col("box_sd"), 3).alias("box_sd"))
+    return out.select("y", "x", "box_n", rounded(F.col("box_mean"), 3).alias("box_mean"), rounded(F.col("box_sd"), 3).alias("box_sd"))
 
 
 BOX_SQL = f"""WITH {PIXELS_SQL}, g AS (SELECT l_partkey AS y, l_suppkey AS x, avg(rad1) AS v FROM px GROUP BY 1, 2),
